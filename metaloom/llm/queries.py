@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing
+from . import decontam, ngram_join, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_ngram_join": ngram_join.op7,
         "op9_pack": packing.op9,
         "op10_decontaminate": decontam.op10,
     }
