@@ -6,18 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, packing
+from . import decontam, exact_dedup, line_dedup, ngram_join, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": line_dedup.op1,
+        "op4_exact_dedup": exact_dedup.op4,
         "op7_ngram_join": ngram_join.op7,
         "op9_pack": packing.op9,
         "op10_decontaminate": decontam.op10,
     }
 
 
+#: Lines of whole texts: those that at least three documents hold stay only in the largest of them.
+OP1 = r"""
+WITH lines AS (
+  SELECT doc_id, i, line, lower_az, length(lower_az) >= 20 AS long_line
+  FROM (SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az
+        FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))
+), often AS (
+  SELECT lower_az, max(doc_id) AS last_doc FROM lines WHERE long_line GROUP BY lower_az HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT l.doc_id, l.i, l.line, o.last_doc IS NOT NULL AND l.doc_id <> o.last_doc AS gone
+  FROM lines l LEFT JOIN often o ON l.long_line AND l.lower_az = o.lower_az
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP4 = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+g AS (SELECT body, count(*) AS group_size, (min((-n, doc_id)))[2] AS keep_id FROM t GROUP BY body)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM t JOIN g USING (body)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4}
