@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, line_dedup, ngram_join, packing
+from . import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": line_dedup.op1,
+        "op3_language_id": langid.op3,
         "op4_exact_dedup": exact_dedup.op4,
+        "op5_quality": quality.op5,
         "op7_ngram_join": ngram_join.op7,
         "op9_pack": packing.op9,
         "op10_decontaminate": decontam.op10,
