@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality
+from . import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": langid.op3,
         "op4_exact_dedup": exact_dedup.op4,
         "op5_quality": quality.op5,
+        "op6_warc": warc.op6,
         "op7_ngram_join": ngram_join.op7,
         "op9_pack": packing.op9,
         "op10_decontaminate": decontam.op10,
@@ -48,5 +49,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+#: Of equal large payloads the last page is the response.
+OP6 = r"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT body, max(page_id) AS last_page FROM t GROUP BY body)
+SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last_page THEN last_page END AS refers_to
+FROM t JOIN g USING (body)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4}
+    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op6_warc": OP6}
