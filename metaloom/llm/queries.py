@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality, warc
+from . import decontam, exact_dedup, html_extract, langid, line_dedup, ngram_join, packing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": line_dedup.op1,
+        "op2_html_text": html_extract.op2,
         "op3_language_id": langid.op3,
         "op4_exact_dedup": exact_dedup.op4,
         "op5_quality": quality.op5,
