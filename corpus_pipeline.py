@@ -1,22 +1,48 @@
-"""A training-data pipeline over documents; each stage is written as Parquet and read again as the next one's input."""
+"""A training-data pipeline over documents, from texts to packed sequences of token ids.
+
+Each stage takes all that the one before it kept and is written as Parquet, which the next one reads. All stages but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from metaloom.llm import decontam, langid, line_dedup, ngram_join, packing, shared
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a language (no letter in their text) go."""
+    return langid.with_language(docs, langid.train(docs.filter(~langid.held_out())))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: texts lose the lines that a later document repeats; n_chars follows."""
+    done = line_dedup.drop_repeated_lines(docs)
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicate join: the document of each class with the least id stays."""
+    return ngram_join.one_of_each(docs)
+
 
-from metaloom.llm import decontam, shared
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: contaminated documents go, the others stay as they are."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: pieces of the documents in sequences of token ids."""
+    import public_tokenizers
 
-def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the benchmark contaminates."""
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("decontaminate", uncontaminated)]
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("pack", pack)]
 
-#: Trained models, minhash joins and packing are not SQL; tests/llm compares the stages with plain Python.
+#: A trained model, MinHash and token ids are not SQL; tests/llm holds each stage against plain Python.
 ORACLE_SQL = None
 
 

@@ -248,6 +248,18 @@ def dedup_lines(documents: DataFrame, index: LineIndex | None = None, *, doc_id:
     return joined.mapInArrow(partial(_rebuild, least=min_chars), "doc bigint, kept string, n_lines bigint, n_dropped bigint")
 
 
+def drop_repeated_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """All columns of the documents, with the text as dedup_lines() leaves it; a null text stays null."""
+    index = build_index(documents, doc_id=doc_id, text=text, **options)
+    lost = losses(index).withColumnRenamed("doc", "lost_doc")
+    source = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.col(doc_id).cast("bigint").alias("doc"), shared.text_or_empty(text).alias("words"))
+    joined = source.join(lost, source["doc"] == lost["lost_doc"], "left").select("row", "words", "keys")
+    schema = f"row {joined.schema['row'].dataType.simpleString()}, kept string, n_lines bigint, n_dropped bigint"
+    done = joined.mapInArrow(partial(_rebuild, least=options.get("min_chars", MIN_CHARS)), schema)
+    kept = F.when(F.col("row")[text].isNotNull(), F.col("kept"))
+    return done.select(*((kept if c == text else F.col("row")[c]).alias(c) for c in documents.columns))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(documents).select(F.col("doc").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

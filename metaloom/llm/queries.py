@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_extract, langid, line_dedup, ngram_join, packing, quality, warc
+from . import decontam, exact_dedup, html_extract, langid, line_dedup, ngram_join, packing, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_quality": quality.op5,
         "op6_warc": warc.op6,
         "op7_ngram_join": ngram_join.op7,
+        "op8_pii": pii.op8,
         "op9_pack": packing.op9,
         "op10_decontaminate": decontam.op10,
     }
