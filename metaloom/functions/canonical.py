@@ -14,6 +14,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Nesting beyond which a document is refused.
 MAX_DEPTH = 64
@@ -73,13 +74,13 @@ def loads(text: str) -> object:
     return _checked(json.loads(text, object_pairs_hook=_no_repeats))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON text in canonical form; null stays null; what is no JSON is an error."""
     return text.map(lambda x: None if x is None else dumps(loads(x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_problem(text: pd.Series) -> pd.Series:
     """Why a text is no acceptable JSON; null if it is."""
 
@@ -121,7 +122,7 @@ def local_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{LOCAL_PREFIX[kind]}:"), F.concat_ws("/", *parts))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_uuid(namespace: pd.Series, name: pd.Series) -> pd.Series:
     """The UUID (version 5) of a name in a namespace."""
     return pd.Series([None if a is None or b is None else str(uuid.uuid5(uuid.UUID(a), b)) for a, b in zip(namespace, name, strict=True)], dtype=object)

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What Unicode counts as white space at the ends of a text.
 _BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -22,12 +23,12 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def one_line(text: pd.Series) -> pd.Series:
     """A text for one line of output: control characters and line separators as escapes."""
     shown = {i: f"\\u{i:04x}" for i in [*range(32), *range(127, 160), 0x2028, 0x2029]} | {10: "\\n", 13: "\\r", 9: "\\t", 92: "\\\\"}
