@@ -23,9 +23,9 @@ def graph_merge_edges(spark, d):
 
 
 def graph_dangling(spark, d):
-    """Orders above a key have lost their nodes here, so their edges dangle."""
+    """Urgent orders have lost their nodes here, so their edges dangle."""
     g = P.graph(spark, d)
-    cut = graph.Graph(g.nodes.filter("node_key NOT LIKE 'o:%7'"), g.edges)
+    cut = graph.Graph(g.nodes.filter("kind != 'transformation' OR name != '1-URGENT'"), g.edges)
     return graph.dangling(cut)
 
 
@@ -85,7 +85,7 @@ def obs_normalize(spark, d):
 
 
 def _decided(spark, d):
-    return conflicts.decide(P.early_observations(spark, d), P.authority(spark))
+    return conflicts.decide(P.daily_observations(spark, d), P.authority(spark))
 
 
 def conflict_states(spark, d):
@@ -104,13 +104,17 @@ def conflict_ambiguous_rules(spark, d):
     return conflicts.ambiguous_selectors(P.authority(spark))
 
 
-def reconcile_safety(spark, d):
-    """The early events with types as mapped properties: views are names, clicks descriptions, purchases data types."""
+def assessed_events(spark, d):
+    """The events by day with types as mapped properties: views are names, clicks descriptions, purchases data types."""
     names = F.create_map(*(F.lit(x) for pair in {"/attributes/view": "/name", "/attributes/click": "/description", "/attributes/purchase": "/attributes/data_type"}.items() for x in pair))
-    rows = P.early_observations(spark, d).withColumn("value_json", F.when(F.col("value_json") == "3", "null").when(F.col("value_json") == "4", F.lit('" "')).when(F.col("value_json") == "5", F.col("value_json")).otherwise(F.concat(F.lit('"v'), F.col("value_json"), F.lit('"'))))
+    rows = P.daily_observations(spark, d).withColumn("value_json", F.when(F.col("value_json") == "3", "null").when(F.col("value_json") == "4", F.lit('" "')).when(F.col("value_json") == "5", F.col("value_json")).otherwise(F.concat(F.lit('"v'), F.col("value_json"), F.lit('"'))))
     rows = rows.withColumn("pointer", F.coalesce(F.try_element_at(names, F.col("pointer")), F.col("pointer")))
     rules = P.authority(spark).withColumn("pointer", F.coalesce(F.try_element_at(names, F.col("pointer")), F.col("pointer")))
-    return conflicts.summary(conflicts.assess(conflicts.decide(rows, rules)))
+    return conflicts.assess(conflicts.decide(rows, rules))
+
+
+def reconcile_safety(spark, d):
+    return conflicts.summary(assessed_events(spark, d))
 
 
 def _sides(spark, d):
@@ -219,19 +223,22 @@ def sync_unmanaged(spark, d):
 def sync_plan_relationships(spark, d):
     o = P.table(spark, d, "orders")
     rel = o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), F.col("o_orderstatus").alias("type_ref"))
-    moved = rel.withColumn("type_ref", F.when(F.col("target_id") % 5 == 0, F.lit("Z")).otherwise(F.col("type_ref")))
-    plan = reconcile.plan_relationships(rel.filter("target_id % 3 != 0"), moved.filter("target_id % 4 != 0"))
+    moved = rel.filter("type_ref != 'F'").withColumn("type_ref", F.when(F.col("target_id") % 5 == 0, F.lit("Z")).otherwise(F.col("type_ref")))
+    plan = reconcile.plan_relationships(rel.filter("type_ref != 'P'"), moved)
     return plan
 
 
+def overlay_decisions(desired):
+    """Customers whose decision is safe get a description, those of sevens a null one, which keeps what the remote has."""
+    k = F.substring_index("local_id", ":", -1).cast("bigint")
+    target = F.struct(F.lit(True).alias("ok"), (k % 7 != 0).alias("has_value"), F.when(k % 7 != 0, F.concat(F.lit("d"), k.cast("string"))).alias("value"))
+    return desired.select("local_id", F.lit("description").alias("field"), ((k % 2 == 1) & (k % 3 != 0)).alias("safe"), F.lit(True).alias("applicable"), target.alias("target"))
+
+
 def sync_overlay(spark, d):
-    """Odd customers get a decided description, those of sevens a null one, which keeps what the remote has."""
     desired, remote = P.desired_and_remote(spark, d)
     remote = reconcile.managed(remote, "main", ["table"]).filter("managed")
-    k = F.substring_index("local_id", ":", -1).cast("bigint")
-    target = F.struct(F.lit(True).alias("ok"), (k % 7 != 0).alias("has_value"), F.when(k % 7 != 0, F.concat(F.lit("d"), k.cast("string"))).alias("value"))
-    decisions = desired.filter(k % 2 == 1).select("local_id", F.lit("description").alias("field"), (k % 3 != 0).alias("safe"), F.lit(True).alias("applicable"), target.alias("target"))
-    done = reconcile.overlay(desired, remote, decisions, {"description": "segment"})
+    done = reconcile.overlay(desired, remote, overlay_decisions(desired), {"description": "segment"})
     return done.select("local_id", F.try_element_at("attributes", F.lit("segment")).alias("segment"), F.try_element_at("attributes", F.lit("nation")).alias("nation"))
 
 
@@ -281,10 +288,13 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from . import catalog_plans
+
+    return QUERIES | catalog_plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_plans
     from .oracle import SQL
 
-    return dict(SQL)
+    return SQL | catalog_plans.SQL

@@ -36,6 +36,11 @@ def value_groups(observations: DataFrame) -> DataFrame:
     return normalize(observations).groupBy(*OBJECT, "pointer").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.size("provenance")).alias("n_sources"), F.array_sort(F.collect_list(one)).alias("values"))
 
 
+def pointers(observations: DataFrame) -> DataFrame:
+    """How many properties of each object are observed: object_key, n_pointers."""
+    return observations.groupBy("object_key").agg(F.count_distinct("pointer").alias("n_pointers"))
+
+
 def rule_set(rules: DataFrame) -> DataFrame:
     """Rules, each once."""
     return rules.select(*RULE).distinct()

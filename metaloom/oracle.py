@@ -61,23 +61,23 @@ reasons AS (SELECT g.*, b.n_rules, b.provider AS authority, a.v AS allowed_v,
 decided AS (SELECT *, CASE WHEN reason LIKE 'AUTHORITATIVE%' OR reason = 'NO_AUTHORITY_RULE' THEN 'UNRESOLVED_CONFLICT' ELSE reason END AS state FROM reasons)"""
 
 
-_EARLY = _OBS.replace("FROM events", "FROM events WHERE ts < TIMESTAMP '2024-01-04'")
-_DECIDED = _decided(_EARLY, _RULES)
+_DAILY = _OBS.replace("'u:' || user_id AS", "'u:' || user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS")
+_DECIDED = _decided(_DAILY, _RULES)
 
 _MAPPED = """mapped AS (SELECT * FROM (VALUES ('/attributes/view', '/name'), ('/attributes/click', '/description'), ('/attributes/purchase', '/attributes/data_type')) t(a, b))"""
 _SAFETY = _decided(
-    f"""early AS (WITH {_EARLY} SELECT * FROM obs), {_MAPPED}, obs AS (
+    f"""daily AS (WITH {_DAILY} SELECT * FROM obs), {_MAPPED}, obs AS (
   SELECT object_key, ns, coalesce(b, pointer) AS pointer, CASE v WHEN '3' THEN 'null' WHEN '4' THEN '" "' WHEN '5' THEN '5' ELSE '"v' || v || '"' END AS v, provider, ref
-  FROM early LEFT JOIN mapped ON a = pointer)""",
+  FROM daily LEFT JOIN mapped ON a = pointer)""",
     f"""old_rules AS (WITH {_RULES} SELECT * FROM rules), rules AS (SELECT coalesce(b, pointer) AS pointer, ns, provider, ref FROM old_rules LEFT JOIN mapped ON a = pointer)""",
 )
 
 _SIDES = """base AS (SELECT 'o:' || o_orderkey AS object_key, unnest(['/status', '/priority', '/customer']) AS pointer,
-    true AS has, unnest(['"' || o_orderstatus || '"', '"' || o_orderpriority || '"', CAST(o_custkey AS VARCHAR)]) AS json FROM orders WHERE o_orderkey % 10 <> 0),
+    true AS has, unnest(['"' || o_orderstatus || '"', '"' || o_orderpriority || '"', CAST(o_custkey AS VARCHAR)]) AS json FROM orders WHERE o_orderpriority <> '5-LOW'),
 cand AS (SELECT 'o:' || o_orderkey AS object_key, unnest(['/status', '/priority', '/customer']) AS pointer,
     unnest([true, true, o_orderkey % 13 <> 0]) AS has,
     unnest(['"' || CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END || '"', CASE WHEN o_orderkey % 11 = 0 THEN 'null' ELSE '"' || o_orderpriority || '"' END,
-            CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_custkey AS VARCHAR) END]) AS json FROM orders WHERE o_orderkey % 10 <> 1),
+            CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_custkey AS VARCHAR) END]) AS json FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'),
 props AS (SELECT object_key, pointer, b.has AS base_has, b.json AS base_json, c.has AS cand_has, c.json AS cand_json
           FROM base b JOIN cand c USING (object_key, pointer) WHERE b.has <> c.has OR b.json IS DISTINCT FROM c.json),
 changes AS (SELECT object_key, CASE WHEN NOT bool_or(s = 1) THEN 'added' WHEN NOT bool_or(s = 2) THEN 'removed' WHEN object_key IN (SELECT object_key FROM props) THEN 'changed' ELSE 'unchanged' END AS change,
@@ -85,7 +85,7 @@ changes AS (SELECT object_key, CASE WHEN NOT bool_or(s = 1) THEN 'added' WHEN NO
             FROM (SELECT object_key, 1 AS s FROM base UNION SELECT object_key, 2 FROM cand) u GROUP BY object_key)"""
 
 _DRIFT = f"""{_SIDES}, rules AS (
-  SELECT 'o:' || o_orderkey AS object_key, o_orderkey, unnest(['added', 'changed', 'changed']) AS change, unnest([NULL, '/status', '/priority']) AS pointer FROM orders WHERE o_orderkey % 3 = 0
+  SELECT 'o:' || o_orderkey AS object_key, o_orderkey, unnest(['added', 'changed', 'changed']) AS change, unnest([NULL, '/status', '/priority']) AS pointer FROM orders WHERE o_orderstatus <> 'P'
 ), diffs AS (
   SELECT change, object_key, NULL AS pointer, NULL AS base_json, NULL AS cand_json, false AS cand_has FROM changes WHERE change IN ('added', 'removed')
   UNION ALL SELECT 'changed', object_key, pointer, base_json, cand_json, cand_has FROM props
@@ -118,9 +118,9 @@ grid AS (SELECT i, object_key, pointer, v FROM (SELECT DISTINCT object_key, poin
 moves AS (SELECT object_key, pointer, lag(i) OVER w AS from_index, i AS to_index, lag(v) OVER w AS a, v AS b FROM grid WINDOW w AS (PARTITION BY object_key, pointer ORDER BY i)),
 transitions AS (SELECT *, CASE WHEN a IS NULL AND b IS NOT NULL THEN 'added' WHEN a IS NOT NULL AND b IS NULL THEN 'removed' WHEN a IS NOT DISTINCT FROM b THEN 'unchanged' ELSE 'changed' END AS change FROM moves WHERE from_index IS NOT NULL)"""
 
-_CATALOGS = """desired AS (SELECT 'tbl:' || c_custkey AS local_id, c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS display, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE c_custkey % 9 <> 0),
+_CATALOGS = """desired AS (SELECT 'tbl:' || c_custkey AS local_id, c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS display, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE c_mktsegment <> 'BUILDING'),
 all_remote AS (SELECT CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE 'tbl:' || c_custkey END AS local_id, CASE WHEN c_custkey % 5 = 0 THEN c_name || '!' ELSE c_name END AS name,
-    CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS display, CASE WHEN c_custkey % 6 = 0 THEN 'NONE' ELSE c_mktsegment END AS segment, c_nationkey AS nation, c_custkey % 19 <> 0 AND c_custkey % 17 <> 0 AS managed FROM customer WHERE c_custkey % 8 <> 0),
+    CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS display, CASE WHEN c_custkey % 6 = 0 THEN 'NONE' ELSE c_mktsegment END AS segment, c_nationkey AS nation, c_custkey % 19 <> 0 AND c_custkey % 17 <> 0 AS managed FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 remote AS (SELECT * FROM all_remote WHERE managed),
 plan AS (SELECT coalesce(d.local_id, r.local_id) AS local_id,
     CASE WHEN r.local_id IS NULL THEN 'create' WHEN d.local_id IS NULL THEN 'remote_only' WHEN d.name <> r.name OR d.segment <> r.segment THEN 'update' ELSE 'unchanged' END AS action,
@@ -130,7 +130,7 @@ plan AS (SELECT coalesce(d.local_id, r.local_id) AS local_id,
 SQL = {
     "graph_merge_edges": """WITH p AS (SELECT DISTINCT 'o:' || l_orderkey AS src_key, 's:' || l_suppkey AS dst_key, 'm' || (l_partkey % 3) || '/' || l_returnflag AS s FROM lineitem)
         SELECT src_key, dst_key, count(*) AS n_sources, string_agg(s, ',' ORDER BY s) AS sources FROM p GROUP BY ALL""",
-    "graph_dangling": f"""WITH {_EDGES} SELECT src AS src_key, kind, dst AS dst_key, 'src' AS side FROM edges WHERE src LIKE 'o:%7'""",
+    "graph_dangling": f"""WITH {_EDGES} SELECT src AS src_key, kind, dst AS dst_key, 'src' AS side FROM edges WHERE src IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
     "graph_missing_ancestors": f"""WITH {_NODES} SELECT k AS node_key, up AS ancestor_key FROM nodes WHERE up = 'n:5'""",
     "impact_distance": f"""WITH {_LAYERS} SELECT target AS node_key, distance FROM l0 UNION ALL SELECT target, distance FROM found""",
     "impact_paths": f"""WITH {_LAYERS} SELECT target, distance, root, path AS path_key FROM found""",
@@ -161,7 +161,7 @@ SQL = {
     "drift_classified": f"""WITH {_DRIFT} SELECT change, object_key, pointer, classification, reason, rule_ids FROM drift""",
     "drift_summary": f"""WITH {_DRIFT} SELECT count(*) FILTER (WHERE classification = 'expected') AS expected, count(*) FILTER (WHERE classification = 'unexpected') AS unexpected, count(DISTINCT object_key) AS affected_objects,
         count(pointer) AS property_drift, 'unexpected_drift' AS status FROM drift""",
-    "drift_ambiguous_rules": """SELECT 'o:' || o_orderkey AS object_key, '/status' AS pointer, CAST(2 AS BIGINT) AS n_expectations, 'other-status-' || o_orderkey || ',status-' || o_orderkey AS rule_ids FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 10 = 9""",
+    "drift_ambiguous_rules": """SELECT 'o:' || o_orderkey AS object_key, '/status' AS pointer, CAST(2 AS BIGINT) AS n_expectations, 'other-status-' || o_orderkey || ',status-' || o_orderkey AS rule_ids FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 10 = 9""",
     "policy_violations": f"""WITH {_VIOLATIONS} SELECT * FROM violations""",
     "policy_counts": f"""WITH {_VIOLATIONS} SELECT severity, count(*) AS n_violations FROM violations GROUP BY severity""",
     "top_violations": f"""WITH {_VIOLATIONS} SELECT *, (SELECT count(*) FROM violations) AS n_all FROM violations ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, policy_id, kind, local_id, rule_type, reason LIMIT 20""",
@@ -172,8 +172,8 @@ SQL = {
     "sync_plan_assets": f"""WITH {_CATALOGS} SELECT * FROM plan""",
     "sync_plan_counts": f"""WITH {_CATALOGS} SELECT action, count(*) AS n_actions FROM plan GROUP BY action""",
     "sync_unmanaged": f"""WITH {_CATALOGS} SELECT count(*) FILTER (WHERE managed) AS managed, count(*) FILTER (WHERE NOT managed) AS ignored FROM all_remote""",
-    "sync_plan_relationships": """WITH d AS (SELECT o_custkey AS s, o_orderkey AS t, o_orderstatus AS y FROM orders WHERE o_orderkey % 3 <> 0),
-        r AS (SELECT o_custkey AS s, o_orderkey AS t, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS y FROM orders WHERE o_orderkey % 4 <> 0)
+    "sync_plan_relationships": """WITH d AS (SELECT o_custkey AS s, o_orderkey AS t, o_orderstatus AS y FROM orders WHERE o_orderstatus <> 'P'),
+        r AS (SELECT o_custkey AS s, o_orderkey AS t, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS y FROM orders WHERE o_orderstatus <> 'F')
         SELECT coalesce(d.s, r.s) AS source_id, coalesce(d.t, r.t) AS target_id, coalesce(d.y, r.y) AS type_ref, CASE WHEN r.s IS NULL THEN 'create' WHEN d.s IS NULL THEN 'remote_only' ELSE 'unchanged' END AS action FROM d FULL JOIN r ON d.s = r.s AND d.t = r.t AND d.y = r.y""",
     "sync_overlay": f"""WITH {_CATALOGS} SELECT d.local_id, CASE WHEN d.k % 2 = 0 OR d.k % 3 = 0 THEN d.segment WHEN d.k % 7 <> 0 THEN 'd' || d.k ELSE r.segment END AS segment, CAST(d.nation AS VARCHAR) AS nation FROM desired d LEFT JOIN remote r USING (local_id)""",
     "stale_categories": """SELECT 'mapping' AS category""",

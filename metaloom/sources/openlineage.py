@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json
 from ..functions.documents import descend, elements, filled, get, members, object_of, sorted_array, text
 from ..functions.text import is_uuid, is_zoned_timestamp, strip
 from ..operators.graph import merge_edges, merge_nodes, provenance_union
@@ -17,7 +18,7 @@ FACETS = ("schema", "hierarchy", "datasetType", "storage", "ownership")
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """One row (event, a JSON text) for each event; a file holds one event or an array of them."""
     rows = whole_texts(spark, path, ".json")
-    return rows.select(F.explode(F.coalesce(elements(F.col("text")), F.array("text"))).alias("event"))
+    return rows.select(F.explode(F.coalesce(elements(F.col("text")), F.array(canonical_json("text")))).alias("event"))
 
 
 def parsed(events: DataFrame) -> DataFrame:
