@@ -263,29 +263,32 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     """One row per document: its id, n_words, n_hit, items (ids as sorted strings) and spans of words hit.
 
     The benchmark's text is measured first and taken in blocks of at most block_bytes or one item; each block is one
-    pass over the documents, and the passes' spans are merged by document. Ties, repeated rows and columns beside
-    those named change nothing; an empty benchmark hits nothing.
+    pass over the documents, and the passes' spans are merged by id and text. Rows that repeat an id (with the same
+    text or another) stay rows of their own; other columns change nothing; an empty benchmark hits nothing.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("words"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("words") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    kind = documents.schema[doc_id].dataType.simpleString()
-    source = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("words"))
+    key = F.col(doc_id) if blocks == 1 else F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"))
+    source = documents.select(key.alias("doc"), F.col(text).alias("words"))
+    kind = source.schema["doc"].dataType.simpleString()
     passes = []
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(blocks)) == k)
         handle = spark.sparkContext.broadcast(Phrases([(r["item"], r["words"]) for r in part.orderBy(F.col("item").cast("string")).collect()], window))
-        passes.append(source.mapInArrow(partial(_search, handle=handle, id_column="doc", text="words", shard_words=shard_words), _SCHEMA.format(id="doc", kind=kind)))
+        found = source.mapInArrow(partial(_search, handle=handle, id_column="doc", text="words", shard_words=shard_words), _SCHEMA.format(id="doc", kind=kind))
+        passes.append(found.withColumn("block", F.lit(k)))
     if blocks == 1:
-        return passes[0].withColumnRenamed("doc", doc_id)
+        return passes[0].drop("block").withColumnRenamed("doc", doc_id)
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
-    joined = every.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    joined = joined.withColumn("spans", merged(F.col("spans")))
+    joined = every.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("block", "items", "spans")).alias("parts"), F.count(F.lit(1)).alias("rows"))
+    joined = joined.withColumns({"items": F.array_sort(F.flatten("parts.items")), "spans": merged(F.flatten("parts.spans"))})
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["begin"])
-    return joined.select(F.col("doc").alias(doc_id), "n_words", hit.alias("n_hit"), "items", "spans")
+    copies = F.explode(F.sequence(F.lit(1), (F.col("rows") / blocks).cast("int")))
+    return joined.select(F.col("doc.id").alias(doc_id), "n_words", hit.alias("n_hit"), "items", "spans", copies.alias("copy")).drop("copy")
 
 
 def verdicts(found: DataFrame, share: int = 20) -> DataFrame:
@@ -298,7 +301,7 @@ def verdicts(found: DataFrame, share: int = 20) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, unchanged, each row once. A null text has no words and stays."""
     bad = verdicts(contamination(documents, benchmark, doc_id=doc_id, text=text, **options)).filter("contaminated").select(F.col(doc_id).alias("bad_doc")).distinct()
-    return documents.join(bad, documents[doc_id].eqNullSafe(F.col("bad_doc")), "left_anti")
+    return documents.join(bad, documents[doc_id].eqNullSafe(bad["bad_doc"]), "left_anti")
 
 
 def strip_spans(text: str | None, spans: list[tuple[int, int]]) -> str:
@@ -316,5 +319,3 @@ def op10(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return verdicts(contamination(documents, benchmark)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-
-

@@ -176,35 +176,42 @@ def first_pass(block: Block) -> str:
 
 
 def labels(found: list[Block]) -> list[bool]:
-    """Whether each block is main text."""
+    """Whether each block is main text. Where the marked articles have most of the text, blocks outside are not."""
     first = [first_pass(b) for b in found]
-
-    # For each block the nearest decided neighbours in the same place: (distance, good) before and after it.
-    def nearest(order: range) -> list[tuple[int, bool] | None]:
-        seen: dict[int, tuple[int, bool]] = {}
-        out: list[tuple[int, bool] | None] = [None] * len(found)
-        for i in order:
-            place = found[i].article
-            out[i] = (abs(i - seen[place][0]), seen[place][1]) if place in seen else None
-            if first[i] in ("good", "bad") and not (place and found[i].never):
-                seen[place] = i, first[i] == "good"
+    sizes = [len(b.text) * (kind in ("good", "near")) for b, kind in zip(found, first, strict=True)]
+    inside = sum(n for b, n in zip(found, sizes, strict=True) if b.article)
+    if inside and 2 * inside >= sum(sizes):
+        first = [kind if b.article else "bad" for b, kind in zip(found, first, strict=True)]
+    known = {i: kind == "good" for i, kind in enumerate(first) if kind in ("good", "bad")}
+
+    # For each block the nearest known neighbours in the same place: (distance, good) before and after it.
+    def neighbours(menus: bool) -> list[list[tuple[int, bool] | None]]:
+        out: list[list[tuple[int, bool] | None]] = [[] for _ in found]
+        for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+            seen: dict[int, int] = {}
+            for i in order:
+                place = found[i].article
+                out[i].append((abs(i - seen[place]), known[seen[place]]) if place in seen else None)
+                if i in known and (not found[i].never or (menus and not place)):
+                    seen[place] = i
         return out
 
-    before, after = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
+    # Probably text: boilerplate only between boilerplate; menus and footers stand around everything and say nothing.
+    near = neighbours(False)
+    known |= {i: [x and x[1] for x in near[i]] != [False, False] for i, kind in enumerate(first) if kind == "near"}
+    short = neighbours(True)
     out = []
-    for i, kind in enumerate(first):
-        if kind in ("good", "bad"):
-            out.append(kind == "good")
+    for i in range(len(found)):
+        if i in known:
+            out.append(known[i])
             continue
-        sides = [x for x in (before[i], after[i]) if x]
-        good = [x[0] for x in sides if x[1]]
-        bad = [x[0] for x in sides if not x[1]]
-        if kind == "near":  # probably text: boilerplate only between boilerplate
-            out.append(len(bad) < 2)
-        elif not sides:  # nothing on the page is decided
+        after = short[i][1]
+        good = [x[0] for x in short[i] if x and x[1]]
+        bad = [x[0] for x in short[i] if x and not x[1]]
+        if not good and not bad:  # nothing on the page is decided
             out.append(True)
         else:
-            out.append(bool(good) and (not bad or min(good) <= min(bad) or (found[i].heading and after[i] is not None and after[i][1])))
+            out.append(bool(good) and (not bad or min(good) <= min(bad) or (found[i].heading and after is not None and after[1])))
     return out
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 ROUNDS, KEY = 10, "metaloom example key"
 #: Days from 1800-01-01 on in 400 years, as a product: the domain of dates.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Steps after which a walk for a date that must read day first ends; it needs so many with probability 0.4 ** 64.
+WALK = 64
 
 #: Kinds in the order in which they are tried.
 PATTERNS = {
@@ -140,7 +142,11 @@ def _ip(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
 
 
 def _date(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
-    """Year first; else month first with / (day first if that is no date), day first with - and dots."""
+    """Year first; else month first with / (day first if that is no date), day first with - and dots.
+
+    A date with / that can only read day first is permuted again until its pseudonym can only read so too; otherwise
+    two dates could share a pseudonym.
+    """
     mark = F.regexp_extract(value, "[-/.]", 0)
     part = [F.regexp_extract(value, r"^([0-9]+)[-/.]([0-9]+)[-/.]([0-9]+)$", i) for i in (1, 2, 3)]
     year_first, month_first = F.length(part[0]) == 4, (mark == "/") & (_number(part[0]) <= 12)
@@ -155,8 +161,15 @@ def _date(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
         y, m, d = F.year(new).cast("string"), _pad(F.month(new), F.length(month)), _pad(F.day(new), F.length(day))
         return F.when(year_first, F.concat(y, mark, m, mark, d)).when(month_first, F.concat(m, mark, d, mark, y)).otherwise(F.concat(d, mark, m, mark, y))
 
-    moved = let(place, lambda n: permuted(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key, "date", reverse))
-    return valid, let(let(moved, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * DAYS[1] + s["r"]).cast("int"))), text)
+    day_of = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+    free = year_first | month_first | (mark != "/")
+
+    def step(s: Column, _: Column) -> Column:
+        once = let(permuted(F.floor(s["n"] / DAYS[1]), s["n"] % DAYS[1], *DAYS, key, "date", reverse), lambda p: p["l"] * DAYS[1] + p["r"])
+        return F.when(s["done"], s).otherwise(let(once, lambda n: F.struct(n.alias("n"), (free | (F.day(day_of(n)) > 12)).alias("done"))))
+
+    moved = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(_number(place).alias("n"), F.lit(False).alias("done")), step, lambda s: s["n"])
+    return valid, let(let(moved, day_of), text)
 
 
 def _email(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
@@ -191,15 +204,18 @@ def pseudonymise(documents: DataFrame, *, text: str = "text", key: str = KEY, re
     reverse turns numbers and dates back with the same key; addresses cannot be turned back.
     """
     whole = F.col(text)
+    # Names for steps that no column of the documents has.
+    mark = "_" * (2 + max(len(c) - len(c.lstrip("_")) for c in documents.columns))
+    pattern_, values_, made_ = (f"{mark}{x}" for x in ("pattern", "values", "made"))
     # Texts without @ need no pattern for addresses, those without digits none for numbers.
     pattern = F.when(whole.contains("@"), F.lit(ANY)).when(whole.rlike("[0-9]"), F.lit(NUMBERS))
-    step = documents.withColumn("__pattern", pattern)
-    step = step.withColumn("__values", F.when(F.col("__pattern") == ANY, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).when(F.col("__pattern").isNotNull(), F.regexp_extract_all(whole, F.lit(NUMBERS), F.lit(0))))
-    step = step.withColumn("__made", F.when(F.size("__values") > 0, F.transform("__values", lambda v: pseudonym(v, key, reverse))))
-    pieces = F.zip_with(F.when(F.col("__pattern") == ANY, F.split(whole, ANY, -1)).otherwise(F.split(whole, NUMBERS, -1)), F.concat(F.transform("__made", lambda m: m["text"]), F.array(F.lit(""))), lambda gap, made: F.concat(gap, made))
-    kinds = F.filter(F.transform("__made", lambda m: m["kind"]), lambda k: k.isNotNull())
-    done = step.withColumn(text, F.when(F.col("__made").isNotNull(), F.array_join(pieces, "")).otherwise(whole))
-    return done.withColumn("found", F.coalesce(kinds, F.array().cast("array<string>"))).drop("__pattern", "__values", "__made")
+    step = documents.withColumn(pattern_, pattern)
+    step = step.withColumn(values_, F.when(F.col(pattern_) == ANY, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).when(F.col(pattern_).isNotNull(), F.regexp_extract_all(whole, F.lit(NUMBERS), F.lit(0))))
+    step = step.withColumn(made_, F.when(F.size(values_) > 0, F.transform(values_, lambda v: pseudonym(v, key, reverse))))
+    pieces = F.zip_with(F.when(F.col(pattern_) == ANY, F.split(whole, ANY, -1)).otherwise(F.split(whole, NUMBERS, -1)), F.concat(F.transform(made_, lambda m: m["text"]), F.array(F.lit(""))), lambda gap, made: F.concat(gap, made))
+    kinds = F.filter(F.transform(made_, lambda m: m["kind"]), lambda k: k.isNotNull())
+    done = step.withColumn(text, F.when(F.col(made_).isNotNull(), F.array_join(pieces, "")).otherwise(whole))
+    return done.withColumn("found", F.coalesce(kinds, F.array().cast("array<string>"))).drop(pattern_, values_, made_)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
