@@ -67,12 +67,10 @@ class PerfectHash:
 
 
 def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        texts = batch.column("words").cast(pa.large_binary())
-        data, offsets = shared.utf8(texts)
-        begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
-        chars = begins[offsets[1:]] - begins[offsets[:-1]]
-        digest = [hashlib.sha256(x.translate(None, _SPACE)).digest() for x in texts.to_pylist()]
+    for batch, data, offsets in shared.batches(it, "words"):
+        chars = shared.segment_sums(((data & 0xC0) != 0x80).astype(np.int64), offsets)
+        raw = data.tobytes()
+        digest = [hashlib.sha256(raw[a:b].translate(None, _SPACE)).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(digest, pa.binary()), pa.array(chars, pa.int64())], names=["doc", "digest", "chars"])
 
 

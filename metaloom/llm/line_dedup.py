@@ -114,9 +114,9 @@ class LineIndex(NamedTuple):
 
 
 def _holders(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch, _, _ in shared.batches(it, "words"):
         keys, docs = [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("words").to_pylist(), strict=True):
             own = {line_key(x, least) for x in text.split("\n")} - {None} if len(text) >= least else ()
             keys += own
             docs += [doc] * len(own)
@@ -222,7 +222,7 @@ def losses(index: LineIndex, filter_bytes: int = FILTER_BYTES) -> DataFrame:
 
 
 def _rebuild(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch, _, _ in shared.batches(it, "words"):
         kept, n_lines, n_dropped = [], [], []
         for text, keys in zip(batch.column("words").to_pylist(), batch.column("keys").to_pylist(), strict=True):
             total = text.count("\n") + 1

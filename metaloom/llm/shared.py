@@ -1,7 +1,7 @@
 """Helpers that the operators of this subpackage share.
 
-Texts reach Python as Arrow string columns. The helpers here look at their UTF-8 bytes as numpy arrays, a few
-megabytes at a time, so that the memory of a task does not depend on the size of its Arrow batches.
+Texts reach Python as Arrow string columns. The helpers here look at their UTF-8 bytes as numpy arrays, a quarter
+of a megabyte at a time, so that the memory of a task does not depend on the size of its Arrow batches.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy code looks at in one go (a single longer text is still taken whole).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
