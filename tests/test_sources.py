@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import canonical
 from metaloom.operators import graph, impact
-from metaloom.sources import base, catalog, dbt, odcs, openlineage
+from metaloom.sources import base, catalog, dbt, odcs, openlineage, registry
 
 MANIFEST = {
     "metadata": {"dbt_version": "1.8"},
@@ -133,3 +133,19 @@ def test_pointers(spark):
     df = spark.createDataFrame([("a/b~c",)], "t string")
     p = canonical.pointer(F.col("t"), F.lit("x"))
     assert df.select(p, canonical.tokens(p), canonical.is_pointer(p)).first()[:] == ("/a~1b~0c/x", ["a/b~c", "x"], True)
+
+
+def test_registry_runs_sources_as_one(spark, tmp_path):
+    known = registry.builtin()
+    assert known.only("lineage").name == "openlineage"
+    assert [p.name for p in known.with_capability("governance_graph")] == ["dbt", "odcs", "openlineage"]
+    for bad in (lambda: known.add(known.get("dbt")), lambda: known.get("x"), lambda: known.only("remote_state_read"), lambda: known.add(registry.Provider("y", frozenset({"fly"}), None)), lambda: registry.run(spark, [])):
+        with pytest.raises(registry.ProviderError):
+            bad()
+    (tmp_path / "m.json").write_text(json.dumps(MANIFEST))
+    (tmp_path / "e.json").write_text(json.dumps([event(RUN + "1", "one", [{"namespace": "n", "name": "a"}], [{"namespace": "n", "name": "b"}])]))
+    jobs = [registry.Job("openlineage", str(tmp_path / "e.json"), "ns"), registry.Job("dbt", str(tmp_path / "m.json"), "ns")]
+    m = base.checked(registry.run(spark, jobs))
+    assert {("dataset", "a"), ("dataset", "b"), ("table", "order_totals")} <= names(m.nodes)
+    assert m.edges.filter("kind = 'depends_on'").count() == 3
+    assert m.observations.filter("pointer = '/name'").count() == 6
