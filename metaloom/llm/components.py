@@ -12,6 +12,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One step of star contraction: neighbours above a node (large) or at most it (small) point to its least one."""
     pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).withColumn("least", F.least("node", "least"))
+    least = stored(least, "least")  # so that the join can split the edges of a node with very many
     joined = pairs.join(least, pairs["a"] == least["node"])
     if large:
         return joined.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a != b").distinct()

@@ -171,17 +171,18 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     source = documents.select(F.col(doc_id).cast("bigint").alias("doc"), shared.text_or_empty(text).alias("words"))
     known = shared.stored(source.filter("doc IS NOT NULL").mapInArrow(_signatures, "doc bigint, n bigint, digest binary, bands array<bigint>"), "signatures")
-    classes = known.filter("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("copy_of"), F.count(F.lit(1)).alias("copies"))
+    # What is summed by a key and joined on it again is stored first: then large keys of the join can be split.
+    classes = shared.stored(known.filter("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("copy_of"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "classes")
     members = known.select("doc", "n", "digest").join(classes, ["digest", "n"], "left").select("doc", "n", F.coalesce("copy_of", "doc").alias("copy_of"), F.coalesce("copies", F.lit(1)).alias("copies"))
     members = shared.stored(members, "members")
     heads = members.filter("n > 0 AND doc = copy_of").select("doc", "n", "copies").distinct()
     # Buckets: those with one document alone go, in the others each document points to the least one.
     bands = known.filter("n > 0").join(heads.select("doc"), "doc", "left_semi").select("doc", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last")
+    buckets = shared.stored(bands.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last"), "buckets")
     edges = bands.join(buckets, "band").filter("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
     near = components(edges)
-    placed = heads.join(near, heads["doc"] == near["node"]).select("doc", "n", "copies", "component")
-    wide = placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = shared.stored(heads.join(near, heads["doc"] == near["node"]).select("doc", "n", "copies", "component"), "placed")
+    wide = shared.stored(placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "wide")
     placed = placed.join(wide, "component").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     texts = source.join(placed, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "copies", "words")
@@ -193,7 +194,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     linked = shared.stored(linked, "links")
     joined = components(linked.select(F.col("doc").alias("a"), F.col("least").alias("b")))
     sums = linked.groupBy(F.col("doc").alias("copy_of")).agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
-    sums = sums.join(joined.withColumnRenamed("node", "copy_of"), "copy_of", "left")
+    sums = shared.stored(sums.join(joined.withColumnRenamed("node", "copy_of"), "copy_of", "left"), "sums")
     out = members.join(sums, "copy_of", "left").select(
         F.col("doc"),
         F.coalesce("component", "copy_of").alias("class_id"),
