@@ -20,6 +20,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,8 +32,8 @@ from . import shared
 MAX_TOKENS, MAX_SEGMENTS = 2048, 512
 #: Pieces that wait in a task's pool.
 POOL = 1024
-#: Distinct chunks whose ids a worker remembers.
-CACHE = 600_000
+#: Distinct chunks whose ids a task remembers, and bytes of text that are split in one go.
+CACHE, SPLIT_BYTES = 600_000, 2 << 20
 #: The id after each document.
 END_ID = 1
 
@@ -91,20 +92,22 @@ class ChunkTokenizer:
         self.length[at : at + len(lengths)] = lengths
         self.used += len(ids)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text (null is empty). Each distinct chunk is looked up once."""
         if len(self.number) > self.most:
             self.clear()
         number, known = self.number, len(self.number)
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        flat = np.fromiter((number.setdefault(w, len(number)) for x in parts for w in x), np.int64)
+        parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        own = np.fromiter((number.setdefault(w, len(number)) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        flat = own[words.indices.to_numpy()]
         if len(number) > known:
             self._learn(list(islice(reversed(number), len(number) - known))[::-1], known)
         lengths = self.length[flat]
         run, place = shared.spread(lengths)
         ids = self.ids[self.start[flat][run] + place]
-        counts = np.array([len(x) for x in parts], np.int64)
-        return ids, shared.segment_sums(lengths, np.concatenate([[0], np.cumsum(counts)]))
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        return ids, shared.segment_sums(lengths, offsets - offsets[0])
 
 
 class Packer:
@@ -222,9 +225,9 @@ def _pack(it: Iterator[pa.RecordBatch], path: str, tokens: int, segments: int, e
     row, kind = 0, None
     for batch in it:
         kind = batch.column(0).type
-        for i, j in shared.chunks(shared.utf8(batch.column(1))[1]):
+        for i, j in shared.chunks(shared.utf8(batch.column(1))[1], SPLIT_BYTES):
             part = batch.slice(i, j - i)
-            flat, counts = encoder.encode(part.column(1).fill_null("").to_pylist())
+            flat, counts = encoder.encode(part.column(1))
             flat = flat.astype("<u4")
             for doc, own in zip(part.column(0).to_pylist(), np.split(flat, np.cumsum(counts)[:-1]), strict=True):
                 own = np.append(own, np.uint32(end_id)).astype("<u4")
@@ -233,6 +236,7 @@ def _pack(it: Iterator[pa.RecordBatch], path: str, tokens: int, segments: int, e
                 row += 1
             if rows:
                 yield out()
+    encoder.clear()  # the worker may go on to other work
     packer.close()
     if rows:
         yield out()

@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,7 +50,7 @@ def test_chunks_have_the_ids_of_the_whole_text(tokenizer):
     made = packing.ChunkTokenizer(PATH, most=500)
     for i in range(0, len(texts), 100):
         part = texts[i : i + 100]
-        ids, counts = made.encode(part)
+        ids, counts = made.encode(pa.array(part, pa.string()))
         for text, own in zip(part, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
             assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
