@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 6
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Documents and shingles of a block of a large component.
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 21
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
 _HASH_BITS = 44
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
