@@ -51,7 +51,8 @@ def write_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", ur
         source.select("page", "url", F.unhex(F.sha2("payload", 256)).alias("digest"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes")),
         "warc-facts",
     )
-    first = facts.groupBy("digest").agg(F.max("page").alias("first_page"))
+    # Stored, so that the join with it can split the pages of a payload that very many have.
+    first = shared.stored(facts.groupBy("digest").agg(F.max("page").alias("first_page")), "warc-first")
     archive = Archive(f"{folder}/payloads", f"{folder}/headers")
     # The bytes come from the first page alone; that page may be there more than once.
     heads = first.withColumnRenamed("digest", "head")
