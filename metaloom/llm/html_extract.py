@@ -1,10 +1,13 @@
 """Main text of HTML pages by two passes of rules over blocks.
 
 A page is cut into blocks at block-level tags. Blocks in places that never hold main text (menus, footers, forms,
-adverts, notices, reader comments, by tag, role, class or id) are boilerplate. The first pass decides the others by
-link density, length and density of stop words; where the page marks its article, a block without links in it counts
-as text of the article. Short blocks stay undecided and, in the second pass, inherit the label of their nearest
-decided neighbours.
+adverts, notices, reader comments, by tag, role, class or id) are boilerplate. Classes and ids count as whole names.
+A class, an id or a form may also be put on a wrapper of the page, so it excludes nothing where it holds the main part
+of the page, or at least as much text in marked articles, or more likely text (sure text, beside a marked article),
+than stands around it outside elements of this kind; reader comments stay out wherever there is other likely text.
+The first pass decides the others by link density, length and density of stop words; where the page marks its article,
+a block without links in it counts as text of the article. Short blocks stay undecided and, in the second pass, inherit
+the label of their nearest decided neighbours.
 
 Nulls: a null or empty html has the empty text. Tags that are never closed, comments that do not end and markup cut
 off at the end of the page are read as browsers do, to the end. Nothing is capped; repeated pages give equal rows.
@@ -46,9 +49,9 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
 SPACE_TAGS = frozenset("br td th wbr img".split())
 CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form head header iframe li main menu nav object ol p section select span table td tr ul label".split())
-NEVER_TEXT = frozenset("head title nav footer aside form menu dialog button select label iframe object".split())
+NEVER_TEXT = frozenset("head title nav footer aside menu dialog button select label iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 NOT_MAIN_WORDS = frozenset(
     """
     ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion promoted
@@ -58,6 +61,9 @@ NOT_MAIN_WORDS = frozenset(
     reply replies disqus respond pagination pager search copyright skip
     """.split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond".split())
+# Words that may stand beside those in a name, as in site-footer or comment-list.
+PART_WORDS = frozenset("area bar block body box div form inner item items list panel section site thread".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -81,36 +87,97 @@ class Block(NamedTuple):
     never: bool
 
 
-def not_main(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element never holds main text. A header in an article belongs to it."""
+def not_main(tag: str, attrs: str, in_article: bool) -> str:
+    """Whether an element holds no main text: "never", "wrapper" or "comments" (never, if it does not hold most of the
+    page), or "". A header in an article belongs to it."""
     if tag in NEVER_TEXT or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("body", "html", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return "never"
+    kind = "wrapper" if tag == "form" else ""
+    if not attrs or tag in ("body", "html") or tag in ("article", "main") and "comment" not in attrs.lower():
+        return kind
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
+            return "never"
         if name == "role" and value.lower() in NOT_MAIN_ROLES:
-            return True
-        if name in ("class", "id") and any(x.lower() in NOT_MAIN_WORDS for x in _NAME.findall(value)):
-            return True
-    return False
+            return "never"
+        if name == "role" and value.lower() == "form":
+            kind = kind or "wrapper"
+        if name in ("class", "id"):
+            for whole in value.split():
+                words = {x.lower() for x in _NAME.findall(whole)}
+                if words & NOT_MAIN_WORDS and words <= NOT_MAIN_WORDS | PART_WORDS:
+                    kind = "comments" if words & COMMENT_WORDS else kind or "wrapper"
+    return kind
+
+
+class Exclusion(NamedTuple):
+    """An element that holds no main text unless it is a wrapper."""
+
+    #: The number of the exclusion around it, 0 for none.
+    outer: int
+    comments: bool
+
+
+def kept_out(found: list[tuple[Block, int, int]], exclusions: list[Exclusion], marks: list[tuple[int, bool]]) -> list[bool]:
+    """Whether each exclusion holds (number 0 is none). found: block, its exclusion, its innermost mark; marks: the
+    exclusion around a marked article or main part, and whether it is a main part."""
+    n = len(exclusions)
+    comments = [False] * n  # in reader comments
+    for i in range(1, n):
+        comments[i] = exclusions[i].comments or comments[exclusions[i].outer]
+
+    # Characters of likely text in each exclusion, of sure text, and of what is in articles that are marked there; then
+    # those of its own, that no inner exclusion has.
+    text, sure, marked, own_text, own_marked, main = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
+    other = 0  # outside reader comments
+    for block, exclusion, mark in found:
+        kind = first_pass(block)
+        size = len(block.text) * (kind in ("good", "near"))
+        if not size:
+            continue
+        other += size * (not comments[exclusion])
+        own_text[exclusion] += size
+        own_marked[exclusion] += size * (mark > 0)
+        text[exclusion] += size
+        sure[exclusion] += size * (kind == "good")
+        where, is_main = marks[mark]
+        marked[where] += size * (mark > 0)
+        main[where] = main[where] or is_main
+    for i in range(n - 1, 0, -1):  # inner ones come after outer ones
+        outer = exclusions[i].outer
+        text[outer] += text[i]
+        sure[outer] += sure[i]
+        marked[outer] += marked[i]
+        main[outer] = main[outer] or main[i]
+    out = [False]
+    for i in range(1, n):
+        outer = exclusions[i].outer
+        if comments[i]:
+            out.append(not main[i] and (other > 0 or not text[i]))
+        else:
+            out.append(not (main[i] or marked[i] and marked[i] >= own_marked[outer] or (sure if own_marked[outer] else text)[i] > own_text[outer]))
+        own_text[i] += own_text[outer]
+        own_marked[i] += own_marked[outer]
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page, in its order, without empty ones."""
-    out: list[Block] = []
     parts: list[str] = []
     linked, links, heading, articles = 0, 0, False, 0
-    stack: list[tuple[str, bool, int]] = []  # open containers: tag, never main text, article
+    # Open containers: tag, never main text, article, exclusion, innermost mark.
+    stack: list[tuple[str, bool, int, int, int]] = []
+    found: list[tuple[Block, int, int]] = []
+    exclusions, marks = [Exclusion(0, False)], [(0, False)]
+    outside = ("", False, 0, 0, 0)
 
     def close() -> None:
         nonlocal linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            never, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out.append(Block(text, min(linked, len(text)), heading, article, never))
+            _, never, article, exclusion, mark = stack[-1] if stack else outside
+            found.append((Block(text, min(linked, len(text)), heading, article, never), exclusion, mark))
         parts.clear()
         linked, heading = 0, False
 
@@ -139,24 +206,35 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if not ends:
-            never, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            mine = tag in CONTAINERS and not_main(tag, attrs, article > 0)
-            if tag in ("article", "main") and not article and not mine:
-                articles += 1
-                article = articles
+            _, never, article, exclusion, mark = stack[-1] if stack else outside
+            mine = not_main(tag, attrs, article > 0) if tag in CONTAINERS else ""
+            if tag in ("article", "main") and not mine:
+                marks.append((exclusion, tag == "main"))
+                mark = len(marks) - 1
+                if not article:
+                    articles += 1
+                    article = articles
             if tag in CONTAINERS and (tag not in ("p", "span", "li", "td", "tr") or mine):
                 if mine and tag not in BLOCK_TAGS:
                     close()
-                stack.append((tag, never or mine, article))
+                if mine and mine != "never":
+                    exclusions.append(Exclusion(exclusion, mine == "comments"))
+                    exclusion = len(exclusions) - 1
+                stack.append((tag, never or mine == "never", article, exclusion, mark))
             heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         elif any(x[0] == tag for x in stack):
-            if tag not in BLOCK_TAGS and stack[-1][1]:
+            if tag not in BLOCK_TAGS and (stack[-1][1] or stack[-1][3]):
                 close()
             while stack.pop()[0] != tag:
                 pass
     add(page[at:])
     close()
-    return out
+    if len(exclusions) == 1:
+        return [block for block, _, _ in found]
+    out = kept_out(found, exclusions, marks)
+    for i in range(1, len(out)):
+        out[i] = out[i] or out[exclusions[i].outer]
+    return [block._replace(never=True) if out[exclusion] else block for block, exclusion, _ in found]
 
 
 def first_pass(block: Block) -> str:

@@ -47,6 +47,33 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+COMMENTS = f'<div id="comments" class="comments-area"><article class="comment-body"><p>{PARAGRAPH} I liked it.</p></article><article><p>{PARAGRAPH} So did I.</p></article></div>'
+ASIDES = f'<div class="promo"><p>{PARAGRAPH} Buy it.</p></div>'
+
+
+@pytest.mark.parametrize("opens", ['<div class="content-sidebar-wrap">', '<div class="no-sidebar">', '<div class="sidebar">', '<div id="page" class="has-notice related-post">', '<form id="aspnetForm">', '<div role="form">', '<form><div class="widget">', '<body class="comments-open"><form>'])
+@pytest.mark.parametrize("part", ["main", "article", "div"])
+def test_wrappers_with_telling_names_exclude_nothing(opens, part):
+    closes = "".join(f"</{x.split()[0].strip('>')}>" for x in reversed(opens.split("<")[1:]))
+    inside = f"<{part}><h1>A day</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH} Again.</p><p>{PARAGRAPH} And again.</p></{part}>"
+    text = f"A day\n\n{PARAGRAPH}\n\n{PARAGRAPH} Again.\n\n{PARAGRAPH} And again."
+    assert html_extract.main_text(page(f"{opens}{NAV}{inside}{ASIDES}{COMMENTS}{closes}", after=FOOTER)) == text
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "comment-list", "siteFooter", "x related", "widget_2"])
+def test_whole_names_exclude(name):
+    inside = f'<p>{PARAGRAPH}</p><div class="{name}"><p>It is not a part of the text, but one of the things that are around all of it.</p></div>'
+    assert html_extract.main_text(page(f"<article>{inside}</article>")) == html_extract.main_text(page(f"<div>{inside}</div>")) == PARAGRAPH
+
+
+def test_an_advert_longer_than_a_short_article_stays_out():
+    assert html_extract.main_text(page("<article><h1>A day</h1><p>It was the first day of it.</p></article>", '<div class="ad">It is the best of all of them and it is for you, so buy one of it for the house.</div>')) == "A day\n\nIt was the first day of it."
+
+
+def test_a_page_of_comments_alone_is_text():
+    assert html_extract.main_text(page(f'<div class="comments"><p>{PARAGRAPH}</p><p>{PARAGRAPH} Again.</p></div>', NAV, FOOTER)) == f"{PARAGRAPH}\n\n{PARAGRAPH} Again."
+
+
 def test_a_very_long_page_is_read_whole():
     many = [f"{PARAGRAPH} Number {i}." for i in range(3000)]
     assert html_extract.main_text(page("<article>" + "".join(f"<p>{x}</p>" for x in many) + "</article>", NAV, FOOTER)) == "\n\n".join(many)
