@@ -10,7 +10,8 @@ a block without links in it counts as text of the article. Short blocks stay und
 the label of their nearest decided neighbours.
 
 Nulls: a null or empty html has the empty text. Tags that are never closed, comments that do not end and markup cut
-off at the end of the page are read as browsers do, to the end. Nothing is capped; repeated pages give equal rows.
+off at the end of the page are read as browsers do, to the end. Drawings (svg) go with what is in them, but one that is
+empty or does not end takes nothing with it; the text of formulas (math, with annotations) stays. Nothing is capped; repeated pages give equal rows.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ STOP_WORDS = frozenset(
 
 # Tags and words of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
-SPACE_TAGS = frozenset("br td th wbr img".split())
+SPACE_TAGS = frozenset("br td th wbr img annotation annotation-xml".split())
 CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form head header iframe li main menu nav object ol p section select span table td tr ul label".split())
 NEVER_TEXT = frozenset("head title nav footer aside menu dialog button select label iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,12 +68,13 @@ PART_WORDS = frozenset("area bar block body box div form inner item items list p
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(?P<raw>script|style|noscript|template|textarea|svg|math|xmp|noembed|noframes)\b[^>]*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)
+      | <(?P<raw>script|style|noscript|template|textarea|xmp|noembed|noframes)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)
       | <(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
       | <(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)(?:>|\Z)
       | <[!?/][^>]*+(?:>|\Z)""",
     re.S | re.I | re.X,
 )
+_SVG_END = re.compile(r"</svg(?=[\s/>])[^>]*+>", re.I)
 _ATTR = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++))?""")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -189,14 +191,19 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, drawings = 0, True  # drawings: whether an svg may still end
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
         ends, attrs = bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
+        if tag == "svg" and not ends and not attrs.endswith("/") and drawings:
+            end = _SVG_END.search(page, at)
+            drawings = end is not None
+            at = end.end() if end else at
+            continue
         if tag == "a":
             links = 0 if ends else 1
         if tag in SPACE_TAGS:

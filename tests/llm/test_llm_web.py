@@ -66,6 +66,27 @@ def test_whole_names_exclude(name):
     assert html_extract.main_text(page(f"<article>{inside}</article>")) == html_extract.main_text(page(f"<div>{inside}</div>")) == PARAGRAPH
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<p>One</p><svg class="i"/><p>Two</p><p>Three</p>', "One\n\nTwo\n\nThree"),
+        ('<p>One</p><svg data-x="a>b" /><p>Two</p><svg><text>No</text></SVG ><p>Three</p>', "One\n\nTwo\n\nThree"),
+        ('<p>One</p><svg class="i"><p>Two</p><svg><p>Three</p>', "One\n\nTwo\n\nThree"),  # never closed
+        ("<p>One</p><svg-icon></svg-icon><style-guide></style-guide><p>Two</p>", "One\n\nTwo"),
+        ("<p>One</p><math/><p>Two</p>", "One\n\nTwo"),
+        ("<p>It is <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p><p>Two</p>", "It is x=1 here.\n\nTwo"),
+        ("<p>It is <math><semantics><mi>x</mi><annotation>x_1</annotation></semantics></math>.</p>", "It is x x_1 ."),
+        ("<p>One</p><script/><p>No</p>", "One"),  # a script is never empty
+    ],
+)
+def test_drawings_and_formulas_take_no_text_with_them(html, text):
+    assert html_extract.main_text(html) == html_extract.main_text(f"<article>{html}</article>") == text
+
+
+def test_drawings_that_never_end_are_looked_for_once():
+    assert html_extract.main_text("<p>One</p>" + "<svg>" * 50_000) == "One"
+
+
 def test_an_advert_longer_than_a_short_article_stays_out():
     assert html_extract.main_text(page("<article><h1>A day</h1><p>It was the first day of it.</p></article>", '<div class="ad">It is the best of all of them and it is for you, so buy one of it for the house.</div>')) == "A day\n\nIt was the first day of it."
 
