@@ -1,11 +1,16 @@
 """Events as a stream: landed once each, counted in windows of event time, and folded into observations.
 
-What events say does not depend on their order, so no watermark is needed for right results; watermarks bound the
-state of the duplicate check and of the windows, and rows later than they allow are dropped there and nowhere else.
+What events say does not depend on their order, so no watermark is needed for right results. Landing has none: what
+has landed is told by the digests in the landed folder, however late an event comes. The watermark of windows bounds
+their state, and that of once() the state of its duplicate check; rows later than they allow are dropped there and
+nowhere else.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,8 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.canonical import canonical_json
 from ..functions.documents import elements, get, members, text
 from ..operators import conflicts
+from ..shared import stored
 
-LANDED = "event string, digest string, event_time timestamp"
+#: Buckets of landed events by digest; folders that are there depend on it.
+BUCKETS = 64
 
 
 def read_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1000) -> DataFrame:
@@ -31,8 +38,41 @@ def once(events: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def land(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Appends events to a Parquet folder, exactly once for each checkpoint; reads what is there and ends."""
-    return once(events).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Appends events to a Parquet folder, each once, in whatever order and however late they come; reads what is there
+    and ends.
+
+    Rows are partitioned by the micro-batch that landed them and by a bucket of their digest, so that a micro-batch
+    meets the digests of its own buckets alone; one that runs again replaces its rows. One query at a time writes a
+    folder. A folder of Spark's own streaming sink is refused, as readers would not see what is added to it.
+    """
+    spark = events.sparkSession
+    log = spark._jvm.org.apache.hadoop.fs.Path(folder, "_spark_metadata")
+    if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        raise ValueError(f"{folder} was written by a streaming sink: land its events in a new folder")
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("int")
+
+    def add(batch: DataFrame, number: int) -> None:
+        own = f"{name}-{number}"
+        new = stored(batch.dropDuplicates(["digest"]).withColumn("bucket", bucket), "events")
+        known = _landed(spark, folder)
+        if known is not None:
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most so many as there are buckets
+            known = known.filter((F.col("batch") != own) & F.col("bucket").isin(touched)).select(F.col("digest").alias("known"))
+            new = new.join(known, F.col("digest").eqNullSafe(F.col("known")), "left_anti")
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={own}")
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _landed(spark: SparkSession, folder: str) -> DataFrame | None:
+    """digest, batch and bucket of what has landed; None if nothing has."""
+    try:
+        return spark.read.schema("digest string, batch string, bucket int").parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def counts(events: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
@@ -63,8 +103,6 @@ def fold_observations(observations: DataFrame, folder: str, checkpoint: str, *,
 
 def latest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
     """The newest version of each bucket of folded observations (older than a version); None if there are none."""
-    from pyspark.errors import AnalysisException
-
     try:
         rows = spark.read.parquet(folder)
     except AnalysisException:

@@ -1,6 +1,7 @@
 """Artifacts, reports, rule documents, plans and streams."""
 
 import json
+import os
 import uuid
 
 import pytest
@@ -164,6 +165,37 @@ def test_events_land_once(spark, tmp_path):
     assert sorted(json.loads(r["event"])["job"]["name"] for r in spark.read.parquet(landed).collect()) == ["0", "1", "2"]
 
 
+def test_late_events_land_whatever_the_number_of_micro_batches(spark, tmp_path):
+    inbox, landed, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+    (tmp_path / "in").mkdir()
+    for k in range(6):  # the newest first, then ever older ones, a copy of the first, and one without a time
+        event = {"job": {"name": str(k % 5)}} | ({"eventTime": f"2024-0{6 - k % 5}-01T00:00:00Z"} if k % 5 != 4 else {})
+        (tmp_path / f"in/{k}.json").write_text(json.dumps([event, event]))
+        os.utime(tmp_path / f"in/{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    events.land(events.read_stream(spark, inbox, files_per_trigger=1), landed, checkpoint).awaitTermination(120)
+    got = spark.read.parquet(landed)
+    assert sorted(json.loads(r["event"])["job"]["name"] for r in got.collect()) == ["0", "1", "2", "3", "4"]
+    assert set(got.columns) >= {"event", "digest", "event_time"}
+
+
+def test_a_micro_batch_that_runs_again_lands_its_events_once(spark, tmp_path):
+    inbox, landed = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps([event(k) for k in range(3)]))
+    for checkpoint in ("check", "check", "other"):
+        events.land(events.read_stream(spark, inbox), landed, str(tmp_path / checkpoint)).awaitTermination(120)
+        for noted in (tmp_path / checkpoint / "commits").glob("*0*"):  # as after a failure before the end of batch 0
+            noted.unlink()
+    assert sorted(json.loads(r["event"])["job"]["name"] for r in spark.read.parquet(landed).collect()) == ["0", "1", "2"]
+
+
+def test_a_folder_of_a_streaming_sink_is_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out/_spark_metadata").mkdir(parents=True)
+    with pytest.raises(ValueError, match="new folder"):
+        events.land(events.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
+
+
 def test_events_are_counted_in_windows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(json.dumps([event(k) for k in range(6)]))
