@@ -299,9 +299,13 @@ def verdicts(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, unchanged, each row once. A null text has no words and stays."""
-    bad = verdicts(contamination(documents, benchmark, doc_id=doc_id, text=text, **options)).filter("contaminated").select(F.col(doc_id).alias("bad_doc")).distinct()
-    return documents.join(bad, documents[doc_id].eqNullSafe(bad["bad_doc"]), "left_anti")
+    """The documents that are not contaminated, unchanged, each row once. A null text has no words and stays. Of rows
+    that share an id, those of other texts stay."""
+    mark = F.xxhash64(F.col(text))
+    keyed = documents.select(F.struct(F.col(doc_id).alias("id"), mark.alias("mark")).alias("key"), F.col(text).alias("words"))
+    found = verdicts(contamination(keyed, benchmark, doc_id="key", text="words", **options)).filter("contaminated")
+    bad = found.select(F.col("key.id").alias("bad_doc"), F.col("key.mark").alias("bad_mark")).distinct()
+    return documents.join(bad, documents[doc_id].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(documents[text]) == bad["bad_mark"]), "left_anti")
 
 
 def strip_spans(text: str | None, spans: list[tuple[int, int]]) -> str:

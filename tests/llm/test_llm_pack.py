@@ -142,6 +142,15 @@ def test_contamination_against_brute_force(spark, options):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, x in want.items() if not x[3])
 
 
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 100}])
+def test_a_clean_text_stays_beside_a_contaminated_one_of_its_id(spark, options):
+    benchmark = spark.createDataFrame([(*x, "z") for x in ITEMS], "item_id bigint, text string, doc string")
+    bad, good = TEXTS[0][1], "nothing of it"
+    docs = brute.documents(spark, (1, bad), (1, good), (1, bad), (1, good), (1, None), (None, bad), (None, good))
+    kept = decontam.clean(docs, benchmark, **options).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, good), (1, good), (1, None), (None, good)], key=repr)
+
+
 def test_contamination_on_the_smallest_table(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{brute.SF}/benchmark.parquet").collect()]
     rows = pairs(spark.read.parquet(f"{brute.SF}/documents.parquet"))
