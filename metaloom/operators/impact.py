@@ -7,6 +7,7 @@ Roots are never targets. Each layer is written to the shared folder; the hops st
 
 from __future__ import annotations
 
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,9 @@ class Impact(NamedTuple):
     closure: DataFrame
 
 
-def downstream(edges: DataFrame, roots: DataFrame, most_layers: int = 10_000) -> Impact:
-    """All nodes that changes of the roots (a column root) reach, and how."""
+def downstream(edges: DataFrame, roots: DataFrame, most_layers: int | None = None) -> Impact:
+    """All nodes that changes of the roots (a column root) reach, and how. The search goes on until a layer is empty;
+    if there are more than most_layers, that is an error."""
     roots = stored(roots.select("root").distinct(), "roots")
     step = F.struct("kind", "src_key", "dst_key")
     moves = hops(edges).select("from_key", "to_key", step.alias("step"))
@@ -47,13 +49,15 @@ def downstream(edges: DataFrame, roots: DataFrame, most_layers: int = 10_000) ->
     front = roots.select(F.col("root").alias("target"), F.lit(0).alias("distance"), "root", F.col("root").alias("path_key"), F.array().cast("array<struct<kind:string,src_key:string,dst_key:string>>").alias("steps"))
     layers: list[DataFrame] = []
     seen = roots.select(F.col("root").alias("seen"))
-    for distance in range(1, most_layers + 1):
+    for distance in count(1):
         reached = front.join(moves, front["target"] == moves["from_key"]).join(seen, F.col("to_key") == F.col("seen"), "left_anti")
         path = F.struct(F.concat("path_key", F.lit(">"), step_key(F.col("step"))).alias("path_key"), "root", F.concat("steps", F.array("step")).alias("steps"))
         best = reached.select(F.col("to_key").alias("target"), path.alias("path")).groupBy("target").agg(F.min_by("path", "path.path_key").alias("path"))
         layer = stored(best.select("target", F.lit(distance).alias("distance"), "path.root", "path.path_key", "path.steps"), "layer")
         if layer.isEmpty():
             break
+        if most_layers is not None and distance > most_layers:
+            raise RuntimeError(f"there are targets beyond {most_layers} layers")
         layers.append(layer)
         front, seen = layer, seen.unionByName(layer.select(F.col("target").alias("seen")))
     moves.unpersist()

@@ -59,6 +59,14 @@ def test_no_roots_and_unknown_roots(spark):
     assert [r["root"] for r in impact.unknown_roots(nodes, roots(spark, "a", "zz")).collect()] == ["zz"]
 
 
+def test_a_search_that_is_not_at_its_end_is_an_error(spark):
+    e = edges(spark, ("b", "a"), ("c", "b"), ("d", "c"))
+    for most in (None, 3):
+        assert reached(impact.downstream(e, roots(spark, "a"), most))["d"][0] == 3
+    with pytest.raises(RuntimeError, match="beyond 2 layers"):
+        impact.downstream(e, roots(spark, "a"), 2)
+
+
 P = "array<struct<provider_type:string,source_ref:string,source_version:string,observation_mode:string>>"
 
 
