@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import projections as P
 from .functions import canonical
 from .operators import batching, compare, conflicts, drift, graph, history, impact, policy, reconcile
+from .sinks import artifacts
 
 ROOTS = ["n:3", "n:7", "c:15"]
 PART_CEILINGS = {"size": 500, "attributes": 2000}
@@ -245,7 +246,7 @@ def sync_overlay(spark, d):
 def stale_categories(spark, d):
     """Digests of region and nation now, and as they were saved with one nation under another name."""
     r, n = P.table(spark, d, "region"), P.table(spark, d, "nation")
-    digest = lambda df, name, c: df.agg(F.array_join(F.array_sort(F.collect_list(c)), "\n").alias("text")).select(F.lit(name).alias("category"), canonical.digest("config", F.col("text")).alias("digest"))
+    digest = lambda df, name, c: artifacts.identity(df.select(c), "config").select(F.lit(name).alias("category"), "digest")
     saved = digest(r, "config", "r_name").unionByName(digest(n.withColumn("n_name", F.when(F.col("n_nationkey") == 3, F.lit("X")).otherwise(F.col("n_name"))), "mapping", "n_name"))
     return reconcile.stale_categories(saved, digest(r, "config", "r_name").unionByName(digest(n, "mapping", "n_name")))
 

@@ -25,3 +25,8 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+def test_digests_of_categories_hold_no_rows_in_one_place(spark):
+    plan = catalog.stale_categories(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" in plan and "collect_list" not in plan
