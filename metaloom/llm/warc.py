@@ -104,6 +104,18 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     return records.withColumn("record", F.concat("header", F.coalesce("payload", F.lit("").cast("binary")), end))
 
 
+def read_pages(spark: SparkSession, archive: Archive) -> DataFrame:
+    """The bytes of every page, of revisits too: page_id, header, payload. What is missing or damaged is an error.
+
+    Both sides are as stored, so that the join can split the pages of a payload that very many have.
+    """
+    headers = spark.read.schema("page_id bigint, digest binary, header binary").parquet(archive.headers)
+    payloads = spark.read.schema("digest binary, payload binary").parquet(archive.payloads)
+    whole = F.col("payload").isNotNull() & (F.unhex(F.sha2("payload", 256)) == F.col("digest"))
+    checked = F.when(whole, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload is missing or damaged: "), F.hex("digest"))))
+    return headers.join(payloads, "digest", "left").select("page_id", "header", checked.alias("payload"))
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     archive = write_archive(pages, f"{shared.shared_dir(spark)}/warc-{uuid.uuid4().hex}")

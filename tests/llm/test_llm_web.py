@@ -170,3 +170,11 @@ def test_archive_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     made = warc.write_archive(pages, f"{shared.shared_dir(spark)}/warc-test-{uuid.uuid4().hex}")
     assert warc.read_records(spark, made).count() == 0
+
+
+def test_every_page_comes_back_whole(spark, archive):
+    got = warc.read_pages(spark, archive)
+    assert sorted(((r["page_id"], bytes(r["payload"])) for r in got.collect()), key=repr) == sorted(((p, (h or "").encode()) for p, _, h in PAGES), key=repr)
+    spark.read.parquet(archive.payloads).filter(F.octet_length("payload") < 1000).write.parquet(f"{archive.payloads}-less")
+    with pytest.raises(PySparkException, match="missing or damaged"):
+        warc.read_pages(spark, archive._replace(payloads=f"{archive.payloads}-less")).collect()
