@@ -12,7 +12,7 @@ from .functions import canonical
 from .operators import batching, compare, conflicts, drift, graph, history, impact, policy, reconcile
 from .sinks import artifacts
 
-ROOTS = ["n:3", "n:7", "c:15"]
+ROOTS = ["n:3", "n:7", "c:15", "p:6"]
 PART_CEILINGS = {"size": 500, "attributes": 2000}
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +36,7 @@ def graph_missing_ancestors(spark, d):
 
 
 def impact_distance(spark, d):
-    return impact.distances(P.graph(spark, d).edges, P.roots(spark, ROOTS))
+    return impact.reach(P.graph(spark, d).edges, P.roots(spark, ROOTS))
 
 
 def impact_paths(spark, d):
@@ -46,32 +46,43 @@ def impact_paths(spark, d):
 
 def impact_affected_edges(spark, d):
     g = P.graph(spark, d)
-    return impact.affected_edges(g.edges, impact.downstream(g.edges, P.roots(spark, ROOTS)).closure)
+    return impact.affected_edges(g.edges, impact.reach(g.edges, P.roots(spark, ROOTS)))
 
 
 def impact_assets(spark, d):
     g = P.graph(spark, d)
-    return impact.governance_assets(g.nodes, impact.downstream(g.edges, P.roots(spark, ROOTS)).closure).select("node_key", "kind")
+    return impact.governance_assets(g.nodes, impact.reach(g.edges, P.roots(spark, ROOTS))).select("node_key", "kind")
 
 
 def impact_contracts(spark, d):
     g = P.graph(spark, d)
-    return impact.associated_contracts(g.nodes, g.edges, impact.downstream(g.edges, P.roots(spark, ROOTS)).closure)
+    return impact.associated_contracts(g.nodes, g.edges, impact.reach(g.edges, P.roots(spark, ROOTS)))
 
 
 def impact_policies(spark, d):
     g = P.graph(spark, d)
-    closure = impact.downstream(g.edges, P.roots(spark, ROOTS)).closure
+    closure = impact.reach(g.edges, P.roots(spark, ROOTS))
     local = closure.filter("node_key LIKE 'c:%'").select(F.lit("table").alias("kind"), F.concat(F.lit("tbl:customer/"), F.substring_index("node_key", ":", -1)).alias("local_id"))
     return impact.affected_policies(local, P.policies(spark))
 
 
 def impact_workspace(spark, d):
     g = P.graph(spark, d)
-    shown = impact.workspace(g.nodes, impact.downstream(g.edges, P.roots(spark, ROOTS)))
+    shown = impact.workspace(g.nodes, impact.reach(g.edges, P.roots(spark, ROOTS)))
     return shown.groupBy("impact").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+def impact_policy_nodes(spark, d):
+    g = P.graph(spark, d)
+    return impact.policy_nodes(g.nodes, impact.reach(g.edges, P.roots(spark, ROOTS))).select("node_key", "kind")
+
+
+def impact_evidence(spark, d):
+    """The steps that a result shows, of all its paths."""
+    _, steps = impact.evidence(impact.downstream(P.graph(spark, d).edges, P.roots(spark, ROOTS)))
+    return steps.select(impact.step_key(F.struct("kind", "src_key", "dst_key")).alias("step"))
+
+
 def lineage_materialize(spark, d):
     """An order's price comes from its parts' prices."""
     p = F.array(F.struct(F.col("l_returnflag").alias("provider_type"), F.lit("l").alias("source_ref")))
@@ -281,7 +292,7 @@ def physical_projection(spark, d):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    graph_merge_edges, graph_dangling, graph_missing_ancestors, impact_distance, impact_paths, impact_affected_edges, impact_assets, impact_contracts, impact_policies, impact_workspace,
+    graph_merge_edges, graph_dangling, graph_missing_ancestors, impact_distance, impact_paths, impact_affected_edges, impact_assets, impact_contracts, impact_policies, impact_policy_nodes, impact_evidence, impact_workspace,
     lineage_materialize, obs_normalize, conflict_states, conflict_resolved, conflict_summary, conflict_ambiguous_rules, reconcile_safety, compare_objects, compare_properties, compare_summary, compare_inverse,
     drift_classified, drift_summary, drift_ambiguous_rules, policy_violations, policy_counts, top_violations, history_transitions, history_evolution, history_adjacent_duplicates, history_known,
     sync_plan_assets, sync_plan_counts, sync_unmanaged, sync_plan_relationships, sync_overlay, stale_categories, batch_pack, relation_hosts, pointer_escape, identity_digest, physical_projection,

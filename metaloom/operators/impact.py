@@ -1,8 +1,9 @@
 """Downstream impact of changed nodes.
 
-Change runs along contains and governs, and against depends_on. A layered search finds the least distance of every
-node and one canonical path to it: of all shortest paths the one with the least key (the text of root and steps).
-Roots are never targets. Each layer is written to the shared folder; the hops stay partitioned by their source.
+Change runs along contains and governs, and against depends_on. reach() is a layered search for the least distance of
+every node and carries keys alone; downstream() also finds one canonical path to each: of all shortest paths the one
+with the least key (the text of root and steps). Roots are never targets. Each layer is written to the shared folder;
+the hops stay partitioned by their source.
 """
 
 from __future__ import annotations
@@ -68,10 +69,22 @@ def downstream(edges: DataFrame, roots: DataFrame, most_layers: int | None = Non
     return Impact(targets, roots, closure)
 
 
-def distances(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node_key and distance of every node reached; the roots have 0."""
-    found = downstream(edges, roots)
-    return found.roots.select(F.col("root").alias("node_key"), F.lit(0).alias("distance")).unionByName(found.targets.select(F.col("target").alias("node_key"), "distance"))
+def reach(edges: DataFrame, roots: DataFrame, most_layers: int | None = None) -> DataFrame:
+    """node_key and distance of every node that changes of the roots reach; the roots have 0. As downstream(), without
+    paths, so that no layer carries more than its keys."""
+    found = stored(roots.select(F.col("root").alias("node_key"), F.lit(0).alias("distance")).distinct(), "reached")
+    moves = hops(edges).select("from_key", "to_key").distinct().repartition("from_key").persist()
+    front = found
+    for distance in count(1):
+        next_ = front.join(moves, front["node_key"] == moves["from_key"]).select(F.col("to_key").alias("node_key")).distinct()
+        layer = stored(next_.join(found.select("node_key"), "node_key", "left_anti").withColumn("distance", F.lit(distance)), "reached")
+        if layer.isEmpty():
+            break
+        if most_layers is not None and distance > most_layers:
+            raise RuntimeError(f"there are targets beyond {most_layers} layers")
+        found, front = found.unionByName(layer), layer
+    moves.unpersist()
+    return found
 
 
 def unknown_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -94,7 +107,7 @@ def governance_assets(nodes: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def associated_contracts(nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """Contracts of the closure, and those that govern a node of it or an ancestor: node_key."""
+    """Contracts of the closure, and those that govern a node of it or any of its ancestors: node_key."""
     core = nodes.join(closure.select("node_key"), "node_key", "left_semi")
     up = core.select(F.explode(F.concat(F.array("node_key"), "ancestor_keys")).alias("dst_key")).distinct()
     governing = edges.filter("kind = 'governs'").join(up, "dst_key", "left_semi").select(F.col("src_key").alias("node_key"))
@@ -115,9 +128,21 @@ def broken_paths(targets: DataFrame) -> DataFrame:
     return targets.filter(~((F.size("steps") == F.col("distance")) & (begins == F.concat(F.array("root"), F.slice(ends, 1, F.size("steps") - 1))) & (F.element_at(ends, -1) == F.col("target"))))
 
 
-def workspace(nodes: DataFrame, impact: Impact) -> DataFrame:
-    """Every node with its class of impact (root, direct, transitive, none) and its distance."""
-    roots = impact.roots.select(F.col("root").alias("node_key"), F.lit(0).alias("d"))
-    d = roots.unionByName(impact.targets.select(F.col("target").alias("node_key"), F.col("distance").alias("d")))
+def workspace(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """Every node with its class of impact (root, direct, transitive, none) and its distance, from reach()."""
+    d = reached.select("node_key", F.col("distance").alias("d"))
     kind = F.when(F.col("d").isNull(), "none").when(F.col("d") == 0, "root").when(F.col("d") == 1, "direct").otherwise("transitive")
     return nodes.join(d, "node_key", "left").select("node_key", kind.alias("impact"), F.col("d").alias("distance"))
+
+
+def policy_nodes(nodes: DataFrame, closure: DataFrame) -> DataFrame:
+    """Nodes of the closure of kinds that a catalog policy can apply to."""
+    return nodes.filter(F.col("kind").isin(*POLICY_KINDS)).join(closure.select("node_key"), "node_key", "left_semi")
+
+
+def evidence(impact: Impact) -> tuple[DataFrame, DataFrame]:
+    """The graph that a result of downstream() shows by itself: nodes (node_key) and edges (src_key, kind, dst_key) of
+    its roots and paths, without the graph that was searched."""
+    steps = impact.targets.select(F.explode("steps").alias("s")).select("s.src_key", "s.kind", "s.dst_key").distinct()
+    nodes = impact.closure.unionByName(steps.select(F.explode(F.array("src_key", "dst_key")).alias("node_key"))).distinct()
+    return nodes, steps

@@ -8,29 +8,32 @@ _NODES = """nodes AS (
   UNION ALL SELECT 'c:' || c_custkey, 'table', 'n:' || c_nationkey FROM customer
   UNION ALL SELECT 's:' || s_suppkey, 'contract', 'n:' || s_nationkey FROM supplier
   UNION ALL SELECT 'o:' || o_orderkey, 'transformation', NULL FROM orders
-)"""
+  UNION ALL SELECT 'p:' || p_partkey, 'contract', NULL FROM part
+), ups AS (SELECT k, up FROM nodes WHERE up IS NOT NULL UNION ALL SELECT a.k, b.up FROM nodes a JOIN nodes b ON a.up = b.k WHERE b.up IS NOT NULL)"""
 
 _EDGES = f"""{_NODES}, edges AS (
   SELECT up AS src, 'contains' AS kind, k AS dst FROM nodes WHERE up IS NOT NULL
   UNION SELECT 'o:' || o_orderkey, 'depends_on', 'c:' || o_custkey FROM orders
   UNION SELECT 'o:' || l_orderkey, 'depends_on', 's:' || l_suppkey FROM lineitem
+  UNION SELECT 'p:' || p_partkey, 'governs', dst FROM (
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'c:' || p_partkey WHEN 1 THEN 'n:' || (p_partkey % 25) ELSE 'r:' || (p_partkey % 5) END AS dst FROM part) WHERE dst IN (SELECT k FROM nodes)
 )"""
 
-_ROOTS = "roots AS (SELECT unnest(['n:3', 'n:7', 'c:15']) AS k)"
+_ROOTS = "roots AS (SELECT unnest(['n:3', 'n:7', 'c:15', 'p:6']) AS k)"
 
-#: The graph has three layers below a region, so the search is written out layer by layer.
-_LAYERS = f"""{_EDGES}, {_ROOTS}, hops AS (
+#: No root reaches more than three layers here, so the search is written out layer by layer.
+_LAYERS = f"""{_EDGES}, {_ROOTS}, hops AS MATERIALIZED (
   SELECT CASE WHEN kind = 'depends_on' THEN dst ELSE src END AS a, CASE WHEN kind = 'depends_on' THEN src ELSE dst END AS b,
          '[' || kind || ',' || src || ',' || dst || ']' AS step FROM edges
-), l0 AS (SELECT k AS target, 0 AS distance, k AS root, k AS path FROM roots),
-l1 AS (SELECT b AS target, 1 AS distance, arg_min(root, path || '>' || step) AS root, min(path || '>' || step) AS path
-       FROM l0 JOIN hops ON a = target WHERE b NOT IN (SELECT k FROM roots) GROUP BY b),
-l2 AS (SELECT b AS target, 2 AS distance, arg_min(root, path || '>' || step) AS root, min(path || '>' || step) AS path
-       FROM l1 JOIN hops ON a = target WHERE b NOT IN (SELECT k FROM roots) AND b NOT IN (SELECT target FROM l1) GROUP BY b),
-l3 AS (SELECT b AS target, 3 AS distance, arg_min(root, path || '>' || step) AS root, min(path || '>' || step) AS path
-       FROM l2 JOIN hops ON a = target WHERE b NOT IN (SELECT k FROM roots) AND b NOT IN (SELECT target FROM l1) AND b NOT IN (SELECT target FROM l2) GROUP BY b),
-found AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3),
-closure AS (SELECT k FROM roots UNION ALL SELECT target FROM found)"""
+), l0 AS MATERIALIZED (SELECT k AS target, 0 AS distance, k AS root, k AS path FROM roots),
+l1 AS MATERIALIZED (SELECT b AS target, 1 AS distance, arg_min(root, path || '>' || step) AS root, min(path || '>' || step) AS path
+       FROM l0 JOIN hops ON a = target ANTI JOIN roots ON b = roots.k GROUP BY b),
+l2 AS MATERIALIZED (SELECT b AS target, 2 AS distance, arg_min(l1.root, l1.path || '>' || step) AS root, min(l1.path || '>' || step) AS path
+       FROM l1 JOIN hops ON a = l1.target ANTI JOIN roots ON b = roots.k ANTI JOIN l1 AS x ON b = x.target GROUP BY b),
+l3 AS MATERIALIZED (SELECT b AS target, 3 AS distance, arg_min(l2.root, l2.path || '>' || step) AS root, min(l2.path || '>' || step) AS path
+       FROM l2 JOIN hops ON a = l2.target ANTI JOIN roots ON b = roots.k ANTI JOIN l1 AS x ON b = x.target ANTI JOIN l2 AS y ON b = y.target GROUP BY b),
+found AS MATERIALIZED (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3),
+closure AS MATERIALIZED (SELECT k FROM roots UNION ALL SELECT target FROM found)"""
 
 _OBS = """obs AS (
   SELECT 'u:' || user_id AS object_key, 'ns' || (user_id % 2) AS ns, '/attributes/' || event_type AS pointer,
@@ -131,12 +134,16 @@ SQL = {
     "graph_merge_edges": """WITH p AS (SELECT DISTINCT 'o:' || l_orderkey AS src_key, 's:' || l_suppkey AS dst_key, 'm' || (l_partkey % 3) || '/' || l_returnflag AS s FROM lineitem)
         SELECT src_key, dst_key, count(*) AS n_sources, string_agg(s, ',' ORDER BY s) AS sources FROM p GROUP BY ALL""",
     "graph_dangling": f"""WITH {_EDGES} SELECT src AS src_key, kind, dst AS dst_key, 'src' AS side FROM edges WHERE src IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
-    "graph_missing_ancestors": f"""WITH {_NODES} SELECT k AS node_key, up AS ancestor_key FROM nodes WHERE up = 'n:5'""",
+    "graph_missing_ancestors": f"""WITH {_NODES} SELECT k AS node_key, up AS ancestor_key FROM ups WHERE up = 'n:5'""",
     "impact_distance": f"""WITH {_LAYERS} SELECT target AS node_key, distance FROM l0 UNION ALL SELECT target, distance FROM found""",
     "impact_paths": f"""WITH {_LAYERS} SELECT target, distance, root, path AS path_key FROM found""",
-    "impact_affected_edges": f"""WITH {_LAYERS} SELECT src AS src_key, kind, dst AS dst_key FROM edges WHERE src IN (SELECT k FROM closure) AND dst IN (SELECT k FROM closure)""",
-    "impact_assets": f"""WITH {_LAYERS} SELECT k AS node_key, kind FROM nodes WHERE kind <> 'contract' AND (k IN (SELECT k FROM closure) OR k IN (SELECT up FROM nodes WHERE k IN (SELECT k FROM closure) AND up IS NOT NULL))""",
-    "impact_contracts": f"""WITH {_LAYERS} SELECT k AS node_key FROM closure WHERE k LIKE 's:%'""",
+    "impact_affected_edges": f"""WITH {_LAYERS} SELECT src AS src_key, kind, dst AS dst_key FROM edges SEMI JOIN closure AS a ON src = a.k SEMI JOIN closure AS b ON dst = b.k""",
+    "impact_assets": f"""WITH {_LAYERS} SELECT k AS node_key, kind FROM nodes SEMI JOIN (SELECT k FROM closure UNION SELECT up FROM ups SEMI JOIN closure USING (k)) AS c USING (k) WHERE kind <> 'contract'""",
+    "impact_contracts": f"""WITH {_LAYERS}, core AS (SELECT k FROM closure UNION SELECT up FROM ups SEMI JOIN closure USING (k))
+        SELECT k AS node_key FROM closure WHERE k LIKE 's:%' OR k LIKE 'p:%' UNION SELECT src FROM edges SEMI JOIN core ON dst = core.k WHERE kind = 'governs'""",
+    "impact_policy_nodes": f"""WITH {_LAYERS} SELECT k AS node_key, kind FROM nodes SEMI JOIN closure USING (k) WHERE kind IN ('data_source', 'dataset', 'table', 'column')""",
+    "impact_evidence": f"""WITH {_LAYERS}, walked AS (SELECT unnest(string_split(path, '>')[2:]) AS step FROM found)
+        SELECT DISTINCT step FROM walked""",
     "impact_policies": f"""WITH {_LAYERS}, local AS (SELECT 'tbl:customer/' || substr(k, 3) AS local_id FROM closure WHERE k LIKE 'c:%')
         SELECT 'owner-all' AS policy_id, local_id FROM local UNION ALL SELECT 'related', local_id FROM local UNION ALL SELECT 'describe-one', local_id FROM local WHERE local_id = 'tbl:customer/11'""",
     "impact_workspace": f"""WITH {_LAYERS} SELECT CASE WHEN distance IS NULL THEN 'none' WHEN distance = 0 THEN 'root' WHEN distance = 1 THEN 'direct' ELSE 'transitive' END AS impact, count(*) AS n_nodes

@@ -17,7 +17,8 @@ def _key(prefix: str, column: str):
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Regions contain nations, nations contain customers and suppliers; orders depend on customers and suppliers."""
+    """Regions contain nations, nations contain customers and suppliers; orders depend on customers and suppliers. Parts
+    are contracts that govern a customer, a nation or a region."""
     t = lambda name: table(spark, sf_dir, name)
     node = lambda df, kind, prefix, key, name, parent: df.select(_key(prefix, key).alias("node_key"), F.lit(kind).alias("kind"), parent.alias("parent_key"), name.alias("name"))
     none = F.lit(None).cast("string")
@@ -26,11 +27,18 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     nodes = nodes.unionByName(node(t("customer"), "table", "c", "c_custkey", F.col("c_name"), _key("n", "c_nationkey")))
     nodes = nodes.unionByName(node(t("supplier"), "contract", "s", "s_suppkey", F.col("s_name"), _key("n", "s_nationkey")))
     nodes = nodes.unionByName(node(t("orders"), "transformation", "o", "o_orderkey", F.col("o_orderpriority"), none))
+    nodes = nodes.unionByName(node(t("part"), "contract", "p", "p_partkey", F.col("p_name"), none))
+    k = F.col("p_partkey")
+    governed = F.when(k % 3 == 0, F.concat(F.lit("c:"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("n:"), (k % 25).cast("string"))).otherwise(F.concat(F.lit("r:"), (k % 5).cast("string")))
+    governs = t("part").select(_key("p", "p_partkey").alias("src_key"), F.lit("governs").alias("kind"), governed.alias("dst_key"))
+    governs = governs.join(nodes.select(F.col("node_key").alias("dst_key")), "dst_key", "left_semi").select("src_key", "kind", "dst_key")
     contains = nodes.filter("parent_key IS NOT NULL").select(F.col("parent_key").alias("src_key"), F.lit("contains").alias("kind"), F.col("node_key").alias("dst_key"))
     customers = t("orders").select(_key("o", "o_orderkey").alias("src_key"), F.lit("depends_on").alias("kind"), _key("c", "o_custkey").alias("dst_key"))
     suppliers = t("lineitem").select(_key("o", "l_orderkey").alias("src_key"), F.lit("depends_on").alias("kind"), _key("s", "l_suppkey").alias("dst_key")).distinct()
-    up = F.when(F.col("parent_key").isNull(), F.array()).otherwise(F.array("parent_key")).cast("array<string>")
-    return Graph(nodes.withColumn("ancestor_keys", up), contains.unionByName(customers).unionByName(suppliers))
+    above = t("nation").select(_key("n", "n_nationkey").alias("nation"), _key("r", "n_regionkey").alias("region"))
+    up = F.filter(F.array("parent_key", "region"), lambda x: x.isNotNull())
+    nodes = nodes.join(above, F.col("parent_key") == F.col("nation"), "left").withColumn("ancestor_keys", up).drop("nation", "region")
+    return Graph(nodes, contains.unionByName(customers).unionByName(suppliers).unionByName(governs))
 
 
 def roots(spark: SparkSession, keys: list[str]) -> DataFrame:
