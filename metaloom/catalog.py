@@ -196,13 +196,12 @@ def top_violations(spark, d):
 
 def history_transitions(spark, d):
     entries, properties = P.timeline(spark, d)
-    moved = history.transitions(history.states(entries, properties))
-    return moved.groupBy("from_index", "to_index", "change").agg(F.count(F.lit(1)).alias("n_properties"))
+    return history.transition_counts(entries, properties)
 
 
 def history_evolution(spark, d):
     entries, properties = P.timeline(spark, d)
-    return history.evolution(history.transitions(history.states(entries, properties)), "u:7").drop("object_key")
+    return history.evolution(entries, properties, "u:7").drop("object_key")
 
 
 def history_adjacent_duplicates(spark, d):

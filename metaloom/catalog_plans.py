@@ -38,8 +38,7 @@ def run_lineage(spark, d):
     rows = line.select(text("run").alias("kind"), F.col("l_orderkey").cast("string").alias("run_id"), text("j").alias("job_namespace"), text("n").alias("job_name"), text("u").alias("schema_url"), F.lit(0).cast("bigint").alias("event_key"), text("ns").alias("ns"), F.explode(ends).alias("end"))
     rows = rows.select("kind", "run_id", "job_namespace", "job_name", "schema_url", "event_key", "ns", "end.side", "end.name")
     known = rows.select("ns", "name").distinct().withColumn("node_key", F.col("name"))
-    pairs = openlineage.lineage(rows, known)
-    return graph.merge_edges(pairs).select("src_key", "dst_key", F.size("provenance").cast("bigint").alias("n_sources"))
+    return openlineage.lineage(rows, known).select("src_key", "dst_key", F.size("provenance").cast("bigint").alias("n_sources"))
 
 
 def observed_pointers(spark, d):

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import provenance_union
+from ..shared import small
+from .graph import provenance_union, stated
 
 OBJECT = ["object_key", "namespace", "kind"]
 RULE = ["kind", "pointer", "namespace", "provider_type", "source_ref"]
@@ -19,7 +20,7 @@ RULE = ["kind", "pointer", "namespace", "provider_type", "source_ref"]
 
 def normalize(observations: DataFrame) -> DataFrame:
     """One row for each value of a property of an object, with the union of its provenance."""
-    return observations.groupBy(*OBJECT, "pointer", "value_json").agg(provenance_union())
+    return stated(observations).groupBy(*OBJECT, "pointer", "value_json").agg(provenance_union())
 
 
 def merge(*sets: DataFrame) -> DataFrame:
@@ -30,12 +31,6 @@ def merge(*sets: DataFrame) -> DataFrame:
     return normalize(every)
 
 
-def value_groups(observations: DataFrame) -> DataFrame:
-    """One row for each property of an object: n_values, n_sources and values (value_json, provenance), sorted."""
-    one = F.struct("value_json", "provenance")
-    return normalize(observations).groupBy(*OBJECT, "pointer").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.size("provenance")).alias("n_sources"), F.array_sort(F.collect_list(one)).alias("values"))
-
-
 def pointers(observations: DataFrame) -> DataFrame:
     """How many properties of each object are observed: object_key, n_pointers."""
     return observations.groupBy("object_key").agg(F.count_distinct("pointer").alias("n_pointers"))
@@ -53,7 +48,7 @@ def ambiguous_selectors(rules: DataFrame) -> DataFrame:
 
 def _winning(rules: DataFrame, properties: DataFrame) -> DataFrame:
     """For each property with a rule: the number of different authorities of the best rank, and one of them."""
-    r = rule_set(rules).select(F.col("kind").alias("r_kind"), F.col("pointer").alias("r_pointer"), F.col("namespace").alias("r_namespace"), "provider_type", "source_ref")
+    r = small(rule_set(rules)).select(F.col("kind").alias("r_kind"), F.col("pointer").alias("r_pointer"), F.col("namespace").alias("r_namespace"), "provider_type", "source_ref")
     on = (properties["kind"] == r["r_kind"]) & (properties["pointer"] == r["r_pointer"]) & (r["r_namespace"].isNull() | (r["r_namespace"] == properties["namespace"]))
     named = F.col("r_namespace").isNotNull()
     rule = F.struct("r_namespace", "provider_type", "source_ref")
@@ -64,20 +59,24 @@ def _winning(rules: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def decide(observations: DataFrame, rules: DataFrame) -> DataFrame:
-    """The state of every observed property, and its effective value and winning rule where there is one.
-
-    Adds state, reason, has_effective_value, effective_json, rule to value_groups().
-    """
-    groups = value_groups(observations)
-    kinds = groups.filter("n_values > 1").select("kind", "pointer", "namespace").distinct()
-    won = _winning(rules, kinds).select(F.col("kind").alias("w_kind"), F.col("pointer").alias("w_pointer"), F.col("namespace").alias("w_namespace"), "n_rules", "rule")
-    on = (groups["kind"] == won["w_kind"]) & (groups["pointer"] == won["w_pointer"]) & groups["namespace"].eqNullSafe(won["w_namespace"]) & (F.col("n_values") > 1)
-
-    def authorized(v: Column) -> Column:
-        return F.exists(v["provenance"], lambda p: (p["provider_type"] == F.col("rule.provider_type")) & (F.col("rule.source_ref").isNull() | (p["source_ref"] == F.col("rule.source_ref"))))
-
-    joined = groups.join(won, on, "left").withColumn("authorized", F.when(F.col("n_rules") == 1, F.filter("values", authorized)))
-    n = F.size("authorized")
+    """The state of every observed property: n_values, n_sources, state, reason, has_effective_value, effective_json and
+    rule (the winning one, where there is one alone). Values are counted, never collected; normalize() has them."""
+    rows = normalize(observations)
+    won = small(_winning(rules, observations.select("kind", "pointer", "namespace").distinct()))
+    won = won.select(F.col("kind").alias("w_kind"), F.col("pointer").alias("w_pointer"), F.col("namespace").alias("w_namespace"), "n_rules", "rule")
+    on = (rows["kind"] == won["w_kind"]) & (rows["pointer"] == won["w_pointer"]) & rows["namespace"].eqNullSafe(won["w_namespace"])
+    by_rule = lambda p: (p["provider_type"] == F.col("rule.provider_type")) & (F.col("rule.source_ref").isNull() | (p["source_ref"] == F.col("rule.source_ref")))
+    authorized = (F.col("n_rules") == 1) & F.exists("provenance", by_rule)
+    joined = rows.join(won, on, "left").groupBy(*OBJECT, "pointer").agg(
+        F.count(F.lit(1)).alias("n_values"),
+        F.sum(F.size("provenance")).alias("n_sources"),
+        F.min("value_json").alias("one"),
+        F.count_if(authorized).alias("n_authorized"),
+        F.min(F.when(authorized, F.col("value_json"))).alias("authorized"),
+        F.first("n_rules").alias("n_rules"),
+        F.first("rule").alias("rule"),
+    )
+    n = F.col("n_authorized")
     reason = (
         F.when(F.col("n_values") == 1, F.when(F.col("n_sources") == 1, "SINGLE_OBSERVATION").otherwise("AGREEMENT"))
         .when(F.col("n_rules").isNull(), "NO_AUTHORITY_RULE")
@@ -87,19 +86,17 @@ def decide(observations: DataFrame, rules: DataFrame) -> DataFrame:
         .otherwise("AUTHORITATIVE_SOURCE_CONFLICTED")
     )
     open_ = F.col("reason").isin("NO_AUTHORITY_RULE", "AUTHORITATIVE_SOURCE_NOT_OBSERVED", "AUTHORITATIVE_SOURCE_CONFLICTED")
-    effective = F.when(F.col("n_values") == 1, F.get(F.col("values"), F.lit(0))["value_json"]).when(F.col("reason") == "RESOLVED_BY_AUTHORITY", F.get(F.col("authorized"), F.lit(0))["value_json"])
-    decided = joined.withColumn("reason", reason)
-    return decided.select(
+    effective = F.when(F.col("n_values") == 1, F.col("one")).when(F.col("reason") == "RESOLVED_BY_AUTHORITY", F.col("authorized"))
+    return joined.withColumn("reason", reason).select(
         *OBJECT,
         "pointer",
         "n_values",
         "n_sources",
-        "values",
         F.when(open_, "UNRESOLVED_CONFLICT").otherwise(F.col("reason")).alias("state"),
         "reason",
         F.col("reason").isin("SINGLE_OBSERVATION", "AGREEMENT", "RESOLVED_BY_AUTHORITY").alias("has_effective_value"),
         effective.alias("effective_json"),
-        F.when(F.col("n_rules") == 1, F.col("rule")).alias("rule"),
+        F.when((F.col("n_rules") == 1) & (F.col("n_values") > 1), F.col("rule")).alias("rule"),
     )
 
 
@@ -163,3 +160,10 @@ def explain(assessed: DataFrame, object_key: str, pointer: str | None = None) ->
     """Why an object's properties have their values."""
     found = assessed.filter(F.col("object_key") == object_key)
     return found if pointer is None else found.filter(F.col("pointer") == pointer)
+
+
+def candidates(observations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The values between which decisions chose: object_key, pointer, value_json, provenance and chosen."""
+    one = decisions.select("object_key", "pointer", "effective_json", "has_effective_value")
+    rows = normalize(observations).join(one, ["object_key", "pointer"])
+    return rows.select("object_key", "pointer", "value_json", "provenance", (F.col("has_effective_value") & (F.col("value_json") == F.col("effective_json"))).alias("chosen"))

@@ -21,9 +21,14 @@ class Graph(NamedTuple):
     edges: DataFrame
 
 
+def stated(rows: DataFrame, c: str = "provenance") -> DataFrame:
+    """rows with one of their provenances each (column of that name), or none: what provenance_union() takes."""
+    return rows.withColumn(c, F.explode_outer(c))
+
+
 def provenance_union(c: str = "provenance") -> Column:
-    """The sorted union of arrays of provenance, as an aggregate."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    """The sorted union of provenances, as an aggregate of rows that stated() has made."""
+    return F.array_sort(F.collect_set(c)).alias(c)
 
 
 def _merged(rows: DataFrame, key: list[str], payload: list[str], provenance: str | None) -> DataFrame:
@@ -31,9 +36,10 @@ def _merged(rows: DataFrame, key: list[str], payload: list[str], provenance: str
 
     First equal payloads are merged, so the second aggregation has few rows for each key.
     """
+    rows = stated(rows, provenance) if provenance else rows
     same = rows.groupBy(*key, *payload).agg(*([provenance_union(provenance)] if provenance else [F.lit(1).alias("__one")]))
-    merged = same.groupBy(*key).agg(F.count(F.lit(1)).alias("n_payloads"), *(F.first(c).alias(c) for c in payload), *([provenance_union(provenance)] if provenance else []))
-    return merged
+    united = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(provenance)))).alias(provenance)] if provenance else []
+    return same.groupBy(*key).agg(F.count(F.lit(1)).alias("n_payloads"), *(F.first(c).alias(c) for c in payload), *united)
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def problems(graph: Graph) -> DataFrame:
 
 def lineage_edges(assertions: DataFrame) -> DataFrame:
     """Column lineage (output_key, input_key, provenance) as edges: the output depends on the input, once for each pair."""
-    return assertions.groupBy(F.col("output_key").alias("src_key"), F.col("input_key").alias("dst_key")).agg(provenance_union()).select("src_key", F.lit("depends_on").alias("kind"), "dst_key", "provenance")
+    return stated(assertions).groupBy(F.col("output_key").alias("src_key"), F.col("input_key").alias("dst_key")).agg(provenance_union()).select("src_key", F.lit("depends_on").alias("kind"), "dst_key", "provenance")
 
 
 def lineage_columns(assertions: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,45 +10,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .batching import running_sums
+
 #: What each form of context makes available of the dimensions of an entry.
 AVAILABLE = {"none": (), "provenance": ("provenance",), "full": ("provenance", "conflict", "authority", "effective_value")}
 
 
-def states(entries: DataFrame, properties: DataFrame) -> DataFrame:
-    """The state of every property at every entry: those that an entry lacks are there with has_value false.
-
-    entries: entry_index. properties: entry_index, object_key, pointer, has_value, value_json. The grid is the
-    properties ever seen by the entries of one timeline, which are few.
-    """
-    keys = properties.select("object_key", "pointer").distinct()
-    spine = entries.agg(F.array_sort(F.collect_set("entry_index")).alias("at"))
-    grid = keys.join(F.broadcast(spine)).select("object_key", "pointer", F.explode("at").alias("entry_index"))
-    return grid.join(properties, ["entry_index", "object_key", "pointer"], "left").withColumn("has_value", F.coalesce("has_value", F.lit(False)))
+def steps(entries: DataFrame) -> DataFrame:
+    """The entries of one timeline (few, as each is a snapshot) with the entry before and after: entry_index, before_index, after_index."""
+    at = entries.agg(F.array_sort(F.collect_set("entry_index")).alias("at")).select("at", F.posexplode("at").alias("i", "entry_index"))
+    beside = lambda k: F.when(F.col("i") + k >= 0, F.get("at", F.col("i") + k))
+    return at.select("entry_index", beside(-1).alias("before_index"), beside(1).alias("after_index"))
 
 
-def transitions(all_states: DataFrame) -> DataFrame:
-    """Each property between each entry and the next: from_index, to_index, both sides and the change.
+def transitions(entries: DataFrame, properties: DataFrame) -> DataFrame:
+    """Each property between each entry and the next, where either has it: from_index, to_index, both sides, the change.
 
-    A property's entries are as many as the timeline has, so a window over them is small.
+    entries: entry_index. properties: entry_index, object_key, pointer, has_value, value_json. Only rows that are there
+    are looked at, each beside the property's row before and after it; what neither entry has is no row.
     """
     w = Window.partitionBy("object_key", "pointer").orderBy("entry_index")
-    before = F.lag(F.struct("entry_index", "has_value", "value_json")).over(w)
-    pairs = all_states.withColumn("before", before).filter("before IS NOT NULL")
-    b_has, b_json = F.col("before.has_value"), F.col("before.value_json")
-    change = F.when(~b_has & F.col("has_value"), "added").when(b_has & ~F.col("has_value"), "removed").when(b_json.eqNullSafe(F.col("value_json")), "unchanged").otherwise("changed")
-    return pairs.select("object_key", "pointer", F.col("before.entry_index").alias("from_index"), F.col("entry_index").alias("to_index"), b_has.alias("base_has"), b_json.alias("base_json"), F.col("has_value").alias("cand_has"), F.col("value_json").alias("cand_json"), change.alias("change"))
-
-
-def evolution(all_transitions: DataFrame, object_key: str, pointer: str | None = None) -> DataFrame:
-    """The changes of one object; for one property every transition, changed or not."""
-    own = all_transitions.filter(F.col("object_key") == object_key)
-    return own.filter(F.col("pointer") == pointer) if pointer is not None else own.filter("change != 'unchanged'")
+    rows = properties.filter("has_value").select("object_key", "pointer", "entry_index", "value_json").join(steps(entries), "entry_index")
+    rows = rows.withColumns({"last": F.lag(F.struct("entry_index", "value_json")).over(w), "following": F.lead("entry_index").over(w)})
+    held = F.coalesce(F.col("last.entry_index") == F.col("before_index"), F.lit(False))
+    was = F.when(held, F.col("last.value_json"))
+    change = F.when(~held, "added").when(was.eqNullSafe(F.col("value_json")), "unchanged").otherwise("changed")
+    pair = lambda a, b, a_has, a_json, b_has, b_json, what: F.struct(F.col(a).alias("from_index"), F.col(b).alias("to_index"), a_has.alias("base_has"), a_json.alias("base_json"), b_has.alias("cand_has"), b_json.alias("cand_json"), what.alias("change"))
+    none, yes, no = F.lit(None).cast("string"), F.lit(True), F.lit(False)
+    into = F.when(F.col("before_index").isNotNull(), pair("before_index", "entry_index", held, was, yes, F.col("value_json"), change))
+    gone = F.col("after_index").isNotNull() & ~F.col("following").eqNullSafe(F.col("after_index"))
+    out = F.when(gone, pair("entry_index", "after_index", yes, F.col("value_json"), no, none, F.lit("removed")))
+    return rows.select("object_key", "pointer", F.explode(F.filter(F.array(into, out), lambda x: x.isNotNull())).alias("x")).select("object_key", "pointer", "x.*")
+
+
+def transition_counts(entries: DataFrame, properties: DataFrame) -> DataFrame:
+    """How many properties make each change between each entry and the next. A property that any entry has and neither
+    of the two is counted as unchanged."""
+    moved = transitions(entries, properties).groupBy("from_index", "to_index", "change").agg(F.count(F.lit(1)).alias("n"))
+    every = properties.filter("has_value").select("object_key", "pointer").distinct().agg(F.count(F.lit(1)).alias("n"))
+    pairs = steps(entries).filter("after_index IS NOT NULL").select(F.col("entry_index").alias("from_index"), F.col("after_index").alias("to_index"), F.lit("unchanged").alias("change"))
+    rest = moved.select("from_index", "to_index", F.lit("unchanged").alias("change"), -F.col("n"))
+    counted = moved.unionByName(rest.toDF("from_index", "to_index", "change", "n")).unionByName(pairs.join(F.broadcast(every)))
+    return counted.groupBy("from_index", "to_index", "change").agg(F.sum("n").alias("n_properties")).filter("n_properties > 0")
+
+
+def evolution(entries: DataFrame, properties: DataFrame, object_key: str, pointer: str | None = None) -> DataFrame:
+    """The changes of one object; for one property every transition, changed or not, between all entries."""
+    own = properties.filter(F.col("object_key") == object_key)
+    if pointer is None:
+        return transitions(entries, own).filter("change != 'unchanged'")
+    known = transitions(entries, own.filter(F.col("pointer") == pointer)).drop("object_key", "pointer")
+    pairs = steps(entries).filter("after_index IS NOT NULL").select(F.col("entry_index").alias("from_index"), F.col("after_index").alias("to_index"))
+    filled = {"base_has": F.coalesce("base_has", F.lit(False)), "cand_has": F.coalesce("cand_has", F.lit(False)), "change": F.coalesce("change", F.lit("unchanged"))}
+    return pairs.join(known, ["from_index", "to_index"], "left").withColumns({"object_key": F.lit(object_key), "pointer": F.lit(pointer), **filled}).select("object_key", "pointer", *known.columns)
 
 
 def adjacent_duplicates(entries: DataFrame) -> DataFrame:
-    """Entries whose state digest is that of the entry before; they may not be appended. entries: timeline, entry_index, state_digest."""
-    w = Window.partitionBy("timeline").orderBy("entry_index")
-    return entries.withColumn("before", F.lag("state_digest").over(w)).filter("state_digest = before").drop("before")
+    """Entries whose state digest is that of the entry before; they may not be appended. entries: timeline, entry_index, state_digest.
+
+    Each entry meets the one before it by its place in the order of all entries, so a long timeline is no single task.
+    """
+    placed = running_sums(entries.select("timeline", "entry_index", "state_digest"), ["timeline", "entry_index"], [])
+    before = placed.select((F.col("position") + 1).alias("position"), F.col("timeline").alias("b_timeline"), F.col("state_digest").alias("before"))
+    return placed.join(before, "position").filter("timeline = b_timeline AND state_digest = before").select("timeline", "entry_index", "state_digest")
 
 
 def availability(entries: DataFrame) -> DataFrame:

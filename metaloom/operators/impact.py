@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import stored
+from ..shared import small, stored
 
 #: Kinds that a catalog policy can apply to.
 POLICY_KINDS = ("data_source", "dataset", "table", "column")
@@ -24,7 +24,7 @@ def hops(edges: DataFrame) -> DataFrame:
     """The steps that a change can take: from_key, to_key, kind (and the edge's ends)."""
     on = edges.filter(F.col("kind").isin("depends_on", "contains", "governs"))
     back = F.col("kind") == "depends_on"
-    return on.select(F.when(back, F.col("dst_key")).otherwise(F.col("src_key")).alias("from_key"), F.when(back, F.col("src_key")).otherwise(F.col("dst_key")).alias("to_key"), "kind", "src_key", "dst_key").distinct()
+    return on.select(F.when(back, F.col("dst_key")).otherwise(F.col("src_key")).alias("from_key"), F.when(back, F.col("src_key")).otherwise(F.col("dst_key")).alias("to_key"), "kind", "src_key", "dst_key")
 
 
 def step_key(step: Column) -> Column:
@@ -45,7 +45,7 @@ def downstream(edges: DataFrame, roots: DataFrame, most_layers: int | None = Non
     if there are more than most_layers, that is an error."""
     roots = stored(roots.select("root").distinct(), "roots")
     step = F.struct("kind", "src_key", "dst_key")
-    moves = hops(edges).select("from_key", "to_key", step.alias("step"))
+    moves = hops(edges).distinct().select("from_key", "to_key", step.alias("step"))
     moves = moves.repartition("from_key").persist()
     front = roots.select(F.col("root").alias("target"), F.lit(0).alias("distance"), "root", F.col("root").alias("path_key"), F.array().cast("array<struct<kind:string,src_key:string,dst_key:string>>").alias("steps"))
     layers: list[DataFrame] = []
@@ -73,7 +73,7 @@ def reach(edges: DataFrame, roots: DataFrame, most_layers: int | None = None) ->
     """node_key and distance of every node that changes of the roots reach; the roots have 0. As downstream(), without
     paths, so that no layer carries more than its keys."""
     found = stored(roots.select(F.col("root").alias("node_key"), F.lit(0).alias("distance")).distinct(), "reached")
-    moves = hops(edges).select("from_key", "to_key").distinct().repartition("from_key").persist()
+    moves = hops(edges).select("from_key", "to_key").repartition("from_key").persist()
     front = found
     for distance in count(1):
         next_ = front.join(moves, front["node_key"] == moves["from_key"]).select(F.col("to_key").alias("node_key")).distinct()
@@ -116,6 +116,7 @@ def associated_contracts(nodes: DataFrame, edges: DataFrame, closure: DataFrame)
 
 def affected_policies(local: DataFrame, policies: DataFrame) -> DataFrame:
     """Policies whose selector matches a catalog object (kind, local_id) of the impact: policy_id, local_id."""
+    policies = small(policies)
     match = (local["kind"] == policies["kind"]) & (policies["object_id"].isNull() | (policies["object_id"] == local["local_id"])) & (policies["id_prefix"].isNull() | F.col("local_id").startswith(policies["id_prefix"]))
     return local.join(policies, match).select("policy_id", "local_id").distinct()
 

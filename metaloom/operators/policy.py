@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..shared import small
 
 SEVERITIES = ("error", "warning", "info")
 
 
 def selected(objects: DataFrame, policies: DataFrame) -> DataFrame:
-    """Objects with each policy that selects them. A prefix is literal: _ and % are ordinary characters."""
-    p = policies.withColumnRenamed("kind", "policy_kind")
+    """Objects with each policy that selects them. A prefix is literal: _ and % are ordinary characters. Policies are
+    few and broadcast if so, as all objects share some kinds."""
+    p = small(policies.withColumnRenamed("kind", "policy_kind"))
     match = (objects["kind"] == p["policy_kind"]) & (p["object_id"].isNull() | (p["object_id"] == objects["local_id"])) & (p["id_prefix"].isNull() | objects["local_id"].startswith(p["id_prefix"]))
     return objects.join(p, match).drop("policy_kind")
 

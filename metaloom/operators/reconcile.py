@@ -61,12 +61,12 @@ LEVELS = ("ds:", "db:", "sch:", "tbl:", "col:")
 
 
 def execution_order(assets: DataFrame) -> DataFrame:
-    """Actions to carry out with level and order key: creates from the top level down, then updates."""
+    """Actions to carry out with rank: creates from the top level down, then updates; by rank and local_id they are in order."""
     level = F.lit(len(LEVELS))
     for i, prefix in reversed(list(enumerate(LEVELS))):
         level = F.when(F.col("local_id").startswith(prefix), F.lit(i)).otherwise(level)
     rank = F.when(F.col("action") == "create", level).otherwise(F.lit(len(LEVELS) + 1))
-    return assets.filter("action IN ('create', 'update')").withColumn("rank", rank).orderBy("rank", "local_id")
+    return assets.filter("action IN ('create', 'update')").withColumn("rank", rank)
 
 
 def relation_hosts(relations: DataFrame, order: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a rule table up to which it is broadcast.
+SMALL_ROWS = 50_000
+
+
+def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """rows, to be broadcast where they are counted to be few; else as they are, and the join shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

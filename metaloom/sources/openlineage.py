@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import canonical_json
 from ..functions.documents import descend, elements, filled, get, members, object_of, sorted_array, text
 from ..functions.text import is_uuid, is_zoned_timestamp, strip
-from ..operators.graph import merge_edges, merge_nodes, provenance_union
+from ..operators.graph import merge_edges, merge_nodes, provenance_union, stated
 from .base import EDGE_COLUMNS, NODE_COLUMNS, Mapped, contains, containers, json_text, key_of, observe, whole_texts, with_table_key
 
 #: Facets that say something about a dataset.
@@ -68,7 +68,9 @@ def facet_states(rows: DataFrame) -> DataFrame:
     for name, value in fields.items():
         material = F.when(F.col("facet") == name, value).otherwise(material)
     rows = own.select("ns", "name", "facet", material.alias("material"), _stated(F.coalesce(text(get(f, "_producer")), F.lit(""))).alias("provenance"))
-    return rows.groupBy("ns", "name", "facet").agg(F.count_distinct("material").alias("n_materials"), F.min("material").alias("material"), provenance_union())
+    ends = rows.groupBy("ns", "name", "facet").agg(F.min("material").alias("material"), F.max("material").alias("last"))
+    by = stated(rows).groupBy("ns", "name", "facet").agg(provenance_union())
+    return ends.join(by, ["ns", "name", "facet"]).select("ns", "name", "facet", F.when(F.col("material") == F.col("last"), 1).otherwise(2).alias("n_materials"), "material", "provenance")
 
 
 def identities(rows: DataFrame, facets: DataFrame, namespace: str) -> DataFrame:
@@ -101,14 +103,15 @@ def _columns(known: DataFrame, facets: DataFrame, namespace: str) -> DataFrame:
 
 
 def lineage(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """depends_on edges of each run's (all its events') or job's outputs on its inputs."""
+    """depends_on edges of each run's (all its events') or job's outputs on its inputs, one for each pair of datasets."""
     unit = F.when(F.col("kind") == "run", F.concat(F.lit("run:"), "run_id")).otherwise(F.concat(F.lit("job:"), F.col("event_key").cast("string")))
-    job = F.concat_ws("/", "job_namespace", "job_name")
-    ends = rows.filter("kind IN ('run', 'job')").withColumn("unit", unit).join(known.select("ns", "name", "node_key"), ["ns", "name"])
-    stated = ends.groupBy("unit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(_stated(job))))).alias("provenance"))
+    ends = rows.filter("kind IN ('run', 'job')").withColumn("unit", unit)
+    said = ends.select("unit", F.get(_stated(F.concat_ws("/", "job_namespace", "job_name")), F.lit(0)).alias("provenance")).distinct()
+    ends = ends.join(known.select("ns", "name", "node_key"), ["ns", "name"])
     one = lambda side, name: ends.filter(F.col("side") == side).select("unit", F.col("node_key").alias(name)).distinct()
-    pairs = one("output", "src_key").join(one("input", "dst_key"), "unit").join(stated, "unit")
-    return pairs.select("src_key", F.lit("depends_on").alias("kind"), "dst_key", F.lit("{}").alias("attributes_json"), "provenance")
+    pairs = one("output", "src_key").join(said, "unit").join(one("input", "dst_key"), "unit")
+    united = pairs.groupBy("src_key", "dst_key").agg(provenance_union())
+    return united.select("src_key", F.lit("depends_on").alias("kind"), "dst_key", F.lit("{}").alias("attributes_json"), "provenance")
 
 
 def column_lineage(rows: DataFrame, known: DataFrame, namespace: str) -> DataFrame:
@@ -118,7 +121,7 @@ def column_lineage(rows: DataFrame, known: DataFrame, namespace: str) -> DataFra
     ins = outs.select("ns", "name", "schema_url", "by", "field", F.explode(elements(get(members(F.col("json")), "inputFields"))).alias("json")).withColumn("i", members(F.col("json")))
     i = F.col("i")
     ins = ins.select("ns", "name", strip(F.col("field")).alias("field"), strip(text(get(i, "namespace"))).alias("in_ns"), strip(text(get(i, "name"))).alias("in_name"), strip(text(get(i, "field"))).alias("in_field"), _stated(F.coalesce("by", F.lit(""))).alias("provenance"))
-    ins = ins.groupBy("ns", "name", "field", "in_ns", "in_name", "in_field").agg(provenance_union())
+    ins = stated(ins).groupBy("ns", "name", "field", "in_ns", "in_name", "in_field").agg(provenance_union())
     node = known.select("ns", "name", F.col("node_key").alias("out_parent"), F.col("ancestor_keys").alias("out_up"))
     source = known.select(F.col("ns").alias("in_ns"), F.col("name").alias("in_name"), F.col("node_key").alias("in_parent"), F.col("ancestor_keys").alias("in_up"))
     both = ins.join(node, ["ns", "name"]).join(source, ["in_ns", "in_name"])
@@ -138,8 +141,8 @@ def map_events(events: DataFrame, namespace: str) -> Mapped:
     ns, none = F.lit(namespace), F.lit(None).cast("string")
 
     of = lambda facet, name: facets.filter(F.col("facet") == facet).select("ns", "name", F.col("material").alias(name))
-    stated = rows.select("ns", "name", "provenance").unionByName(facets.select("ns", "name", "provenance")).groupBy("ns", "name").agg(provenance_union())
-    nodes = known.join(of("datasetType", "t"), ["ns", "name"], "left").join(of("storage", "s"), ["ns", "name"], "left").join(of("ownership", "o"), ["ns", "name"], "left").join(stated, ["ns", "name"], "left")
+    by = stated(rows.select("ns", "name", "provenance").unionByName(facets.select("ns", "name", "provenance"))).groupBy("ns", "name").agg(provenance_union())
+    nodes = known.join(of("datasetType", "t"), ["ns", "name"], "left").join(of("storage", "s"), ["ns", "name"], "left").join(of("ownership", "o"), ["ns", "name"], "left").join(by, ["ns", "name"], "left")
     t, s = members(F.col("t")), members(F.col("s"))
     attributes = object_of(dataset_type=get(t, "dataset_type"), dataset_subtype=get(t, "dataset_subtype"), storage_layer=get(s, "storage_layer"), file_format=get(s, "file_format"), ownership=F.col("o"), hierarchy=F.when(~F.col("physical"), F.col("hierarchy")))
     shown = F.when(F.col("physical"), F.col("relation")).otherwise(F.col("name"))
@@ -148,7 +151,7 @@ def map_events(events: DataFrame, namespace: str) -> Mapped:
     claims = column_lineage(rows, known, namespace)
     end = lambda key, field, parent, up: claims.select(F.col(key).alias("node_key"), F.col(field).alias("logical_id"), F.col(parent).alias("parent_key"), F.concat(F.array(parent), up).alias("ancestor_keys"), "provenance")
     ends = end("output_key", "field", "out_parent", "out_up").unionByName(end("input_key", "in_field", "in_parent", "in_up"))
-    new = ends.groupBy("node_key", "logical_id", "parent_key", "ancestor_keys").agg(provenance_union()).join(columns.select("node_key"), "node_key", "left_anti")
+    new = stated(ends).groupBy("node_key", "logical_id", "parent_key", "ancestor_keys").agg(provenance_union()).join(columns.select("node_key"), "node_key", "left_anti")
     new = new.withColumns({"namespace": ns, "kind": F.lit("column"), "name": F.col("logical_id"), "description": none, "attributes_json": F.lit("{}")}).select(*NODE_COLUMNS)
     own = nodes.unionByName(columns).unionByName(new)
     placed = own.unionByName(containers(known.filter("physical"), namespace))
