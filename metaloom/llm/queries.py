@@ -62,5 +62,55 @@ FROM t JOIN g USING (body)
 """
 
 
+#: All pairs of five-word shingle sets at a Jaccard similarity of 0.8 or more, and the components that they make.
+OP7 = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), placed AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t WHERE len(w) > 0
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5_number_lower(concat_ws(' ', x, lead(x, 1) OVER p, lead(x, 2) OVER p, lead(x, 3) OVER p, lead(x, 4) OVER p)) AS g
+  FROM placed WINDOW p AS (PARTITION BY doc_id ORDER BY i) QUALIFY i = 1 OR i <= n - 4
+), s AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n, sum(CAST(g AS HUGEINT)) AS h, min(g) AS low, max(g) AS high FROM shingles GROUP BY doc_id
+), member AS MATERIALIZED (
+  SELECT doc_id, min(doc_id) OVER c AS copy_of, count(*) OVER c AS copies, n FROM s WINDOW c AS (PARTITION BY n, h, low, high)
+), each AS MATERIALIZED (
+  SELECT doc_id AS k, n, copies, g FROM member JOIN shingles USING (doc_id) WHERE doc_id = copy_of
+), pairs AS MATERIALIZED (
+  SELECT a.k AS a, b.k AS b, any_value(a.copies) AS a_copies, any_value(b.copies) AS b_copies FROM each a JOIN each b ON a.g = b.g AND a.k < b.k AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.k, b.k, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))
+), ways AS MATERIALIZED (SELECT a, b, b_copies AS copies FROM pairs UNION ALL SELECT b, a, a_copies FROM pairs
+), walk AS (
+  SELECT DISTINCT a AS root, a AS node FROM ways UNION SELECT w.root, p.b FROM walk w JOIN ways p ON p.a = w.node
+), classes AS (SELECT root AS k, min(node) AS class_id FROM walk GROUP BY root
+), sums AS (SELECT a AS k, count(*) AS n_texts, CAST(sum(copies) AS BIGINT) AS n_rows FROM ways GROUP BY a)
+SELECT m.doc_id, coalesce(c.class_id, m.copy_of) AS class_id, m.copy_of, m.copies - 1 + coalesce(n_rows, 0) AS n_links, coalesce(n_texts, 0) AS n_texts
+FROM member m LEFT JOIN classes c ON c.k = m.copy_of LEFT JOIN sums ON sums.k = m.copy_of
+UNION ALL SELECT doc_id, doc_id, doc_id, 0, 0 FROM t WHERE len(w) = 0
+"""
+
+#: Every run of as many words as a benchmark window has, held against the windows.
+OP10 = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS MATERIALIZED (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), phrases AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, md5_number_lower(array_to_string(w[i:i + 12], ' ')) AS h
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM phrases
+), placed AS MATERIALIZED (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs
+), grams AS (
+  SELECT r, i, size, md5_number_lower(array_to_string(w[i:i + size - 1], ' ')) AS h
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs JOIN sizes ON len(w) >= size)
+), hits AS MATERIALIZED (SELECT r, i, size, item_id FROM grams JOIN phrases USING (size, h)
+), words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM hits) GROUP BY r
+), found AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op6_warc": OP6}
+    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op6_warc": OP6, "op7_ngram_join": OP7, "op10_decontaminate": OP10}
