@@ -309,13 +309,15 @@ def _classes(documents: DataFrame, doc_id: str, text: str, similarity: float, to
     heads = own.filter("n > 0 AND first.doc = doc AND first.mark = mark").select("doc", "n", "digest", "copies", "bands", "bytes")
     heads = shared.stored(heads, "heads")
     # Buckets of more than one set; of those with the same sets one is enough.
-    bands = heads.select("digest", F.explode("bands").alias("band"))
-    marks = [F.sum(F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(1 << 31))).alias(f"mark{i}") for i in range(3)]
-    buckets = bands.groupBy("band").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count(F.lit(1)).alias("sets"), *marks).filter("least != most")
-    buckets = shared.stored(buckets.groupBy("least", "most", "sets", "mark0", "mark1", "mark2").agg(F.min("band").alias("band")).select("band", "sets"), "buckets")
-    blocks = F.ceil(F.col("sets") / BUCKET_SETS).cast("int")
-    met = bands.join(buckets, "band").distinct().select("band", "digest", blocks.alias("blocks"), F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"))
-    met = met.join(heads.select("digest", "bytes").dropDuplicates(["digest"]), "digest")
+    bands = heads.select(F.explode("bands").alias("band"), "digest")
+    many = shared.stored(bands.groupBy("band").count().filter("count > 1").select("band"), "bands")
+    met = shared.stored(bands.join(many, "band").distinct(), "met")
+    marks = [F.sum(F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(1 << 31))).alias(f"mark{i}") for i in range(4)]
+    buckets = met.groupBy("band").agg(F.count(F.lit(1)).alias("sets"), *marks).filter("sets > 1")
+    buckets = buckets.groupBy("sets", "mark0", "mark1", "mark2", "mark3").agg(F.min("band").alias("band"))
+    buckets = shared.stored(buckets.select("band", F.ceil(F.col("sets") / BUCKET_SETS).cast("int").alias("blocks")), "buckets")
+    met = met.join(buckets, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    met = met.join(heads.select("digest", "bytes"), "digest")
     byte = floors(similarity + (1 - similarity) / 256, tolerance)
     near = components(_blocks(met, "band").mapInArrow(partial(_meet, floor=byte), "a binary, b binary"))
     # The whole shingle sets of clusters, made once.
