@@ -3,11 +3,14 @@
 The holders table has a row for each document and long line in it; the reference-count table has for each line key the
 number of documents that hold it and the largest of them. A key that enough documents hold is repeated; each shard of
 keys has a cuckoo filter of its repeated keys, into which keys go when they become repeated and from which they go
-when deletions make them rare again. The filters (if small enough to broadcast) spare the join with the exact table
-the lines that no filter knows; the exact table decides.
+when deletions make them rare again. Filters that are together small enough are broadcast; beyond that the lines are
+sent to the filter of their shard, large shards to several copies of it. Either way the filters spare the join with the
+exact table the lines that no filter knows; the exact table decides.
 
 Nulls: a null text is one empty line. A document without an id is neither counted nor changed. Rows that repeat an id
-count as a document each, but lose the same lines. Lines below the least length never count.
+are one document: they count once and lose the same lines. Ties: of the documents with a line the largest id keeps it,
+in all its rows and places. Lines below the least length never count. Very long texts are split in one task; an empty
+table has an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from . import shared
 MIN_DOCS, MIN_CHARS = 3, 20
 #: Repeated keys of a shard, about, and bytes of all filters that may be broadcast.
 SHARD_KEYS, FILTER_BYTES = 1 << 15, 32 << 20
+#: Lines that one copy of a filter looks at, about, where they are sent to it.
+COPY_LINES = 1 << 22
 SLOTS = 4
 _SPACE = " \t\n\v\f\r"
 
@@ -104,13 +109,15 @@ def _words(keys: pa.Array) -> np.ndarray:
 
 
 class LineIndex(NamedTuple):
-    """holders: key, doc. references: key, n_docs, last_doc. filters: shard, slots (bytes of a cuckoo filter)."""
+    """holders: key, doc, each pair once. references: key, n_docs, last_doc. filters: shard, slots (bytes of a cuckoo
+    filter). The rest says how it was made, and updates keep to that."""
 
     holders: DataFrame
     references: DataFrame
     filters: DataFrame
     shards: int
     min_docs: int
+    min_chars: int
 
 
 def _holders(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -125,7 +132,13 @@ def _holders(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatc
 
 def holders(documents: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     source = documents.select(F.col(doc_id).cast("bigint").alias("doc"), shared.text_or_empty(text).alias("words"))
-    return source.filter("doc IS NOT NULL").mapInArrow(partial(_holders, least=min_chars), "key binary, doc bigint")
+    source = source.filter("doc IS NOT NULL")
+    held = source.mapInArrow(partial(_holders, least=min_chars), "key binary, doc bigint")
+    # Ids that several rows have are few, as a rule: only their lines are made distinct.
+    again = shared.stored(source.groupBy("doc").count().filter("count > 1").select("doc"), "repeated")
+    if again.isEmpty():
+        return held
+    return held.join(again, "doc", "left_anti").select("key", "doc").unionByName(held.join(again, "doc", "left_semi").select("key", "doc").distinct())
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -171,30 +184,41 @@ def build_index(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     repeated = references.filter(F.col("n_docs") >= min_docs)
     shards = shards or max(1, -(-repeated.count() // SHARD_KEYS))
     filters = shared.stored(_filters(repeated.select("key", F.lit(1).alias("change")), None, shards), "filters")
-    return LineIndex(held, references, filters, shards, min_docs)
+    return LineIndex(held, references, filters, shards, min_docs, min_chars)
 
 
-def update_index(index: LineIndex, added: DataFrame | None = None, removed: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> LineIndex:
-    """The index with documents added and with the ids in removed deleted; only keys that they touch are counted again."""
+def update_index(index: LineIndex, added: DataFrame | None = None, removed: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
+    """The index with documents added and with the ids in removed deleted; an id that is removed and added is replaced.
+
+    Added lines are a table beside the old ones; deletions write the holders anew. Only keys that the change touches are
+    counted again, and only filters of shards whose repeated keys change are loaded; the other filters stay.
+    """
     held, touched = index.holders, None
     if removed is not None:
         gone = removed.select(F.col(doc_id).cast("bigint").alias("doc")).distinct()
         touched = held.join(gone, "doc", "left_semi").select("key")
-        held = held.join(gone, "doc", "left_anti")
+        held = shared.stored(held.join(gone, "doc", "left_anti").select("key", "doc"), "holders")
     if added is not None:
-        new = shared.stored(holders(added, doc_id, text, min_chars), "holders-new")
+        new = shared.stored(holders(added, doc_id, text, index.min_chars).join(held, ["key", "doc"], "left_anti"), "holders-new")
         touched = new.select("key") if touched is None else touched.unionByName(new.select("key"))
         held = held.select("key", "doc").unionByName(new)
     if touched is None:
         return index
-    held, touched = shared.stored(held.select("key", "doc"), "holders"), shared.stored(touched.distinct(), "touched")
-    recounted = counted(held.join(touched, "key", "left_semi"))
+    touched = shared.stored(touched.distinct(), "touched")
+    recounted = shared.stored(counted(held.join(touched, "key", "left_semi")), "recounted")
     references = shared.stored(index.references.join(touched, "key", "left_anti").unionByName(recounted), "references")
-    now = references.filter(F.col("n_docs") >= index.min_docs).select("key", F.lit(1).alias("now"))
-    was = index.references.filter(F.col("n_docs") >= index.min_docs).select("key", F.lit(1).alias("was"))
-    both = now.join(was, "key", "full").select("key", (F.coalesce("now", F.lit(0)) - F.coalesce("was", F.lit(0))).alias("change"))
-    filters = shared.stored(_filters(both, index.filters, index.shards), "filters")
-    return LineIndex(held, references, filters, index.shards, index.min_docs)
+    many = F.col("n_docs") >= index.min_docs
+    now = recounted.filter(many).select("key", F.lit(1).alias("now"))
+    was = index.references.join(touched, "key", "left_semi").filter(many).select("key", F.lit(1).alias("was"))
+    change = now.join(was, "key", "full").select("key", (F.coalesce("now", F.lit(0)) - F.coalesce("was", F.lit(0))).alias("change")).filter("change != 0")
+    moved = shared.stored(change.withColumn("shard", _shard(index.shards)), "moved")
+    open_ = moved.select("shard").distinct()
+    # A filter that gets full is made anew, so all repeated keys of its shard come along.
+    stay = references.filter(many).select("key", _shard(index.shards).alias("shard")).join(open_, "shard", "left_semi").join(moved.select("key"), "key", "left_anti")
+    keys = moved.select("key", "change").unionByName(stay.select("key", F.lit(0).alias("change")))
+    made = _filters(keys, index.filters.join(open_, "shard", "left_semi"), index.shards)
+    filters = shared.stored(index.filters.join(open_, "shard", "left_anti").unionByName(made), "filters")
+    return LineIndex(held, references, filters, index.shards, index.min_docs, index.min_chars)
 
 
 def _known(it: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
@@ -209,13 +233,46 @@ def _known(it: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep)).select(["key", "doc"])
 
 
-def losses(index: LineIndex, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def _sifted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and copy, before whose lines stands their filter: the lines that the filter knows."""
+    where, own = None, None
+    for batch in it:
+        shard, copy = batch.column("shard").to_numpy(), batch.column("copy").to_numpy()
+        is_filter = batch.column("slots").is_valid().to_numpy(zero_copy_only=False)
+        keep = np.zeros(len(batch), bool)
+        starts = np.flatnonzero(np.concatenate([[len(batch) > 0], (shard[1:] != shard[:-1]) | (copy[1:] != copy[:-1])]))
+        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+            if (shard[a], copy[a]) != where:
+                where, own = (shard[a], copy[a]), None
+            if is_filter[a]:
+                own = CuckooFilter(0, batch.column("slots")[int(a)].as_py())
+                a += 1
+            if own is not None and a < b:
+                keep[a:b] = own.contains(_words(batch.column("key").slice(a, b - a)))
+        yield batch.filter(pa.array(keep)).select(["key", "doc"])
+
+
+def _sent(index: LineIndex, copy_lines: int) -> DataFrame:
+    """The lines that the filter of their shard knows, each line sent to a copy of it."""
+    shard = _shard(index.shards).alias("shard")
+    copies = index.references.groupBy(shard).agg(F.ceil(F.sum("n_docs") / copy_lines).cast("int").alias("copies"))
+    copies = shared.stored(copies.join(index.filters.select("shard"), "shard"), "copies")
+    none = F.lit(None).cast("binary")
+    filters = index.filters.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "slots", none.alias("key"), F.lit(None).cast("bigint").alias("doc"))
+    lines = index.holders.select(shard, "key", "doc").join(copies, "shard").select("shard", F.pmod(F.xxhash64("doc"), F.col("copies")).cast("int").alias("copy"), none.alias("slots"), "key", "doc")
+    placed = filters.unionByName(lines).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("slots").isNull())
+    return placed.mapInArrow(_sifted, "key binary, doc bigint")
+
+
+def losses(index: LineIndex, filter_bytes: int = FILTER_BYTES, copy_lines: int = COPY_LINES) -> DataFrame:
     """doc, keys: the lines that each document loses; documents that lose none have no row."""
-    spark, rows = index.holders.sparkSession, index.holders
+    spark = index.holders.sparkSession
     size = index.filters.agg(F.coalesce(F.sum(F.octet_length("slots")), F.lit(0))).first()[0]
     if size <= filter_bytes:
         handle = spark.sparkContext.broadcast({r["shard"]: bytes(r["slots"]) for r in index.filters.collect()})
-        rows = rows.select(_shard(index.shards).alias("shard"), "key", "doc").mapInArrow(partial(_known, handle=handle), "key binary, doc bigint")
+        rows = index.holders.select(_shard(index.shards).alias("shard"), "key", "doc").mapInArrow(partial(_known, handle=handle), "key binary, doc bigint")
+    else:
+        rows = _sent(index, copy_lines)
     repeated = index.references.filter(F.col("n_docs") >= index.min_docs)
     lost = rows.join(repeated, "key").filter("doc != last_doc").select("doc", "key")
     return lost.groupBy("doc").agg(F.collect_set("key").alias("keys"))
@@ -245,7 +302,7 @@ def dedup_lines(documents: DataFrame, index: LineIndex | None = None, *, doc_id:
     source = documents.select(F.col(doc_id).cast("bigint").alias("doc"), shared.text_or_empty(text).alias("words"))
     lost = losses(index, filter_bytes).withColumnRenamed("doc", "lost_doc")
     joined = source.join(lost, source["doc"] == lost["lost_doc"], "left").select("doc", "words", "keys")
-    return joined.mapInArrow(partial(_rebuild, least=min_chars), "doc bigint, kept string, n_lines bigint, n_dropped bigint")
+    return joined.mapInArrow(partial(_rebuild, least=index.min_chars), "doc bigint, kept string, n_lines bigint, n_dropped bigint")
 
 
 def drop_repeated_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -255,7 +312,7 @@ def drop_repeated_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: s
     source = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.col(doc_id).cast("bigint").alias("doc"), shared.text_or_empty(text).alias("words"))
     joined = source.join(lost, source["doc"] == lost["lost_doc"], "left").select("row", "words", "keys")
     schema = f"row {joined.schema['row'].dataType.simpleString()}, kept string, n_lines bigint, n_dropped bigint"
-    done = joined.mapInArrow(partial(_rebuild, least=options.get("min_chars", MIN_CHARS)), schema)
+    done = joined.mapInArrow(partial(_rebuild, least=index.min_chars), schema)
     kept = F.when(F.col("row")[text].isNotNull(), F.col("kept"))
     return done.select(*((kept if c == text else F.col("row")[c]).alias(c) for c in documents.columns))
 

@@ -32,7 +32,26 @@ def test_line_dedup_against_brute_force(spark):
     want = lines_of(ROWS)
     assert want[7][1] == 0 and want[3][1] == 2
     assert dropped(line_dedup.dedup_lines(docs)) == want
-    assert dropped(line_dedup.dedup_lines(docs, filter_bytes=0)) == want  # without the filters
+    assert dropped(line_dedup.dedup_lines(docs, filter_bytes=0)) == want  # lines sent to their filters
+
+
+def test_lines_are_sent_to_copies_of_their_filter(spark):
+    rows = [(i, "\n".join(f"line number {j} of some documents" for j in range(i % 7, 9))) for i in range(60)]
+    index = line_dedup.build_index(brute.documents(spark, *rows), shards=2)
+    lost = lambda *args: {r["doc"]: set(r["keys"]) for r in line_dedup.losses(index, *args).collect()}
+    assert lost(0, 5) == lost(0) == lost() and len(lost()) == 59
+    assert line_dedup._sent(index, 5).count() == index.holders.count()
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    docs = brute.documents(spark, (1, LINE), (1, LINE), (2, LINE + "\nx"), (2, "own words"))
+    index = line_dedup.build_index(docs)
+    assert [tuple(r)[1:] for r in index.references.collect()] == [(2, 2)]
+    assert not any(r["n_dropped"] for r in line_dedup.dedup_lines(docs, index).collect())
+    three = line_dedup.update_index(index, added=brute.documents(spark, (3, LINE), (3, LINE), (2, LINE)))
+    assert [tuple(r)[1:] for r in three.references.collect()] == [(3, 3)]
+    got = sorted((r["doc"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, three).collect())
+    assert got == [(1, 1), (1, 1), (2, 0), (2, 1)]
 
 
 def test_line_dedup_keeps_columns_and_null_texts(spark):
