@@ -3,15 +3,19 @@
 A shard is a bounded run of whole documents of one Spark partition. Its words become symbols of 16 bits, its
 suffixes are sorted, and the Burrows-Wheeler transform is held as a wavelet matrix. All test phrases of a benchmark
 search a shard at once, backwards, by wavelet ranks; occurrences are located by walking to sampled suffix positions,
-checked against the full word hashes, and merged to spans. Documents are never shuffled for it.
+checked against the full word hashes, and merged to spans. The windows of the benchmark are made and counted by Spark,
+each once, and taken in passes of a bounded number; with one pass, documents are never shuffled.
 
-Nulls: a null document or item text has no words. An item without words has no window. Repeated items count each.
+Nulls: a null document or item text has no words. An item without words has no window; one without an id is called
+"null". Items that share an id are one item. Rows that repeat a document id stay rows of their own. A very long text is
+a shard of its own. Ties do not occur: spans are merged. An empty benchmark hits nothing; no document, no row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,10 @@ WINDOW = 13
 SHARD_WORDS = 1 << 18
 #: Every so many-th position of a shard keeps its suffix position.
 SAMPLE = 8
-#: Bytes of benchmark text that one pass over the documents takes.
-BENCHMARK_BYTES = 16 << 20
+#: Documents of a shard, at most (they may have no words).
+SHARD_ROWS = 1 << 16
+#: Windows of items that one pass over the documents takes: about 150 bytes each on the driver and in every task.
+PASS_WINDOWS = 1 << 18
 END, BREAK, LEAST = 0, 1, 2
 
 
@@ -147,31 +153,54 @@ class FMIndex:
         return found
 
 
-class Phrases:
-    """The windows of a block of benchmark items: their word hashes, symbols, and the items of each."""
+class Phrases(NamedTuple):
+    """Windows of benchmark items, each once, in flat arrays."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        found: dict[bytes, set[int]] = {}
-        self.window = window
-        self.names = [str(k) for k, _ in items]
-        for i, (_, text) in enumerate(items):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            w, _ = shared.words(raw, np.array([0, len(raw)]))
-            for k in range(max(len(w) - window + 1, min(len(w), 1))):
-                found.setdefault(w[k : k + window].tobytes(), set()).add(i)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(x) // 8 for x in found], np.int64)
-        self.words = np.zeros((len(found), window), np.uint64)
-        for row, x in enumerate(found):
-            self.words[row, window - len(x) // 8 :] = np.frombuffer(x, np.uint64)
-        self.symbols = symbols(self.words)
+    #: Word hashes and symbols, right-aligned in rows of the longest window; how many words each has.
+    words: np.ndarray
+    symbols: np.ndarray
+    lengths: np.ndarray
+    #: Items of window i: names[items[starts[i] : starts[i + 1]]].
+    names: list[str]
+    items: np.ndarray
+    starts: np.ndarray
+
+
+def make_phrases(table: pa.Table, window: int = WINDOW) -> Phrases:
+    """Phrases of a table of item (a name) and window (the bytes of its word hashes), each pair once."""
+    windows, names = table.column("window").combine_chunks().dictionary_encode(), table.column("item").combine_chunks().dictionary_encode()
+    data, offsets = shared.utf8(windows.dictionary)
+    lengths = np.diff(offsets) // 8
+    words = np.zeros((len(lengths), window), np.uint64)
+    row, place = shared.spread(lengths)
+    words[row, window - lengths[row] + place] = data.copy().view(np.uint64)
+    which = windows.indices.to_numpy()
+    by = np.argsort(which, kind="stable")
+    return Phrases(words, symbols(words), lengths, names.dictionary.to_pylist(), names.indices.to_numpy()[by], np.searchsorted(which[by], np.arange(len(lengths) + 1)))
+
+
+def _windows(it: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    for batch, data, offsets in shared.batches(it, "words"):
+        hashes, at = shared.words(data, offsets)
+        counts = np.diff(at)
+        row, place = shared.spread(np.where(counts > 0, np.maximum(counts - window + 1, 1), 0))
+        first, size = at[row] + place, np.minimum(counts[row], window)
+        raw = hashes.tobytes()
+        found = [raw[8 * a : 8 * (a + n)] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(row)), pa.array(found, pa.binary())], names=["item", "window"])
+
+
+def windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """item, window: every window of each item once."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("words"))
+    return items.mapInArrow(partial(_windows, window=window), "item string, window binary").distinct()
 
 
 def shard_hits(hashes: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, list[list[int]], list[list[tuple[int, int]]]]:
     """For each document of a shard: words hit, items that occur, and merged word spans [begin, end)."""
     docs = len(offsets) - 1
     n_hit, items, spans = np.zeros(docs, np.int64), [[] for _ in range(docs)], [[] for _ in range(docs)]
-    if not len(hashes) or not len(phrases.items):
+    if not len(hashes) or not len(phrases.lengths):
         return n_hit, items, spans
     # Equal documents are indexed once.
     same: dict[bytes, int] = {}
@@ -190,9 +219,10 @@ def shard_hits(hashes: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tup
     at = index.locate(low[which] + nth)
     size = phrases.lengths[which]
     good = np.ones(len(at), bool)  # symbols are hashes of 16 bits: compare the whole hashes
-    for k in range(1, phrases.window + 1):
+    width = phrases.words.shape[1]
+    for k in range(1, width + 1):
         on = size >= k
-        good[on] &= full[at[on] + size[on] - k] == phrases.words[which[on], phrases.window - k]
+        good[on] &= full[at[on] + size[on] - k] == phrases.words[which[on], width - k]
     at, size, which = at[good], size[good], which[good]
     edge = np.zeros(len(full) + 1, np.int64)
     np.add.at(edge, at, 1)
@@ -202,7 +232,7 @@ def shard_hits(hashes: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tup
     counts = shared.segment_sums(hit.astype(np.int64), starts)
     pairs: dict[int, set[int]] = {}
     for d, w in set(zip(run[at].tolist(), which.tolist(), strict=True)):
-        pairs.setdefault(d, set()).update(phrases.items[w])
+        pairs.setdefault(d, set()).update(phrases.items[phrases.starts[w] : phrases.starts[w + 1]].tolist())
     turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     begin, end = turn[::2], turn[1::2]
     own: dict[int, list[tuple[int, int]]] = {}
@@ -218,33 +248,50 @@ def shard_hits(hashes: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tup
 _SCHEMA = "{id} {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<begin:bigint,end:bigint>>"
 
 
-def _search(it: Iterator[pa.RecordBatch], handle, id_column: str, text: str, shard_words: int) -> Iterator[pa.RecordBatch]:
-    phrases: Phrases = handle.value
-    keys: list[pa.Array] = []
+def _shards(it: Iterator[pa.RecordBatch], text: str, shard_words: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Runs of whole rows with their word hashes and where each row's start."""
+    rows: list[pa.RecordBatch] = []
     held: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
-    total = 0
-
-    def out() -> pa.RecordBatch:
-        hashes, counts = np.concatenate(held), np.concatenate(sizes)
-        n_hit, items, spans = shard_hits(hashes, np.concatenate([[0], np.cumsum(counts)]), phrases)
-        key = pa.concat_arrays(keys)
-        names = [sorted(phrases.names[i] for i in x) for x in items]
-        marks = [[{"begin": a, "end": b} for a, b in x] for x in spans]
-        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([key, pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(marks, kind)], names=[id_column, "n_words", "n_hit", "items", "spans"])
-
     for batch, data, offsets in shared.batches(it, text):
         hashes, at = shared.words(data, offsets)
-        keys.append(batch.column(id_column))
+        rows.append(batch)
         held.append(hashes)
         sizes.append(np.diff(at))
-        total += len(hashes)
-        if total >= shard_words:
-            yield out()
-            keys, held, sizes, total = [], [], [], 0
-    if keys:
-        yield out()
+        if sum(map(len, held)) >= shard_words or sum(map(len, rows)) >= SHARD_ROWS:
+            yield rows, np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            rows, held, sizes = [], [], []
+    if rows:
+        yield rows, np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _search(it: Iterator[pa.RecordBatch], handle, id_column: str, text: str, shard_words: int) -> Iterator[pa.RecordBatch]:
+    phrases: Phrases = handle.value
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    for rows, hashes, offsets in _shards(it, text, shard_words):
+        n_hit, items, spans = shard_hits(hashes, offsets, phrases)
+        key = pa.concat_arrays([x.column(id_column) for x in rows])
+        names = [sorted(phrases.names[i] for i in x) for x in items]
+        marks = [[{"begin": a, "end": b} for a, b in x] for x in spans]
+        yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(offsets), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(marks, kind)], names=[id_column, "n_words", "n_hit", "items", "spans"])
+
+
+def _change(it: Iterator[pa.RecordBatch], handle, text: str, shard_words: int, share: int | None) -> Iterator[pa.RecordBatch]:
+    """Whole rows: without those that are contaminated (by share), or all with their texts stripped (share None)."""
+    for rows, hashes, offsets in _shards(it, text, shard_words):
+        n_hit, _, spans = shard_hits(hashes, offsets, handle.value)
+        keep = ~((n_hit > 0) & (share * n_hit >= np.diff(offsets))) if share else None
+        done = 0
+        for batch in rows:
+            own = slice(done, done + len(batch))
+            done += len(batch)
+            yield batch.filter(pa.array(keep[own])) if share else _stripped(batch, text, spans[own])
+
+
+def _stripped(batch: pa.RecordBatch, text: str, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    at = batch.schema.get_field_index(text)
+    texts = [x if x is None or not own else strip_spans(x, own) for x, own in zip(batch.column(at).to_pylist(), spans, strict=True)]
+    return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type))
 
 
 def merged(spans):
@@ -259,33 +306,32 @@ def merged(spans):
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, window: int, pass_windows: int) -> tuple[int, Iterator]:
+    """How many passes the benchmark takes, and the broadcast phrases of each (a window is whole in one of them)."""
+    spark = benchmark.sparkSession
+    every = shared.stored(windows(benchmark, item_id, item_text, window), "windows")
+    blocks = max(1, -(-every.count() // pass_windows))
+    part = lambda k: every.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+    return blocks, (spark.sparkContext.broadcast(make_phrases(part(k).toArrow(), window)) for k in range(blocks))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """One row per document: its id, n_words, n_hit, items (ids as sorted strings) and spans of words hit.
 
-    The benchmark's text is measured first and taken in blocks of at most block_bytes or one item; each block is one
-    pass over the documents, and the passes' spans are merged by id and text. Rows that repeat an id (with the same
-    text or another) stay rows of their own; other columns change nothing; an empty benchmark hits nothing.
+    Each pass_windows windows of the benchmark are a pass over the documents; the passes' spans are merged by id and text.
     """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("words"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("words") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
+    blocks, handles = _passes(benchmark, item_id, item_text, window, pass_windows)
     key = F.col(doc_id) if blocks == 1 else F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"))
     source = documents.select(key.alias("doc"), F.col(text).alias("words"))
     kind = source.schema["doc"].dataType.simpleString()
-    passes = []
-    for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(blocks)) == k)
-        handle = spark.sparkContext.broadcast(Phrases([(r["item"], r["words"]) for r in part.orderBy(F.col("item").cast("string")).collect()], window))
-        found = source.mapInArrow(partial(_search, handle=handle, id_column="doc", text="words", shard_words=shard_words), _SCHEMA.format(id="doc", kind=kind))
-        passes.append(found.withColumn("block", F.lit(k)))
+    passes = [source.mapInArrow(partial(_search, handle=x, id_column="doc", text="words", shard_words=shard_words), _SCHEMA.format(id="doc", kind=kind)) for x in handles]
     if blocks == 1:
-        return passes[0].drop("block").withColumnRenamed("doc", doc_id)
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
+        return passes[0].withColumnRenamed("doc", doc_id)
+    every = passes[0].withColumn("block", F.lit(0))
+    for k, p in enumerate(passes[1:]):
+        every = every.unionByName(p.withColumn("block", F.lit(k + 1)))
     joined = every.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("block", "items", "spans")).alias("parts"), F.count(F.lit(1)).alias("rows"))
-    joined = joined.withColumns({"items": F.array_sort(F.flatten("parts.items")), "spans": merged(F.flatten("parts.spans"))})
+    joined = joined.withColumns({"items": F.array_sort(F.array_distinct(F.flatten("parts.items"))), "spans": merged(F.flatten("parts.spans"))})
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["begin"])
     copies = F.explode(F.sequence(F.lit(1), (F.col("rows") / blocks).cast("int")))
     return joined.select(F.col("doc.id").alias(doc_id), "n_words", hit.alias("n_hit"), "items", "spans", copies.alias("copy")).drop("copy")
@@ -298,14 +344,40 @@ def verdicts(found: DataFrame, share: int = 20) -> DataFrame:
     return found.withColumns({"n_items": F.size("items").cast("bigint"), "items_sha256": digest, "contaminated": bad})
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, unchanged, each row once. A null text has no words and stays. Of rows
-    that share an id, those of other texts stay."""
-    mark = F.xxhash64(F.col(text))
-    keyed = documents.select(F.struct(F.col(doc_id).alias("id"), mark.alias("mark")).alias("key"), F.col(text).alias("words"))
-    found = verdicts(contamination(keyed, benchmark, doc_id="key", text="words", **options)).filter("contaminated")
-    bad = found.select(F.col("key.id").alias("bad_doc"), F.col("key.mark").alias("bad_mark")).distinct()
-    return documents.join(bad, documents[doc_id].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(documents[text]) == bad["bad_mark"]), "left_anti")
+def _changed(documents: DataFrame, benchmark: DataFrame, text: str, share: int | None, options: dict) -> DataFrame:
+    """Whole rows as _change() gives them. With several passes, hits by id and text are joined to the documents."""
+    search = {"item_id": "item_id", "item_text": "text", "window": WINDOW, "pass_windows": PASS_WINDOWS, "shard_words": SHARD_WORDS, "doc_id": "doc_id"} | options
+    blocks, handles = _passes(benchmark, search["item_id"], search["item_text"], search["window"], search["pass_windows"])
+    names = [f"c{i}" for i in range(len(documents.columns))]  # names may clash
+    own = names[documents.columns.index(text)]
+    plain = documents.toDF(*names)
+    if blocks == 1:
+        step = partial(_change, handle=next(handles), text=own, shard_words=search["shard_words"], share=share)
+        return plain.mapInArrow(step, plain.schema).toDF(*documents.columns)
+    mark = F.struct(F.xxhash64(own).alias("one"), F.sha2(F.coalesce(own, F.lit("")), 256).alias("two"))
+    found = contamination(plain.select(mark.alias("key"), F.col(own).alias("words")).distinct(), benchmark, **(search | {"doc_id": "key", "text": "words"})).filter("n_hit > 0")
+    found = verdicts(found, share or 1).filter("contaminated" if share else "true").select("key", "spans")
+    if share:
+        return plain.withColumn("key", mark).join(found, "key", "left_anti").select(*names).toDF(*documents.columns)
+    joined = plain.withColumn("key", mark).join(found, "key", "left").select(*names, "spans")
+    return joined.mapInArrow(partial(_strip, text=own), plain.schema).toDF(*documents.columns)
+
+
+def _strip(it: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        spans = [[(x["begin"], x["end"]) for x in own or ()] for own in batch.column("spans").to_pylist()]
+        yield _stripped(batch.select(batch.schema.names[:-1]), text, spans)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, unchanged, each row once and judged by its own text whatever its id is.
+    A null text has no words and stays."""
+    return _changed(documents, benchmark, text, 20, options)
+
+
+def strip(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """All documents, without the words of their texts that windows hit (and what stands between those)."""
+    return _changed(documents, benchmark, text, None, options)
 
 
 def strip_spans(text: str | None, spans: list[tuple[int, int]]) -> str:

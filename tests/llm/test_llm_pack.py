@@ -129,7 +129,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 20}, {"block_bytes": 100}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 20}, {"pass_windows": 8}])
 def test_contamination_against_brute_force(spark, options):
     rows = [*TEXTS, *brute.HARD]
     benchmark = spark.createDataFrame([(*x, "z") for x in ITEMS], "item_id bigint, text string, doc string")
@@ -142,7 +142,7 @@ def test_contamination_against_brute_force(spark, options):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, x in want.items() if not x[3])
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 100}])
+@pytest.mark.parametrize("options", [{}, {"pass_windows": 8}])
 def test_a_clean_text_stays_beside_a_contaminated_one_of_its_id(spark, options):
     benchmark = spark.createDataFrame([(*x, "z") for x in ITEMS], "item_id bigint, text string, doc string")
     bad, good = TEXTS[0][1], "nothing of it"
@@ -170,7 +170,11 @@ def test_contamination_of_nothing(spark):
     assert decontam.contamination(docs.limit(0), spark.createDataFrame(ITEMS, benchmark.schema)).count() == 0
 
 
-def test_spans_are_cut_out(spark):
+@pytest.mark.parametrize("options", [{}, {"pass_windows": 8}])
+def test_spans_are_cut_out(spark, options):
     benchmark = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    for r in decontam.contamination(brute.documents(spark, (1, TEXTS[0][1])), benchmark).collect():
-        assert decontam.strip_spans(TEXTS[0][1], [(s["begin"], s["end"]) for s in r["spans"]]) == "before  after"
+    docs = brute.documents(spark, (1, TEXTS[0][1]), (1, "nothing of it"), (2, None), (3, item_words(3, 14)), (None, f"x {item_words(2, 13)}"))
+    done = decontam.strip(docs, benchmark, **options)
+    assert done.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in done.collect()), key=repr) == sorted([(1, "before  after"), (1, "nothing of it"), (2, None), (3, ""), (None, "x ")], key=repr)
+    assert decontam.strip(docs.limit(0), benchmark, **options).count() == 0
