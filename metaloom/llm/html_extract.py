@@ -6,8 +6,9 @@ A class, an id or a form may also be put on a wrapper of the page, so it exclude
 of the page, or at least as much text in marked articles, or more likely text (sure text, beside a marked article),
 than stands around it outside elements of this kind; reader comments stay out wherever there is other likely text.
 The first pass decides the others by link density, length and density of stop words; where the page marks its article,
-a block without links in it counts as text of the article. Short blocks stay undecided and, in the second pass, inherit
-the label of their nearest decided neighbours.
+a block without links in it counts as text of the article. On a page on which no block is text by stop words and no
+article is marked (its language may be another one), link density and length decide alone. Short and preformatted
+blocks stay undecided and, in the second pass, inherit the label of their nearest decided neighbours.
 
 Nulls: a null or empty html has the empty text. Tags that are never closed, comments that do not end and markup cut
 off at the end of the page are read as browsers do, to the end. Drawings (svg) go with what is in them, but one that is
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -49,7 +51,7 @@ STOP_WORDS = frozenset(
 # Tags and words of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
 SPACE_TAGS = frozenset("br td th wbr img annotation annotation-xml".split())
-CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form head header iframe li main menu nav object ol p section select span table td tr ul label".split())
+CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form head header iframe li main menu nav object ol p pre section select span table td tr ul label".split())
 NEVER_TEXT = frozenset("head title nav footer aside menu dialog button select label iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
@@ -77,7 +79,9 @@ _TOKEN = re.compile(
 _SVG_END = re.compile(r"</svg(?=[\s/>])[^>]*+>", re.I)
 _ATTR = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++))?""")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+_HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile(r"[\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 class Block(NamedTuple):
@@ -87,6 +91,8 @@ class Block(NamedTuple):
     #: The number of the marked article that it is in, 0 for none.
     article: int
     never: bool
+    #: In preformatted text.
+    code: bool = False
 
 
 def not_main(tag: str, attrs: str, in_article: bool) -> str:
@@ -125,6 +131,7 @@ def kept_out(found: list[tuple[Block, int, int]], exclusions: list[Exclusion], m
     """Whether each exclusion holds (number 0 is none). found: block, its exclusion, its innermost mark; marks: the
     exclusion around a marked article or main part, and whether it is a main part."""
     n = len(exclusions)
+    by_stops = told_by_stops([x[0] for x in found])
     comments = [False] * n  # in reader comments
     for i in range(1, n):
         comments[i] = exclusions[i].comments or comments[exclusions[i].outer]
@@ -134,7 +141,7 @@ def kept_out(found: list[tuple[Block, int, int]], exclusions: list[Exclusion], m
     text, sure, marked, own_text, own_marked, main = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     other = 0  # outside reader comments
     for block, exclusion, mark in found:
-        kind = first_pass(block)
+        kind = first_pass(block, by_stops)
         size = len(block.text) * (kind in ("good", "near"))
         if not size:
             continue
@@ -167,7 +174,9 @@ def kept_out(found: list[tuple[Block, int, int]], exclusions: list[Exclusion], m
 def blocks(page: str) -> list[Block]:
     """The blocks of a page, in its order, without empty ones."""
     parts: list[str] = []
-    linked, links, heading, articles = 0, 0, False, 0
+    linked, heading, articles = 0, False, 0
+    links = -1  # how many containers were open where the open link began
+    opened: Counter[str] = Counter()  # open containers by tag
     # Open containers: tag, never main text, article, exclusion, innermost mark.
     stack: list[tuple[str, bool, int, int, int]] = []
     found: list[tuple[Block, int, int]] = []
@@ -179,7 +188,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             _, never, article, exclusion, mark = stack[-1] if stack else outside
-            found.append((Block(text, min(linked, len(text)), heading, article, never), exclusion, mark))
+            found.append((Block(text, min(linked, len(text)), heading, article, never, opened["pre"] > 0), exclusion, mark))
         parts.clear()
         linked, heading = 0, False
 
@@ -188,7 +197,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             text = html_module.unescape(text)
             parts.append(text)
-            if links:
+            if links >= 0:
                 linked += len(text.strip())
 
     at, drawings = 0, True  # drawings: whether an svg may still end
@@ -205,7 +214,7 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else at
             continue
         if tag == "a":
-            links = 0 if ends else 1
+            links = len(stack) if not ends and _HREF.search(attrs) else -1
         if tag in SPACE_TAGS:
             parts.append(" ")
         if tag in BLOCK_TAGS:
@@ -228,12 +237,17 @@ def blocks(page: str) -> list[Block]:
                     exclusions.append(Exclusion(exclusion, mine == "comments"))
                     exclusion = len(exclusions) - 1
                 stack.append((tag, never or mine == "never", article, exclusion, mark))
+                opened[tag] += 1
             heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif any(x[0] == tag for x in stack):
+        elif opened[tag]:
             if tag not in BLOCK_TAGS and (stack[-1][1] or stack[-1][3]):
                 close()
-            while stack.pop()[0] != tag:
-                pass
+            last = ""
+            while last != tag:
+                last = stack.pop()[0]
+                opened[last] -= 1
+            if links > len(stack):  # a link that is not closed ends with what it began in
+                links = -1
     add(page[at:])
     close()
     if len(exclusions) == 1:
@@ -244,25 +258,35 @@ def blocks(page: str) -> list[Block]:
     return [block._replace(never=True) if out[exclusion] else block for block, exclusion, _ in found]
 
 
-def first_pass(block: Block) -> str:
+def first_pass(block: Block, by_stops: bool = True) -> str:
     """good, near (probably good), short or bad."""
     size = len(block.text)
     if block.never or block.linked > size * (LINKED_IN_ARTICLE if block.article else LINKED):
         return "bad"
     if block.article:
         return "near" if size < SHORT or block.heading else "good"
-    if size < SHORT or block.heading:
+    if not by_stops:
+        size += 2 * len(_WIDE.findall(block.text))  # characters that are words
+    if size < SHORT or block.heading or block.code:
         return "bad" if block.linked else "short"
     words = _WORD.findall(block.text.lower())
+    if not by_stops:
+        return "bad" if 2 * sum(map(len, words)) < len(block.text) else "good" if size > LONG else "near"
     stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if stops >= MANY_STOPS:
         return "good" if size > LONG else "near"
     return "near" if stops >= SOME_STOPS else "bad"
 
 
+def told_by_stops(found: list[Block]) -> bool:
+    """Whether the stop words fit the page: some block is text by them, or is in a marked article."""
+    return any(first_pass(b) in ("good", "near") for b in found)
+
+
 def labels(found: list[Block]) -> list[bool]:
     """Whether each block is main text. Where the marked articles have most of the text, blocks outside are not."""
-    first = [first_pass(b) for b in found]
+    by_stops = told_by_stops(found)
+    first = [first_pass(b, by_stops) for b in found]
     sizes = [len(b.text) * (kind in ("good", "near")) for b, kind in zip(found, first, strict=True)]
     inside = sum(n for b, n in zip(found, sizes, strict=True) if b.article)
     if inside and 2 * inside >= sum(sizes):

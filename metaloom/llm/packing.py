@@ -12,6 +12,7 @@ packed each. Ties go to the piece that came first.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,8 +39,10 @@ CACHE, SPLIT_BYTES = 600_000, 2 << 20
 END_ID = 1
 
 
-#: The pre-tokens of word_bpe_49k.json, as its file states them (fixed value).
+#: How word_bpe_49k.json normalizes and splits texts, as its file states it (fixed values).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PRE_TOKENS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def byte_characters() -> dict[int, str]:
@@ -53,8 +56,9 @@ def byte_characters() -> dict[int, str]:
 class ChunkTokenizer:
     """Ids of texts, made from the ids of their chunks between spaces and line breaks, which are remembered.
 
-    It fits lower-casing byte-level tokenizers that drop white space and never look across it. Printable Latin-1 chunks
-    are lower-cased and split here and go straight to the model; all others take the whole tokenizer.
+    It fits tokenizers whose file states the normalizer and pre-tokenizer above: they never look across white space and
+    drop it. Printable Latin-1 chunks are lower-cased and split here and go straight to the model; all others take the
+    whole tokenizer. With another file whole texts go to the tokenizer, and nothing is remembered.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -62,6 +66,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        self.by_chunk = (stated["normalizer"], stated["pre_tokenizer"], stated["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None)
         self.model, self.split, self.shown = self.tokenizer.model, regex.compile(PRE_TOKENS), byte_characters()
         self.clear()
 
@@ -94,6 +101,9 @@ class ChunkTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text (null is empty). Each distinct chunk is looked up once."""
+        if not self.by_chunk:
+            each = [x.ids for x in self.tokenizer.encode_batch([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
         if len(self.number) > self.most:
             self.clear()
         number, known = self.number, len(self.number)
@@ -245,8 +255,8 @@ def _pack(it: Iterator[pa.RecordBatch], path: str, tokens: int, segments: int, e
 def pack_documents(documents: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, end_id: int = END_ID) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every id bears loss, so that limit is the token limit. tokenizer is the path of a file for the tokenizers library
-    that drops white space, the same on all executors.
+    Every id bears loss, so that limit is the token limit. tokenizer is the path of a file for the tokenizers library,
+    the same on all executors.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
     source = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("words"))

@@ -78,6 +78,15 @@ def test_examples_respect_all_limits(spark):
         packing.pack_examples(spark.createDataFrame([(1, 2049, 0)], df.schema), example_id="example_id", tokens="n", loss_tokens="loss").collect()
 
 
+def test_another_tokenizer_takes_whole_texts():
+    other = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  words\n and more", None, "", "Über 12345"]
+    ids, counts = other.encode(pa.array(texts))
+    each = [other.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert not other.by_chunk and ids.tolist() == sum(each, []) and counts.tolist() == [len(x) for x in each]
+    assert packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json")).by_chunk
+
+
 # --- decontamination -------------------------------------------------------------------------------------------
 
 

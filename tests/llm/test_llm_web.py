@@ -1,6 +1,7 @@
 """Main text of pages and the content-addressed archive."""
 
 import hashlib
+import time
 import uuid
 
 import brute
@@ -17,6 +18,8 @@ def page(main, before="", after=""):
     return f"<html><head><title>T</title><style>p {{}}</style></head><body>{before}{main}{after}</body></html>"
 
 
+POLISH = "Wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem, żeby porozmawiać o planach budowy nowego mostu, który ma połączyć obie części miasta i skrócić drogę do pracy."
+CHINESE = "昨天晚上，市民们聚集在市政厅前，讨论新桥的建设计划。这座桥将连接城市的两个部分，并缩短上班的路程。"
 NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/news">News of the day and of the week</a></li></ul></nav>'
 FOOTER = "<footer><p>Copyright 2024 by the owners of the site and all of their friends</p></footer>"
 
@@ -35,6 +38,14 @@ FOOTER = "<footer><p>Copyright 2024 by the owners of the site and all of their f
         (f"<p>{PARAGRAPH}", PARAGRAPH),  # never closed
         (f"<article><p>{PARAGRAPH}</p><p class='x", PARAGRAPH),  # cut off in a tag
         (f"<article><p>{PARAGRAPH}</p><!-- open", PARAGRAPH),
+        (page(f'<div class="content no-sidebar"><p>{PARAGRAPH}</p></div>', NAV, FOOTER), PARAGRAPH),
+        (f'<form id="aspnetForm">{NAV}<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><input name="a"></form>', f"{PARAGRAPH}\n\n{PARAGRAPH}"),
+        (f'<a name="top"><p>{PARAGRAPH}</p>', PARAGRAPH),
+        (f'<div><a href="x">Open</div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>', f"{PARAGRAPH}\n\n{PARAGRAPH}"),
+        (page(f"<div><p>{POLISH}</p><p>{POLISH}</p></div>", NAV, FOOTER), f"{POLISH}\n\n{POLISH}"),
+        (page(f"<form><p>{CHINESE}</p></form>", NAV, FOOTER), CHINESE),
+        (f"<p>{PARAGRAPH}</p><pre>x = f(y); z = g(x); if z > 12 return else loop\n y = k(z) while true</pre><p>{PARAGRAPH}</p>", f"{PARAGRAPH}\n\nx = f(y); z = g(x); if z > 12 return else loop y = k(z) while true\n\n{PARAGRAPH}"),
+        (page("", NAV, FOOTER), ""),
         (None, ""),
         ("", ""),
         ("<html><body></body></html>", ""),
@@ -47,6 +58,12 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+def test_stray_end_tags_take_no_time():
+    start = time.perf_counter()
+    assert html_extract.main_text("<div>" * 20_000 + "</section>" * 20_000 + f"<p>{PARAGRAPH}</p>") == PARAGRAPH
+    assert time.perf_counter() - start < 3
+
+
 COMMENTS = f'<div id="comments" class="comments-area"><article class="comment-body"><p>{PARAGRAPH} I liked it.</p></article><article><p>{PARAGRAPH} So did I.</p></article></div>'
 ASIDES = f'<div class="promo"><p>{PARAGRAPH} Buy it.</p></div>'
 
