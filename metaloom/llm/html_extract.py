@@ -321,6 +321,8 @@ def labels(found: list[Block]) -> list[bool]:
             out.append(True)
         else:
             out.append(bool(good) and (not bad or min(good) <= min(bad) or (found[i].heading and after is not None and after[1])))
+    if not any(out):  # a page of short blocks alone, beside menus and footers
+        out = [kind == "short" for kind in first]
     return out
 
 
