@@ -299,13 +299,13 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_plans
+    from . import catalog_plans, catalog_sources
 
-    return QUERIES | catalog_plans.QUERIES
+    return QUERIES | catalog_plans.QUERIES | catalog_sources.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_plans
+    from . import catalog_plans, oracle_sources
     from .oracle import SQL
 
-    return SQL | catalog_plans.SQL
+    return SQL | catalog_plans.SQL | oracle_sources.SQL

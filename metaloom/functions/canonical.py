@@ -107,6 +107,21 @@ def json_string(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
+def escaped(c: Column) -> Column:
+    """Any string as canonical JSON. Printable ASCII takes two replacements; only other text is looked at by character."""
+    short = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
+
+    def one(x: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        out = F.when(x.rlike(r"[\x20-\x7E]"), x).otherwise(units)
+        for plain, with_slash in short.items():
+            out = F.when(x == F.lit(plain), F.lit(with_slash)).otherwise(out)
+        return out
+
+    slow = F.concat(F.lit('"'), F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), one), ""), F.lit('"'))
+    return F.when(c.rlike(r"[^\x20-\x7E]"), slow).otherwise(json_string(c))
+
+
 def node_key(namespace: Column, kind: Column, logical_id: Column, parent: Column | None = None) -> Column:
     """The key of a graph node: a canonical JSON list of namespace, kind, id and the parent's key (or null)."""
     own = F.concat_ws(",", json_string(namespace), json_string(kind), json_string(logical_id))

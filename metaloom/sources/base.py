@@ -53,7 +53,7 @@ def none_stated() -> Column:
 
 def json_text(c: Column) -> Column:
     """A string column as canonical JSON text."""
-    return canonical.canonical_json(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""))
+    return canonical.escaped(c)
 
 
 def key_of(namespace: Column, kind: Column, logical_id: Column, parent: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import filled, get, members, object_of, sorted_array, sorted_texts, text
 from ..operators.graph import merge_nodes
+from ..shared import stored
 from .base import EDGE_COLUMNS, NODE_COLUMNS, Mapped, contains, containers, json_text, key_of, observe, provenance, whole_texts, with_table_key
 
 
@@ -65,12 +66,12 @@ def map_manifests(manifests: DataFrame, namespace: str, default_database: str |
     tables = with_table_key(rows.filter("NOT ephemeral AND database IS NOT NULL").withColumn("logical_id", F.col("relation")), namespace).withColumns({**common, "kind": F.lit("table"), "name": F.col("relation")})
     steps = rows.filter("ephemeral").withColumn("logical_id", F.concat(F.lit("["), get(m, "package_name"), F.lit(","), get(m, "fqn"), F.lit("]")))
     steps = steps.withColumns({**common, "kind": F.lit("transformation"), "name": text(get(m, "name")), "parent_key": F.lit(None).cast("string"), "ancestor_keys": F.array().cast("array<string>"), "node_key": key_of(ns, F.lit("transformation"), F.col("logical_id"))})
-    resources = tables.unionByName(steps, allowMissingColumns=True)
+    resources = stored(tables.unionByName(steps, allowMissingColumns=True), "resources")
     columns = resources.select("provenance", F.col("node_key").alias("parent_key"), F.concat(F.array("node_key"), "ancestor_keys").alias("ancestor_keys"), F.explode(members(get(m, "columns"))).alias("key", "json"))
     columns = columns.withColumn("c", members(F.col("json"))).withColumn("name", text(get(F.col("c"), "name")))
     columns = columns.withColumns({"namespace": ns, "kind": F.lit("column"), "logical_id": F.col("name"), "description": filled(get(F.col("c"), "description")), "attributes_json": _column_attributes(F.col("c")), "node_key": key_of(ns, F.lit("column"), F.col("name"), F.col("parent_key"))})
     own = resources.select(*NODE_COLUMNS).unionByName(columns.select(*NODE_COLUMNS))
-    nodes = own.unionByName(containers(tables, namespace))
+    nodes = own.unionByName(containers(resources.filter("kind = 'table'"), namespace))
 
     registry = resources.select("unique_id", "node_key", "provenance")
     top = manifests.select(members(F.col("text")).alias("top"))

@@ -7,11 +7,12 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.canonical import dumps
+from ..functions.canonical import dumps, loads
 from ..functions.documents import descend, elements, filled, get, members, object_of, sorted_array, sorted_texts, text
-from .base import EDGE_COLUMNS, NODE_COLUMNS, Mapped, contains, key_of, observe, provenance, whole_texts
+from ..functions.text import casefold, strip
+from .base import EDGE_COLUMNS, NODE_COLUMNS, Mapped, contains, json_text, key_of, observe, provenance, whole_texts
 
 
 @F.pandas_udf(StringType())
@@ -24,6 +25,21 @@ def yaml_to_json(document: pd.Series) -> pd.Series:
     return document.map(lambda x: None if x is None else dumps(yaml.safe_load(x) if yaml else json.loads(x)))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def properties_below(property_: pd.Series) -> pd.Series:
+    """The properties of a property (JSON), and those of the items of its lists, however many lists are in each other."""
+
+    def one(x: str | None) -> list[str] | None:
+        found, at = [], None if x is None else loads(x)
+        while isinstance(at, dict):
+            own = at.get("properties")
+            found += own if isinstance(own, list) else []
+            at = at.get("items")
+        return [dumps(v) for v in found]
+
+    return property_.map(one)
+
+
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     return whole_texts(spark, path, ".yaml", ".yml", ".json").withColumn("text", yaml_to_json("text"))
 
@@ -45,6 +61,7 @@ def _attributes(m):
 
 def _contract_attributes(m):
     parts = {to: F.when(get(m, name) != "null", get(m, name)) for name, to in {"version": "version", "status": "status", "domain": "domain", "dataProduct": "data_product", "tenant": "tenant"}.items()}
+    parts["tenant"] = F.when(filled(get(m, "tenant")).isNotNull(), json_text(casefold(strip(text(get(m, "tenant"))))))
     return object_of(**parts, tags=sorted_texts(get(m, "tags")), team=F.coalesce(sorted_array(get(m, "team")), get(m, "team")), roles=sorted_array(get(m, "roles")), custom_properties=sorted_array(get(m, "customProperties")), authoritative_definitions=sorted_array(get(m, "authoritativeDefinitions")))
 
 
@@ -65,16 +82,10 @@ def map_contracts(contracts: DataFrame, namespace: str) -> Mapped:
 
     def level(rows: DataFrame) -> DataFrame:
         """Rows whose column below holds one property each, as columns with the list of properties below them."""
-        rows = rows.withColumn("m", members(F.col("below"))).withColumns({"name": filled(get(m, "name")), "logical_id": F.coalesce(filled(get(m, "id")), filled(get(m, "name")))})
+        rows = rows.withColumnRenamed("below", "json").withColumn("m", members(F.col("json"))).withColumns({"name": filled(get(m, "name")), "logical_id": F.coalesce(filled(get(m, "id")), filled(get(m, "name")))})
         rows = rows.withColumn("node_key", key_of(ns, F.lit("column"), F.coalesce("logical_id", F.lit("")), F.col("parent_key")))
         rows = rows.withColumns({"namespace": ns, "kind": F.lit("column"), "description": _description(m), "attributes_json": _attributes(m)})
-        # Lists of lists: the named properties of all items below belong to this column.
-        items, lists = get(m, "items"), [get(m, "properties")]
-        for _ in range(4):
-            inner = members(items)
-            lists.append(get(inner, "properties"))
-            items = get(inner, "items")
-        every = F.flatten(F.filter(F.array(*(elements(x) for x in lists)), lambda x: x.isNotNull()))
+        every = properties_below(F.col("json"))
         below = F.when(F.size(every) > 0, F.concat(F.lit("["), F.array_join(every, ","), F.lit("]")))
         return rows.select(*NODE_COLUMNS, below.alias("below"))
 

@@ -9,6 +9,7 @@ from ..functions.canonical import canonical_json
 from ..functions.documents import descend, elements, filled, get, members, object_of, sorted_array, text
 from ..functions.text import is_uuid, is_zoned_timestamp, strip
 from ..operators.graph import merge_edges, merge_nodes, provenance_union, stated
+from ..shared import stored
 from .base import EDGE_COLUMNS, NODE_COLUMNS, Mapped, contains, containers, json_text, key_of, observe, whole_texts, with_table_key
 
 #: Facets that say something about a dataset.
@@ -132,12 +133,12 @@ def column_lineage(rows: DataFrame, known: DataFrame, namespace: str) -> DataFra
 def map_events(events: DataFrame, namespace: str) -> Mapped:
     """The graph and observations of lineage events (column event). The order of events does not matter."""
     every = parsed(events.distinct())
-    rows = datasets(every)
+    rows = stored(datasets(every), "datasets")  # what is used more than once is written, so that each event is read twice
     # Inputs of column lineage are datasets too.
     named = rows.select("ns", "name", F.explode(members(get(members(get(F.col("facets"), "columnLineage")), "fields"))).alias("field", "json")).select(F.explode(elements(get(members(F.col("json")), "inputFields"))).alias("json"))
     named = named.select(strip(text(get(members(F.col("json")), "namespace"))).alias("ns"), strip(text(get(members(F.col("json")), "name"))).alias("name"))
-    facets = facet_states(rows)
-    known = identities(rows.select("ns", "name").unionByName(named), facets, namespace)
+    facets = stored(facet_states(rows), "facets")
+    known = stored(identities(rows.select("ns", "name").unionByName(named), facets, namespace), "identities")
     ns, none = F.lit(namespace), F.lit(None).cast("string")
 
     of = lambda facet, name: facets.filter(F.col("facet") == facet).select("ns", "name", F.col("material").alias(name))
@@ -148,7 +149,7 @@ def map_events(events: DataFrame, namespace: str) -> Mapped:
     shown = F.when(F.col("physical"), F.col("relation")).otherwise(F.col("name"))
     nodes = nodes.withColumns({"namespace": ns, "attributes_json": attributes, "description": none, "name": shown}).select(*NODE_COLUMNS)
     columns = _columns(known, facets, namespace).select(*NODE_COLUMNS)
-    claims = column_lineage(rows, known, namespace)
+    claims = stored(column_lineage(rows, known, namespace), "claims")
     end = lambda key, field, parent, up: claims.select(F.col(key).alias("node_key"), F.col(field).alias("logical_id"), F.col(parent).alias("parent_key"), F.concat(F.array(parent), up).alias("ancestor_keys"), "provenance")
     ends = end("output_key", "field", "out_parent", "out_up").unionByName(end("input_key", "in_field", "in_parent", "in_up"))
     new = stated(ends).groupBy("node_key", "logical_id", "parent_key", "ancestor_keys").agg(provenance_union()).join(columns.select("node_key"), "node_key", "left_anti")
