@@ -261,9 +261,13 @@ def stale_categories(spark, d):
     return reconcile.stale_categories(saved, digest(r, "config", "r_name").unionByName(digest(n, "mapping", "n_name")))
 
 
-def batch_pack(spark, d):
+def batch_pack_rows(spark, d):
     parts = P.table(spark, d, "part").select("p_partkey", (1 + F.col("p_size")).cast("bigint").alias("size"), (F.col("p_size") * 5 % 97).cast("bigint").alias("attributes"))
-    return batching.batches(parts, ["p_partkey"], PART_CEILINGS).select("p_partkey", "batch")
+    return batching.batches(parts, ["p_partkey"], PART_CEILINGS)
+
+
+def batch_pack(spark, d):
+    return batch_pack_rows(spark, d).select("p_partkey", "batch")
 
 
 def relation_hosts(spark, d):
@@ -299,13 +303,13 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_plans, catalog_sources
+    from . import catalog_checks, catalog_plans, catalog_sources
 
-    return QUERIES | catalog_plans.QUERIES | catalog_sources.QUERIES
+    return QUERIES | catalog_plans.QUERIES | catalog_sources.QUERIES | catalog_checks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_plans, oracle_sources
+    from . import catalog_checks, catalog_plans, oracle_sources
     from .oracle import SQL
 
-    return SQL | catalog_plans.SQL | oracle_sources.SQL
+    return SQL | catalog_plans.SQL | oracle_sources.SQL | catalog_checks.sql()

@@ -94,3 +94,19 @@ def orphans(changes: DataFrame, ancestors: DataFrame) -> DataFrame:
     """
     moved = changes.filter("change IN ('added', 'removed')").select(F.col("object_key").alias("ancestor_key"), F.col("change").alias("up"))
     return ancestors.join(moved, "ancestor_key").join(changes.select("object_key", "change"), "object_key").filter("change != up").select("object_key", "ancestor_key")
+
+
+def problems(changes: DataFrame, properties: DataFrame) -> DataFrame:
+    """What is wrong with a stored comparison: object_key and problem. Its counts must be those of its property rows,
+    which only changed objects have, and of which the sides differ."""
+    n = properties.groupBy("object_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(same(F.col("base_has"), F.col("base_json"), F.col("cand_has"), F.col("cand_json"))).alias("n_same"))
+    both = changes.join(n, "object_key", "full").withColumns({"n": F.coalesce("n", F.lit(0)), "n_same": F.coalesce("n_same", F.lit(0))})
+    why = (
+        F.when(F.col("change").isNull(), "property_of_unknown_object")
+        .when(~F.col("change").isin(*CHANGE_RANK, "unchanged"), "unknown_change")
+        .when((F.col("change") != "changed") & (F.col("n") > 0), "property_of_unchanged_object")
+        .when(F.col("n_same") > 0, "equal_sides")
+        .when((F.col("change") == "changed") & (F.col("n") == 0), "changed_without_property")
+        .when(F.col("n_properties") != F.col("n"), "wrong_count")
+    )
+    return both.select("object_key", why.alias("problem")).filter("problem IS NOT NULL")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import is_pointer
+from ..functions.text import is_blank
 from ..shared import small
 from .graph import provenance_union, stated
 
@@ -41,6 +43,24 @@ def rule_set(rules: DataFrame) -> DataFrame:
     return rules.select(*RULE).distinct()
 
 
+def declared(rules: DataFrame) -> DataFrame:
+    """Rules (with a column id), each once with the sorted ids of all that declare it."""
+    return rules.groupBy(*RULE).agg(F.array_sort(F.collect_set("id")).alias("declared_by"))
+
+
+def unfit_observations(observations: DataFrame) -> DataFrame:
+    """Observations that cannot be taken: object_key, pointer and why."""
+    none = lambda c: is_blank(F.col(c))
+    why = (
+        F.when(none("object_key") | none("namespace") | none("kind"), "identity_missing")
+        .when(~is_pointer(F.col("pointer")), "no_pointer")
+        .when(F.col("value_json").isNull(), "value_missing")
+        .when(F.coalesce(F.size("provenance"), F.lit(0)) < 1, "provenance_missing")
+        .when(F.exists("provenance", lambda p: is_blank(p["provider_type"]) | is_blank(p["source_ref"])), "source_missing")
+    )
+    return observations.select("object_key", "pointer", why.alias("problem")).filter("problem IS NOT NULL")
+
+
 def ambiguous_selectors(rules: DataFrame) -> DataFrame:
     """Selectors with more than one authority: a rule set must have none when it is loaded."""
     return rule_set(rules).groupBy("kind", "pointer", "namespace").agg(F.count(F.lit(1)).alias("n_authorities")).filter("n_authorities > 1")

@@ -81,6 +81,19 @@ def availability(entries: DataFrame) -> DataFrame:
     return entries.select("entry_index", *(has(d) for d in AVAILABLE["full"]))
 
 
+def dimension_pairs(entries: DataFrame, facts: DataFrame) -> DataFrame:
+    """What dimension_changes() takes, for each entry and the next. entries: entry_index, context. facts: entry_index,
+    object_key, dimension, payload_json (canonical). A row for each object and dimension that either entry states."""
+    has = availability(entries).select("entry_index", F.explode(F.array(*(F.struct(F.lit(x).alias("dimension"), F.col(f"has_{x}").alias("available")) for x in AVAILABLE["full"]))).alias("x")).select("entry_index", "x.*")
+    at = steps(entries).filter("after_index IS NOT NULL").select(F.col("entry_index").alias("from_index"), F.col("after_index").alias("to_index"))
+    key = ["from_index", "to_index", "object_key", "dimension"]
+    base = facts.join(at, facts["entry_index"] == at["from_index"]).select(*key, F.col("payload_json").alias("base_json"))
+    cand = facts.join(at, facts["entry_index"] == at["to_index"]).select(*key, F.col("payload_json").alias("cand_json"))
+    side = lambda index, name: has.select(F.col("entry_index").alias(index), "dimension", F.col("available").alias(name))
+    both = base.join(cand, key, "full").join(side("from_index", "base_available"), ["from_index", "dimension"]).join(side("to_index", "cand_available"), ["to_index", "dimension"])
+    return both.select(*key, "base_available", "cand_available", "base_json", "cand_json")
+
+
 def dimension_changes(pairs: DataFrame) -> DataFrame:
     """pairs: dimension, base_available, cand_available, base_json, cand_json. A change is told only if both sides are
     there and differ."""
