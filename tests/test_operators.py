@@ -180,6 +180,28 @@ def test_batches_are_greedy(spark, weights, most):
     assert got == known
 
 
+def test_batches_with_weights_that_are_zero_and_names_of_any_kind(spark):
+    rows = spark.createDataFrame([(i, i % 3, 1) for i in range(40)], "k int, n bigint, rows bigint").repartition(3)
+    got = {r["k"]: r["batch"] for r in batching.batches(rows, ["k"], {"n": 5, "rows": 4}).collect()}
+    batch, total, count = 0, 0, 0
+    for i in range(40):
+        if total + i % 3 > 5 or count + 1 > 4:
+            batch, total, count = batch + 1, 0, 0
+        total, count = total + i % 3, count + 1
+        assert got[i] == batch
+    with pytest.raises(ValueError, match="no weight"):
+        batching.batches(rows, ["k"], {"n": 5})
+
+
+def test_evolution_of_one_property_tells_every_transition(spark):
+    entries = spark.createDataFrame([(i,) for i in (0, 1, 2, 5)], "entry_index int")
+    rows = spark.createDataFrame([(1, "o", "/p", True, "1"), (2, "o", "/p", True, "1"), (0, "o", "/q", True, "2")], "entry_index int, object_key string, pointer string, has_value boolean, value_json string")
+    own = history.evolution(entries, rows, "o", "/p").orderBy("from_index").collect()
+    assert [(r["from_index"], r["to_index"], r["change"]) for r in own] == [(0, 1, "added"), (1, 2, "unchanged"), (2, 5, "removed")]
+    counted = {(r["from_index"], r["change"]): r["n_properties"] for r in history.transition_counts(entries, rows).collect()}
+    assert counted == {(0, "added"): 1, (0, "removed"): 1, (1, "unchanged"): 2, (2, "removed"): 1, (2, "unchanged"): 1}
+
+
 def test_a_single_command_above_the_ceiling_is_an_error(spark):
     with pytest.raises(ValueError):
         batching.batches(spark.createDataFrame([(1, 50_001)], "k int, w bigint"), ["k"], {"w": 50_000})

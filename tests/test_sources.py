@@ -70,6 +70,15 @@ def test_contract(spark):
     assert odcs.map_contracts(texts(spark, {"version": "1"}), "ns").problems.count() == 1
 
 
+def test_items_are_followed_to_their_end(spark):
+    below = {"properties": [{"name": "deep"}]}
+    for _ in range(6):
+        below = {"items": below}
+    m = base.checked(odcs.map_contracts(texts(spark, {"id": "c", "version": "1", "tenant": " ACME ß ", "schema": [{"name": "d", "properties": [{"name": "lists", **below}]}]}), "ns"))
+    assert names(m.nodes) == {("contract", "c"), ("dataset", "d"), ("column", "lists"), ("column", "deep")}
+    assert [r["value_json"] for r in m.observations.filter("pointer = '/attributes/tenant'").collect()] == ['"acme ss"']
+
+
 def event(run, job, inputs, outputs, **more):
     return {"eventTime": "2024-01-01T00:00:00Z", "producer": "p", "schemaURL": "u", "run": {"runId": run}, "job": {"namespace": "j", "name": job}, "inputs": inputs, "outputs": outputs, **more}
 
@@ -118,6 +127,12 @@ def test_catalog_model(spark):
     assert assets["col:src/shop/sales/orders/who"]["attributes"] == {"d": "c", "t": "int"}
     objects, properties = catalog.snapshot(m)
     assert objects.count() == 9 and properties.filter("pointer = '/nullable'").count() == 3
+    for data in ([], [("a", "me", None), ("b", "me", None)]):
+        with pytest.raises(ValueError, match="one database"):
+            catalog.build_model(catalog_rows(spark)._replace(database=spark.createDataFrame(data, "database_name string, owner_name string, description string")), "src")
+    index = {r["local_id"]: r["node_key"] for r in catalog.physical_index(m, "ns").collect()}
+    assert index["col:src/shop/sales/people/id"] == '["ns","column","id",["ns","table","people",["ns","dataset","sales",["ns","data_source","shop",null]]]]'
+    assert catalog.unfit_properties(objects, properties).count() == 0
     lost = catalog.build_model(catalog_rows(spark)._replace(primary_keys=spark.createDataFrame([("sales", "orders", "pk", "nope", 1)], "schema_name string, table_name string, constraint_name string, column_name string, key_ordinal bigint")), "src")
     assert lost.problems.count() == 1
 
@@ -129,6 +144,12 @@ def test_canonical_json(spark):
     assert [r[0] is None for r in bad.select(canonical.json_problem("t")).collect()] == [False, False, False, True]
 
 
+def test_any_text_as_a_json_string(spark):
+    rows = ["", 'a"b\\c', "é€😀", "\x01\x1f\x7f\n\t\b\f\r", "plain", "a$1/", None]
+    got = spark.createDataFrame([(x,) for x in rows], "t string").select("t", canonical.escaped(F.col("t"))).collect()
+    assert {a: b for a, b in got} == {x: None if x is None else json.dumps(x) for x in rows}
+
+
 def test_pointers(spark):
     df = spark.createDataFrame([("a/b~c",)], "t string")
     p = canonical.pointer(F.col("t"), F.lit("x"))
