@@ -4,7 +4,7 @@ Candidates are found by one regular expression and validated by kind: card numbe
 and dates by range, social security numbers by their blank ranges, telephone numbers by their digits. A value becomes
 the number of its place among all values of its format; a keyed Feistel network with modular addition permutes that
 domain, so a pseudonym has the same format and is valid, equal values stay equal in all documents, and whoever has
-the key can turn them back. Separators, country codes and check digits stay what they must be. The name and domain of
+the key can turn them back. The key is an argument; the query takes it from the session. Separators, country codes and check digits stay what they must be. The name and domain of
 an e-mail address become keyed digests (there is no number to permute), its top domain stays.
 
 Nulls: a null text stays null, an empty one empty. What fails its validation, and all other text, stays as it is.
@@ -12,14 +12,15 @@ Nulls: a null text stays null, an empty one empty. What fails its validation, an
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rounds of the network. The key is a parameter; this one is for tests and examples.
-ROUNDS, KEY = 10, "metaloom example key"
+#: Rounds of the network, and the setting of the session that holds the query's key.
+ROUNDS, KEY_SETTING = 10, "spark.metaloom.pii.key"
 #: Days from 1800-01-01 on in 400 years, as a product: the domain of dates.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 #: Steps after which a walk for a date that must read day first ends; it needs so many with probability 0.4 ** 64.
@@ -182,7 +183,7 @@ def _email(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
 _KINDS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(value: Column, key: str = KEY, reverse: bool = False) -> Column:
+def pseudonym(value: Column, key: str, reverse: bool = False) -> Column:
     """A struct (kind, text) for a candidate; kind is null and text the value itself where no validation holds."""
     made = {name: make(value, key, reverse) for name, make in _KINDS.items()}
     kind = F.lit(None).cast("string")
@@ -198,7 +199,7 @@ def pseudonym(value: Column, key: str = KEY, reverse: bool = False) -> Column:
     return let(kind, text)
 
 
-def pseudonymise(documents: DataFrame, *, text: str = "text", key: str = KEY, reverse: bool = False) -> DataFrame:
+def pseudonymise(documents: DataFrame, *, key: str, text: str = "text", reverse: bool = False) -> DataFrame:
     """The rows with the text's personal data replaced, and with found (in place of any such column): the kinds replaced, in order.
 
     reverse turns numbers and dates back with the same key; addresses cannot be turned back.
@@ -218,8 +219,14 @@ def pseudonymise(documents: DataFrame, *, text: str = "text", key: str = KEY, re
     return done.withColumn("found", F.coalesce(kinds, F.array().cast("array<string>"))).drop(pattern_, values_, made_)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session states. Where it states none, a new one that is kept nowhere: equal values are linked
+    within what is made with it, but not with other results, and nobody can turn them back."""
+    return spark.conf.get(KEY_SETTING, "") or secrets.token_hex(32)
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = pseudonymise(documents)
+    done = pseudonymise(documents, key=session_key(spark))
     count = lambda name: F.size(F.filter("found", lambda k: k == name)).cast("bigint").alias(f"n_{name}")
     return done.select("doc_id", "text", F.size("found").cast("bigint").alias("n_found"), *(count(k) for k in _KINDS))

@@ -1,6 +1,7 @@
 """Pseudonyms: validity, linkage, the way back, and what is left alone."""
 
 import datetime
+import random
 import re
 
 import brute
@@ -31,9 +32,9 @@ def shape(text):
     return re.sub("[0-9]", "9", text)
 
 
-def run(spark, texts, **options):
+def run(spark, texts, key="a key of the tests", **options):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    return [(r["text"], r["found"]) for r in pii.pseudonymise(rows, **options).orderBy("doc_id").collect()]
+    return [(r["text"], r["found"]) for r in pii.pseudonymise(rows, key=key, **options).orderBy("doc_id").collect()]
 
 
 @pytest.mark.parametrize("kind", sorted(VALUES))
@@ -100,12 +101,12 @@ def test_days_are_permuted_one_to_one(spark):
 
 def test_hard_rows(spark):
     docs = brute.documents(spark, *brute.HARD, (50, "ip 10.0.0.1"), (51, "ip 10.0.0.1"))
-    done = pii.pseudonymise(docs)
+    done = pii.pseudonymise(docs, key="k")
     assert done.columns == [c for c in docs.columns if c != "found"] + ["found"] or done.columns == docs.columns
     got = {r["doc_id"]: r["text"] for r in done.collect()}
     assert {d: got[d] for d, _ in brute.HARD} == dict(brute.HARD)
     assert got[50] == got[51] != "ip 10.0.0.1"
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.limit(0), key="k").count() == 0
 
 
 def test_no_python_in_the_plan(spark):
@@ -123,3 +124,34 @@ def test_the_smallest_table_loses_its_values(spark):
             assert v not in r["text"]
         if not r["n_found"]:
             assert r["text"] == texts[r["doc_id"]]
+
+
+def test_values_against_plain_python(spark):
+    texts = [f"Write to {v}, or not. Again: {v}" for own in VALUES.values() for v in own]
+    texts += [f"Here is {x} and more" for x in LEFT] + ["3/4/2001, 31/12/1999 4.5.1900", "Ann.Lee@mail.example.org at +1 (555) 010-9999", "", "none"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choices("0123456789-./+() @a", k=40)) for _ in range(500)]
+    plain = brute.Pseudonyms(pii.PATTERNS, "a key of the tests")
+    assert run(spark, texts) == [plain(t) for t in texts]
+
+
+def test_query_against_plain_python(spark):
+    spark.conf.set(pii.KEY_SETTING, "stated")
+    try:
+        done = pii.op8(spark, brute.SF)
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    plain = brute.Pseudonyms(pii.PATTERNS, "stated")
+    texts = {r["doc_id"]: plain(r["text"]) for r in spark.read.parquet(f"{brute.SF}/documents.parquet").collect()}
+    got = done.collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text, found = texts[r["doc_id"]]
+        assert r["text"] == text and r["n_found"] == len(found)
+        assert all(r[f"n_{k}"] == found.count(k) for k in pii.PATTERNS)
+
+
+def test_without_a_stated_key_no_two_results_are_linked(spark):
+    assert pii.session_key(spark) != pii.session_key(spark)
+    one, two = ({r["doc_id"]: r["text"] for r in pii.op8(spark, brute.SF).filter("n_found > 0").collect()} for _ in range(2))
+    assert one.keys() == two.keys() and all(one[k] != two[k] for k in one)
