@@ -7,7 +7,8 @@ scores best among all is cut to fill a sequence that no piece fits; the last seq
 two. Sequence ids are the task's partition number and a counter, so a task that runs again gives the same ids.
 
 Nulls: a null text is empty and gives the end id alone. Null token counts of examples count as 0. Repeated rows are
-packed each. Ties go to the piece that came first.
+packed each. Ties go to the piece that came first. An example larger than a sequence has a row with a null sequence_id
+and offset, so that it can be cut and packed again. An empty table has an empty result; other columns change nothing.
 """
 
 from __future__ import annotations
@@ -121,9 +122,12 @@ class ChunkTokenizer:
 
 
 class Packer:
-    """Packs pieces (key, start, tokens, loss tokens); place(key, start, length, sequence, offset) hears of each."""
+    """Packs pieces (key, start, tokens, loss tokens); place(key, start, length, sequence, offset) hears of each.
 
-    def __init__(self, place: Callable[[object, int, int, int, int], None], tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int | None = None, cut: bool = True, pool: int = POOL, first: int = 0):
+    What may not be cut and is larger than a sequence has none: its sequence and offset are None.
+    """
+
+    def __init__(self, place: Callable[[object, int, int, int | None, int | None], None], tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int | None = None, cut: bool = True, pool: int = POOL, first: int = 0):
         self.place, self.cut, self.pool, self.sequence = place, cut, pool, first
         self.limit = np.array([tokens, segments, tokens if loss is None else loss], np.float64)
         self.need = np.zeros((pool + 1, 3))
@@ -140,8 +144,9 @@ class Packer:
             self._wait(key, start, tokens - start, tokens - start if loss is None else loss)
 
     def _wait(self, key: object, start: int, tokens: int, loss: int) -> None:
-        if not self.cut and ((tokens > self.limit[0]) or loss > self.limit[2]):
-            raise ValueError(f"example {key!r} has {tokens} tokens ({loss} with loss), more than a sequence holds")
+        if not self.cut and (tokens > self.limit[0] or loss > self.limit[2]):
+            self.place(key, start, tokens, None, None)
+            return
         self.need[len(self.what)] = tokens, 1, loss
         self.what.append((key, start))
         if len(self.what) >= self.pool:
@@ -266,22 +271,23 @@ def pack_documents(documents: DataFrame, tokenizer: str, *, doc_id: str = "doc_i
 
 def _pack_examples(it: Iterator[pa.RecordBatch], tokens: int, segments: int, loss: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    held: dict[int, object] = {}
+    held: dict[int, tuple[object, int]] = {}
     kind, row = None, 0
 
-    def place(key: int, start: int, length: int, sequence: int, offset: int) -> None:
-        rows.append((held.pop(key), length, sequence, offset))
+    def place(key: int, start: int, length: int, sequence: int | None, offset: int | None) -> None:
+        example, bearing = held.pop(key)
+        rows.append((example, length, bearing, sequence, offset))
 
     def out() -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
         rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(x, pa.int64()) for x in columns[1:])], names=["example", "length", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(x, pa.int64()) for x in columns[1:])], names=["example", "length", "loss_length", "sequence_id", "offset"])
 
     packer = Packer(place, tokens, segments, loss, cut=False, first=TaskContext.get().partitionId() << 32)
     for batch in it:
         kind = batch.column(0).type
         for key, n, m in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            held[row] = key
+            held[row] = key, m
             packer.add(row, n, m)
             row += 1
         if rows:
@@ -292,19 +298,51 @@ def _pack_examples(it: Iterator[pa.RecordBatch], tokens: int, segments: int, los
 
 
 def pack_examples(examples: DataFrame, *, example_id: str, tokens: str, loss_tokens: str, max_tokens: int = MAX_TOKENS, max_segments: int = 64, max_loss: int = 1024) -> DataFrame:
-    """Whole examples of instruction data in sequences under all three limits: id, length, sequence_id, offset.
-
-    An example larger than a sequence is an error: cut or drop it first.
-    """
+    """Whole examples of instruction data in sequences under all three limits: id, length, loss_length, sequence_id, offset."""
     kind = examples.schema[example_id].dataType.simpleString()
     count = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0))
     source = examples.select(F.col(example_id).alias("example"), count(tokens).alias("n"), count(loss_tokens).alias("m"))
-    packed = source.mapInArrow(partial(_pack_examples, tokens=max_tokens, segments=max_segments, loss=max_loss), f"example {kind}, length bigint, sequence_id bigint, offset bigint")
+    packed = source.mapInArrow(partial(_pack_examples, tokens=max_tokens, segments=max_segments, loss=max_loss), f"example {kind}, length bigint, loss_length bigint, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("example", example_id)
 
 
+def _count_tokens(it: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ChunkTokenizer(path)
+    encoder = _TOKENIZERS[path]
+    for batch in it:
+        for i, j in shared.chunks(shared.utf8(batch.column(1))[1], SPLIT_BYTES):
+            part = batch.slice(i, j - i)
+            _, counts = encoder.encode(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=["key", "n"])
+    encoder.clear()
+
+
+def exchanges(conversations: DataFrame, tokenizer: str, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learned: str = "assistant") -> DataFrame:
+    """Turns 2k and 2k + 1 of a conversation as an example: exchange (a struct of conv_id and k), tokens and loss_tokens.
+
+    A turn has the ids of its text and an end id; those of the learned role bear loss. Counts alone are shuffled, summed
+    in part first. A null turn or conversation is one of its own; rows that repeat a turn are all part of its exchange.
+    """
+    key = F.struct(F.col(conv_id).alias("conv_id"), F.floor(F.col(turn) / 2).cast("bigint").alias("k"), (F.col(role) == learned).alias("bears"))
+    source = conversations.select(key.alias("key"), F.col(text).cast("string").alias("words"))
+    kind = f"key {source.schema['key'].dataType.simpleString()}, n bigint"
+    counted = source.mapInArrow(partial(_count_tokens, path=tokenizer), kind).select(F.struct("key.conv_id", "key.k").alias("exchange"), "key.bears", (F.col("n") + 1).alias("n"))
+    return counted.groupBy("exchange").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(F.lit(0))).alias("loss_tokens"))
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def pack_conversations(spark, sf_dir: str) -> DataFrame:
+    """Whole exchanges of conversations under limits of 2048 tokens, 16 exchanges and 1024 tokens with loss."""
+    import public_tokenizers
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    known = exchanges(conversations, public_tokenizers.path("word_bpe_49k.json"))
+    packed = pack_examples(known, example_id="exchange", tokens="tokens", loss_tokens="loss_tokens", max_segments=16)
+    return packed.select("exchange.conv_id", F.col("exchange.k").alias("exchange"), "length", "loss_length", "sequence_id", "offset")

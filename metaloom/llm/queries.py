@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op8_pii": pii.op8,
         "op9_pack": packing.op9,
         "op10_decontaminate": decontam.op10,
+        # The operator of op9 on whole examples, under all three limits.
+        "pack_conversations": packing.pack_conversations,
     }
 
 

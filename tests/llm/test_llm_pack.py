@@ -74,8 +74,54 @@ def test_examples_respect_all_limits(spark):
         assert at <= 2048 and len(own) <= 7 and sum(known[r["example_id"]][1] for r in own) <= 1024
     bound = max(sum(n for n, _ in known.values()) / 2048, sum(m for _, m in known.values()) / 1024, len(known) / 7)
     assert len(by) <= 1.35 * bound + 4
-    with pytest.raises(Exception, match="more than a sequence holds"):
-        packing.pack_examples(spark.createDataFrame([(1, 2049, 0)], df.schema), example_id="example_id", tokens="n", loss_tokens="loss").collect()
+    assert all(r["loss_length"] == known[r["example_id"]][1] for r in got)
+    large = packing.pack_examples(spark.createDataFrame([(1, 2049, 0), (2, 1025, 1025), (3, 5, 5)], df.schema), example_id="example_id", tokens="n", loss_tokens="loss").collect()
+    assert sorted((r["example_id"], r["length"], r["sequence_id"] is None, r["offset"]) for r in large) == [(1, 2049, True, None), (2, 1025, True, None), (3, 5, False, 0)]
+    assert packing.pack_examples(df.limit(0), example_id="example_id", tokens="n", loss_tokens="loss").count() == 0
+
+
+def check_exchanges(rows, got, tokenizer, tokens=2048, segments=16, loss=1024):
+    """rows: (conv_id, turn, role, text). Asserts that each exchange is there once, whole and in a sequence that it fits."""
+    known = {}
+    for c, t, role, text in rows:
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+        a, b = known.get((c, t if t is None else t // 2), (0, 0))
+        known[c, t if t is None else t // 2] = a + n, b + n * (role == "assistant")
+    assert len(got) == len(known) and {(r["conv_id"], r["exchange"]): (r["length"], r["loss_length"]) for r in got} == known
+    by = {}
+    for r in got:
+        assert (r["sequence_id"] is None) == (r["offset"] is None) == (r["length"] > tokens or r["loss_length"] > loss)
+        if r["sequence_id"] is not None:
+            by.setdefault(r["sequence_id"], []).append(r)
+    full = [0, 0, 0]
+    for own in by.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        bearing = sum(r["loss_length"] for r in own)
+        assert at <= tokens and len(own) <= segments and bearing <= loss
+        full = [full[0] + (at > 0.9 * tokens), full[1] + (len(own) == segments), full[2] + (bearing > 0.9 * loss)]
+    placed = [r for own in by.values() for r in own]
+    least = max(sum(r["length"] for r in placed) / tokens, sum(r["loss_length"] for r in placed) / loss, len(placed) / segments)
+    return len(by), least, full
+
+
+def test_conversations_are_packed_under_all_limits(spark, tokenizer):
+    d = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    used, least, full = check_exchanges(rows, packing.pack_conversations(spark, d).collect(), tokenizer)
+    print(used, least, full)
+    assert used <= 1.3 * least + 4
+
+
+def test_hard_conversations(spark, tokenizer):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", ""), (1, 1, "assistant", "again"), (2, 0, "user", brute.LONG), (2, 1, "assistant", "short"), (3, 1, "assistant", "no question"), (3, 2, None, "no role"), (None, 0, "user", "x"), (4, None, "user", "y"), *[(5, 0, "user", "a"), (5, 1, "assistant", "b")] * 40]
+    df = spark.createDataFrame([(*r, "z", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, n string, exchange int")
+    packed = packing.pack_examples(packing.exchanges(df, PATH), example_id="exchange", tokens="tokens", loss_tokens="loss_tokens", max_segments=2)
+    got = packed.selectExpr("exchange.conv_id", "exchange.k AS exchange", "length", "loss_length", "sequence_id", "offset").collect()
+    check_exchanges(rows, got, tokenizer, segments=2)
+    assert packing.exchanges(df.limit(0), PATH).count() == 0
 
 
 def test_another_tokenizer_takes_whole_texts():
