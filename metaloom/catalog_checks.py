@@ -8,7 +8,8 @@ from . import catalog as C
 from . import projections as P
 from .functions import canonical, text
 from .operators import batching, compare, conflicts, drift, graph, history, impact, policy, reconcile
-from .oracle import _DAILY, _LAYERS, _NODES, _OBS, _RULES, _SIDES, _TIMELINE, SQL as _SQL, _decided
+from .oracle import _CATALOGS, _DAILY, _LAYERS, _NODES, _OBS, _RULES, _SIDES, _TIMELINE, SQL as _SQL, _decided
+from .plans import plan
 
 Query = C.Query
 
@@ -124,9 +125,46 @@ def canonical_texts(spark, d):
     return pages.select("page_id", canonical.canonical_json(made).alias("canonical"), canonical.escaped(F.concat("url", F.lit('€\n"'))).alias("escaped"), canonical.digest("policy", F.col("url")).alias("digest"))
 
 
+def _actions(spark, d):
+    desired, remote = P.desired_and_remote(spark, d)
+    return reconcile.plan_assets(desired, reconcile.managed(remote, "main", ["table"]).filter("managed"))
+
+
+def plan_order(spark, d):
+    """The actions of a plan by their place in it; assets that are there have the remote id of their segment's table."""
+    there = F.when(F.col("action") != "create", F.concat(F.lit("r"), F.substring("local_id", 5, 1)))
+    actions = _actions(spark, d).select("action", F.when(F.col("local_id").endswith("3"), "table").otherwise("column").alias("kind"), "local_id", there.alias("remote_id"))
+    return reconcile.in_plan_order(actions)
+
+
+def execution_positions(spark, d):
+    return plan.ordered(_actions(spark, d)).select("local_id", "position")
+
+
+def observation_order(spark, d):
+    return conflicts.in_entry_order(P.observations(spark, d)).select("object_key", "pointer", "value_json", "position")
+
+
+def preflight_status(spark, d):
+    """Customers as checks of their nation's report: the segment gives the status, those with a debt block."""
+    status = F.when(F.col("c_acctbal") < -900, "INCOMPATIBLE").when(F.col("c_mktsegment") == "BUILDING", "NOT_VERIFIED").when(F.col("c_mktsegment") == "MACHINERY", "WARNING").otherwise("VERIFIED")
+    return reconcile.preflight_status(P.table(spark, d, "customer").select(F.col("c_nationkey").alias("report"), status.alias("status"), (F.col("c_acctbal") < 0).alias("blocking")))
+
+
+def history_unfit_entries(spark, d):
+    """Orders as entries: the status gives the context, the priority which files they name, some have no digest."""
+    o, n = P.table(spark, d, "orders"), F.substring("o_orderpriority", 1, 1).cast("int")
+    context = F.when(F.col("o_orderstatus") == "F", "full").when(F.col("o_orderstatus") == "O", "provenance").when(F.col("o_orderkey") % 10 < 8, "none")
+    files = F.when(n == 4, F.array().cast("array<string>")).when(n > 2, F.array(F.lit("rules.yaml")))
+    digest = F.when(F.col("o_custkey") % 7 == 0, "").when(F.col("o_custkey") % 7 > 1, F.col("o_orderdate").cast("string"))
+    entries = o.select(F.col("o_orderkey").alias("entry_index"), context.alias("context"), F.when(n > 1, "observations.json").alias("observations_path"), files.alias("authority_paths"), F.lit("sha256").alias("algorithm"), F.lit("1").alias("contract_version"), digest.alias("digest"))
+    return history.unfit_entries(entries)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     graph_ancestors, impact_broken_paths, impact_unknown_roots, conflict_candidates, conflict_declarations, observation_problems, compare_problems, history_dimensions, history_availability,
     drift_unfit_rules, policy_unfit, batch_sums, plan_blocking, stale_decisions, text_functions, canonical_texts,
+    plan_order, execution_positions, observation_order, preflight_status, history_unfit_entries,
 )}
 
 SQL = {
@@ -156,6 +194,16 @@ SQL = {
         SELECT p_partkey, CASE WHEN length(p_name) > 8 THEN substr(p_name, 1, 7) || '…' ELSE p_name END AS short, replace(replace(replace(replace(replace(odd, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html,
           replace(replace(odd, '%', '%25'), chr(10), '%0A') AS workflow, trim(odd, ' ' || chr(10)) AS stripped, lower(p_brand) AS folded, replace(p_brand, '#', '\#') AS markdown, replace(odd, chr(10), '\n') AS line, p_size < 9 AS blank FROM p""",
     "canonical_texts": r"""SELECT page_id, '{"n":[1,2.0,true,null],"url":"' || url || '","\u00e9":{"a":"\u20ac","b":1}}' AS canonical, '"' || url || '\u20ac\n\""' AS escaped, sha256('gov-policy-v1' || chr(10) || url) AS digest FROM pages""",
+    "plan_order": f"""WITH {_CATALOGS}, a AS (SELECT action, CASE WHEN local_id LIKE '%3' THEN 'table' ELSE 'column' END AS kind, local_id, CASE WHEN action <> 'create' THEN 'r' || substr(local_id, 5, 1) END AS remote_id FROM plan)
+        SELECT *, row_number() OVER (ORDER BY action, kind, coalesce(local_id, ''), coalesce(remote_id, '')) - 1 AS position FROM a""",
+    "execution_positions": f"WITH {_CATALOGS} SELECT local_id, row_number() OVER (ORDER BY CASE action WHEN 'create' THEN 1 ELSE 2 END, local_id) - 1 AS position FROM plan WHERE action IN ('create', 'update')",
+    "observation_order": f"""WITH {_OBS}, said AS (SELECT object_key, ns, pointer, v, string_agg(DISTINCT '{{"observation_mode":"observed","provider_type":"' || provider || '","source_ref":"' || ref || '","source_version":null}}', ',' ORDER BY '{{"observation_mode":"observed","provider_type":"' || provider || '","source_ref":"' || ref || '","source_version":null}}') AS p FROM obs GROUP BY ALL)
+        SELECT object_key, pointer, v AS value_json, row_number() OVER (ORDER BY object_key, '"' || pointer || '"', '[' || p || ']', v) - 1 AS position FROM said""",
+    "preflight_status": """SELECT c_nationkey AS report, CASE WHEN max(CAST(c_acctbal < -900 AS INT)) = 1 THEN 'INCOMPATIBLE' WHEN bool_or(c_acctbal < 0 AND c_mktsegment = 'BUILDING') THEN 'NOT_VERIFIED'
+        WHEN bool_or(c_acctbal < 0 AND c_mktsegment = 'MACHINERY') THEN 'WARNING' ELSE 'VERIFIED' END AS overall FROM customer GROUP BY c_nationkey""",
+    "history_unfit_entries": """WITH e AS (SELECT o_orderkey AS entry_index, o_orderstatus AS s, CAST(substr(o_orderpriority, 1, 1) AS INT) AS n, o_custkey % 7 < 2 AS bare, o_orderkey % 10 < 8 AS known FROM orders)
+        SELECT entry_index, problem FROM (SELECT entry_index, CASE s WHEN 'F' THEN CASE WHEN n IN (3, 5) THEN CASE WHEN bare THEN 'content_identity' END ELSE 'authority_missing' END WHEN 'O' THEN CASE WHEN n = 2 THEN CASE WHEN bare THEN 'content_identity' END ELSE 'observations_only' END
+        ELSE CASE WHEN NOT known THEN 'unknown_context' WHEN n > 1 THEN 'snapshot_only' WHEN bare THEN 'content_identity' END END AS problem FROM e) WHERE problem IS NOT NULL""",
 }
 
 

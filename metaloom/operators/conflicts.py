@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import is_pointer
+from ..functions.canonical import is_pointer, json_string
 from ..functions.text import is_blank
 from ..shared import small
+from .batching import running_sums
 from .graph import provenance_union, stated
 
 OBJECT = ["object_key", "namespace", "kind"]
@@ -33,6 +34,15 @@ def merge(*sets: DataFrame) -> DataFrame:
     return normalize(every)
 
 
+def in_entry_order(observations: DataFrame) -> DataFrame:
+    """Normalized observations with position, from 0 on, as an artifact lists them: by the canonical JSON texts of
+    their object, pointer, provenance and value."""
+    names = ("observation_mode", "provider_type", "source_ref", "source_version")
+    said = F.to_json(F.transform("provenance", lambda p: F.struct(*(p[x].alias(x) for x in names))), {"ignoreNullFields": "false"})
+    rows = normalize(observations).withColumns({"order_pointer": json_string(F.col("pointer")), "order_provenance": said})
+    return running_sums(rows, ["object_key", "order_pointer", "order_provenance", "value_json"], []).drop("order_pointer", "order_provenance")
+
+
 def pointers(observations: DataFrame) -> DataFrame:
     """How many properties of each object are observed: object_key, n_pointers."""
     return observations.groupBy("object_key").agg(F.count_distinct("pointer").alias("n_pointers"))

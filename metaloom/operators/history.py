@@ -81,6 +81,25 @@ def availability(entries: DataFrame) -> DataFrame:
     return entries.select("entry_index", *(has(d) for d in AVAILABLE["full"]))
 
 
+def unfit_entries(entries: DataFrame) -> DataFrame:
+    """Entries that cannot be in a history: entry_index and why. entries: entry_index, context, observations_path,
+    authority_paths (array), algorithm, contract_version, digest.
+
+    Without context an entry names a snapshot alone, with provenance observations too, with full context authority files
+    as well. A content identity states its algorithm, the version of its hashing contract and the digest.
+    """
+    observed, ruled, files = F.col("observations_path").isNotNull(), F.col("authority_paths").isNotNull(), F.coalesce(F.size("authority_paths"), F.lit(0)) > 0
+    empty = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    why = (
+        F.when(~F.coalesce(F.col("context").isin(*AVAILABLE), F.lit(False)), "unknown_context")
+        .when((F.col("context") == "none") & (observed | ruled), "snapshot_only")
+        .when((F.col("context") == "provenance") & (~observed | ruled), "observations_only")
+        .when((F.col("context") == "full") & ~(observed & files), "authority_missing")
+        .when(empty("algorithm") | empty("contract_version") | empty("digest"), "content_identity")
+    )
+    return entries.select("entry_index", why.alias("problem")).filter("problem IS NOT NULL")
+
+
 def dimension_pairs(entries: DataFrame, facts: DataFrame) -> DataFrame:
     """What dimension_changes() takes, for each entry and the next. entries: entry_index, context. facts: entry_index,
     object_key, dimension, payload_json (canonical). A row for each object and dimension that either entry states."""

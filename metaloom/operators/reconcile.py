@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from .batching import running_sums
 
 
 def sorted_map(c: Column) -> Column:
@@ -69,6 +70,13 @@ def execution_order(assets: DataFrame) -> DataFrame:
     return assets.filter("action IN ('create', 'update')").withColumn("rank", rank)
 
 
+def in_plan_order(actions: DataFrame) -> DataFrame:
+    """Actions (action, kind, local_id, remote_id) with position, from 0 on, as a plan lists them: by all four, a
+    missing id before any other."""
+    keys = {"order_local": F.coalesce("local_id", F.lit("")), "order_remote": F.coalesce("remote_id", F.lit(""))}
+    return running_sums(actions.withColumns(keys), ["action", "kind", *keys], []).drop(*keys)
+
+
 def relation_hosts(relations: DataFrame, order: DataFrame) -> DataFrame:
     """Each new relation with the end that comes later in the order (local_id, position), which carries it."""
     p = order.select("local_id", "position")
@@ -170,3 +178,18 @@ def job_states(jobs: DataFrame) -> DataFrame:
     for (state, result), outcome in JOB_STATES.items():
         out = F.when((F.upper("state") == state) & (F.lit(True) if result is None else F.upper("result").eqNullSafe(F.lit(result))), outcome).otherwise(out)
     return jobs.withColumn("outcome", out)
+
+
+# Statuses of a check before a run, the worst first.
+CHECK_STATUSES = ("INCOMPATIBLE", "OPERATIONAL_FAILURE", "NOT_VERIFIED", "WARNING", "VERIFIED")
+
+
+def preflight_status(checks: DataFrame) -> DataFrame:
+    """The worst status of each report's blocking checks, VERIFIED if it has none. checks: report, status, blocking.
+
+    A status that is none of the known ones is an error.
+    """
+    rank = F.array_position(F.array(*map(F.lit, CHECK_STATUSES)), F.col("status"))
+    known = F.when(rank > 0, rank).otherwise(F.raise_error(F.concat(F.lit("unknown status of a check: "), F.coalesce("status", F.lit("null")))))
+    worst = F.min(F.when(F.col("blocking"), known))
+    return checks.groupBy("report").agg(F.element_at(F.array(*map(F.lit, CHECK_STATUSES)), F.coalesce(worst, F.lit(len(CHECK_STATUSES))).cast("int")).alias("overall"))
