@@ -311,7 +311,8 @@ def _classes(documents: DataFrame, doc_id: str, text: str, similarity: float, to
     # Buckets of more than one set; of those with the same sets one is enough.
     bands = heads.select(F.explode("bands").alias("band"), "digest")
     many = shared.stored(bands.groupBy("band").count().filter("count > 1").select("band"), "bands")
-    met = shared.stored(bands.join(many, "band").distinct(), "met")
+    # Their number grows with the rows, so they are never broadcast: one plan at every size, whose hot bands can be split.
+    met = shared.stored(bands.join(many.hint("merge"), "band").distinct(), "met")
     marks = [F.sum(F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(1 << 31))).alias(f"mark{i}") for i in range(4)]
     buckets = met.groupBy("band").agg(F.count(F.lit(1)).alias("sets"), *marks).filter("sets > 1")
     buckets = buckets.groupBy("sets", "mark0", "mark1", "mark2", "mark3").agg(F.min("band").alias("band"))
