@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_extract, langid, line_dedup, ngram_join, packing, pii, quality, warc
+from . import centroids, decontam, exact_dedup, html_extract, langid, line_dedup, ngram_join, packing, periodic_runs, pii, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_pii": pii.op8,
         "op9_pack": packing.op9,
         "op10_decontaminate": decontam.op10,
+        "op11_centroids": centroids.op11,
+        "op12_token_counts": token_counts.op12,
+        "op13_periodic_runs": periodic_runs.op13,
         # The operator of op9 on whole examples, under all three limits.
         "pack_conversations": packing.pack_conversations,
     }
@@ -114,5 +117,35 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
 
 
+
+
+def op11_sql(rounds: int = 3) -> str:
+    """Plain rounds of assignment and means: every vector against every centroid, component by component."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (
+  SELECT r, k, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{k} c USING (i) GROUP BY r, k
+), a{k} AS MATERIALIZED (SELECT r, min_by(k, (d, k)) AS k, min(d) AS d FROM d{k} GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (
+  SELECT k, i, sum(v) AS s, count(*) AS n FROM a{k} JOIN x USING (r) GROUP BY k, i
+), c{k + 1} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce((s - ((s % n) + n) % n) // n, c.v) AS v FROM c{k} c LEFT JOIN m{k} m ON m.k = c.k AND m.i = c.i
+)""")
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+), raw AS (SELECT r, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM e
+), x AS MATERIALIZED (
+  SELECT r, vec_id, i, CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT) AS v FROM raw QUALIFY count(*) FILTER (WHERE v IS NOT NULL AND isfinite(v)) OVER (PARTITION BY r) = 64
+), seed AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, w) - 1 AS k FROM (SELECT r, vec_id, list(v ORDER BY i) AS w FROM x GROUP BY r, vec_id) QUALIFY k < 16
+), c0 AS MATERIALIZED (SELECT k, i, v FROM seed JOIN x USING (r)
+), {", ".join(steps)},
+named AS (SELECT k, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN e USING (r) JOIN named USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op6_warc": OP6, "op7_ngram_join": OP7, "op10_decontaminate": OP10}
+    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op6_warc": OP6, "op7_ngram_join": OP7, "op10_decontaminate": OP10, "op11_centroids": op11_sql()}

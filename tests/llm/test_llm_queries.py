@@ -20,7 +20,7 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op")) == list(range(1, 14))
 
 
 def hard_folder(spark, tmp_path):
