@@ -103,9 +103,9 @@ def catalog_index(spark, d):
 
 
 def catalog_index_conflicts(spark, d):
-    """Local ids that a graph gives to another node than the index: tables whose schema it names in lower case."""
-    index = catalog.physical_index(_model(spark, d), NS).filter("kind = 'table'")
-    known = index.select("local_id", F.when(F.col("local_id").contains("/NATION_1/"), F.replace("node_key", F.lit("NATION_1"), F.lit("nation_1"))).otherwise(F.col("node_key")).alias("node_key"))
+    """Local ids that a graph gives to another node than the index: what lies in a schema that it names in lower case."""
+    index = catalog.physical_index(_model(spark, d), NS)
+    known = index.select("local_id", F.when(F.col("local_id").rlike("/NATION_1(/|$)"), F.replace("node_key", F.lit("NATION_1"), F.lit("nation_1"))).otherwise(F.col("node_key")).alias("node_key"))
     return reconcile.index_conflicts(known, index).select("local_id", "indexed")
 
 
@@ -113,7 +113,7 @@ def catalog_index_conflicts(spark, d):
 
 
 def manifests(spark, d) -> DataFrame:
-    """A manifest for each nation and segment: customers as models that depend on their nation, a source, and on a macro.
+    """A manifest for each nation, segment and ten thousand keys: customers as models that depend on their nation, a source, and on a macro.
     Furniture is ephemeral; a model with a negative balance has no database; machinery wants a parent that is not there."""
     c = P.table(spark, d, "customer")
     name, none = _text("c", "c_custkey"), F.lit(None).cast("string")
@@ -126,9 +126,9 @@ def manifests(spark, d) -> DataFrame:
     source = S(F.lit("source").alias("resource_type"), nation.alias("name"), F.lit("raw").alias("source_name"), F.lit("p").alias("package_name"), F.lit("db").alias("database"), F.lit("raw").alias("schema"), nation.alias("identifier"), F.array(F.lit("p"), F.lit("raw"), nation).alias("fqn"))
     unique, parent = F.concat(F.lit("model.p."), name), F.concat(F.lit("source.p.raw."), nation)
     parents = F.filter(F.array(parent, F.lit("macro.x"), F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("model.p.gone")).otherwise(none)), lambda x: x.isNotNull())
-    rows = c.select("c_nationkey", "c_mktsegment", S(unique.alias("key"), model.alias("value")).alias("node"), S(parent.alias("key"), source.alias("value")).alias("source"), S(unique.alias("key"), parents.alias("value")).alias("up"))
+    rows = c.select("c_nationkey", "c_mktsegment", F.floor(F.col("c_custkey") / 10_000).alias("part"), S(unique.alias("key"), model.alias("value")).alias("node"), S(parent.alias("key"), source.alias("value")).alias("source"), S(unique.alias("key"), parents.alias("value")).alias("up"))
     entries = lambda x: F.map_from_entries(F.collect_list(x))
-    one = rows.groupBy("c_nationkey", "c_mktsegment").agg(entries("node").alias("nodes"), F.map_from_entries(F.array(F.first("source"))).alias("sources"), entries("up").alias("parent_map"))
+    one = rows.groupBy("c_nationkey", "c_mktsegment", "part").agg(entries("node").alias("nodes"), F.map_from_entries(F.array(F.first("source"))).alias("sources"), entries("up").alias("parent_map"))
     return one.select(F.to_json(S(S(F.lit("1.8").alias("dbt_version")).alias("metadata"), "nodes", "sources", "parent_map")).alias("text"))
 
 
@@ -195,7 +195,9 @@ def odcs_observations(spark, d):
 
 def events(spark, d) -> DataFrame:
     """A run for each customer: it reads its nation, a table of a database, and writes the customer, whose balance comes
-    from the nation's. Runs of furniture state a time without a zone."""
+    from the nation's. Runs of furniture state a time without a zone. A second event of each run reads the market
+    segment, whose owners it names, and tells the customer's type, on which it disagrees with the first for machinery;
+    that of household deletes the facet."""
     c = P.table(spark, d, "customer")
     level = lambda kind, name: S(F.lit(kind).alias("type"), name.alias("name"))
     nation = _text("n", "c_nationkey")
@@ -205,10 +207,17 @@ def events(spark, d) -> DataFrame:
     lineage = F.create_map(F.lit("balance"), S(F.array(S(F.lit("w").alias("namespace"), nation.alias("name"), F.lit("total").alias("field"))).alias("inputFields")))
     facets = S(S(F.lit("q").alias("_producer"), F.array(field).alias("fields")).alias("schema"), S(F.lit("r").alias("_producer"), F.lower("c_mktsegment").alias("storageLayer")).alias("storage"), S(F.lit("q").alias("_producer"), lineage.alias("fields")).alias("columnLineage"))
     written = S(F.lit("w").alias("namespace"), _text("c", "c_custkey").alias("name"), facets.alias("facets"))
+    typed = lambda kind: S(S(F.lit("t").alias("_producer"), kind.alias("datasetType"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", True).alias("_deleted")).alias("datasetType"))
     run = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
     when = F.when(F.col("c_mktsegment") == "FURNITURE", "2024-01-01").otherwise("2024-01-01T00:00:00Z")
     event = S(when.alias("eventTime"), F.lit("p").alias("producer"), F.lit("u").alias("schemaURL"), S(run.alias("runId")).alias("run"), S(F.lit("j").alias("namespace"), F.col("c_mktsegment").alias("name")).alias("job"), F.array(read).alias("inputs"), F.array(written).alias("outputs"))
-    return c.select(F.to_json(event).alias("event"))
+    owner = lambda kind: S(F.lower("c_mktsegment").alias("name"), F.lit(kind).alias("type"))
+    segment = S(F.lit("w").alias("namespace"), F.col("c_mktsegment").alias("name"), S(S(F.lit("o").alias("_producer"), F.array(owner("team"), owner("lead"), owner("team")).alias("owners")).alias("ownership")).alias("facets"))
+    again = lambda kind: S(F.lit("w").alias("namespace"), _text("c", "c_custkey").alias("name"), typed(kind).alias("facets"))
+    kinds = F.array(F.lit("VIEW"), F.when(F.col("c_mktsegment") == "MACHINERY", "TABLE"))
+    second = [S(F.lit("2024-01-02T00:00:00Z").alias("eventTime"), F.lit("p").alias("producer"), F.lit("u").alias("schemaURL"), S(run.alias("runId")).alias("run"), S(F.lit("j").alias("namespace"), F.col("c_mktsegment").alias("name")).alias("job"), F.array(segment).alias("inputs"), F.array(again(kinds[i])).alias("outputs")) for i in range(2)]
+    texts = F.array(F.to_json(event), F.to_json(second[0]), F.when(kinds[1].isNotNull(), F.to_json(second[1])))
+    return c.select(F.explode(F.filter(texts, lambda x: x.isNotNull())).alias("event"))
 
 
 def _events(spark, d):
@@ -228,7 +237,7 @@ def lineage_problems(spark, d):
 
 
 def lineage_observations(spark, d):
-    return _events(spark, d).observations.filter("kind != 'column'").select("object_key", "pointer", "value_json")
+    return _events(spark, d).observations.select("object_key", "pointer", "value_json")
 
 
 # --- comparisons that are stored -------------------------------------------------------------------------------

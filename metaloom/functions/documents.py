@@ -1,15 +1,136 @@
-"""JSON documents as columns: members and elements as canonical JSON texts, nested lists level by level."""
+"""JSON documents as rows: each document is parsed once, in one task, and all that follows are ordinary columns.
+
+flatten() makes a row for each object that a set of rules names: its place in the document, its members as canonical JSON
+texts in a map, the elements of some of its lists, and what the rules keep of the objects that it lies in. What lies
+deeper needs no join or further parse for its ancestors, however deep it is.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
-from .canonical import MAX_DEPTH, dumps, loads
+from .canonical import dumps, loads
+
+_encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False).encode
+
+
+class Rule(NamedTuple):
+    """What to tell of one kind of object."""
+
+    #: Where other kinds lie below it ("schema/*": each element or member) and the names of their rules. In its own
+    #: members such lists and objects stand empty.
+    rows: dict[str, str] = {}
+    #: Members that are told; None tells all.
+    tell: tuple[str, ...] | None = None
+    #: Objects in it whose members are told too, as "config/materialized".
+    open: tuple[str, ...] = ()
+    #: Lists whose elements are told.
+    lists: tuple[str, ...] = ()
+    #: Texts that are told again without white space around them and case-folded, as "tenant/folded".
+    folded: tuple[str, ...] = ()
+    #: Members that rows below see of it.
+    keep: tuple[str, ...] = ()
+    #: Whether it has no row, and is not seen by rows below.
+    silent: bool = False
+
+
+ROW = "doc string, rule string, path array<string>, m map<string,string>, lists map<string,array<string>>, up array<struct<path:array<string>,m:map<string,string>>>"
+_MAP = pa.map_(pa.string(), pa.string())
+_PATH = pa.list_(pa.string())
+_ARROW = pa.schema([("doc", pa.string()), ("rule", pa.string()), ("path", _PATH), ("m", _MAP), ("lists", pa.map_(pa.string(), _PATH)), ("up", pa.list_(pa.struct([("path", _PATH), ("m", _MAP)])))])
+
+
+def _at(value: object, tokens: tuple[str, ...], path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], object]]:
+    """All places below a value that tokens lead to."""
+    if not tokens:
+        yield path, value
+        return
+    first, rest = tokens[0], tokens[1:]
+    if first == "*":
+        below = value.items() if isinstance(value, dict) else ((str(i), v) for i, v in enumerate(value)) if isinstance(value, list) else ()
+    else:
+        below = ((first, value[first]),) if isinstance(value, dict) and first in value else ()
+    for k, v in below:
+        yield from _at(v, rest, (*path, k))
+
+
+def _tell(value: object, rule: Rule) -> tuple[dict[str, str], dict[str, list[str]]]:
+    if not isinstance(value, dict):
+        return {"": _encode(value)}, {"": [_encode(x) for x in value]} if isinstance(value, list) else {}
+    inside = {place.split("/")[0] for place in rule.rows}
+    m = {}
+    for k, v in value.items():
+        if rule.tell is None or k in rule.tell:
+            m[k] = ("{}" if isinstance(v, dict) else "[]" if isinstance(v, list) else _encode(v)) if k in inside else _encode(v)
+    for k in rule.open:
+        if isinstance(value.get(k), dict):
+            m |= {f"{k}/{name}": _encode(v) for name, v in value[k].items()}
+    for k in rule.folded:
+        if isinstance(value.get(k), str):
+            m[f"{k}/folded"] = _encode(value[k].strip().casefold())
+    return m, {k: [_encode(x) for x in value[k]] for k in rule.lists if isinstance(value.get(k), list)}
+
+
+def _visit(doc: str, value: object, name: str, rules: dict[str, Rule], path: tuple[str, ...], up: tuple[dict, ...]) -> Iterator[dict]:
+    rule = rules[name]
+    if not rule.silent:
+        m, lists = _tell(value, rule)
+        yield {"doc": doc, "rule": name, "path": path, "m": list(m.items()), "lists": list(lists.items()), "up": up}
+        up = (*up, {"path": path, "m": [(k, m[k]) for k in rule.keep if k in m]})
+    for place, below in rule.rows.items():
+        for at, v in _at(value, tuple(place.split("/")), path):
+            yield from _visit(doc, v, below, rules, at, up)
+
+
+def _columns(rows: list[dict]) -> pa.RecordBatch:
+    columns = []
+    for field in _ARROW:
+        columns.append(pa.array([r[field.name] for r in rows], field.type))
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
+def _flatten(it: Iterator[pa.RecordBatch], rules: dict[str, Rule], root: str) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    for batch in it:
+        for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in _visit(doc, loads(text), root, rules, (), ()):
+                rows.append(row)
+                if len(rows) == 2000:
+                    yield _columns(rows)
+                    rows = []
+    if rows:
+        yield _columns(rows)
+
+
+def flatten(documents: DataFrame, text: str, rules: dict[str, Rule], root: str, distinct: bool = False) -> DataFrame:
+    """The objects of documents (column text; a null one has none) that the rules name, from the whole as root on; of
+    equal documents one alone, if distinct.
+
+    doc is a digest of the text. Documents are dealt out by it first: parsing is the dear step, and few splits may hold
+    many or large documents. What is no object has its text, and the elements of a list, under the empty name. What is
+    no JSON, repeats a key, or is nested too deep, is an error.
+    """
+    source = documents.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text).cast("binary"), 256).alias("doc"), F.col(text).alias("text"))
+    source = source.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
+    return (source.distinct() if distinct else source).mapInArrow(partial(_flatten, rules=rules, root=root), ROW)
+
+
+def ancestor(i: int) -> Column:
+    """What is kept of the i-th object (0: the document) that a row of flatten() lies in."""
+    return F.col("up")[i]["m"]
+
+
+def last_token() -> Column:
+    return F.element_at("path", -1)
 
 
 @F.pandas_udf(MapType(StringType(), StringType()))
@@ -24,12 +145,12 @@ def members(json: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def elements(json: pd.Series) -> pd.Series:
-    """The elements of a JSON array, each as canonical JSON text; null for everything else."""
+def documents_in(json: pd.Series) -> pd.Series:
+    """The elements of a JSON array, else the one value itself, each as canonical JSON text."""
 
     def one(x: str | None) -> list[str] | None:
         value = None if x is None else loads(x)
-        return [dumps(v) for v in value] if isinstance(value, list) else None
+        return None if x is None else [dumps(v) for v in (value if isinstance(value, list) else [value])]
 
     return json.map(one)
 
@@ -40,7 +161,9 @@ def get(map_column: Column, name: str) -> Column:
 
 def text(json: Column) -> Column:
     """The string that a JSON text is; null for everything else."""
-    return F.when(json.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<string>"), F.lit(0)))
+    inner = F.substring(json, F.lit(2), F.length(json) - 2)
+    parsed = F.get(F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<string>"), F.lit(0))
+    return F.when(json.startswith('"'), F.when(json.contains("\\"), parsed).otherwise(inner))
 
 
 def filled(json: Column) -> Column:
@@ -49,35 +172,35 @@ def filled(json: Column) -> Column:
     return F.when(F.trim(F.regexp_replace(value, r"\s", " ")) != "", value)
 
 
-def object_of(**parts: Column) -> Column:
-    """A canonical JSON object of members given as canonical JSON texts; null ones are left out."""
-    pairs = [F.concat(F.lit(f'"{k}":'), parts[k]) for k in sorted(parts)]
-    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+def string_member(json: Column, name: str) -> Column:
+    """The string that a member of a JSON object is; null for everything else."""
+    part = F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(part) == "STRING", F.try_variant_get(part, "$", "string"))
+
+
+def pairs(**parts: Column) -> Column:
+    """A map of members given as canonical JSON texts; null ones are left out."""
+    every = F.create_map(*(x for k in sorted(parts) for x in (F.lit(k), parts[k])))
+    return F.map_filter(every, lambda _, v: v.isNotNull())
+
 
+def object_text(map_column: Column) -> Column:
+    """A map of members (with plain names) as a canonical JSON object."""
+    each = F.transform(F.array_sort(F.map_entries(map_column)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}"))
 
-def sorted_texts(json: Column) -> Column:
-    """A JSON array of strings, sorted and each once; null if it is empty or no array. Other elements go."""
-    kept = F.array_sort(F.array_distinct(F.filter(elements(json), lambda e: e.startswith('"'))))
-    return F.when(F.size(kept) > 0, F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")))
 
+def list_text(elements: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(elements, ","), F.lit("]"))
 
-def sorted_array(json: Column, distinct: bool = False) -> Column:
-    """A JSON array sorted by the canonical text of its elements; null if it is no array."""
-    own = F.array_distinct(elements(json)) if distinct else elements(json)
-    return F.when(own.isNotNull(), F.concat(F.lit("["), F.array_join(F.array_sort(own), ","), F.lit("]")))
 
+def sorted_texts(elements: Column) -> Column:
+    """The strings among elements, sorted and each once, as a JSON array; null if there are none."""
+    kept = F.array_sort(F.array_distinct(F.filter(elements, lambda e: e.startswith('"'))))
+    return F.when(F.size(kept) > 0, list_text(kept))
 
-def descend(rows: DataFrame, list_column: str, level: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All levels of nested lists: level(rows) takes rows whose list_column holds one element each, and returns rows
-    of which list_column holds the list below (null at the end). Each level is one step of the plan."""
-    from ..shared import stored
 
-    out, front = None, rows
-    for _ in range(MAX_DEPTH):
-        front = front.withColumn(list_column, F.explode(elements(F.col(list_column))))
-        front = stored(level(front), "level")
-        if front.isEmpty():
-            return out if out is not None else front
-        out = front if out is None else out.unionByName(front)
-        front = front.filter(F.col(list_column).isNotNull())
-    raise ValueError(f"lists are nested deeper than {MAX_DEPTH}")
+def sorted_array(elements: Column, distinct: bool = False) -> Column:
+    """Elements sorted by their canonical text, as a JSON array; null if there is no list."""
+    own = F.array_distinct(elements) if distinct else elements
+    return F.when(own.isNotNull(), list_text(F.array_sort(own)))

@@ -52,12 +52,14 @@ nodes AS (
 _RUNS = r"""runs AS (SELECT c_custkey AS k, 'n' || c_nationkey AS nation, '["ns","table","n' || c_nationkey || '",["ns","dataset","s",["ns","data_source","db",null]]]' AS source,
   'c' || c_custkey AS name, '["ns","dataset","[\"w\",\"c' || c_custkey || '\"]",null]' AS target, lower(c_mktsegment) AS layer FROM customer),
 froms AS (SELECT DISTINCT nation, source FROM runs),
+segments AS (SELECT DISTINCT layer, '["ns","dataset","[\"w\",\"' || upper(layer) || '\"]",null]' AS segment, '[{"name":"' || layer || '","type":"lead"},{"name":"' || layer || '","type":"team"}]' AS owners FROM runs),
 nodes AS (
   SELECT '["ns","data_source","db",null]' AS node_key, 'data_source' AS kind, 'db' AS name, '{}' AS attributes_json
   UNION ALL SELECT '["ns","dataset","s",["ns","data_source","db",null]]', 'dataset', 's', '{}'
   UNION ALL SELECT source, 'table', nation, '{}' FROM froms
   UNION ALL SELECT '["ns","column","total",' || source || ']', 'column', 'total', '{}' FROM froms
-  UNION ALL SELECT target, 'dataset', name, '{"storage_layer":"' || layer || '"}' FROM runs
+  UNION ALL SELECT target, 'dataset', name, '{"dataset_type":"' || CASE layer WHEN 'machinery' THEN 'TABLE' ELSE 'VIEW' END || '","storage_layer":"' || layer || '"}' FROM runs
+  UNION ALL SELECT segment, 'dataset', upper(layer), '{"ownership":' || owners || '}' FROM segments
   UNION ALL SELECT '["ns","column","balance",' || target || ']', 'column', 'balance', '{"data_type":"decimal"}' FROM runs
   UNION ALL SELECT '["ns","column","cents",["ns","column","balance",' || target || ']]', 'column', 'cents', '{}' FROM runs)"""
 
@@ -77,7 +79,7 @@ SQL = {
         FROM objects b LEFT JOIN cols c ON b.local_id = 'col:' || c.path WHERE b.kind IN ('database', 'schema', 'table', 'column')""",
     "catalog_relations": f"""WITH {_CATALOG} SELECT parent_id AS source_id, local_id AS target_id, 'contains' AS type_ref FROM objects WHERE kind IN ('schema', 'table', 'column') UNION ALL SELECT 'tbl:' || up, 'tbl:' || target, 'references' FROM fks""",
     "catalog_index": f"WITH {_INDEX} SELECT * FROM idx",
-    "catalog_index_conflicts": f"WITH {_INDEX} SELECT local_id, node_key AS indexed FROM idx WHERE kind = 'table' AND local_id LIKE '%/NATION_1/%'",
+    "catalog_index_conflicts": f"WITH {_INDEX} SELECT local_id, node_key AS indexed FROM idx WHERE local_id LIKE '%/NATION_1/%' OR local_id LIKE '%/NATION_1'",
     "dbt_nodes": f"""WITH {_DBT} SELECT node_key, CASE WHEN eph THEN 'transformation' ELSE 'table' END AS kind, name, description, attributes AS attributes_json, 1 AS n_sources FROM kept
         UNION ALL SELECT node_key, 'table', name, NULL, attributes, 1 FROM sources UNION ALL SELECT node_key, 'column', 'id', NULL, '{{"data_type":"int","tags":["a","b"]}}', 1 FROM ids
         UNION ALL SELECT '["ns","dataset","' || name || '",' || k || ']', 'dataset', name, NULL, '{{}}', 0 FROM places CROSS JOIN db UNION ALL SELECT k, 'data_source', 'db', NULL, '{{}}', 0 FROM db""",
@@ -99,9 +101,12 @@ SQL = {
     "lineage_edges": f"""WITH {_RUNS} SELECT '["ns","data_source","db",null]' AS src_key, 'contains' AS kind, '["ns","dataset","s",["ns","data_source","db",null]]' AS dst_key, 0 AS n_sources
         UNION ALL SELECT '["ns","dataset","s",["ns","data_source","db",null]]', 'contains', source, 0 FROM froms UNION ALL SELECT source, 'contains', '["ns","column","total",' || source || ']', 0 FROM froms
         UNION ALL SELECT target, 'contains', '["ns","column","balance",' || target || ']', 0 FROM runs UNION ALL SELECT '["ns","column","balance",' || target || ']', 'contains', '["ns","column","cents",["ns","column","balance",' || target || ']]', 0 FROM runs
-        UNION ALL SELECT target, 'depends_on', source, 1 FROM runs UNION ALL SELECT '["ns","column","balance",' || target || ']', 'depends_on', '["ns","column","total",' || source || ']', 1 FROM runs""",
-    "lineage_problems": """SELECT '00000000-0000-0000-0000-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS path, 'eventTime must be a time with a zone' AS message FROM customer WHERE c_mktsegment = 'FURNITURE'""",
-    "lineage_observations": f"""WITH {_RUNS} SELECT target AS object_key, '/name' AS pointer, '"' || name || '"' AS value_json FROM runs UNION ALL SELECT target, '/attributes/storage_layer', '"' || layer || '"' FROM runs UNION ALL SELECT source, '/name', '"' || nation || '"' FROM froms""",
+        UNION ALL SELECT target, 'depends_on', source, 1 FROM runs UNION ALL SELECT target, 'depends_on', segment, 1 FROM runs JOIN segments USING (layer) UNION ALL SELECT '["ns","column","balance",' || target || ']', 'depends_on', '["ns","column","total",' || source || ']', 1 FROM runs""",
+    "lineage_problems": """SELECT '00000000-0000-0000-0000-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS path, 'eventTime must be a time with a zone' AS message FROM customer WHERE c_mktsegment = 'FURNITURE'
+        UNION ALL SELECT '00000000-0000-0000-0000-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') || '/outputs/0/facets/datasetType', 'deletions are not supported' FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
+        UNION ALL SELECT '/w/c' || c_custkey || '/datasetType', 'events disagree on a facet' FROM customer WHERE c_mktsegment = 'MACHINERY'""",
+    "lineage_observations": f"""WITH {_RUNS} SELECT node_key AS object_key, '/name' AS pointer, '"' || name || '"' AS value_json FROM nodes WHERE kind NOT IN ('data_source') AND node_key NOT LIKE '["ns","dataset","s",%'
+        UNION ALL SELECT node_key, '/attributes/' || unnest(json_keys(attributes_json)), CAST(unnest(list_transform(json_keys(attributes_json), lambda x: json_extract(attributes_json, '$.' || x))) AS VARCHAR) FROM nodes""",
     "compare_orphans": """WITH c AS (SELECT o_orderkey, o_custkey, CASE o_orderpriority WHEN '5-LOW' THEN 'added' WHEN '4-NOT SPECIFIED' THEN 'removed' ELSE 'kept' END AS change FROM orders)
         SELECT 'o:' || a.o_orderkey AS object_key, 'o:' || a.o_custkey AS ancestor_key FROM c a JOIN c b ON b.o_orderkey = a.o_custkey WHERE b.change <> 'kept' AND a.change <> b.change""",
     "compare_out_of_order": """WITH o AS (SELECT o_orderkey AS at, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS r, 'o:' || o_orderkey AS k FROM orders)

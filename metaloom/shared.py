@@ -24,10 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: a cut in the lineage that survives lost executors."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as Parquet (in a folder for each value of by) in the shared folder and read again: a cut in the
+    lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

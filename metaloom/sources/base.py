@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical, documents
 
+Part = DataFrame | Callable[[], DataFrame]
 
-class Mapped(NamedTuple):
-    """nodes, edges and observations as the operators take them; problems: path, message. Fit if it has no problems."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    observations: DataFrame
-    problems: DataFrame
+class Mapped:
+    """nodes, edges and observations as the operators take them; problems: path, message. Fit if it has no problems.
+
+    A part that is given as a function is made when it is first asked for.
+    """
+
+    def __init__(self, nodes: Part, edges: Part, observations: Part, problems: Part):
+        self._parts = {"nodes": nodes, "edges": edges, "observations": observations, "problems": problems}
+
+    def _made(self, name: str) -> DataFrame:
+        part = self._parts[name]
+        return part if isinstance(part, DataFrame) else part()
+
+    nodes = cached_property(lambda self: self._made("nodes"))
+    edges = cached_property(lambda self: self._made("edges"))
+    observations = cached_property(lambda self: self._made("observations"))
+    problems = cached_property(lambda self: self._made("problems"))
 
 
 class MappingError(ValueError):
@@ -68,10 +81,16 @@ def contains(nodes: DataFrame, provenance_column: Column | None = None) -> DataF
     return nodes.filter("parent_key IS NOT NULL").select(F.col("parent_key").alias("src_key"), F.lit("contains").alias("kind"), F.col("node_key").alias("dst_key"), F.lit("{}").alias("attributes_json"), p.alias("provenance"))
 
 
+def finished(nodes: DataFrame) -> DataFrame:
+    """Nodes with a map of attributes in the columns that all nodes have."""
+    return nodes.withColumn("attributes_json", documents.object_text(F.col("attributes"))).select(*NODE_COLUMNS)
+
+
 def observe(nodes: DataFrame) -> DataFrame:
-    """Observations of nodes with provenance: /name, /description if there is one, and each attribute."""
+    """Observations of nodes (with a map of attributes) that have provenance: /name, /description if there is one, and
+    each attribute."""
     first = F.array(F.struct(F.lit("/name").alias("pointer"), json_text(F.col("name")).alias("value_json")), F.struct(F.lit("/description").alias("pointer"), F.when(F.col("description").isNotNull(), json_text(F.col("description"))).alias("value_json")))
-    attributes = F.transform(F.map_entries(documents.members(F.col("attributes_json"))), lambda e: F.struct(F.concat(F.lit("/attributes/"), canonical.escape_token(e["key"])).alias("pointer"), e["value"].alias("value_json")))
+    attributes = F.transform(F.map_entries("attributes"), lambda e: F.struct(F.concat(F.lit("/attributes/"), canonical.escape_token(e["key"])).alias("pointer"), e["value"].alias("value_json")))
     every = F.filter(F.concat(first, attributes), lambda x: x["value_json"].isNotNull())
     rows = nodes.filter(F.size("provenance") > 0).select(F.col("node_key").alias("object_key"), "namespace", "kind", F.explode(every).alias("x"), "provenance")
     return rows.select("object_key", "namespace", "kind", "x.pointer", "x.value_json", "provenance")

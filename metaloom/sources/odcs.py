@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+from functools import cache, reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
-from ..functions.canonical import dumps, loads
-from ..functions.documents import descend, elements, filled, get, members, object_of, sorted_array, sorted_texts, text
-from ..functions.text import casefold, strip
-from .base import EDGE_COLUMNS, NODE_COLUMNS, Mapped, contains, json_text, key_of, observe, provenance, whole_texts
+from ..functions.canonical import dumps
+from ..functions.documents import Rule, ancestor, filled, flatten, get, pairs, sorted_array, sorted_texts, text
+from ..shared import stored
+from .base import EDGE_COLUMNS, NODE_COLUMNS, Mapped, contains, finished, key_of, observe, provenance, whole_texts
 
 
 @F.pandas_udf(StringType())
@@ -25,84 +26,83 @@ def yaml_to_json(document: pd.Series) -> pd.Series:
     return document.map(lambda x: None if x is None else dumps(yaml.safe_load(x) if yaml else json.loads(x)))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def properties_below(property_: pd.Series) -> pd.Series:
-    """The properties of a property (JSON), and those of the items of its lists, however many lists are in each other."""
-
-    def one(x: str | None) -> list[str] | None:
-        found, at = [], None if x is None else loads(x)
-        while isinstance(at, dict):
-            own = at.get("properties")
-            found += own if isinstance(own, list) else []
-            at = at.get("items")
-        return [dumps(v) for v in found]
-
-    return property_.map(one)
-
-
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     return whole_texts(spark, path, ".yaml", ".yml", ".json").withColumn("text", yaml_to_json("text"))
 
 
-def _description(m):
-    return text(get(m, "description"))
-
-
 _LISTS = {"customProperties": "custom_properties", "authoritativeDefinitions": "authoritative_definitions", "quality": "quality", "relationships": "relationships", "transformSourceObjects": "transform_source_objects"}
 _VALUES = {"physicalName": "physical_name", "physicalType": "physical_type", "logicalType": "logical_type", "businessName": "business_name", "dataGranularityDescription": "data_granularity_description", "primaryKey": "primary_key", "primaryKeyPosition": "primary_key_position", "required": "required", "unique": "unique", "partitioned": "partitioned", "classification": "classification", "encryptedName": "encrypted_name", "criticalDataElement": "critical_data_element", "transformLogic": "transform_logic", "transformDescription": "transform_description"}
 
+#: What a contract holds. Lists in lists (items of items) have no rows of their own: their properties belong to the column.
+RULES = {
+    "contract": Rule(rows={"schema/*": "dataset"}, open=("description",), lists=("tags", "team", "roles", "customProperties", "authoritativeDefinitions"), folded=("tenant",), keep=("id", "version")),
+    "dataset": Rule(rows={"properties/*": "property"}, lists=("tags", *_LISTS), keep=("id", "name")),
+    "property": Rule(rows={"properties/*": "property", "items": "items"}, lists=("tags", *_LISTS), keep=("id", "name")),
+    "items": Rule(rows={"properties/*": "property", "items": "items"}, silent=True),
+}
+
 
-def _attributes(m):
+def _attributes(m: Column, lists: Column) -> Column:
     """Attributes of a dataset or column: plain members under their names here, lists in an order of their own."""
     parts = {to: F.when(get(m, name) != "null", get(m, name)) for name, to in _VALUES.items()}
-    parts |= {to: sorted_array(get(m, name)) for name, to in _LISTS.items()}
-    return object_of(**parts, tags=sorted_texts(get(m, "tags")), logical_type_options=F.when(get(m, "logicalTypeOptions").startswith("{"), get(m, "logicalTypeOptions")), data_type=F.coalesce(get(m, "physicalType"), get(m, "logicalType")))
+    parts |= {to: sorted_array(get(lists, name)) for name, to in _LISTS.items()}
+    return pairs(**parts, tags=sorted_texts(get(lists, "tags")), logical_type_options=F.when(get(m, "logicalTypeOptions").startswith("{"), get(m, "logicalTypeOptions")), data_type=F.coalesce(get(m, "physicalType"), get(m, "logicalType")))
+
+
+def _contract_attributes(m: Column, lists: Column) -> Column:
+    parts = {to: F.when(get(m, name) != "null", get(m, name)) for name, to in {"version": "version", "status": "status", "domain": "domain", "dataProduct": "data_product"}.items()}
+    parts["tenant"] = F.when(filled(get(m, "tenant")).isNotNull(), get(m, "tenant/folded"))
+    return pairs(**parts, tags=sorted_texts(get(lists, "tags")), team=F.coalesce(sorted_array(get(lists, "team")), get(m, "team")), roles=sorted_array(get(lists, "roles")), custom_properties=sorted_array(get(lists, "customProperties")), authoritative_definitions=sorted_array(get(lists, "authoritativeDefinitions")))
 
 
-def _contract_attributes(m):
-    parts = {to: F.when(get(m, name) != "null", get(m, name)) for name, to in {"version": "version", "status": "status", "domain": "domain", "dataProduct": "data_product", "tenant": "tenant"}.items()}
-    parts["tenant"] = F.when(filled(get(m, "tenant")).isNotNull(), json_text(casefold(strip(text(get(m, "tenant"))))))
-    return object_of(**parts, tags=sorted_texts(get(m, "tags")), team=F.coalesce(sorted_array(get(m, "team")), get(m, "team")), roles=sorted_array(get(m, "roles")), custom_properties=sorted_array(get(m, "customProperties")), authoritative_definitions=sorted_array(get(m, "authoritativeDefinitions")))
+def _id(m: Column) -> Column:
+    return F.coalesce(filled(get(m, "id")), filled(get(m, "name")))
 
 
 def map_contracts(contracts: DataFrame, namespace: str) -> Mapped:
     """The graph and observations of contracts (column text, JSON). The id of an object is its id, else its name; the
-    properties of the items of a list are columns of the list's own column."""
-    ns, none, m = F.lit(namespace), F.lit(None).cast("string"), F.col("m")
-    top = contracts.select(members(F.col("text")).alias("m")).withColumns({"id": filled(get(m, "id")), "version": filled(get(m, "version"))})
-    needed = [top.filter(f"{c} IS NULL").select(F.lit(f"/{c}").alias("path"), F.lit(f"contract {c} is required").alias("message")) for c in ("id", "version")]
-    top = top.filter("id IS NOT NULL AND version IS NOT NULL").withColumn("provenance", provenance("odcs", F.col("id"), F.col("version")))
-    top = top.withColumn("node_key", key_of(ns, F.lit("contract"), F.col("id")))
-    fixed = {"namespace": ns, "parent_key": none, "ancestor_keys": F.array().cast("array<string>")}
-    contract = top.withColumns({**fixed, "kind": F.lit("contract"), "logical_id": F.col("id"), "name": F.coalesce(F.trim(filled(get(m, "name"))), "id"), "description": text(get(members(get(m, "description")), "purpose")), "attributes_json": _contract_attributes(m)})
-    listed = top.select(F.col("node_key").alias("contract_key"), "provenance", F.posexplode(elements(get(m, "schema"))).alias("i", "json")).withColumn("m", members(F.col("json")))
-    listed = listed.withColumns({"name": filled(get(m, "name")), "logical_id": F.coalesce(filled(get(m, "id")), filled(get(m, "name"))), "path": F.concat(F.lit("/schema/"), F.col("i"))})
-    unnamed = listed.filter("name IS NULL").select(F.concat("path", F.lit("/name")).alias("path"), F.lit("schema object name is required").alias("message"))
-    datasets = listed.filter("name IS NOT NULL").withColumns({**fixed, "kind": F.lit("dataset"), "description": _description(m), "attributes_json": _attributes(m), "node_key": key_of(ns, F.lit("dataset"), F.col("logical_id"))})
-
-    def level(rows: DataFrame) -> DataFrame:
-        """Rows whose column below holds one property each, as columns with the list of properties below them."""
-        rows = rows.withColumnRenamed("below", "json").withColumn("m", members(F.col("json"))).withColumns({"name": filled(get(m, "name")), "logical_id": F.coalesce(filled(get(m, "id")), filled(get(m, "name")))})
-        rows = rows.withColumn("node_key", key_of(ns, F.lit("column"), F.coalesce("logical_id", F.lit("")), F.col("parent_key")))
-        rows = rows.withColumns({"namespace": ns, "kind": F.lit("column"), "description": _description(m), "attributes_json": _attributes(m)})
-        every = properties_below(F.col("json"))
-        below = F.when(F.size(every) > 0, F.concat(F.lit("["), F.array_join(every, ","), F.lit("]")))
-        return rows.select(*NODE_COLUMNS, below.alias("below"))
-
-    start = datasets.select(F.col("node_key").alias("parent_key"), F.array("node_key").alias("ancestor_keys"), "provenance", get(m, "properties").alias("below"))
-
-    def step(rows: DataFrame) -> DataFrame:
-        return level(rows if "node_key" not in rows.columns else rows.select(F.col("node_key").alias("parent_key"), F.concat(F.array("node_key"), "ancestor_keys").alias("ancestor_keys"), "provenance", "below"))
-
-    columns = descend(start, "below", step)
-    nameless = columns.filter("name IS NULL").select(F.concat(F.lit("column of "), "parent_key").alias("path"), F.lit("property name is required").alias("message"))
-    columns = columns.filter("name IS NOT NULL")
-    nodes = contract.select(*NODE_COLUMNS).unionByName(datasets.select(*NODE_COLUMNS)).unionByName(columns.select(*NODE_COLUMNS))
-    governs = datasets.select(F.col("contract_key").alias("src_key"), F.lit("governs").alias("kind"), F.col("node_key").alias("dst_key"), F.lit("{}").alias("attributes_json"), "provenance")
-    edges = governs.unionByName(contains(columns, F.col("provenance"))).select(*EDGE_COLUMNS)
-    problems = unnamed.unionByName(nameless)
-    for p in needed:
-        problems = problems.unionByName(p)
-    # Siblings share an id: the graph would take two columns for one.
-    twice = nodes.groupBy("node_key").count().filter("count > 1").select(F.col("node_key").alias("path"), F.lit("siblings share an identity").alias("message"))
-    return Mapped(nodes, edges, observe(nodes), problems.unionByName(twice))
+    properties of the items of a list are columns of the list's own column. Each contract is parsed once."""
+    ns, none, m, lists = F.lit(namespace), F.lit(None).cast("string"), F.col("m"), F.col("lists")
+    parsed = cache(lambda: stored(flatten(contracts, "text", RULES, "contract"), "contracts", "rule"))
+    rule = lambda name: parsed().filter(F.col("rule") == name)
+    shown = [*(c for c in NODE_COLUMNS if c != "attributes_json"), "attributes"]
+    top = {"namespace": ns, "parent_key": none, "ancestor_keys": F.array().cast("array<string>")}
+    dataset_key = lambda at: key_of(ns, F.lit("dataset"), _id(at))
+
+    def within(rows: DataFrame, at: Column) -> DataFrame:
+        """Rows of contracts that state an id and a version, with those, the contract's key and provenance."""
+        rows = rows.withColumns({"id": filled(get(at, "id")), "version": filled(get(at, "version"))}).filter("id IS NOT NULL AND version IS NOT NULL")
+        return rows.withColumns({"contract_key": key_of(ns, F.lit("contract"), F.col("id")), "provenance": provenance("odcs", F.col("id"), F.col("version"))})
+
+    def listed() -> DataFrame:
+        return within(rule("dataset"), ancestor(0)).withColumns({"name": filled(get(m, "name")), "node_key": dataset_key(m)})
+
+    def columns() -> DataFrame:
+        """Columns of named datasets, whose names may be missing, with maps of attributes."""
+        rows = within(rule("property"), ancestor(0)).filter(filled(get(ancestor(1), "name")).isNotNull())
+        inner = F.slice("up", 3, F.greatest(F.size("up") - 2, F.lit(0)))
+        above = F.aggregate(inner, F.array(dataset_key(ancestor(1))), lambda keys, x: F.concat(F.array(key_of(ns, F.lit("column"), F.coalesce(_id(x["m"]), F.lit("")), keys[0])), keys))
+        rows = rows.withColumns({"namespace": ns, "kind": F.lit("column"), "name": filled(get(m, "name")), "logical_id": _id(m), "ancestor_keys": above, "description": text(get(m, "description")), "attributes": _attributes(m, lists)})
+        rows = rows.withColumn("parent_key", F.col("ancestor_keys")[0])
+        return rows.withColumn("node_key", key_of(ns, F.lit("column"), F.coalesce("logical_id", F.lit("")), F.col("parent_key"))).select(*shown)
+
+    @cache
+    def own() -> DataFrame:
+        contract = within(rule("contract"), m).withColumns({**top, "node_key": F.col("contract_key"), "kind": F.lit("contract"), "logical_id": F.col("id"), "name": F.coalesce(F.trim(filled(get(m, "name"))), "id"), "description": text(get(m, "description/purpose")), "attributes": _contract_attributes(m, lists)})
+        datasets = listed().filter("name IS NOT NULL").withColumns({**top, "kind": F.lit("dataset"), "logical_id": _id(m), "description": text(get(m, "description")), "attributes": _attributes(m, lists)})
+        return contract.select(*shown).unionByName(datasets.select(*shown)).unionByName(columns().filter("name IS NOT NULL"))
+
+    def edges() -> DataFrame:
+        governs = listed().filter("name IS NOT NULL").select(F.col("contract_key").alias("src_key"), F.lit("governs").alias("kind"), F.col("node_key").alias("dst_key"), F.lit("{}").alias("attributes_json"), "provenance")
+        return governs.unionByName(contains(columns().filter("name IS NOT NULL"), F.col("provenance"))).select(*EDGE_COLUMNS)
+
+    def problems() -> DataFrame:
+        contract = rule("contract")
+        found = [contract.filter(filled(get(m, c)).isNull()).select(F.lit(f"/{c}").alias("path"), F.lit(f"contract {c} is required").alias("message")) for c in ("id", "version")]
+        found.append(listed().filter("name IS NULL").select(F.concat(F.lit("/"), F.array_join("path", "/"), F.lit("/name")).alias("path"), F.lit("schema object name is required").alias("message")))
+        found.append(columns().filter("name IS NULL").select(F.concat(F.lit("column of "), "parent_key").alias("path"), F.lit("property name is required").alias("message")))
+        # Siblings share an id: the graph would take two columns for one.
+        found.append(own().groupBy("node_key").count().filter("count > 1").select(F.col("node_key").alias("path"), F.lit("siblings share an identity").alias("message")))
+        return reduce(DataFrame.unionByName, found)
+
+    return Mapped(lambda: finished(own()), edges, lambda: observe(own()), problems)

@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.canonical import canonical_json
-from ..functions.documents import elements, get, members, text
+from ..functions.documents import documents_in, get, members, text
 from ..operators import conflicts
 from ..shared import stored
 
@@ -28,7 +27,7 @@ def read_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1000
     """Lineage events of a folder to which files are added: event (JSON text), digest, event_time. A file holds one
     event or an array of them."""
     rows = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", files_per_trigger).text(path)
-    each = rows.select(F.explode(F.coalesce(elements(F.col("value")), F.array(canonical_json("value")))).alias("event"))
+    each = rows.select(F.explode(documents_in("value")).alias("event"))
     return each.select("event", F.sha2(F.col("event").cast("binary"), 256).alias("digest"), F.try_to_timestamp(text(get(members(F.col("event")), "eventTime"))).alias("event_time"))
 
 
