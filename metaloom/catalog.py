@@ -113,7 +113,10 @@ def conflict_summary(spark, d):
 
 
 def conflict_ambiguous_rules(spark, d):
-    return conflicts.ambiguous_selectors(P.authority(spark))
+    """Every part declares its brand an authority for its type, those of odd size in one of three namespaces alone."""
+    size, none = F.col("p_size"), F.lit(None).cast("string")
+    rules = P.table(spark, d, "part").select(F.lit("table").alias("kind"), F.concat(F.lit("/attributes/"), "p_type").alias("pointer"), F.when(size % 2 == 1, F.concat(F.lit("ns"), size % 3)).alias("namespace"), F.col("p_brand").alias("provider_type"), none.alias("source_ref"))
+    return conflicts.ambiguous_selectors(rules)
 
 
 def assessed_events(spark, d):
@@ -303,13 +306,13 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_checks, catalog_plans, catalog_sources
+    from . import catalog_checks, catalog_histories, catalog_plans, catalog_sources
 
-    return QUERIES | catalog_plans.QUERIES | catalog_sources.QUERIES | catalog_checks.QUERIES
+    return QUERIES | catalog_plans.QUERIES | catalog_sources.QUERIES | catalog_checks.QUERIES | catalog_histories.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_checks, catalog_plans, oracle_sources
+    from . import catalog_checks, catalog_histories, catalog_plans, oracle_sources
     from .oracle import SQL
 
-    return SQL | catalog_plans.SQL | oracle_sources.SQL | catalog_checks.sql()
+    return SQL | catalog_plans.SQL | oracle_sources.SQL | catalog_checks.sql() | catalog_histories.SQL

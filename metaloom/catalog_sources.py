@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import projections as P
 from .catalog import Query
 from .operators import compare, reconcile
-from .sources import catalog, dbt, odcs, openlineage
+from .sources import catalog, dbt, odcs, openlineage, snapshot
 
 S = F.struct
 NS = "ns"
@@ -240,6 +240,60 @@ def lineage_observations(spark, d):
     return _events(spark, d).observations.select("object_key", "pointer", "value_json")
 
 
+# --- snapshot documents ----------------------------------------------------------------------------------------
+
+
+def snapshots(spark, d) -> DataFrame:
+    """A snapshot document for each nation and hundred customers: customers as tables of the nation's schema, whose name
+    holds a slash and a tilde, their orders as columns. Orders that four divides are the key; every third customer's
+    first column refers to its last one, and a relationship tells so.
+
+    Planted: ids of keys that are their table's (8 divides the customer), another schema named (10 leaves 9), a
+    referenced column that is not there (6 divides), a relationship's unknown foreign key (6 leaves 3), columns without
+    nullable (50 divides the order), another contract version (nation 3), an envelope that names another database
+    (nation 4), a repeated key (nation 5)."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    nation = F.concat(F.lit("n/"), F.col("c_nationkey"), F.lit("~"))
+    table_id, column_id = _text("t", "c_custkey"), _text("k", "o_orderkey")
+    column = S(column_id.alias("id"), F.concat(F.lit("o/"), o).alias("name"), F.col("o_orderpriority").alias("data_type"), o.alias("ordinal_position"), F.when(o % 50 != 0, F.col("o_orderstatus") != "F").alias("nullable"), F.when(F.col("o_orderstatus") == "P", S(F.col("o_orderpriority").alias("a/b"))).alias("technical_attributes"))
+    orders = P.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(S(o.alias("at"), column.alias("x")))), lambda v: v["x"]).alias("columns"))
+    rows = P.table(spark, d, "customer").join(orders, "c_custkey")
+    ids = F.transform("columns", lambda v: v["id"])
+    in_key = F.transform(F.filter("columns", lambda v: v["ordinal_position"] % 4 == 0), lambda v: v["id"])
+    primary = F.when(F.size(in_key) > 0, S(F.when(c % 8 == 0, table_id).otherwise(_text("p", "c_custkey")).alias("id"), F.lit("pk").alias("name"), table_id.alias("table_id"), in_key.alias("column_ids")))
+    foreign = S(_text("f", "c_custkey").alias("id"), F.lit("fk").alias("name"), table_id.alias("table_id"), F.array(ids[0]).alias("column_ids"), table_id.alias("referenced_table_id"), F.array(F.when(c % 6 == 0, "gone").otherwise(F.element_at(ids, -1))).alias("referenced_column_ids"))
+    refers = c % 3 == 0
+    table = S(table_id.alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("s"), F.col("c_nationkey"), F.when(c % 10 == 9, "x").otherwise("")).alias("schema_id"), "columns", primary.alias("primary_key"), F.filter(F.array(F.when(refers, foreign)), lambda v: v.isNotNull()).alias("foreign_keys"))
+    relation = S(_text("r", "c_custkey").alias("id"), F.lit("to/self").alias("name"), table_id.alias("from_table_id"), table_id.alias("to_table_id"), F.when(c % 6 == 3, "nope").otherwise(_text("f", "c_custkey")).alias("foreign_key_id"))
+    by = rows.groupBy("c_nationkey", F.floor(c / 100).alias("part")).agg(F.transform(F.array_sort(F.collect_list(S(c.alias("at"), table.alias("x")))), lambda v: v["x"]).alias("tables"), F.filter(F.transform(F.array_sort(F.collect_list(S(c.alias("at"), F.when(refers, relation).alias("x")))), lambda v: v["x"]), lambda v: v.isNotNull()).alias("relationships"))
+    schema = S(F.concat(F.lit("s"), "c_nationkey").alias("id"), nation.alias("name"), F.lit("db").alias("database_id"), "tables")
+    database = S(F.lit("db").alias("id"), F.lit("shop").alias("name"), F.lit("ds").alias("datasource_id"), F.array(schema).alias("schemas"))
+    source = S(F.lit("ds").alias("id"), F.lit("src").alias("name"), F.lit("postgresql").alias("system_type"), F.array(database).alias("databases"))
+    known = S(F.lit("src").alias("name"), F.when(F.col("c_nationkey") == 4, "other").otherwise("shop").alias("database"), F.lit("postgresql").alias("system_type"))
+    scan = S(F.lit("p").alias("scanner"), F.when(F.col("c_nationkey") == 3, "2").otherwise("1").alias("scanner_contract_version"))
+    whole = F.to_json(S(known.alias("source"), scan.alias("scan"), S(F.array(source).alias("data_sources"), "relationships").alias("governance")))
+    return by.select(F.when(F.col("c_nationkey") == 5, F.concat(F.lit('{"scan":{},'), F.substring(whole, F.lit(2), F.length(whole)))).otherwise(whole).alias("text"))
+
+
+def snapshot_objects(spark, d):
+    return snapshot.Snapshots(snapshots(spark, d)).objects.select("kind", "raw_id", "object_key", "parent_key")
+
+
+def snapshot_properties(spark, d):
+    """All properties, of which references are identities."""
+    return snapshot.Snapshots(snapshots(spark, d)).properties().select("object_key", "pointer", "value_json")
+
+
+def snapshot_problems(spark, d):
+    """The faults by what they are and where in a document they stand."""
+    found = snapshot.Snapshots(snapshots(spark, d)).problems()
+    return found.groupBy(F.regexp_replace("path", "/[0-9]+(?=/|$)", "/*").alias("place"), "problem").agg(F.count(F.lit(1)).alias("n_problems"))
+
+
+def inventory_tables(spark, d):
+    return snapshot.inventory(_model(spark, d))
+
+
 # --- comparisons that are stored -------------------------------------------------------------------------------
 
 
@@ -261,5 +315,5 @@ def compare_out_of_order(spark, d):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     catalog_objects, catalog_kinds, catalog_keys, catalog_properties, catalog_unfit_properties, catalog_assets, catalog_relations, catalog_index, catalog_index_conflicts,
     dbt_nodes, dbt_edges, dbt_problems, dbt_observations, odcs_nodes, odcs_edges, odcs_problems, odcs_observations,
-    lineage_nodes, lineage_edges, lineage_problems, lineage_observations, compare_orphans, compare_out_of_order,
+    lineage_nodes, lineage_edges, lineage_problems, lineage_observations, snapshot_objects, snapshot_properties, snapshot_problems, inventory_tables, compare_orphans, compare_out_of_order,
 )}

@@ -41,9 +41,13 @@ class Rule(NamedTuple):
     keep: tuple[str, ...] = ()
     #: Whether it has no row, and is not seen by rows below.
     silent: bool = False
+    #: Whether it is told as one text, under the empty name, even if it is an object.
+    whole: bool = False
 
 
 ROW = "doc string, rule string, path array<string>, m map<string,string>, lists map<string,array<string>>, up array<struct<path:array<string>,m:map<string,string>>>"
+#: The rule of documents that could not be read.
+FAULT = "fault"
 _MAP = pa.map_(pa.string(), pa.string())
 _PATH = pa.list_(pa.string())
 _ARROW = pa.schema([("doc", pa.string()), ("rule", pa.string()), ("path", _PATH), ("m", _MAP), ("lists", pa.map_(pa.string(), _PATH)), ("up", pa.list_(pa.struct([("path", _PATH), ("m", _MAP)])))])
@@ -64,7 +68,7 @@ def _at(value: object, tokens: tuple[str, ...], path: tuple[str, ...]) -> Iterat
 
 
 def _tell(value: object, rule: Rule) -> tuple[dict[str, str], dict[str, list[str]]]:
-    if not isinstance(value, dict):
+    if rule.whole or not isinstance(value, dict):
         return {"": _encode(value)}, {"": [_encode(x) for x in value]} if isinstance(value, list) else {}
     inside = {place.split("/")[0] for place in rule.rows}
     m = {}
@@ -98,11 +102,18 @@ def _columns(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
-def _flatten(it: Iterator[pa.RecordBatch], rules: dict[str, Rule], root: str) -> Iterator[pa.RecordBatch]:
+def _flatten(it: Iterator[pa.RecordBatch], rules: dict[str, Rule], root: str, faults: bool) -> Iterator[pa.RecordBatch]:
     rows: list[dict] = []
     for batch in it:
         for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for row in _visit(doc, loads(text), root, rules, (), ()):
+            try:
+                value = loads(text)
+            except (ValueError, RecursionError) as e:
+                if not faults:
+                    raise
+                rows.append({"doc": doc, "rule": FAULT, "path": (), "m": [("", _encode(str(e)))], "lists": [], "up": ()})
+                continue
+            for row in _visit(doc, value, root, rules, (), ()):
                 rows.append(row)
                 if len(rows) == 2000:
                     yield _columns(rows)
@@ -111,17 +122,17 @@ def _flatten(it: Iterator[pa.RecordBatch], rules: dict[str, Rule], root: str) ->
         yield _columns(rows)
 
 
-def flatten(documents: DataFrame, text: str, rules: dict[str, Rule], root: str, distinct: bool = False) -> DataFrame:
+def flatten(documents: DataFrame, text: str, rules: dict[str, Rule], root: str, distinct: bool = False, faults: bool = False) -> DataFrame:
     """The objects of documents (column text; a null one has none) that the rules name, from the whole as root on; of
     equal documents one alone, if distinct.
 
     doc is a digest of the text. Documents are dealt out by it first: parsing is the dear step, and few splits may hold
     many or large documents. What is no object has its text, and the elements of a list, under the empty name. What is
-    no JSON, repeats a key, or is nested too deep, is an error.
+    no JSON, repeats a key, or is nested too deep, is an error, or with faults a row of the rule FAULT that says why.
     """
     source = documents.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text).cast("binary"), 256).alias("doc"), F.col(text).alias("text"))
     source = source.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
-    return (source.distinct() if distinct else source).mapInArrow(partial(_flatten, rules=rules, root=root), ROW)
+    return (source.distinct() if distinct else source).mapInArrow(partial(_flatten, rules=rules, root=root, faults=faults), ROW)
 
 
 def ancestor(i: int) -> Column:

@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import canonical
+from ..shared import stored
+from . import conflicts
 from .batching import running_sums
+from .graph import stated
 
 #: What each form of context makes available of the dimensions of an entry.
 AVAILABLE = {"none": (), "provenance": ("provenance",), "full": ("provenance", "conflict", "authority", "effective_value")}
@@ -100,12 +104,12 @@ def unfit_entries(entries: DataFrame) -> DataFrame:
     return entries.select("entry_index", why.alias("problem")).filter("problem IS NOT NULL")
 
 
-def dimension_pairs(entries: DataFrame, facts: DataFrame) -> DataFrame:
-    """What dimension_changes() takes, for each entry and the next. entries: entry_index, context. facts: entry_index,
-    object_key, dimension, payload_json (canonical). A row for each object and dimension that either entry states."""
+def dimension_pairs(entries: DataFrame, facts: DataFrame, by: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """What dimension_changes() takes, for each entry and the next. entries: entry_index, context. facts: entry_index, the
+    columns by, dimension, payload_json (canonical). A row for each of those and dimension that either entry states."""
     has = availability(entries).select("entry_index", F.explode(F.array(*(F.struct(F.lit(x).alias("dimension"), F.col(f"has_{x}").alias("available")) for x in AVAILABLE["full"]))).alias("x")).select("entry_index", "x.*")
     at = steps(entries).filter("after_index IS NOT NULL").select(F.col("entry_index").alias("from_index"), F.col("after_index").alias("to_index"))
-    key = ["from_index", "to_index", "object_key", "dimension"]
+    key = ["from_index", "to_index", *by, "dimension"]
     base = facts.join(at, facts["entry_index"] == at["from_index"]).select(*key, F.col("payload_json").alias("base_json"))
     cand = facts.join(at, facts["entry_index"] == at["to_index"]).select(*key, F.col("payload_json").alias("cand_json"))
     side = lambda index, name: has.select(F.col("entry_index").alias(index), "dimension", F.col("available").alias(name))
@@ -113,6 +117,42 @@ def dimension_pairs(entries: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select(*key, "base_available", "cand_available", "base_json", "cand_json")
 
 
+def decisions(observations: DataFrame, rules: DataFrame) -> DataFrame:
+    """The decisions of each entry's observations by the rules of that entry, all entries in one pass: both tables have
+    entry_index, which is made a part of objects and kinds for as long. They are written, as several dimensions read them."""
+    apart = lambda df, *names: df.withColumns({c: F.concat(F.col("entry_index").cast("string"), F.lit("|"), c) for c in names}).drop("entry_index")
+    found = conflicts.decide(apart(observations, "object_key", "kind"), apart(rules, "kind"))
+    whole = lambda c: F.regexp_replace(c, "^[^|]*[|]", "")
+    index = F.substring_index("object_key", "|", 1).cast(observations.schema["entry_index"].dataType)
+    return stored(found.withColumn("entry_index", index).withColumns({"object_key": whole("object_key"), "kind": whole("kind")}), "decisions")
+
+
+#: Reasons of decisions for which authority was asked.
+ASKED = ("NO_AUTHORITY_RULE", "INVALID_OR_AMBIGUOUS_AUTHORITY", "AUTHORITATIVE_SOURCE_NOT_OBSERVED", "AUTHORITATIVE_SOURCE_CONFLICTED", "RESOLVED_BY_AUTHORITY")
+
+
+def dimension_facts(observations: DataFrame, decided: DataFrame) -> DataFrame:
+    """What dimension_pairs() takes, by object_key and pointer, from observations and decisions() of entries: who states
+    which values, the state of conflict, what authority said, and the effective value, each as canonical JSON.
+
+    A property's values and sources are listed in one row: as many as there are sources that observe it.
+    """
+    text = lambda c: F.coalesce(canonical.escaped(c), F.lit("null"))
+    each = lambda p: F.concat(F.lit('{"observation_mode":'), text(p["observation_mode"]), F.lit(',"provider_type":'), text(p["provider_type"]), F.lit(',"source_ref":'), text(p["source_ref"]), F.lit(',"source_version":'), text(p["source_version"]), F.lit("}"))
+    key = ["entry_index", "object_key", "pointer"]
+    said = stated(observations).filter("provenance IS NOT NULL").select(*key, "value_json", each(F.col("provenance")).alias("p"))
+    groups = said.groupBy(*key, "value_json").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    listed = F.array_sort(F.collect_list(F.concat(F.lit('{"provenance":['), F.array_join("p", ","), F.lit('],"value":'), "value_json", F.lit("}"))))
+    provenance = groups.groupBy(*key).agg(F.concat(F.lit('{"value_groups":['), F.array_join(listed, ","), F.lit("]}")).alias("payload_json")).withColumn("dimension", F.lit("provenance"))
+    conflict = F.concat(F.lit('{"has_result":true,"reason":'), text(F.col("reason")), F.lit(',"state":'), text(F.col("state")), F.lit("}"))
+    r = F.col("rule")
+    rule = F.when(r.isNull(), F.lit("null")).otherwise(F.concat(F.lit('{"provider_type":'), text(r["provider_type"]), F.lit(',"source_ref":'), text(r["source_ref"]), F.lit("}")))
+    authority = F.when(F.col("reason").isin(*ASKED), F.concat(F.lit('{"authority_applicable":true,"has_result":true,"outcome":'), text(F.col("reason")), F.lit(',"winning_rule":'), rule, F.lit("}"))).otherwise(F.lit('{"authority_applicable":false,"has_result":true}'))
+    effective = F.when(F.col("has_effective_value"), F.concat(F.lit('{"has_effective_value":true,"has_result":true,"value":'), "effective_json", F.lit("}"))).otherwise(F.lit('{"has_effective_value":false,"has_result":true}'))
+    three = F.array(*(F.struct(F.lit(name).alias("dimension"), value.alias("payload_json")) for name, value in (("conflict", conflict), ("authority", authority), ("effective_value", effective))))
+    return provenance.unionByName(decided.select(*key, F.explode(three).alias("x")).select(*key, "x.*"))
+
+
 def dimension_changes(pairs: DataFrame) -> DataFrame:
     """pairs: dimension, base_available, cand_available, base_json, cand_json. A change is told only if both sides are
     there and differ."""

@@ -155,7 +155,7 @@ SQL = {
         SELECT object_key, pointer, CASE WHEN n_values = 1 THEN one.v ELSE allowed_v END AS effective_json, CASE WHEN n_values > 1 THEN authority END AS authority
         FROM decided JOIN one USING (object_key, pointer) WHERE state IN ('SINGLE_OBSERVATION', 'AGREEMENT', 'RESOLVED_BY_AUTHORITY')""",
     "conflict_summary": f"""WITH {_DECIDED} SELECT state, reason, count(*) AS n_properties FROM decided GROUP BY ALL""",
-    "conflict_ambiguous_rules": f"""WITH {_RULES} SELECT 'table' AS kind, pointer, ns AS namespace, count(*) AS n_authorities FROM rules GROUP BY ALL HAVING count(*) > 1""",
+    "conflict_ambiguous_rules": """SELECT 'table' AS kind, '/attributes/' || p_type AS pointer, CASE WHEN p_size % 2 = 1 THEN 'ns' || p_size % 3 END AS namespace, count(DISTINCT p_brand) AS n_authorities FROM part GROUP BY ALL HAVING count(DISTINCT p_brand) > 1""",
     "reconcile_safety": f"""WITH {_SAFETY}, one AS (SELECT object_key, pointer, min(v) AS v FROM facts GROUP BY ALL), e AS (
           SELECT d.*, CASE WHEN n_values = 1 THEN one.v ELSE allowed_v END AS value, CASE pointer WHEN '/name' THEN 'display_name' WHEN '/description' THEN 'description' END AS field FROM decided d JOIN one USING (object_key, pointer))
         SELECT state, CASE WHEN field IS NULL THEN 'not_reconciliation_mapped' WHEN state = 'UNRESOLVED_CONFLICT' THEN 'unresolved_conflict' WHEN state LIKE 'INVALID%' THEN 'invalid_or_ambiguous_authority'

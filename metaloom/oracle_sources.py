@@ -63,7 +63,46 @@ nodes AS (
   UNION ALL SELECT '["ns","column","balance",' || target || ']', 'column', 'balance', '{"data_type":"decimal"}' FROM runs
   UNION ALL SELECT '["ns","column","cents",["ns","column","balance",' || target || ']]', 'column', 'cents', '{}' FROM runs)"""
 
+_SNAP = r"""c AS (SELECT c_custkey AS k, c_nationkey AS n, c_name AS name, c_custkey // 100 AS part, '"n/' || c_nationkey || '~"' AS sch FROM customer WHERE c_nationkey <> 5 AND c_custkey IN (SELECT o_custkey FROM orders)),
+docs AS (SELECT DISTINCT n, part, sch FROM c),
+tabs AS (SELECT *, '{"kind":"table","path":[' || sch || ',"' || name || '"]}' AS key, '[' || sch || ',"' || name || '"' AS up FROM c),
+cols AS (SELECT o_orderkey AS o, t.k, '{"kind":"column","path":' || up || ',"o/' || o_orderkey || '"]}' AS key, t.key AS parent, o_orderpriority AS p, o_orderstatus AS s FROM orders JOIN tabs t ON o_custkey = t.k),
+pks AS (SELECT k, string_agg(key, ',' ORDER BY o) AS refs FROM cols WHERE o % 4 = 0 GROUP BY k),
+ends AS (SELECT k, arg_min(key, o) AS a, arg_max(key, o) AS b FROM cols GROUP BY k),
+objects AS (
+  SELECT 'data_source' AS kind, 'ds' AS raw_id, '{"kind":"data_source","path":[]}' AS object_key, CAST(NULL AS VARCHAR) AS parent_key, 'src' AS name FROM docs
+  UNION ALL SELECT 'database', 'db', '{"kind":"database","path":[]}', '{"kind":"data_source","path":[]}', 'shop' FROM docs
+  UNION ALL SELECT 'schema', 's' || n, '{"kind":"schema","path":[' || sch || ']}', '{"kind":"database","path":[]}', 'n/' || n || '~' FROM docs
+  UNION ALL SELECT 'table', 't' || k, key, '{"kind":"schema","path":[' || sch || ']}', name FROM tabs
+  UNION ALL SELECT 'column', 'k' || o, key, parent, 'o/' || o FROM cols
+  UNION ALL SELECT 'primary_key', CASE WHEN k % 8 = 0 THEN 't' ELSE 'p' END || k, '{"kind":"primary_key","path":' || up || ',"pk"]}', key, 'pk' FROM tabs JOIN pks USING (k)
+  UNION ALL SELECT 'foreign_key', 'f' || k, '{"kind":"foreign_key","path":' || up || ',"fk"]}', key, 'fk' FROM tabs WHERE k % 3 = 0
+  UNION ALL SELECT 'relationship', 'r' || k, '{"kind":"relationship","path":' || up || ',"to/self"]}', key, 'to/self' FROM tabs WHERE k % 3 = 0)"""
+
 SQL = {
+    "snapshot_objects": f"WITH {_SNAP} SELECT kind, raw_id, object_key, parent_key FROM objects",
+    "snapshot_properties": f"""WITH {_SNAP} SELECT object_key, '/name' AS pointer, '"' || name || '"' AS value_json FROM objects
+        UNION ALL SELECT object_key, '/description', 'null' FROM objects WHERE kind NOT LIKE '%key' UNION ALL SELECT object_key, '/ownership', 'null' FROM objects WHERE kind IN ('data_source', 'database', 'schema', 'table')
+        UNION ALL SELECT object_key, '/system_type', '"postgresql"' FROM objects WHERE kind = 'data_source'
+        UNION ALL SELECT key, '/data_type', '"' || p || '"' FROM cols UNION ALL SELECT key, '/ordinal_position', CAST(o AS VARCHAR) FROM cols UNION ALL SELECT key, '/nullable', CASE WHEN o % 50 = 0 THEN 'null' ELSE CAST(s <> 'F' AS VARCHAR) END FROM cols
+        UNION ALL SELECT key, '/technical_attributes/a~1b', '"' || p || '"' FROM cols WHERE s = 'P'
+        UNION ALL SELECT '{{"kind":"primary_key","path":' || up || ',"pk"]}}', '/column_ids', '[' || refs || ']' FROM tabs JOIN pks USING (k)
+        UNION ALL SELECT '{{"kind":"foreign_key","path":' || up || ',"fk"]}}', unnest(['/column_ids', '/referenced_table_id', '/referenced_column_ids']), unnest(['[' || a || ']', key, '[' || CASE WHEN k % 6 = 0 THEN 'null' ELSE b END || ']']) FROM tabs JOIN ends USING (k) WHERE k % 3 = 0
+        UNION ALL SELECT '{{"kind":"relationship","path":' || up || ',"to/self"]}}', unnest(['/to_table_id', '/foreign_key_id']), unnest([key, CASE WHEN k % 6 = 3 THEN 'null' ELSE '{{"kind":"foreign_key","path":' || up || ',"fk"]}}' END]) FROM tabs WHERE k % 3 = 0""",
+    "snapshot_problems": rf"""WITH {_SNAP}, found AS (
+        SELECT '' AS place, 'a JSON object repeats a key' AS problem FROM (SELECT DISTINCT c_custkey // 100 FROM customer WHERE c_nationkey = 5 AND c_custkey IN (SELECT o_custkey FROM orders))
+        UNION ALL SELECT '/scan/scanner_contract_version', 'unsupported contract version' FROM docs WHERE n = 3 UNION ALL SELECT '/source/database', 'envelope and model differ' FROM docs WHERE n = 4
+        UNION ALL SELECT '/governance/data_sources/*/databases/*/schemas/*/tables/*/columns/*/nullable', 'value of another type' FROM cols WHERE o % 50 = 0
+        UNION ALL SELECT '/governance/data_sources/*/databases/*/schemas/*/tables/*/columns/*/ordinal_position', 'value of another type' FROM cols WHERE o < 1
+        UNION ALL SELECT '/governance/data_sources/*/databases/*/schemas/*/tables/*/schema_id', 'does not name the object around it' FROM tabs WHERE k % 10 = 9
+        UNION ALL SELECT 't' || k, 'repeated id' FROM pks WHERE k % 8 = 0
+        UNION ALL SELECT '/governance/data_sources/*/databases/*/schemas/*/tables/*/foreign_keys/*/referenced_column_ids/*', 'reference does not resolve' FROM tabs WHERE k % 6 = 0
+        UNION ALL SELECT '/governance/relationships/*/foreign_key_id', 'reference does not resolve' FROM tabs WHERE k % 6 = 3)
+        SELECT place, problem, count(*) AS n_problems FROM found GROUP BY place, problem""",
+    "inventory_tables": f"""WITH {_CATALOG}, c AS (SELECT up, string_agg('{{"data_type":"' || kind || '","description":' || coalesce('"' || said || '"', 'null') || ',"id":"col:' || path || '","name":"' || name || '","nullable":' || CAST(nullable AS VARCHAR) || ',"ordinal_position":' || (o + 1) || '}}', ',' ORDER BY o) AS all_columns FROM cols GROUP BY up)
+        SELECT 'tbl:' || path AS local_id, '{{"columns":[' || coalesce(all_columns, '') || '],"description":' || coalesce('"' || said || '"', 'null') || ',"foreign_keys":[' || coalesce('{{"column_ids":["' || f.columns || '"],"id":"fk:' || path || '/fk","name":"fk","referenced_column_ids":["' || to_columns || '"],"referenced_table_id":"tbl:' || target || '"}}', '')
+          || '],"id":"tbl:' || path || '","name":"' || name || '","owner":"' || owner || '","primary_key":' || coalesce('{{"column_ids":["' || replace(p.columns, ',', '","') || '"],"id":"pk:' || path || '/pk","name":"pk"}}', 'null') || ',"schema_id":"sch:src/shop/' || sch || '"}}' AS json
+        FROM tabs t LEFT JOIN c ON c.up = t.path LEFT JOIN fks f ON f.up = t.path LEFT JOIN pks p ON p.up = t.path""",
     "catalog_objects": f"WITH {_CATALOG} SELECT * FROM objects",
     "catalog_kinds": f"WITH {_CATALOG} SELECT kind, count(*) AS n_objects FROM objects GROUP BY kind",
     "catalog_keys": f"WITH {_CATALOG} SELECT 'pk:' || up || '/pk' AS local_id, columns, '' AS to_columns FROM pks UNION ALL SELECT 'fk:' || up || '/fk', columns, to_columns FROM fks",

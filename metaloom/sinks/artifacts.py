@@ -46,14 +46,40 @@ def row_text(df: DataFrame) -> Column:
     return F.concat_ws("\x1f", *parts) if parts else F.lit("")
 
 
-def identity(df: DataFrame, kind: str) -> DataFrame:
-    """One row: n_rows and digest."""
-    digest = canonical.digest(kind, row_text(df))
+WORDS = [f"s{i}" for i in range(8)]
+
+
+def row_sums(df: DataFrame, kind: str, *by: str) -> DataFrame:
+    """For each value of by (without it: one row): n_rows and the sums of the eight words of all row digests (s0 to s7).
+
+    by is no part of the rows. Sums can be added and subtracted: those of a table are the ones before, plus those of the
+    rows that came, less those of the rows that went, so a change needs no look at the rows that stay.
+    """
+    digest = canonical.digest(kind, row_text(df.drop(*by)))
     word = lambda i: F.conv(F.substring("__row", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
-    sums = [F.coalesce(F.sum(word(i)), F.lit(0)).cast("string").alias(f"s{i}") for i in range(8)]
-    total = df.select(digest.alias("__row")).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
-    names = ",".join(sorted(df.columns)).lower()
-    return total.select("n_rows", canonical.digest(kind, F.concat_ws("|", F.lit(names), F.col("n_rows").cast("string"), *(f"s{i}" for i in range(8)))).alias("digest"))
+    sums = [F.coalesce(F.sum(word(i)), F.lit(0)).cast("decimal(38,0)").alias(name) for i, name in enumerate(WORDS)]
+    return df.select(*by, digest.alias("__row")).groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+
+
+def changed_sums(before: DataFrame, came: DataFrame, went: DataFrame, *by: str) -> DataFrame:
+    """The row_sums() of tables after rows came and went, from those of the tables, of the new rows and of the gone ones."""
+    signed = lambda df, sign: df.select(*by, *((F.col(c) * sign).cast("decimal(38,0)").alias(c) for c in ("n_rows", *WORDS)))
+    every = signed(before, 1).unionByName(signed(came, 1)).unionByName(signed(went, -1))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = every.groupBy(*by).agg(total("n_rows").cast("bigint").alias("n_rows"), *(total(c).cast("decimal(38,0)").alias(c) for c in WORDS))
+    return out.filter("n_rows != 0") if by else out
+
+
+def sums_digest(kind: str, columns: list[str]) -> Column:
+    """The content identity of row_sums() of a table with these columns."""
+    names = ",".join(sorted(columns)).lower()
+    return canonical.digest(kind, F.concat_ws("|", F.lit(names), F.col("n_rows").cast("string"), *(F.col(c).cast("string") for c in WORDS)))
+
+
+def identity(df: DataFrame, kind: str, *by: str) -> DataFrame:
+    """n_rows and digest, for each value of by (without it: one row)."""
+    columns = [c for c in df.columns if c not in by]
+    return row_sums(df, kind, *by).select(*by, "n_rows", sums_digest(kind, columns).alias("digest"))
 
 
 def write(folder: str, kind: str, tables: dict[str, DataFrame], names: dict[str, str] | None = None, *, partition_by: dict[str, list[str]] | None = None) -> None:

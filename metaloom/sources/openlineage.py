@@ -102,7 +102,7 @@ class Parsed:
         entries = F.coalesce(F.map_entries("said"), whole)
         rows = rows.select("ns", "name", "facet", F.struct("material", "doc", "path", get(lists, "hierarchy").alias("levels"), entries.alias("entries")).alias("first"), F.get(_stated(F.coalesce(text(get(m, "_producer")), F.lit(""))), F.lit(0)).alias("provenance"))
         found = rows.groupBy("ns", "name", "facet").agg(F.min("first").alias("first"), F.max("first.material").alias("last"), provenance_union())
-        return found.select("ns", "name", "facet", F.when(F.col("first.material") == F.col("last"), 1).otherwise(2).alias("n_materials"), "first.*", "provenance")
+        return found.select("ns", "name", "facet", F.when(F.col("first.material").eqNullSafe(F.col("last")), 1).otherwise(2).alias("n_materials"), "first.*", "provenance")
 
     def sources(self) -> DataFrame:
         """A row for each input field that column lineage names, with its own in_ns and in_name."""

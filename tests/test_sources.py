@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import canonical
 from metaloom.operators import graph, impact
-from metaloom.sources import base, catalog, dbt, odcs, openlineage, registry
+from metaloom.sources import base, catalog, dbt, odcs, openlineage, registry, snapshot
 
 MANIFEST = {
     "metadata": {"dbt_version": "1.8"},
@@ -170,3 +170,69 @@ def test_registry_runs_sources_as_one(spark, tmp_path):
     assert {("dataset", "a"), ("dataset", "b"), ("table", "order_totals")} <= names(m.nodes)
     assert m.edges.filter("kind = 'depends_on'").count() == 3
     assert m.observations.filter("pointer = '/name'").count() == 6
+
+
+SNAPSHOT = {
+    "source": {"name": "src", "database": "shop", "system_type": "postgresql"}, "scan": {"scanner": "p", "scanner_contract_version": "1"},
+    "governance": {"data_sources": [{"id": "ds", "name": "src", "system_type": "postgresql", "databases": [{"id": "db", "name": "shop", "datasource_id": "ds", "schemas": [{"id": "s", "name": "a/b", "database_id": "db", "tables": [
+        {"id": "t", "name": "x~y", "schema_id": "s", "technical_attributes": {"k/l": [1]}, "ownership": {"owner_name": "me"}, "primary_key": {"id": "pk", "name": "pk", "table_id": "t", "column_ids": ["c2", "c1"]}, "foreign_keys": [],
+         "columns": [{"id": "c1", "name": "é\"", "data_type": "int", "ordinal_position": 1, "nullable": False}, {"id": "c2", "name": "b", "data_type": "int", "ordinal_position": 2, "nullable": True, "technical_attributes": {"deep": {"z": 1}}}]},
+        {"id": "u", "name": "u", "schema_id": "s", "foreign_keys": [{"id": "fk", "name": "fk", "table_id": "u", "column_ids": ["c3"], "referenced_table_id": "t", "referenced_column_ids": ["c1"]}], "columns": [{"id": "c3", "name": "c", "data_type": "int", "ordinal_position": 1, "nullable": True}]}]}]}]}],
+        "relationships": [{"id": "r", "name": "r", "from_table_id": "u", "to_table_id": "t", "foreign_key_id": "fk"}]},
+}
+
+
+def test_snapshot_references_are_identities(spark):
+    s = snapshot.Snapshots(texts(spark, SNAPSHOT))
+    assert s.problems().count() == 0
+    name = lambda kind, *path: json.dumps({"kind": kind, "path": path}, separators=(",", ":"))
+    seen = {(r["object_key"], r["pointer"]): json.loads(r["value_json"]) for r in s.properties().collect()}
+    table = name("table", "a/b", "x~y")
+    assert seen[name("primary_key", "a/b", "x~y", "pk"), "/column_ids"] == [{"kind": "column", "path": ["a/b", "x~y", "b"]}, {"kind": "column", "path": ["a/b", "x~y", 'é"']}]
+    assert seen[name("foreign_key", "a/b", "u", "fk"), "/referenced_table_id"] == json.loads(table)
+    assert seen[name("relationship", "a/b", "u", "r"), "/foreign_key_id"] == json.loads(name("foreign_key", "a/b", "u", "fk"))
+    assert seen[table, "/technical_attributes/k~1l"] == [1] and seen[name("column", "a/b", "x~y", "b"), "/technical_attributes/deep"] == {"z": 1}
+    assert seen[table, "/ownership"] == {"owner_name": "me"} and seen[name("data_source"), "/system_type"] == "postgresql"
+    assert {r["object_key"]: r["parent_key"] for r in s.objects.collect()}[name("schema", "a/b")] == name("database")
+
+
+def test_snapshot_faults_are_rows(spark):
+    def bad(change):
+        document = json.loads(json.dumps(SNAPSHOT))
+        change(document, document["governance"]["data_sources"][0]["databases"][0]["schemas"][0])
+        return document
+
+    changes = {
+        "reference does not resolve": [lambda d, s: s["tables"][0]["primary_key"].update(column_ids=["c3"]), lambda d, s: s["tables"][1]["foreign_keys"][0].update(referenced_table_id="zz"), lambda d, s: d["governance"]["relationships"][0].update(from_table_id="zz")],
+        "repeated id": [lambda d, s: s["tables"][1]["columns"][0].update(id="u")],
+        "repeated identity": [lambda d, s: s["tables"][0]["columns"][1].update(name='é"')],
+        "does not name the object around it": [lambda d, s: s.update(database_id="x")],
+        "value of another type": [lambda d, s: s["tables"][0]["columns"][0].update(ordinal_position=0), lambda d, s: s["tables"][0].update(description=5), lambda d, s: s.pop("name")],
+        "exactly one is needed": [lambda d, s: d["governance"]["data_sources"][0]["databases"].append({"id": "o", "name": "shop", "datasource_id": "ds", "schemas": []})],
+        "envelope and model differ": [lambda d, s: d["source"].update(system_type="other")],
+        "unsupported contract version": [lambda d, s: d["scan"].update(scanner_contract_version=1)],
+        "as many columns are referenced as refer": [lambda d, s: s["tables"][1]["foreign_keys"][0].update(referenced_column_ids=["c1", "c2"])],
+        "foreign key leads to another table": [lambda d, s: d["governance"]["relationships"][0].update(to_table_id="u")],
+    }
+    rows = [(why, json.dumps(bad(change))) for why, each in changes.items() for change in each]
+    df = spark.createDataFrame(rows, "why string, text string").withColumn("doc", F.sha2("text", 256))
+    found = {}
+    for r in snapshot.Snapshots(df.select("text").unionByName(texts(spark, "[", '{"a":1,"a":2}'))).problems().collect():
+        found.setdefault(r["doc"], set()).add(r["problem"])
+    for r in df.collect():
+        assert r["why"] in found.pop(r["doc"]), r["why"]
+    assert len(found) == 2 and {"a JSON object repeats a key"} in found.values()
+
+
+def test_inventory_in_order(spark, tmp_path):
+    snapshot.write_inventory(catalog.build_model(catalog_rows(spark), "src"), str(tmp_path / "lines"))
+    got = [json.loads(line) for f in sorted((tmp_path / "lines").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [t["id"] for t in got] == ["tbl:src/shop/sales/orders", "tbl:src/shop/sales/people"]
+    assert [c["name"] for c in got[0]["columns"]] == ["id", "who"] and got[0]["foreign_keys"][0]["referenced_table_id"] == "tbl:src/shop/sales/people" and got[1]["primary_key"] is None
+
+
+def test_deleted_facets_are_problems_however_they_are_written(spark):
+    facets = {"storage": {"_producer": "q", "storageLayer": "x", "_deleted": True}, "datasetType": {"_producer": "q", "_deleted": 1, "datasetType": "T"}, "ownership": {"_producer": "q"}, "own": {"_deleted": True}}
+    one = json.dumps(event(RUN + "1", "one", [], [{"namespace": "n", "name": "_deleted", "facets": facets}]), indent=2)
+    found = openlineage.map_events(spark.createDataFrame([(one,)], "event string"), "ns").problems.collect()
+    assert {(r["path"].split("/")[-1], r["message"]) for r in found} == {("storage", "deletions are not supported"), ("datasetType", "_deleted must be a boolean"), ("ownership", "owners is required")}
