@@ -6,7 +6,8 @@ by byte: those found join the historical group, the others form groups of their
 the most code points, then the smallest id.
 
 Nulls: a null text is empty; empty texts are equal. A null id counts as the largest. Rows that repeat an id and a text
-are equal in all columns of the result.
+are equal in all columns of the result. A very long text is normalised and hashed whole; what is kept of it is its digest and
+length. An empty table has an empty result; other columns change nothing.
 """
 
 from __future__ import annotations
@@ -118,8 +119,10 @@ def _lookup(history: pa.Table, new: pa.Table) -> pa.Table:
 
 
 def exact_groups(rows: DataFrame, historical) -> DataFrame:
-    """The groups of digests(), of which rows where historical holds are indexed and the others looked up."""
-    old, new = groups(rows.filter(historical)), groups(rows.filter(~historical))
+    """The groups of digests(), of which rows where historical holds are indexed and the others (also those for which it
+    is null) looked up."""
+    past = F.coalesce(historical, F.lit(False))
+    old, new = groups(rows.filter(past)), groups(rows.filter(~past))
     shards = max(1, -(-rows.count() // SHARD_DIGESTS))
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
     pair = old.select(shard, "*").groupBy("shard").cogroup(new.select(shard, *(F.col(c).alias(c) for c in new.columns)).groupBy("shard"))
@@ -133,7 +136,8 @@ def exact_groups(rows: DataFrame, historical) -> DataFrame:
 def exact_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", historical=None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    historical: a condition on doc for the rows that are indexed; by default every second one by a hash of its id.
+    historical: a condition on doc for the rows that are indexed (where it is null a row is not); by default every second
+    one by a hash of its id.
     """
     rows = shared.stored(digests(documents, doc_id, text), "digests")
     past = (F.pmod(F.xxhash64("doc"), F.lit(2)) == 0) if historical is None else historical

@@ -1,7 +1,8 @@
 """Main text of HTML pages by two passes of rules over blocks.
 
 A page is cut into blocks at block-level tags. Blocks in places that never hold main text (menus, footers, forms,
-adverts, notices, reader comments, by tag, role, class or id) are boilerplate. Classes and ids count as whole names.
+adverts, notices, reader comments, by tag, role, class or id) are boilerplate. A class or id counts by its head word
+(user-comments, ad-slot, sidebar-left), unless it names a layout or a state of the page (with-sidebar).
 A class, an id or a form may also be put on a wrapper of the page, so it excludes nothing where it holds the main part
 of the page, or at least as much text in marked articles, or more likely text (sure text, beside a marked article),
 than stands around it outside elements of this kind; reader comments stay out wherever there is other likely text.
@@ -12,7 +13,8 @@ blocks stay undecided and, in the second pass, inherit the label of their neares
 
 Nulls: a null or empty html has the empty text. Tags that are never closed, comments that do not end and markup cut
 off at the end of the page are read as browsers do, to the end. Drawings (svg) go with what is in them, but one that is
-empty or does not end takes nothing with it; the text of formulas (math, with annotations) stays. Nothing is capped; repeated pages give equal rows.
+empty or does not end takes nothing with it; the text of formulas (math, with annotations) stays. Nothing is capped; a very long page takes time in proportion to its length. Null and repeated ids have a row for each page;
+of nearest neighbours that are equally far, the one before wins. An empty table has an empty result; other columns change nothing.
 """
 
 from __future__ import annotations
@@ -68,6 +70,16 @@ COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus res
 # Words that may stand beside those in a name, as in site-footer or comment-list.
 PART_WORDS = frozenset("area bar block body box div form inner item items list panel section site thread".split())
 
+# Words that may follow the one that tells what a place is (sidebar-left, ad-slot), and those that make a
+# name one of a layout or of a state of the page (with-sidebar, nav-open, content-sidebar-wrap).
+PLACE_WORDS = frozenset("bottom center column container desktop fixed first inline large left mobile primary right row second secondary slot small sticky third top unit wrap wrapper zone".split())
+STATE_WORDS = frozenset("free has is layout no on open closed enabled page template toggle with without".split())
+AROUND_WORDS = frozenset("article content entry main post story text".split())
+# Words that tell it in front of any other (comment-author, related-posts), and words that page builders
+# use for all parts of a page, which tell it only beside words of the lists above.
+FIRST_WORDS = COMMENT_WORDS | frozenset("ad ads advert advertisement promoted recommended related sponsored".split())
+BUILDER_WORDS = frozenset("widget widgets".split())
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
       | <(?P<raw>script|style|noscript|template|textarea|xmp|noembed|noframes)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)
@@ -113,12 +125,27 @@ def not_main(tag: str, attrs: str, in_article: bool) -> str:
             kind = kind or "wrapper"
         if name in ("class", "id"):
             for whole in value.split():
-                words = {x.lower() for x in _NAME.findall(whole)}
-                if words & NOT_MAIN_WORDS and words <= NOT_MAIN_WORDS | PART_WORDS:
-                    kind = "comments" if words & COMMENT_WORDS else kind or "wrapper"
+                if found := place_named(whole):
+                    kind = found if found == "comments" else kind or found
     return kind
 
 
+def place_named(name: str) -> str:
+    """What a class or id says of a place: "comments", "wrapper" (another place without main text), or "".
+
+    The last word that does not only tell a part or a side is the head: it must be one of those of such places. A name
+    of a layout or of a state says nothing, nor does a wrapper around the content and something beside it.
+    """
+    words = [x.lower() for x in _NAME.findall(name)]
+    known = set(words)
+    if not known & NOT_MAIN_WORDS or known & STATE_WORDS or (known & AROUND_WORDS and known & {"wrap", "wrapper", "container", "row"}):
+        return ""
+    head = next((x for x in reversed(words) if x not in PART_WORDS and x not in PLACE_WORDS), "")
+    if words[0] not in FIRST_WORDS and (head not in NOT_MAIN_WORDS or (head in BUILDER_WORDS and not known <= NOT_MAIN_WORDS | PART_WORDS)):
+        return ""
+    return "comments" if known & COMMENT_WORDS else "wrapper"
+
+
 class Exclusion(NamedTuple):
     """An element that holds no main text unless it is a wrapper."""
 

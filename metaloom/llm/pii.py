@@ -7,12 +7,16 @@ domain, so a pseudonym has the same format and is valid, equal values stay equal
 the key can turn them back. The key is an argument; the query takes it from the session. Separators, country codes and check digits stay what they must be. The name and domain of
 an e-mail address become keyed digests (there is no number to permute), its top domain stays.
 
-Nulls: a null text stays null, an empty one empty. What fails its validation, and all other text, stays as it is.
+Nulls: a null text stays null, an empty one empty. What fails its validation, and all other text, stays as it is. Where
+patterns overlap the first one to begin wins, then the first of the kinds. Repeated rows get equal pseudonyms. A very long
+text is one row of the plan, with an array of its values. An empty table has an empty result; a column of the documents named
+found is replaced, all others stay.
 """
 
 from __future__ import annotations
 
 import secrets
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds of the network, and the setting of the session that holds the query's key.
-ROUNDS, KEY_SETTING = 10, "spark.metaloom.pii.key"
+ROUNDS, KEY_SETTING = 10, "spark.metaloom.pii.secret"
 #: Days from 1800-01-01 on in 400 years, as a product: the domain of dates.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 #: Steps after which a walk for a date that must read day first ends; it needs so many with probability 0.4 ** 64.
@@ -55,7 +59,7 @@ def _pad(c: Column, width: Column | int) -> Column:
     return F.concat(F.repeat(F.lit("0"), F.greatest((F.lit(width) if isinstance(width, int) else width) - F.length(text), F.lit(0))), text)
 
 
-def permuted(left: Column, right: Column, a: Column | int, b: Column | int, key: str, name: str, reverse: bool = False) -> Column:
+def permuted(left: Column, right: Column, a: Column | int, b: Column | int, key: Column | str, name: str, reverse: bool = False) -> Column:
     """A struct (l, r): the pair left < a, right < b through the keyed network; reverse undoes it."""
     a, b = ((F.lit(x) if isinstance(x, int) else x).cast("bigint") for x in (a, b))
 
@@ -69,7 +73,7 @@ def permuted(left: Column, right: Column, a: Column | int, b: Column | int, key:
     return F.aggregate(turns, F.struct(_number(left).alias("l"), _number(right).alias("r")), step)
 
 
-def digits_permuted(digits: Column, key: str, name: str, reverse: bool = False) -> Column:
+def digits_permuted(digits: Column, key: Column | str, name: str, reverse: bool = False) -> Column:
     """A text of 2 to 36 digits permuted among all texts of its length."""
     u = F.floor(F.length(digits) / 2).cast("int")
     v = F.length(digits) - u
@@ -106,14 +110,14 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step)
 
 
-def _card(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
+def _card(value: Column, key: Column | str, reverse: bool) -> tuple[Column, Column]:
     digits = only_digits(value)
     body = let(F.substring(digits, F.lit(1), F.length(digits) - 1), lambda d: digits_permuted(d, key, "card", reverse))
     whole = let(body, lambda x: F.concat(x, let(F.concat(x, F.lit("0")), lambda y: F.pmod(10 - luhn(y), F.lit(10))).cast("string")))
     return let(digits, luhn) % 10 == 0, let(whole, lambda d: in_format(value, d))
 
 
-def _phone(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
+def _phone(value: Column, key: Column | str, reverse: bool) -> tuple[Column, Column]:
     def made(digits: Column) -> Column:
         country = F.when(~value.startswith("+"), 0).when(digits.startswith("1") | digits.startswith("7"), 1).otherwise(2)
         own = let(F.substring(digits, country + 1, F.length(digits) - country), lambda d: digits_permuted(d, key, "phone", reverse))
@@ -123,7 +127,7 @@ def _phone(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
     return (size >= 7) & (size <= 15), let(let(only_digits(value), made), lambda d: in_format(value, d))
 
 
-def _ssn(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
+def _ssn(value: Column, key: Column | str, reverse: bool) -> tuple[Column, Column]:
     part = [_number(F.substring(value, i, n)) for i, n in ((1, 3), (5, 2), (8, 4))]
     valid = (part[0] > 0) & (part[0] < 900) & (part[0] != 666) & (part[1] > 0) & (part[2] > 0)
     area = part[0] - 1 - (part[0] > 666).cast("int")
@@ -135,14 +139,14 @@ def _ssn(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
     return valid, let(permuted(area, (part[1] - 1) * 9999 + part[2] - 1, 898, 99 * 9999, key, "ssn", reverse), text)
 
 
-def _ip(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
+def _ip(value: Column, key: Column | str, reverse: bool) -> tuple[Column, Column]:
     part = [_number(F.split_part(value, F.lit("."), F.lit(i))) for i in range(1, 5)]
     made = permuted(part[0] * 256 + part[1], part[2] * 256 + part[3], 65536, 65536, key, "ip", reverse)
     valid = reduce(lambda x, y: x & y, [p <= 255 for p in part])
     return valid, let(made, lambda s: F.concat_ws(".", *(f for h in ("l", "r") for f in (F.floor(s[h] / 256), s[h] % 256))))
 
 
-def _date(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
+def _date(value: Column, key: Column | str, reverse: bool) -> tuple[Column, Column]:
     """Year first; else month first with / (day first if that is no date), day first with - and dots.
 
     A date with / that can only read day first is permuted again until its pseudonym can only read so too; otherwise
@@ -173,7 +177,7 @@ def _date(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
     return valid, let(let(moved, day_of), text)
 
 
-def _email(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
+def _email(value: Column, key: Column | str, reverse: bool) -> tuple[Column, Column]:
     low = F.lower(value)
     digest = lambda name, c: F.sha2(F.concat_ws("|", F.lit(key), F.lit(name), c).cast("binary"), 256)
     domain = F.substring_index(low, "@", -1)
@@ -183,7 +187,7 @@ def _email(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
 _KINDS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(value: Column, key: str, reverse: bool = False) -> Column:
+def pseudonym(value: Column, key: Column | str, reverse: bool = False) -> Column:
     """A struct (kind, text) for a candidate; kind is null and text the value itself where no validation holds."""
     made = {name: make(value, key, reverse) for name, make in _KINDS.items()}
     kind = F.lit(None).cast("string")
@@ -207,22 +211,28 @@ def pseudonymise(documents: DataFrame, *, key: str, text: str = "text", reverse:
     whole = F.col(text)
     # Names for steps that no column of the documents has.
     mark = "_" * (2 + max(len(c) - len(c.lstrip("_")) for c in documents.columns))
-    pattern_, values_, made_ = (f"{mark}{x}" for x in ("pattern", "values", "made"))
+    pattern_, values_, made_, key_ = (f"{mark}{x}" for x in ("pattern", "values", "made", "key"))
     # Texts without @ need no pattern for addresses, those without digits none for numbers.
     pattern = F.when(whole.contains("@"), F.lit(ANY)).when(whole.rlike("[0-9]"), F.lit(NUMBERS))
-    step = documents.withColumn(pattern_, pattern)
+    # The key is a broadcast row, not a literal: plans, the UI and event logs show literals.
+    keys = documents.sparkSession.createDataFrame([(key,)], f"{key_} string")
+    step = documents.withColumn(pattern_, pattern).crossJoin(F.broadcast(keys))
     step = step.withColumn(values_, F.when(F.col(pattern_) == ANY, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).when(F.col(pattern_).isNotNull(), F.regexp_extract_all(whole, F.lit(NUMBERS), F.lit(0))))
-    step = step.withColumn(made_, F.when(F.size(values_) > 0, F.transform(values_, lambda v: pseudonym(v, key, reverse))))
+    step = step.withColumn(made_, F.when(F.size(values_) > 0, F.transform(values_, lambda v: pseudonym(v, F.col(key_), reverse))))
     pieces = F.zip_with(F.when(F.col(pattern_) == ANY, F.split(whole, ANY, -1)).otherwise(F.split(whole, NUMBERS, -1)), F.concat(F.transform(made_, lambda m: m["text"]), F.array(F.lit(""))), lambda gap, made: F.concat(gap, made))
     kinds = F.filter(F.transform(made_, lambda m: m["kind"]), lambda k: k.isNotNull())
     done = step.withColumn(text, F.when(F.col(made_).isNotNull(), F.array_join(pieces, "")).otherwise(whole))
-    return done.withColumn("found", F.coalesce(kinds, F.array().cast("array<string>"))).drop(pattern_, values_, made_)
+    return done.withColumn("found", F.coalesce(kinds, F.array().cast("array<string>"))).drop(pattern_, values_, made_, key_)
 
 
 def session_key(spark: SparkSession) -> str:
     """The key that the session states. Where it states none, a new one that is kept nowhere: equal values are linked
-    within what is made with it, but not with other results, and nobody can turn them back."""
-    return spark.conf.get(KEY_SETTING, "") or secrets.token_hex(32)
+    within what is made with it, but not with other results, and nobody can turn them back; a warning says so. Spark
+    redacts settings of that name where it shows them."""
+    stated = spark.conf.get(KEY_SETTING, "")
+    if not stated:
+        warnings.warn(f"{KEY_SETTING} is not set: a new key links values within this result alone", stacklevel=2)
+    return stated or secrets.token_hex(32)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

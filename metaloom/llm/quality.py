@@ -6,7 +6,9 @@ bucket runs FTRL-proximal updates over its rows in an order fixed by their hash,
 round; the states of the buckets are averaged. Scoring is a sparse dot product with the broadcast weights.
 
 Nulls: a null text is empty; an empty text has the mark of its length only. Rows without a label teach nothing; with
-no labelled row every score is 0.5. A label beside a repeated id counts for each row of that id.
+no labelled row every score is 0.5. A label beside a repeated id counts for each row of that id. Rows of equal hash (of a
+repeated id) may train in either order. Scoring looks at a very long text whole, at some rows at a time. An empty table has an
+empty result; other columns change nothing.
 """
 
 from __future__ import annotations

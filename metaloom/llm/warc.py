@@ -7,7 +7,8 @@ join of headers and payloads.
 
 Nulls: a null html is an empty payload; a null url gives a record without a target URI. Pages without an id have
 records too, never revisit one another's place before pages with ids, and have a null page_id. Rows that repeat a
-page_id and its payload are a record each and the same kind.
+page_id and its payload are a record each and the same kind. A payload of any length is one value of one row. An empty
+table has an archive of no records; other columns change nothing.
 """
 
 from __future__ import annotations

@@ -119,6 +119,13 @@ def test_exact_dedup_of_nothing_and_of_null_ids(spark):
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_duplicates(docs).collect()} == {(None, 3, False), (3, 3, True)}
 
 
+def test_rows_for_which_history_is_null_are_looked_up(spark):
+    docs = brute.documents(spark, (1, "a"), (7, "a"), (None, "a"), (None, "b"), (9, "c"))
+    got = exact_dedup.exact_duplicates(docs, historical=F.col("doc") < 5).collect()
+    assert sorted((r["text_sha256"], r["group_size"]) for r in got) == sorted([(brute.sha256("a"), 3)] * 3 + [(brute.sha256("b"), 1), (brute.sha256("c"), 1)])
+    assert {r["keep_id"] for r in got if r["text_sha256"] == brute.sha256("a")} == {1}
+
+
 def test_perfect_hash_is_minimal():
     keys = np.stack([np.frombuffer(hashlib.sha256(bytes([i % 256, i // 256])).digest(), np.uint8) for i in range(3000)])
     made = exact_dedup.PerfectHash(keys)

@@ -126,6 +126,17 @@ def test_the_smallest_table_loses_its_values(spark):
             assert r["text"] == texts[r["doc_id"]]
 
 
+def test_the_key_is_in_no_plan(spark):
+    docs = brute.documents(spark, *brute.HARD)
+    shown = pii.pseudonymise(docs, key="a-key-to-keep")._jdf.queryExecution()
+    assert "a-key-to-keep" not in shown.toString() + shown.stringWithStats() + shown.executedPlan().toString()
+
+
+def test_a_missing_key_is_told(spark):
+    with pytest.warns(UserWarning, match="links values within this result alone"):
+        pii.session_key(spark)
+
+
 def test_values_against_plain_python(spark):
     texts = [f"Write to {v}, or not. Again: {v}" for own in VALUES.values() for v in own]
     texts += [f"Here is {x} and more" for x in LEFT] + ["3/4/2001, 31/12/1999 4.5.1900", "Ann.Lee@mail.example.org at +1 (555) 010-9999", "", "none"]

@@ -100,6 +100,18 @@ def test_drawings_and_formulas_take_no_text_with_them(html, text):
     assert html_extract.main_text(html) == html_extract.main_text(f"<article>{html}</article>") == text
 
 
+@pytest.mark.parametrize("name", ["user-comments", "userComments", "sidebar-left", "ad-slot", "post-comments", "comment-text", "related-posts", "left_sidebar", "AdSlot", "site-navigation-top"])
+def test_compound_names_exclude_by_their_head(name):
+    html = page(f'<article><p>{PARAGRAPH}</p><div class="x {name}"><p>{PARAGRAPH} Not this.</p></div><p>{PARAGRAPH} On.</p></article>')
+    assert html_extract.main_text(html) == f"{PARAGRAPH}\n\n{PARAGRAPH} On."
+
+
+@pytest.mark.parametrize("name", ["with-sidebar", "has-sidebar", "nav-open", "content-sidebar-wrap", "comments-open", "elementor-widget", "elementor-widget-container", "no-sidebar", "address", "loading", "navy"])
+def test_names_of_layouts_and_states_exclude_nothing(name):
+    html = page(f'<article><p>{PARAGRAPH}</p><div class="{name}"><p>{PARAGRAPH} This too.</p></div><p>{PARAGRAPH} On.</p></article>')
+    assert html_extract.main_text(html) == f"{PARAGRAPH}\n\n{PARAGRAPH} This too.\n\n{PARAGRAPH} On."
+
+
 def test_drawings_that_never_end_are_looked_for_once():
     assert html_extract.main_text("<p>One</p>" + "<svg>" * 50_000) == "One"
 
