@@ -41,7 +41,7 @@ def impact_distance(spark, d):
 
 def impact_paths(spark, d):
     found = impact.downstream(P.graph(spark, d).edges, P.roots(spark, ROOTS))
-    return found.targets.select("target", "distance", "root", "path_key")
+    return impact.paths(found).select("target", "distance", "root", "path_key")
 
 
 def impact_affected_edges(spark, d):

@@ -20,7 +20,7 @@ def graph_ancestors(spark, d):
 
 def impact_broken_paths(spark, d):
     """Paths of two steps have lost their first one."""
-    found = impact.downstream(P.graph(spark, d).edges, P.roots(spark, C.ROOTS)).targets
+    found = impact.paths(impact.downstream(P.graph(spark, d).edges, P.roots(spark, C.ROOTS)))
     cut = found.withColumn("steps", F.when(F.col("distance") == 2, F.slice("steps", 2, 1)).otherwise(F.col("steps")))
     return impact.broken_paths(cut).select("target")
 

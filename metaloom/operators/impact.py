@@ -2,12 +2,17 @@
 
 Change runs along contains and governs, and against depends_on. reach() is a layered search for the least distance of
 every node and carries keys alone; downstream() also finds one canonical path to each: of all shortest paths the one
-with the least key (the text of root and steps). Roots are never targets. Each layer is written to the shared folder;
-the hops stay partitioned by their source.
+that comes first by its root, then by its steps from the root on. Roots are never targets.
+
+A target keeps its parent on that path, the step from there, and its rank among the targets of its layer; ranks order
+paths as their texts do, so no layer carries paths. paths() writes them out, by doubling, when they are asked for. Each
+layer is written to the shared folder. The hops stay partitioned by their source; those of a source with very many are
+dealt to several partitions, to each of which the source is sent.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 from typing import NamedTuple
 
@@ -15,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import small, stored
+from .batching import running_sums
 
 #: Kinds that a catalog policy can apply to.
 POLICY_KINDS = ("data_source", "dataset", "table", "column")
@@ -32,59 +38,117 @@ def step_key(step: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", step["kind"], step["src_key"], step["dst_key"]), F.lit("]"))
 
 
+#: Hops of a source from which on they are dealt to several partitions, about so many to each.
+HUB = 50_000
+#: Layers after which the nodes that were seen are written as one table again.
+LAYERS = 8
+
+
+class Moves(NamedTuple):
+    """Hops in memory, by their source and a part of it; hubs: the parts of sources that have several."""
+
+    rows: DataFrame
+    hubs: DataFrame
+
+    def after(self, front: DataFrame, node: str) -> DataFrame:
+        """The rows of a layer (whose nodes are in that column) with each hop from there."""
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        sent = front.join(F.broadcast(self.hubs), front[node] == self.hubs["hub"], "left").withColumn("sent", parts).drop("hub", "parts")
+        return sent.join(self.rows, (sent[node] == self.rows["from_key"]) & (sent["sent"] == self.rows["part"])).drop("sent", "part", "from_key")
+
+
+def moves_of(rows: DataFrame, hub: int = HUB) -> Moves:
+    """rows: from_key, to_key and more. There is one hub for each so many hops at most, so hubs are few."""
+    many = stored(rows.groupBy("from_key").count().filter(F.col("count") > hub).select(F.col("from_key").alias("hub"), F.ceil(F.col("count") / hub).cast("int").alias("parts")), "hubs")
+    part = F.coalesce(F.pmod(F.xxhash64("to_key"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
+    dealt = rows.join(F.broadcast(many), F.col("from_key") == F.col("hub"), "left").select(*rows.columns, part)
+    return Moves(dealt.repartition("from_key", "part").persist(), many)
+
+
+class Seen:
+    """The nodes of all layers so far, as few tables as there are layers between two rewritings."""
+
+    def __init__(self, first: DataFrame):
+        self.tables = [first]
+
+    def add(self, layer: DataFrame) -> None:
+        self.tables.append(layer)
+        if len(self.tables) > LAYERS:
+            self.tables = [stored(self.all(), "seen")]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.tables)
+
+
 class Impact(NamedTuple):
-    """targets: target, distance, root, path_key, steps. roots: root. closure: node_key."""
+    """targets: target, distance, root, parent, step, rank. roots: root. closure: node_key."""
 
     targets: DataFrame
     roots: DataFrame
     closure: DataFrame
 
 
-def downstream(edges: DataFrame, roots: DataFrame, most_layers: int | None = None) -> Impact:
-    """All nodes that changes of the roots (a column root) reach, and how. The search goes on until a layer is empty;
-    if there are more than most_layers, that is an error."""
+def downstream(edges: DataFrame, roots: DataFrame, most_layers: int | None = None, hub: int = HUB) -> Impact:
+    """All nodes that changes of the roots (a column root) reach, and from where. The search goes on until a layer is
+    empty; if there are more than most_layers, that is an error."""
     roots = stored(roots.select("root").distinct(), "roots")
     step = F.struct("kind", "src_key", "dst_key")
-    moves = hops(edges).distinct().select("from_key", "to_key", step.alias("step"))
-    moves = moves.repartition("from_key").persist()
-    front = roots.select(F.col("root").alias("target"), F.lit(0).alias("distance"), "root", F.col("root").alias("path_key"), F.array().cast("array<struct<kind:string,src_key:string,dst_key:string>>").alias("steps"))
+    moves = moves_of(hops(edges).distinct().select("from_key", "to_key", step.alias("step")), hub)
+    # Keys are compared as they stand in the text of a path, with the mark that follows them there.
+    first = running_sums(roots.withColumn("order", F.concat("root", F.lit(">"))), ["order"], [])
+    front = first.select(F.col("root").alias("target"), "root", F.col("position").alias("rank"))
+    none = front.limit(0).select("target", F.lit(0).alias("distance"), "root", F.col("root").alias("parent"), F.lit(None).cast("struct<kind:string,src_key:string,dst_key:string>").alias("step"), "rank")
     layers: list[DataFrame] = []
-    seen = roots.select(F.col("root").alias("seen"))
+    seen = Seen(roots.select(F.col("root").alias("seen")))
     for distance in count(1):
-        reached = front.join(moves, front["target"] == moves["from_key"]).join(seen, F.col("to_key") == F.col("seen"), "left_anti")
-        path = F.struct(F.concat("path_key", F.lit(">"), step_key(F.col("step"))).alias("path_key"), "root", F.concat("steps", F.array("step")).alias("steps"))
-        best = reached.select(F.col("to_key").alias("target"), path.alias("path")).groupBy("target").agg(F.min_by("path", "path.path_key").alias("path"))
-        layer = stored(best.select("target", F.lit(distance).alias("distance"), "path.root", "path.path_key", "path.steps"), "layer")
+        reached = moves.after(front.select("target", "root", "rank"), "target").join(seen.all(), F.col("to_key") == F.col("seen"), "left_anti")
+        best = F.min_by(F.struct(F.col("target").alias("parent"), "root", "step", F.col("rank").alias("above")), F.struct("rank", step_key(F.col("step")).alias("key")))
+        found = reached.groupBy(F.col("to_key").alias("own")).agg(best.alias("b")).select(F.col("own").alias("target"), "b.*")
+        ranked = running_sums(found.withColumn("order", F.concat(step_key(F.col("step")), F.lit(">"))), ["above", "order"], [])
+        layer = stored(ranked.select("target", F.lit(distance).alias("distance"), "root", "parent", "step", F.col("position").alias("rank")), "layer")
         if layer.isEmpty():
             break
         if most_layers is not None and distance > most_layers:
             raise RuntimeError(f"there are targets beyond {most_layers} layers")
         layers.append(layer)
-        front, seen = layer, seen.unionByName(layer.select(F.col("target").alias("seen")))
-    moves.unpersist()
-    targets = layers[0] if layers else front.limit(0)
-    for layer in layers[1:]:
-        targets = targets.unionByName(layer)
+        front = layer
+        seen.add(layer.select(F.col("target").alias("seen")))
+    moves.rows.unpersist()
+    targets = reduce(DataFrame.unionByName, layers) if layers else none
     closure = roots.select(F.col("root").alias("node_key")).unionByName(targets.select(F.col("target").alias("node_key")))
     return Impact(targets, roots, closure)
 
 
-def reach(edges: DataFrame, roots: DataFrame, most_layers: int | None = None) -> DataFrame:
+def paths(impact: Impact) -> DataFrame:
+    """Targets with their whole paths: target, distance, root, path_key, steps. Each round joins every piece of a path to
+    the piece before it, so a path of n steps takes log n rounds."""
+    pieces = impact.targets.select("target", "distance", "root", F.col("parent").alias("from"), F.array("step").alias("steps"))
+    while pieces.filter("size(steps) < distance").take(1):
+        before = pieces.select(F.col("target").alias("from"), F.col("from").alias("further"), F.col("steps").alias("first"))
+        joined = pieces.join(before, "from", "left")
+        pieces = stored(joined.select("target", "distance", "root", F.coalesce("further", "from").alias("from"), F.when(F.col("first").isNull(), F.col("steps")).otherwise(F.concat("first", "steps")).alias("steps")), "paths")
+    key = F.concat_ws(">", F.array("root"), F.transform("steps", step_key))
+    return pieces.select("target", "distance", "root", key.alias("path_key"), "steps")
+
+
+def reach(edges: DataFrame, roots: DataFrame, most_layers: int | None = None, hub: int = HUB) -> DataFrame:
     """node_key and distance of every node that changes of the roots reach; the roots have 0. As downstream(), without
-    paths, so that no layer carries more than its keys."""
-    found = stored(roots.select(F.col("root").alias("node_key"), F.lit(0).alias("distance")).distinct(), "reached")
-    moves = hops(edges).select("from_key", "to_key").repartition("from_key").persist()
-    front = found
+    parents, so that no layer carries more than its keys."""
+    front = stored(roots.select(F.col("root").alias("node_key"), F.lit(0).alias("distance")).distinct(), "reached")
+    moves = moves_of(hops(edges).select("from_key", "to_key"), hub)
+    layers, seen = [front], Seen(front.select(F.col("node_key").alias("seen")))
     for distance in count(1):
-        next_ = front.join(moves, front["node_key"] == moves["from_key"]).select(F.col("to_key").alias("node_key")).distinct()
-        layer = stored(next_.join(found.select("node_key"), "node_key", "left_anti").withColumn("distance", F.lit(distance)), "reached")
+        next_ = moves.after(front.select("node_key"), "node_key").select(F.col("to_key").alias("own")).distinct()
+        layer = stored(next_.join(seen.all(), F.col("own") == F.col("seen"), "left_anti").select(F.col("own").alias("node_key"), F.lit(distance).alias("distance")), "reached")
         if layer.isEmpty():
             break
         if most_layers is not None and distance > most_layers:
             raise RuntimeError(f"there are targets beyond {most_layers} layers")
-        found, front = found.unionByName(layer), layer
-    moves.unpersist()
-    return found
+        layers.append(layer)
+        front = layer
+        seen.add(layer.select(F.col("node_key").alias("seen")))
+    moves.rows.unpersist()
+    return reduce(DataFrame.unionByName, layers)
 
 
 def unknown_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -122,7 +186,7 @@ def affected_policies(local: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def broken_paths(targets: DataFrame) -> DataFrame:
-    """Paths that do not run from root to target without a gap; there must be none."""
+    """Rows of paths() that do not run from root to target without a gap; there must be none."""
     begin = lambda s: F.when(s["kind"] == "depends_on", s["dst_key"]).otherwise(s["src_key"])
     end = lambda s: F.when(s["kind"] == "depends_on", s["src_key"]).otherwise(s["dst_key"])
     begins, ends = F.transform("steps", begin), F.transform("steps", end)
@@ -143,7 +207,8 @@ def policy_nodes(nodes: DataFrame, closure: DataFrame) -> DataFrame:
 
 def evidence(impact: Impact) -> tuple[DataFrame, DataFrame]:
     """The graph that a result of downstream() shows by itself: nodes (node_key) and edges (src_key, kind, dst_key) of
-    its roots and paths, without the graph that was searched."""
-    steps = impact.targets.select(F.explode("steps").alias("s")).select("s.src_key", "s.kind", "s.dst_key").distinct()
+    its roots and paths, without the graph that was searched. A path is its parent's and one step, so the targets' own
+    steps are all of them."""
+    steps = impact.targets.select("step.src_key", "step.kind", "step.dst_key").distinct()
     nodes = impact.closure.unionByName(steps.select(F.explode(F.array("src_key", "dst_key")).alias("node_key"))).distinct()
     return nodes, steps

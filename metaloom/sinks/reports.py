@@ -57,7 +57,7 @@ def violations_text(violations: DataFrame, shown: int = SHOWN) -> str:
 
 
 def impact_sections(found, shown: int = SHOWN) -> list[Section]:
-    targets = found.targets.orderBy("distance", "path_key")
+    targets = impact.paths(found).orderBy("distance", "path_key")
     line = F.concat_ws(" ", F.col("distance").cast("string"), "target", F.lit("via"), "path_key")
     return [Section("Changed", found.roots.orderBy("root"), F.col("root"), shown), Section("Direct", targets.filter("distance = 1"), line, shown), Section("Transitive", targets.filter("distance > 1"), line, shown)]
 

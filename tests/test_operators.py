@@ -1,6 +1,7 @@
 """Operators on small graphs, observations and snapshots with results worked out by hand."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def reached(found):
 def test_chain_of_dependencies(spark):
     found = impact.downstream(edges(spark, ("totals", "orders"), ("report", "totals")), roots(spark, "orders"))
     assert reached(found) == {"totals": (1, "orders"), "report": (2, "orders")}
-    assert impact.broken_paths(found.targets).count() == 0
+    assert impact.broken_paths(impact.paths(found)).count() == 0
 
 
 def test_diamond_has_one_path_and_all_edges(spark):
@@ -52,6 +53,50 @@ def test_impact_does_not_depend_on_the_order_of_edges(spark):
     assert all(r == results[0] for r in results)
 
 
+def least_paths(rows, starts):
+    """All shortest paths' least texts, layer by layer. rows: (from, to, kind, src, dst)."""
+    text = lambda r: f"[{r[2]},{r[3]},{r[4]}]"
+    front, done = {k: k for k in starts}, dict.fromkeys(starts)
+    while front:
+        new = {}
+        for r in rows:
+            if r[0] in front and r[1] not in done:
+                new[r[1]] = min(new.get(r[1], "~"), f"{front[r[0]]}>{text(r)}")
+        done |= new
+        front = new
+    return {k: v for k, v in done.items() if v}
+
+
+def test_paths_are_the_least_texts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["contains", "governs", "depends_on"]), f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(160)]
+    e = spark.createDataFrame([(a, kind, b) for kind, a, b in rows], EDGE)
+    steps = [((b, a) if kind == "depends_on" else (a, b)) + (kind, a, b) for kind, a, b in rows]
+    starts = ["n1", "n10", "n2"]
+    for hub in (2, impact.HUB):  # with most sources as hubs, and with none
+        found = impact.downstream(e, roots(spark, *starts), hub=hub)
+        full = impact.paths(found)
+        assert {r["target"]: r["path_key"] for r in full.collect()} == least_paths(steps, starts)
+        assert impact.broken_paths(full).count() == 0
+        assert {r["node_key"]: r["distance"] for r in impact.reach(e, roots(spark, *starts), hub=hub).collect()} == {r["target"]: r["distance"] for r in found.targets.collect()} | dict.fromkeys(starts, 0)
+        walked = {tuple(x) for r in full.collect() for x in r["steps"]}
+        assert {(r["kind"], r["src_key"], r["dst_key"]) for r in impact.evidence(found)[1].collect()} == walked
+
+
+def test_a_long_chain(spark):
+    found = impact.downstream(edges(spark, *((f"k{i + 1:03}", f"k{i:03}") for i in range(20))), roots(spark, "k000"))
+    last = impact.paths(found).orderBy(F.desc("distance")).first()
+    assert last["target"] == "k020" and [s["src_key"] for s in last["steps"]] == [f"k{i + 1:03}" for i in range(20)]
+
+
+def test_hubs_are_dealt_to_several_partitions(spark):
+    star = impact.hops(edges(spark, *((f"leaf{i}", "hub") for i in range(2000)), ("one", "other")))
+    moves = impact.moves_of(star.select("from_key", "to_key"), 100)
+    by = [r["count"] for r in moves.rows.filter("from_key = 'hub'").groupBy("part").count().collect()]
+    assert len(by) == 20 and max(by) < 200
+    assert moves.after(roots(spark, "hub", "other"), "root").count() == 2001
+
+
 def test_no_roots_and_unknown_roots(spark):
     e = edges(spark, ("x", "a"))
     assert impact.downstream(e, roots(spark)).targets.count() == 0
