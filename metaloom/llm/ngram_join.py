@@ -38,6 +38,8 @@ BANDS, ROWS = 32, 6
 STEP, TOLERANCE = 16, 1e-6
 #: Sets of a block of a large bucket; sets and shingles of a block of a large cluster.
 BUCKET_SETS, BLOCK_SETS, BLOCK_SHINGLES = 4096, 1024, 1 << 20
+#: Keys up to which rows are told apart by a broadcast and not by a shuffle.
+BROADCAST_KEYS = shared.BROADCAST_KEYS
 _HASH_BITS = 44
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -325,7 +327,9 @@ def _classes(documents: DataFrame, doc_id: str, text: str, similarity: float, to
     placed = shared.stored(heads.select("doc", "n", "digest", "copies").distinct().join(near, F.col("digest") == F.col("node")).drop("node"), "placed")
     wide = shared.stored(placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "wide")
     placed = placed.join(wide, "component").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    texts = source.join(placed, "doc").select("digest", "component", "copies", "block", "blocks", "words")
+    # Only texts of clusters are shuffled, as long as the ids of those can be broadcast.
+    wanted, _ = shared.with_keys(source, "doc", placed.select("doc"), BROADCAST_KEYS)
+    texts = wanted.join(placed, "doc").select("digest", "component", "copies", "block", "blocks", "words")
     kind = "digest binary, component binary, copies bigint, block int, blocks int, shingles array<bigint>, minhash binary"
     sets = shared.stored(texts.mapInArrow(_sets, kind), "sets").withColumn("cluster", F.xxhash64("component")).drop("component")
     linked = _blocks(sets, "cluster").mapInArrow(partial(_links, similarity=similarity, floor=floors(similarity, tolerance)), "digest binary, links bigint, rows bigint, least binary")
@@ -369,9 +373,14 @@ def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     marks = shared.stored(gone.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))), "marks")
     key = F.struct(F.col(doc_id).cast("bigint").alias("doc"), F.xxhash64(shared.text_or_empty(text)).alias("mark"))
     source = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), key.alias("key"))
+    # Rows that no mark can be about stay without a shuffle, as long as hashes of the marks can be broadcast.
+    source = source.withColumn("hash", F.xxhash64("key.doc", "key.mark"))
+    source, rest = shared.with_keys(source, "hash", marks.select(F.xxhash64("doc", "mark")), BROADCAST_KEYS)
     joined = source.join(marks, (F.col("key.doc") == F.col("doc")) & (F.col("key.mark") == F.col("mark")), "left")
     once = joined.filter("again").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))).filter("at = 1")
     kept = joined.filter("again IS NULL").select("row").unionByName(once.select("row"))
+    if rest is not None:
+        kept = kept.unionByName(rest.select("row"))
     return kept.select(*(F.col("row")[c].alias(c) for c in documents.columns))
 
 

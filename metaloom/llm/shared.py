@@ -42,6 +42,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys (longs) up to which they are broadcast: about 64 MB where they are hashed.
+BROADCAST_KEYS = 2_000_000
+
+
+def with_keys(rows: DataFrame, key: str, keys: DataFrame, most: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key (a long, never null) is among keys (its one column), and the others, without a shuffle of rows:
+    the keys are broadcast if they are counted to be few. Beyond that all rows, and None: a join must tell them apart."""
+    known = keys.toDF("known_key").distinct()
+    if known.limit(most + 1).count() > most:
+        return rows, None
+    on = F.col(key) == F.col("known_key")
+    return rows.join(F.broadcast(known), on, "left_semi"), rows.join(F.broadcast(known), on, "left_anti")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -181,7 +181,9 @@ def test_near_duplicates_on_the_smallest_table(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in want.values()} - gone)
 
 
-def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+@pytest.mark.parametrize("most", [ngram_join.BROADCAST_KEYS, 0])
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", most)
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     docs = brute.documents(spark, (5, a), (5, a), (5, b), (6, b), (7, a + " more"), (8, c), (9, ""), (9, " "), (4, None))
     got = sorted((r["doc_id"], r["class_id"], r["copy_of"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect())
