@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape, markdown_escape, one_line, shortened
-from ..operators import compare, drift, policy
+from ..operators import compare, drift, impact, policy
 
 #: Rows shown of a list, and characters of a cell.
 SHOWN, CELL = 20, 200
