@@ -306,13 +306,13 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_checks, catalog_histories, catalog_plans, catalog_sources
+    from . import catalog_checks, catalog_histories, catalog_plans, catalog_reviews, catalog_sources
 
-    return QUERIES | catalog_plans.QUERIES | catalog_sources.QUERIES | catalog_checks.QUERIES | catalog_histories.QUERIES
+    return QUERIES | catalog_plans.QUERIES | catalog_sources.QUERIES | catalog_checks.QUERIES | catalog_histories.QUERIES | catalog_reviews.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_checks, catalog_histories, catalog_plans, oracle_sources
+    from . import catalog_checks, catalog_histories, catalog_plans, catalog_reviews, oracle_sources
     from .oracle import SQL
 
-    return SQL | catalog_plans.SQL | oracle_sources.SQL | catalog_checks.sql() | catalog_histories.SQL
+    return SQL | catalog_plans.SQL | oracle_sources.SQL | catalog_checks.sql() | catalog_histories.SQL | catalog_reviews.SQL

@@ -7,6 +7,7 @@ deeper needs no join or further parse for its ancestors, however deep it is.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import partial
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
-from .canonical import dumps, loads
+from .canonical import PREFIXES, dumps, loads
 
 _encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False).encode
 
@@ -43,9 +44,13 @@ class Rule(NamedTuple):
     silent: bool = False
     #: Whether it is told as one text, under the empty name, even if it is an object.
     whole: bool = False
+    #: A kind of content identity, and a member or None: the identity of the object without that member is told as
+    #: "/digest".
+    digest: tuple[str, str | None] | None = None
 
 
-ROW = "doc string, rule string, path array<string>, m map<string,string>, lists map<string,array<string>>, up array<struct<path:array<string>,m:map<string,string>>>"
+ROW_FIELDS = ("doc string", "rule string", "path array<string>", "m map<string,string>", "lists map<string,array<string>>", "up array<struct<path:array<string>,m:map<string,string>>>")
+ROW = ", ".join(ROW_FIELDS)
 #: The rule of documents that could not be read.
 FAULT = "fault"
 _MAP = pa.map_(pa.string(), pa.string())
@@ -81,6 +86,10 @@ def _tell(value: object, rule: Rule) -> tuple[dict[str, str], dict[str, list[str
     for k in rule.folded:
         if isinstance(value.get(k), str):
             m[f"{k}/folded"] = _encode(value[k].strip().casefold())
+    if rule.digest:
+        kind, without = rule.digest
+        payload = PREFIXES[kind] + _encode({k: v for k, v in value.items() if k != without})
+        m["/digest"] = hashlib.sha256(payload.encode()).hexdigest()
     return m, {k: [_encode(x) for x in value[k]] for k in rule.lists if isinstance(value.get(k), list)}
 
 
@@ -102,7 +111,7 @@ def _columns(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
-def _flatten(it: Iterator[pa.RecordBatch], rules: dict[str, Rule], root: str, faults: bool) -> Iterator[pa.RecordBatch]:
+def flat(it: Iterator[pa.RecordBatch], rules: dict[str, Rule], root: str, faults: bool) -> Iterator[pa.RecordBatch]:
     rows: list[dict] = []
     for batch in it:
         for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -129,10 +138,13 @@ def flatten(documents: DataFrame, text: str, rules: dict[str, Rule], root: str,
     doc is a digest of the text. Documents are dealt out by it first: parsing is the dear step, and few splits may hold
     many or large documents. What is no object has its text, and the elements of a list, under the empty name. What is
     no JSON, repeats a key, or is nested too deep, is an error, or with faults a row of the rule FAULT that says why.
+    Flat rows (of sources/formats.py) are given back, of equal documents one alone.
     """
+    if documents.columns == [f.split()[0] for f in ROW_FIELDS]:
+        return documents.dropDuplicates(["doc", "rule", "path"]) if distinct else documents
     source = documents.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text).cast("binary"), 256).alias("doc"), F.col(text).alias("text"))
     source = source.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
-    return (source.distinct() if distinct else source).mapInArrow(partial(_flatten, rules=rules, root=root, faults=faults), ROW)
+    return (source.distinct() if distinct else source).mapInArrow(partial(flat, rules=rules, root=root, faults=faults), ROW)
 
 
 def ancestor(i: int) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import escaped
+
 #: Order of changes in reports.
 CHANGE_RANK = ("added", "removed", "changed")
 
@@ -110,3 +112,40 @@ def problems(changes: DataFrame, properties: DataFrame) -> DataFrame:
         .when(F.col("n_properties") != F.col("n"), "wrong_count")
     )
     return both.select("object_key", why.alias("problem")).filter("problem IS NOT NULL")
+
+
+#: The roots whose names a comparison states, and the member that states each.
+ROOTS = {"data_source": "source", "database": "database"}
+
+
+def metadata_problems(comparisons: DataFrame, renamed: DataFrame, contract: str = "1") -> DataFrame:
+    """What is wrong with what stored comparisons say of their two sides: comparison, path, problem.
+
+    comparisons: comparison, baseline and candidate (structs of system_type, scanner, scanner_contract_version, source,
+    database), aligned_source and aligned_database (structs of baseline and candidate; null where nothing is aligned).
+    renamed: comparison, kind and the sides (base_has, base_json, cand_has, cand_json) of changes of a root's name.
+    Names that differ must be aligned, and told as a change of the root's name; names that are equal must be neither.
+    """
+    b, c = F.col("baseline"), F.col("candidate")
+    found = [(F.lit(f"/candidate/{name}"), F.lit("must be that of the baseline"), ~b[name].eqNullSafe(c[name])) for name in ("system_type", "scanner")]
+    for side in (b, c):
+        path = F.lit("/baseline/scanner_contract_version" if side is b else "/candidate/scanner_contract_version")
+        found.append((path, F.lit("unsupported version"), ~side["scanner_contract_version"].eqNullSafe(F.lit(contract))))
+    # A root has one name; a second change of it is as wrong as one that says something else.
+    told = renamed.filter(F.col("kind").isin(*ROOTS)).groupBy("comparison", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("base_has", "base_json", "cand_has", "cand_json")).alias("x"))
+    by_kind = told.groupBy("comparison").agg(*(F.first(F.when(F.col("kind") == kind, F.struct("n", "x")), ignorenulls=True).alias(kind) for kind in ROOTS))
+    rows = comparisons.join(by_kind, "comparison", "left")
+    for kind, name in ROOTS.items():
+        aligned, change, equal = F.col(f"aligned_{name}"), F.col(kind), b[name].eqNullSafe(c[name])
+        good = b[name].eqNullSafe(aligned["baseline"]) & c[name].eqNullSafe(aligned["candidate"])
+        at = F.lit(f"/root_alignment/{name}")
+        found.append((at, F.lit("must be null where names are equal"), equal & aligned.isNotNull()))
+        found.append((at, F.lit("is not what the sides say"), ~equal & (aligned.isNull() | ~good)))
+        side = lambda has, json, value: F.coalesce(change["x"][has], F.lit(False)) & change["x"][json].eqNullSafe(escaped(value))
+        same_names = (change["n"] == 1) & side("base_has", "base_json", b[name]) & side("cand_has", "cand_json", c[name])
+        at = F.lit("/object_changes")
+        found.append((at, F.lit(f"a change of the {kind}'s name where names are equal"), equal & change.isNotNull()))
+        found.append((at, F.lit(f"no change of the {kind}'s name"), ~equal & change.isNull()))
+        found.append((at, F.lit(f"the change of the {kind}'s name is not what the sides say"), ~equal & change.isNotNull() & ~same_names))
+    every = F.array(*(F.when(when, F.struct(path.alias("path"), problem.alias("problem"))) for path, problem, when in found))
+    return rows.select("comparison", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("x")).select("comparison", "x.*")

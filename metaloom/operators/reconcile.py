@@ -6,6 +6,8 @@ decisions: local_id, field, pointer, safe, applicable, target (ok, has_value, va
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,3 +195,22 @@ def preflight_status(checks: DataFrame) -> DataFrame:
     known = F.when(rank > 0, rank).otherwise(F.raise_error(F.concat(F.lit("unknown status of a check: "), F.coalesce("status", F.lit("null")))))
     worst = F.min(F.when(F.col("blocking"), known))
     return checks.groupBy("report").agg(F.element_at(F.array(*map(F.lit, CHECK_STATUSES)), F.coalesce(worst, F.lit(len(CHECK_STATUSES))).cast("int")).alias("overall"))
+
+
+#: Which identities must be the same in which two steps of a run.
+AGREEING = {"config": ("config", "plan"), "policy": ("policy", "plan"), "snapshot": ("policy", "plan")}
+
+
+def disagreements(stated: DataFrame) -> DataFrame:
+    """Identities on which the steps of a run do not agree: run, name and what each step states.
+
+    stated: run, step, name, digest. An identity that one of the two steps does not state is no agreement; steps that
+    state one twice, with different digests, do not agree either.
+    """
+    due = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(a).alias("first"), F.lit(b).alias("second")) for name, (a, b) in AGREEING.items()))
+    runs = stated.select("run").distinct().select("run", F.explode(due).alias("x")).select("run", "x.*")
+    said = stated.groupBy("run", "name").agg(*(part for step in ("config", "policy", "plan") for part in (F.max(F.when(F.col("step") == step, F.col("digest"))).alias(step), F.min(F.when(F.col("step") == step, F.col("digest"))).alias(f"{step}_too"))))
+    rows = runs.join(said, ["run", "name"], "left")
+    of = lambda end, more="": reduce(lambda a, b: F.coalesce(a, b), (F.when(F.col(end) == step, F.col(f"{step}{more}")) for step in ("config", "policy", "plan")))
+    agree = (of("first") == of("second")) & (of("first") == of("first", "_too")) & (of("second") == of("second", "_too"))
+    return rows.filter(~F.coalesce(agree, F.lit(False))).select("run", "name", of("first").alias("first_digest"), of("second").alias("second_digest"))

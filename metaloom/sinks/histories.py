@@ -2,8 +2,10 @@
 
 snapshot, observations and rules are Parquet in a folder for each entry; index has a row for each table of each entry (its
 number of rows and digest), with the entry's context and link. All entries are verified in one aggregation for each
-table, not one after the other. Appending states which link it follows: of two that follow the same one, the one whose
-index file comes first counts, and the other is a fork that verify() reports.
+table, not one after the other.
+
+Appending states which link it follows and claims the place after it, by making a file that only one writer can make. Of
+two that follow the same link one wins; the other is told, before its index is written, and its tables count for nothing.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical
+from ..shared import stored
 from . import artifacts
 
 #: The tables of an entry, the kind of identity of each, and their columns.
@@ -77,10 +81,39 @@ def last_link(spark: SparkSession, folder: str) -> str | None:
     return row["link"]
 
 
+def _claim(spark: SparkSession, folder: str, follows: str | None) -> str:
+    """Makes the file that stands for the place after a link; an error if another writer has made it. A folder's file
+    system decides: making a file that must not be there yet is one step on HDFS and local disks. A store that has no
+    such step (some object stores) lets two in; problems() then reports the fork."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/claims/{follows or 'first'}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where.getParent())
+    try:
+        files.create(where, False).close()
+    except Py4JJavaError as e:
+        if files.exists(where):
+            raise HistoryError("another entry has been added since") from None
+        raise HistoryError(f"the place after {follows or 'the start'} cannot be claimed") from e
+    return where.toString()
+
+
+def release(spark: SparkSession, folder: str, follows: str | None) -> None:
+    """Gives back the place after a link that a writer claimed and died before it wrote its index. An error if there is
+    an entry at that place."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/index")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(where) and not spark.read.schema(INDEX).parquet(f"{folder}/index").filter(F.col("follows").eqNullSafe(F.lit(follows))).isEmpty():
+        raise HistoryError("there is an entry at that place")
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/claims/{follows or 'first'}"), False)
+
+
 def append(folder: str, entries: DataFrame, tables: dict[str, DataFrame], *, follows: str | None = None) -> None:
     """Adds entries (entry_index, context) with their tables (each with entry_index) after the entry of that link (None:
     a new history). The index comes last, so tables without an index are no entries. A table that the context of an
-    entry does not allow, or a link that is no longer the last one, is an error."""
+    entry does not allow, or a link that another entry follows already, is an error.
+
+    The claim comes after all tables are there and just before the index, so a writer that dies holds it only if it dies
+    between two small files; release() gives such a place back."""
     spark = entries.sparkSession
     entries = entries.select(F.col("entry_index").cast("bigint").alias("entry_index"), "context")
     if follows is not None and last_link(spark, folder) != follows:
@@ -104,7 +137,9 @@ def append(folder: str, entries: DataFrame, tables: dict[str, DataFrame], *, fol
     nothing = F.create_map(*(F.lit(x) for pair in empty.items() for x in pair))
     known = known.select("entry_index", "context", F.struct("table", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("digest", nothing[F.col("table")]).alias("digest")).alias("t"))
     states = known.groupBy("entry_index", "context").agg(F.collect_list("t").alias("tables"))
-    _linked(states, follows).select("entry_index", "context", F.explode("tables").alias("t"), "follows", "link").select("entry_index", "context", "t.*", "follows", "link").coalesce(1).write.mode("append").parquet(f"{folder}/index")
+    index = stored(_linked(states, follows), "history-index")
+    _claim(spark, folder, follows)
+    index.select("entry_index", "context", F.explode("tables").alias("t"), "follows", "link").select("entry_index", "context", "t.*", "follows", "link").coalesce(1).write.mode("append").parquet(f"{folder}/index")
 
 
 def problems(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,12 +5,16 @@ Levels are DataFrames with a local_id: databases, schemas, tables, columns, prim
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import local_id
+from ..shared import stored
 from .base import json_text, key_of
 
 # The system tables that are read, with the columns that are used of each. All joins are Spark's.
@@ -45,10 +49,69 @@ class Model(NamedTuple):
     problems: DataFrame
 
 
-def read_system(spark: SparkSession, url: str, **options: str) -> dict[str, DataFrame]:
-    """The system tables by JDBC, read only. Each read is a transaction: read a standby or a quiet catalog."""
-    read = spark.read.format("jdbc").option("url", url).option("sessionInitStatement", "SET default_transaction_read_only = on").option("queryTimeout", "10").options(**options)
-    return {name: read.option("query", query).load() for name, query in SYSTEM.items()}
+class CatalogError(ValueError):
+    """A catalog that cannot be read as one."""
+
+
+#: How a reader joins the snapshot of another transaction; a fetch size takes it out of autocommit, so that both hold.
+JOIN_SNAPSHOT = "SET TRANSACTION ISOLATION LEVEL REPEATABLE READ READ ONLY; SET TRANSACTION SNAPSHOT '{}'"
+#: What a reader says of its own transaction, beside each row.
+PROOF = "current_setting('transaction_isolation') as tx_isolation, current_setting('transaction_read_only') as tx_read_only"
+_EXPORT = ("SET TRANSACTION ISOLATION LEVEL REPEATABLE READ READ ONLY", "SET LOCAL statement_timeout = '10000ms'")
+
+
+def _connect(spark: SparkSession, url: str, options: dict[str, str]):
+    """A connection of the driver's own, by the JDBC driver that the reads use."""
+    properties = spark._jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if k in options:
+            properties.setProperty(k, options[k])
+    if "driver" in options:
+        spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    return spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+
+
+@contextmanager
+def exported_snapshot(spark: SparkSession, url: str, connect: Callable = _connect, **options: str) -> Iterator[str]:
+    """The name of a snapshot that readers can join for as long as this holds, whatever else changes in the catalog."""
+    connection = connect(spark, url, options)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for sql in _EXPORT:
+            statement.execute(sql)
+        rows = statement.executeQuery("SELECT pg_export_snapshot()")
+        if not rows.next():
+            raise CatalogError("the catalog exports no snapshot")
+        name = rows.getString(1)
+        if not re.fullmatch(r"[0-9A-Fa-f-]+", name):
+            raise CatalogError("the catalog's snapshot has an unexpected name")
+        yield name
+    finally:
+        connection.rollback()
+        connection.close()
+
+
+def read_system(spark: SparkSession, url: str, *, snapshot: str | None = None, **options: str) -> dict[str, DataFrame]:
+    """The system tables by JDBC, read only. With the name of an exported snapshot all reads are of that one state, and
+    rows of a reader that does not say so are an error; without one, each read is a transaction of its own."""
+    start = JOIN_SNAPSHOT.format(snapshot) if snapshot else "SET default_transaction_read_only = on"
+    read = spark.read.format("jdbc").option("url", url).option("sessionInitStatement", start).option("fetchsize", "10000").option("queryTimeout", "10").options(**options)
+    return {name: _proven(read.option("query", _with_proof(query) if snapshot else query).load()) for name, query in SYSTEM.items()}
+
+
+def _with_proof(query: str) -> str:
+    return query.replace(" from ", f", {PROOF} from ", 1)
+
+
+def _proven(rows: DataFrame) -> DataFrame:
+    """Rows without what they say of their transaction, which must be the right thing."""
+    if "tx_isolation" not in rows.columns:
+        return rows
+    ok = (F.col("tx_isolation") == "repeatable read") & (F.col("tx_read_only") == "on")
+    first = next(c for c in rows.columns if not c.startswith("tx_"))
+    told = F.when(F.coalesce(ok, F.lit(False)), F.col(first)).otherwise(F.raise_error(F.lit("a reader was not in the snapshot")).cast(rows.schema[first].dataType))
+    return rows.withColumn(first, told).drop("tx_isolation", "tx_read_only")
 
 
 def rows_of(system: dict[str, DataFrame]) -> Rows:
@@ -80,9 +143,12 @@ def rows_of(system: dict[str, DataFrame]) -> Rows:
     )
 
 
-def read_rows(spark: SparkSession, url: str, **options: str) -> Rows:
-    """The rows of a catalog by JDBC."""
-    return rows_of(read_system(spark, url, **options))
+def read_rows(spark: SparkSession, url: str, *, connect: Callable = _connect, read: Callable = read_system, **options: str) -> Rows:
+    """The rows of a catalog by JDBC, all of one state of it. The system tables are written to the shared folder while
+    the snapshot holds, so that no later action reads the catalog again."""
+    with exported_snapshot(spark, url, connect, **options) as name:
+        system = {table: stored(df, f"system-{table}") for table, df in read(spark, url, snapshot=name, **options).items()}
+    return rows_of(system)
 
 
 def is_user_schema(c):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from importlib.metadata import EntryPoint, entry_points
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,26 @@ class Registry:
         return found[0]
 
 
+#: The group of entry points that installed packages name their providers in.
+GROUP = "metaloom.providers"
+
+
+def discover(registry: Registry, found: Iterable[EntryPoint] | None = None) -> Registry:
+    """A registry with what installed packages provide too. An entry point gives a Provider, or a function that does;
+    two of a name, one that names its provider otherwise, and one that cannot be loaded are errors."""
+    out = Registry(registry.providers.values())
+    for point in sorted(entry_points(group=GROUP) if found is None else found, key=lambda p: (p.name, p.value)):
+        try:
+            made = point.load()
+        except Exception as e:
+            raise ProviderError(f"the provider {point.name} cannot be loaded") from e
+        provider = made() if callable(made) and not isinstance(made, Provider) else made
+        if not isinstance(provider, Provider) or provider.name != point.name:
+            raise ProviderError(f"{point.name} gives no provider of that name")
+        out.add(provider)
+    return out
+
+
 _GRAPH = frozenset({"governance_graph", "property_observations"})
 
 
