@@ -14,7 +14,7 @@ a shard of its own. Ties do not occur: spans are merged. An empty benchmark hits
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +34,9 @@ SAMPLE = 8
 SHARD_ROWS = 1 << 16
 #: Windows of items that one pass over the documents takes: about 150 bytes each on the driver and in every task.
 PASS_WINDOWS = 1 << 18
+#: Items of a window that a pass names by themselves; a window of more is named by a mark.
+ITEMS_EACH = 64
+OWN, MARK = "=", "#"
 END, BREAK, LEAST = 0, 1, 2
 
 
@@ -306,35 +309,75 @@ def merged(spans):
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def _passes(benchmark: DataFrame, item_id: str, item_text: str, window: int, pass_windows: int) -> tuple[int, Iterator]:
-    """How many passes the benchmark takes, and the broadcast phrases of each (a window is whole in one of them)."""
+class Passes(NamedTuple):
+    """The passes over the documents that a benchmark takes."""
+
+    blocks: int
+    #: The broadcast phrases of each pass, made when it comes.
+    handles: Iterator
+    #: mark, item: the items of windows that more items share than a broadcast names. Null if there is no such window.
+    shared_by: DataFrame | None
+
+
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, window: int, pass_windows: int, items_each: int, named: bool = True) -> Passes:
+    """A window is whole in one pass. What comes to the driver for a pass is bounded: a window of more than items_each
+    items is named by a mark there, and its items stay in a table; not named, windows come without items."""
     spark = benchmark.sparkSession
-    every = shared.stored(windows(benchmark, item_id, item_text, window), "windows")
+    every = windows(benchmark, item_id, item_text, window)
+    every = shared.stored(every if named else every.select(F.lit("").alias("item"), "window").distinct(), "windows")
+    shared_by = None
+    often = every.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > items_each).select("window", F.sha2("window", 256).alias("mark"))
+    if named and not often.isEmpty():
+        often = shared.stored(often, "shared-windows")
+        shared_by = shared.stored(every.join(often, "window").select("mark", "item"), "shared-items")
+        own = every.join(often, "window", "left_anti").select(F.concat(F.lit(OWN), "item").alias("item"), "window")
+        every = shared.stored(own.unionByName(often.select(F.concat(F.lit(MARK), "mark").alias("item"), "window")), "windows")
     blocks = max(1, -(-every.count() // pass_windows))
     part = lambda k: every.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
-    return blocks, (spark.sparkContext.broadcast(make_phrases(part(k).toArrow(), window)) for k in range(blocks))
+    return Passes(blocks, (spark.sparkContext.broadcast(make_phrases(part(k).toArrow(), window)) for k in range(blocks)), shared_by)
+
+
+def _named(found: DataFrame, shared_by: DataFrame) -> DataFrame:
+    """found with the items that marks stand for. Documents with the same marks and items are looked up once."""
+    marked = F.exists("items", lambda x: x.startswith(MARK))
+    found = shared.stored(found.withColumn("__set", F.when(marked, F.sha2(F.to_json("items"), 256))), "found")
+    each = found.filter("__set IS NOT NULL").select("__set", "items").distinct().select("__set", F.explode("items").alias("x"))
+    rest = F.substring("x", 2, 2**31 - 1)
+    looked_up = each.filter(F.col("x").startswith(MARK)).select("__set", rest.alias("mark")).join(shared_by, "mark").select("__set", "item")
+    every = each.filter(F.col("x").startswith(OWN)).select("__set", rest.alias("item")).unionByName(looked_up)
+    sets = every.groupBy("__set").agg(F.array_sort(F.collect_set("item")).alias("__items"))
+    plain = F.transform("items", lambda x: F.substring(x, 2, 2**31 - 1))
+    return found.join(sets, "__set", "left").withColumn("items", F.coalesce("__items", plain)).drop("__set", "__items")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, pass_windows: int = PASS_WINDOWS) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, pass_windows: int = PASS_WINDOWS, items_each: int = ITEMS_EACH) -> DataFrame:
     """One row per document: its id, n_words, n_hit, items (ids as sorted strings) and spans of words hit.
 
-    Each pass_windows windows of the benchmark are a pass over the documents; the passes' spans are merged by id and text.
+    Each pass_windows windows of the benchmark are a pass over the documents. Passes follow one another, each with its
+    broadcast alone; they are written, and their spans merged by id and text. Items of windows that more than items_each
+    items share are joined to what was found, by sets of such windows.
     """
-    blocks, handles = _passes(benchmark, item_id, item_text, window, pass_windows)
+    blocks, handles, shared_by = _passes(benchmark, item_id, item_text, window, pass_windows, items_each)
     key = F.col(doc_id) if blocks == 1 else F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"))
     source = documents.select(key.alias("doc"), F.col(text).alias("words"))
-    kind = source.schema["doc"].dataType.simpleString()
-    passes = [source.mapInArrow(partial(_search, handle=x, id_column="doc", text="words", shard_words=shard_words), _SCHEMA.format(id="doc", kind=kind)) for x in handles]
+    schema = _SCHEMA.format(id="doc", kind=source.schema["doc"].dataType.simpleString())
+    one = lambda x: source.mapInArrow(partial(_search, handle=x, id_column="doc", text="words", shard_words=shard_words), schema)
+    named = lambda found: found if shared_by is None else _named(found, shared_by)
     if blocks == 1:
-        return passes[0].withColumnRenamed("doc", doc_id)
-    every = passes[0].withColumn("block", F.lit(0))
-    for k, p in enumerate(passes[1:]):
-        every = every.unionByName(p.withColumn("block", F.lit(k + 1)))
-    joined = every.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("block", "items", "spans")).alias("parts"), F.count(F.lit(1)).alias("rows"))
+        return named(one(next(handles))).withColumnRenamed("doc", doc_id)
+    parts = []
+    for k, x in enumerate(handles):
+        # The first pass keeps all documents, the others those that they hit.
+        found = one(x) if k == 0 else one(x).filter("n_hit > 0")
+        parts.append(shared.stored(found.withColumn("block", F.lit(k)), "pass"))
+        x.unpersist()
+    every = reduce(DataFrame.unionByName, parts)
+    part = F.when(F.col("n_hit") > 0, F.struct("block", "items", "spans"))
+    joined = every.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.collect_set(part).alias("parts"), F.count_if(F.col("block") == 0).alias("rows"))
     joined = joined.withColumns({"items": F.array_sort(F.array_distinct(F.flatten("parts.items"))), "spans": merged(F.flatten("parts.spans"))})
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["begin"])
-    copies = F.explode(F.sequence(F.lit(1), (F.col("rows") / blocks).cast("int")))
-    return joined.select(F.col("doc.id").alias(doc_id), "n_words", hit.alias("n_hit"), "items", "spans", copies.alias("copy")).drop("copy")
+    copies = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
+    return named(joined.select(F.col("doc.id").alias(doc_id), "n_words", hit.alias("n_hit"), "items", "spans", copies.alias("copy")).drop("copy"))
 
 
 def verdicts(found: DataFrame, share: int = 20) -> DataFrame:
@@ -346,8 +389,8 @@ def verdicts(found: DataFrame, share: int = 20) -> DataFrame:
 
 def _changed(documents: DataFrame, benchmark: DataFrame, text: str, share: int | None, options: dict) -> DataFrame:
     """Whole rows as _change() gives them. With several passes, hits by id and text are joined to the documents."""
-    search = {"item_id": "item_id", "item_text": "text", "window": WINDOW, "pass_windows": PASS_WINDOWS, "shard_words": SHARD_WORDS, "doc_id": "doc_id"} | options
-    blocks, handles = _passes(benchmark, search["item_id"], search["item_text"], search["window"], search["pass_windows"])
+    search = {"item_id": "item_id", "item_text": "text", "window": WINDOW, "pass_windows": PASS_WINDOWS, "items_each": ITEMS_EACH, "shard_words": SHARD_WORDS, "doc_id": "doc_id"} | options
+    blocks, handles, _ = _passes(benchmark, search["item_id"], search["item_text"], search["window"], search["pass_windows"], search["items_each"], named=False)
     names = [f"c{i}" for i in range(len(documents.columns))]  # names may clash
     own = names[documents.columns.index(text)]
     plain = documents.toDF(*names)

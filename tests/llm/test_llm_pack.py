@@ -184,7 +184,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 20}, {"pass_windows": 8}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 20}, {"pass_windows": 8}, {"items_each": 1}, {"items_each": 1, "pass_windows": 8}])
 def test_contamination_against_brute_force(spark, options):
     rows = [*TEXTS, *brute.HARD]
     benchmark = spark.createDataFrame([(*x, "z") for x in ITEMS], "item_id bigint, text string, doc string")
@@ -218,6 +218,16 @@ def test_contamination_on_the_smallest_table(spark):
     assert any(r["contaminated"] for r in got.values())
 
 
+def test_a_window_that_many_items_share_is_no_list_on_the_driver(spark):
+    items = [(i, item_words(2, 13)) for i in range(300)] + [(1000 + i, item_words(2, 13) + f" own{i}") for i in range(3)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = brute.documents(spark, (1, f"x {item_words(2, 13)}"), (2, "nothing"), (3, item_words(2, 13) + " own1"), (3, None))
+    every, handles, shared_by = decontam._passes(benchmark, "item_id", "text", 13, 1 << 18, 64)
+    assert every == 1 and shared_by.count() == 303 and len(next(handles).value.names) < 10
+    got = sorted(((r["doc_id"], r["n_hit"], len(r["items"]), r["items"] == sorted(r["items"])) for r in decontam.contamination(docs, benchmark).collect()))
+    assert got == [(1, 13, 303, True), (2, 0, 0, True), (3, 0, 0, True), (3, 14, 303, True)]
+
+
 def test_contamination_of_nothing(spark):
     docs = brute.documents(spark, *TEXTS)
     benchmark = spark.createDataFrame([], "item_id bigint, text string")
