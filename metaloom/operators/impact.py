@@ -27,10 +27,10 @@ POLICY_KINDS = ("data_source", "dataset", "table", "column")
 
 
 def hops(edges: DataFrame) -> DataFrame:
-    """The steps that a change can take: from_key, to_key, kind (and the edge's ends)."""
+    """The steps that a change can take: from_key, to_key, kind."""
     on = edges.filter(F.col("kind").isin("depends_on", "contains", "governs"))
     back = F.col("kind") == "depends_on"
-    return on.select(F.when(back, F.col("dst_key")).otherwise(F.col("src_key")).alias("from_key"), F.when(back, F.col("src_key")).otherwise(F.col("dst_key")).alias("to_key"), "kind", "src_key", "dst_key")
+    return on.select(F.when(back, F.col("dst_key")).otherwise(F.col("src_key")).alias("from_key"), F.when(back, F.col("src_key")).otherwise(F.col("dst_key")).alias("to_key"), "kind")
 
 
 def step_key(step: Column) -> Column:
@@ -92,8 +92,9 @@ def downstream(edges: DataFrame, roots: DataFrame, most_layers: int | None = Non
     """All nodes that changes of the roots (a column root) reach, and from where. The search goes on until a layer is
     empty; if there are more than most_layers, that is an error."""
     roots = stored(roots.select("root").distinct(), "roots")
-    step = F.struct("kind", "src_key", "dst_key")
-    moves = moves_of(hops(edges).distinct().select("from_key", "to_key", step.alias("step")), hub)
+    moves = moves_of(hops(edges), hub)  # repeated ones do no harm: the best hop to a node is taken
+    back = F.col("kind") == "depends_on"
+    step = F.struct("kind", F.when(back, F.col("to_key")).otherwise(F.col("target")).alias("src_key"), F.when(back, F.col("target")).otherwise(F.col("to_key")).alias("dst_key"))
     # Keys are compared as they stand in the text of a path, with the mark that follows them there.
     first = running_sums(roots.withColumn("order", F.concat("root", F.lit(">"))), ["order"], [])
     front = first.select(F.col("root").alias("target"), "root", F.col("position").alias("rank"))
@@ -102,7 +103,7 @@ def downstream(edges: DataFrame, roots: DataFrame, most_layers: int | None = Non
     seen = Seen(roots.select(F.col("root").alias("seen")))
     for distance in count(1):
         reached = moves.after(front.select("target", "root", "rank"), "target").join(seen.all(), F.col("to_key") == F.col("seen"), "left_anti")
-        best = F.min_by(F.struct(F.col("target").alias("parent"), "root", "step", F.col("rank").alias("above")), F.struct("rank", step_key(F.col("step")).alias("key")))
+        best = F.min_by(F.struct(F.col("target").alias("parent"), "root", step.alias("step"), F.col("rank").alias("above")), F.struct("rank", step_key(step).alias("key")))
         found = reached.groupBy(F.col("to_key").alias("own")).agg(best.alias("b")).select(F.col("own").alias("target"), "b.*")
         ranked = running_sums(found.withColumn("order", F.concat(step_key(F.col("step")), F.lit(">"))), ["above", "order"], [])
         layer = stored(ranked.select("target", F.lit(distance).alias("distance"), "root", "parent", "step", F.col("position").alias("rank")), "layer")
@@ -158,9 +159,9 @@ def unknown_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def affected_edges(edges: DataFrame, closure: DataFrame) -> DataFrame:
     """The effective edges with both ends in the closure (roots too), canonical path or not."""
-    on = edges.filter(F.col("kind").isin("depends_on", "contains", "governs")).select("src_key", "kind", "dst_key").distinct()
+    on = edges.filter(F.col("kind").isin("depends_on", "contains", "governs")).select("src_key", "kind", "dst_key")
     inside = closure.select("node_key")
-    return on.join(inside.withColumnRenamed("node_key", "src_key"), "src_key", "left_semi").join(inside.withColumnRenamed("node_key", "dst_key"), "dst_key", "left_semi").select("src_key", "kind", "dst_key")
+    return on.join(inside.withColumnRenamed("node_key", "src_key"), "src_key", "left_semi").join(inside.withColumnRenamed("node_key", "dst_key"), "dst_key", "left_semi").select("src_key", "kind", "dst_key").distinct()
 
 
 def governance_assets(nodes: DataFrame, closure: DataFrame) -> DataFrame:

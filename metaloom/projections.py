@@ -31,10 +31,10 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     k = F.col("p_partkey")
     governed = F.when(k % 3 == 0, F.concat(F.lit("c:"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("n:"), (k % 25).cast("string"))).otherwise(F.concat(F.lit("r:"), (k % 5).cast("string")))
     governs = t("part").select(_key("p", "p_partkey").alias("src_key"), F.lit("governs").alias("kind"), governed.alias("dst_key"))
-    governs = governs.join(nodes.select(F.col("node_key").alias("dst_key")), "dst_key", "left_semi").select("src_key", "kind", "dst_key")
+    governs = governs.join(nodes.filter(F.col("kind").isin("data_source", "dataset", "table")).select(F.col("node_key").alias("dst_key")), "dst_key", "left_semi").select("src_key", "kind", "dst_key")
     contains = nodes.filter("parent_key IS NOT NULL").select(F.col("parent_key").alias("src_key"), F.lit("contains").alias("kind"), F.col("node_key").alias("dst_key"))
     customers = t("orders").select(_key("o", "o_orderkey").alias("src_key"), F.lit("depends_on").alias("kind"), _key("c", "o_custkey").alias("dst_key"))
-    suppliers = t("lineitem").select(_key("o", "l_orderkey").alias("src_key"), F.lit("depends_on").alias("kind"), _key("s", "l_suppkey").alias("dst_key")).distinct()
+    suppliers = t("lineitem").select("l_orderkey", "l_suppkey").distinct().select(_key("o", "l_orderkey").alias("src_key"), F.lit("depends_on").alias("kind"), _key("s", "l_suppkey").alias("dst_key"))
     above = t("nation").select(_key("n", "n_nationkey").alias("nation"), _key("r", "n_regionkey").alias("region"))
     up = F.filter(F.array("parent_key", "region"), lambda x: x.isNotNull())
     nodes = nodes.join(above, F.col("parent_key") == F.col("nation"), "left").withColumn("ancestor_keys", up).drop("nation", "region")
