@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 EDGE = ["src_key", "kind", "dst_key"]
 
 
@@ -31,6 +33,26 @@ def provenance_union(c: str = "provenance") -> Column:
     return F.array_sort(F.collect_set(c)).alias(c)
 
 
+#: Different provenances up to which their union is taken in the bits of a number.
+BITS = 63
+
+
+def few_told(rows: DataFrame, most: int = BITS, c: str = "provenance") -> DataFrame | None:
+    """The different provenances of rows (one each, column of that name) in order, as one row (told), if they are few."""
+    different = stored(rows.select(c).distinct(), "told")
+    return different.agg(F.array_sort(F.collect_list(c)).alias("told")) if different.limit(most + 1).count() <= most else None
+
+
+def bit_of(c: str = "provenance") -> Column:
+    """The bit for a provenance among those told."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.array_position("told", F.col(c)) - 1).cast("int"))
+
+
+def of_bits(c: str) -> Column:
+    """The provenances among those told whose bits are set."""
+    return F.filter("told", lambda _, i: F.col(c).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0)
+
+
 def _merged(rows: DataFrame, key: list[str], payload: list[str], provenance: str | None) -> DataFrame:
     """A row for each key with its payload, if it has one alone, and the number of its payloads.
 
@@ -57,8 +79,8 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 def dangling(graph: Graph) -> DataFrame:
     """Edges of which an end is no node: the edge and which end (src, dst)."""
     known = graph.nodes.select(F.col("node_key").alias("known")).distinct()
-    ends = graph.edges.select(*EDGE, F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("src_key").alias("key")), F.struct(F.lit("dst").alias("side"), F.col("dst_key").alias("key")))).alias("end"))
-    return ends.join(known, F.col("end.key") == F.col("known"), "left_anti").select(*EDGE, F.col("end.side").alias("side"))
+    at = lambda side: graph.edges.select(*EDGE).join(known, F.col(f"{side}_key") == F.col("known"), "left_anti").select(*EDGE, F.lit(side).alias("side"))
+    return at("src").unionByName(at("dst"))
 
 
 def missing_ancestors(nodes: DataFrame) -> DataFrame:

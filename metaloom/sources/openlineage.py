@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import Rule, ancestor, documents_in, filled, flatten, get, last_token, list_text, object_text, pairs, sorted_array, string_member, text
 from ..functions.text import is_uuid, is_zoned_timestamp, strip
-from ..operators.graph import merge_edges, merge_nodes, provenance_union, stated
+from ..operators.graph import bit_of, few_told, merge_edges, merge_nodes, of_bits, provenance_union, stated
 from ..shared import stored
 from .base import EDGE_COLUMNS, NODE_COLUMNS, Mapped, contains, containers, finished, json_text, key_of, observe, whole_texts, with_table_key
 
@@ -140,11 +140,15 @@ def lineage(rows: DataFrame, known: DataFrame) -> DataFrame:
     """depends_on edges of each run's (all its events') or job's outputs on its inputs, one for each pair of datasets."""
     unit = F.when(F.col("kind") == "run", F.concat(F.lit("run:"), "run_id")).otherwise(F.concat(F.lit("job:"), F.col("event_key").cast("string")))
     ends = rows.filter("kind IN ('run', 'job')").withColumn("unit", unit)
-    said = ends.select("unit", F.get(_stated(F.concat_ws("/", "job_namespace", "job_name")), F.lit(0)).alias("provenance")).distinct()
-    ends = ends.join(known.select("ns", "name", "node_key"), ["ns", "name"])
-    one = lambda side, name: ends.filter(F.col("side") == side).select("unit", F.col("node_key").alias(name)).distinct()
+    stating = ends.select("unit", F.get(_stated(F.concat_ws("/", "job_namespace", "job_name")), F.lit(0)).alias("provenance"))
+    # Few provenances are united as bits, so that the many pairs are hashed; more are collected, which sorts them.
+    told = few_told(stating)
+    said = stating.distinct() if told is None else stating.crossJoin(F.broadcast(told)).groupBy("unit").agg(F.bit_or(bit_of()).alias("bits"))
+    ends = ends.select("unit", "side", "ns", "name").join(known.select("ns", "name", "node_key"), ["ns", "name"])
+    one = lambda side, name: ends.filter(F.col("side") == side).select("unit", F.col("node_key").alias(name)).repartition("unit").distinct()
     both = one("output", "src_key").join(said, "unit").join(one("input", "dst_key"), "unit")
-    united = both.groupBy("src_key", "dst_key").agg(provenance_union())
+    pairs = both.groupBy("src_key", "dst_key")
+    united = pairs.agg(provenance_union()) if told is None else pairs.agg(F.bit_or("bits").alias("bits")).crossJoin(F.broadcast(told)).withColumn("provenance", of_bits("bits"))
     return united.select("src_key", F.lit("depends_on").alias("kind"), "dst_key", F.lit("{}").alias("attributes_json"), "provenance")
 
 
