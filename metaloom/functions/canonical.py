@@ -46,6 +46,9 @@ PREFIXES = {
     "ci_review": "gov-ci-review-v1\n",
 }
 
+#: What is looked into; other values can only be too deep.
+_DEEP = (dict, list, float)
+
 
 def _checked(value: object, depth: int = 0) -> object:
     if depth > MAX_DEPTH:
@@ -53,7 +56,8 @@ def _checked(value: object, depth: int = 0) -> object:
     if isinstance(value, float) and not math.isfinite(value):
         raise ValueError("JSON numbers must be finite")
     for x in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-        _checked(x, depth + 1)
+        if depth == MAX_DEPTH or isinstance(x, _DEEP):
+            _checked(x, depth + 1)
     return value
 
 
@@ -64,6 +68,9 @@ def _no_repeats(pairs: list[tuple[str, object]]) -> dict:
     return found
 
 
+_DECODER = json.JSONDecoder(object_pairs_hook=_no_repeats)
+
+
 def dumps(value: object) -> str:
     """A Python value as canonical JSON text."""
     return json.dumps(_checked(value), sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False)
@@ -71,7 +78,8 @@ def dumps(value: object) -> str:
 
 def loads(text: str) -> object:
     """A JSON text, without repeated keys or numbers that are not finite."""
-    return _checked(json.loads(text, object_pairs_hook=_no_repeats))
+    plain = isinstance(text, str) and not text.startswith("\ufeff")  # json.loads says what is wrong with others
+    return _checked(_DECODER.decode(text) if plain else json.loads(text, object_pairs_hook=_no_repeats))
 
 
 @F.pandas_udf(StringType())

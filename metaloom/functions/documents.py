@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
+from json.encoder import encode_basestring_ascii
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -72,47 +75,93 @@ def _at(value: object, tokens: tuple[str, ...], path: tuple[str, ...]) -> Iterat
         yield from _at(v, rest, (*path, k))
 
 
-def _tell(value: object, rule: Rule) -> tuple[dict[str, str], dict[str, list[str]]]:
+def _text(value: object) -> str:
+    """A value as canonical JSON text; what is no object or list needs no encoder of its own."""
+    kind = type(value)
+    if kind is str:
+        return encode_basestring_ascii(value)
+    if value is None:
+        return "null"
+    if kind is bool:
+        return "true" if value else "false"
+    return int.__repr__(value) if kind is int else _encode(value)
+
+
+def _tell(value: object, rule: Rule, inside: set[str]) -> tuple[dict[str, str], dict[str, list[str]]]:
     if rule.whole or not isinstance(value, dict):
-        return {"": _encode(value)}, {"": [_encode(x) for x in value]} if isinstance(value, list) else {}
-    inside = {place.split("/")[0] for place in rule.rows}
+        return {"": _text(value)}, {"": [_text(x) for x in value]} if isinstance(value, list) else {}
     m = {}
     for k, v in value.items():
         if rule.tell is None or k in rule.tell:
-            m[k] = ("{}" if isinstance(v, dict) else "[]" if isinstance(v, list) else _encode(v)) if k in inside else _encode(v)
+            m[k] = ("{}" if isinstance(v, dict) else "[]" if isinstance(v, list) else _text(v)) if k in inside else _text(v)
     for k in rule.open:
         if isinstance(value.get(k), dict):
-            m |= {f"{k}/{name}": _encode(v) for name, v in value[k].items()}
+            m |= {f"{k}/{name}": _text(v) for name, v in value[k].items()}
     for k in rule.folded:
         if isinstance(value.get(k), str):
-            m[f"{k}/folded"] = _encode(value[k].strip().casefold())
+            m[f"{k}/folded"] = _text(value[k].strip().casefold())
     if rule.digest:
         kind, without = rule.digest
         payload = PREFIXES[kind] + _encode({k: v for k, v in value.items() if k != without})
         m["/digest"] = hashlib.sha256(payload.encode()).hexdigest()
-    return m, {k: [_encode(x) for x in value[k]] for k in rule.lists if isinstance(value.get(k), list)}
+    return m, {k: [_text(x) for x in value[k]] for k in rule.lists if isinstance(value.get(k), list)}
+
+
+class _Plan(NamedTuple):
+    """A rule with what is the same for all its objects: the members in which rows lie, and where they lie."""
 
+    rule: Rule
+    inside: set[str]
+    places: list[tuple[tuple[str, ...], str]]
 
-def _visit(doc: str, value: object, name: str, rules: dict[str, Rule], path: tuple[str, ...], up: tuple[dict, ...]) -> Iterator[dict]:
-    rule = rules[name]
+
+def _plans(rules: dict[str, Rule]) -> dict[str, _Plan]:
+    return {name: _Plan(rule, {place.split("/")[0] for place in rule.rows}, [(tuple(place.split("/")), below) for place, below in rule.rows.items()]) for name, rule in rules.items()}
+
+
+def _visit(doc: str, value: object, name: str, plans: dict[str, _Plan], path: tuple[str, ...], up: tuple[tuple, ...]) -> Iterator[tuple]:
+    """Rows as doc, rule, path, m, lists, up; m and lists are dicts, up has pairs of a path and a dict."""
+    rule, inside, places = plans[name]
     if not rule.silent:
-        m, lists = _tell(value, rule)
-        yield {"doc": doc, "rule": name, "path": path, "m": list(m.items()), "lists": list(lists.items()), "up": up}
-        up = (*up, {"path": path, "m": [(k, m[k]) for k in rule.keep if k in m]})
-    for place, below in rule.rows.items():
-        for at, v in _at(value, tuple(place.split("/")), path):
-            yield from _visit(doc, v, below, rules, at, up)
+        m, lists = _tell(value, rule, inside)
+        yield doc, name, path, m, lists, up
+        up = (*up, (path, {k: m[k] for k in rule.keep if k in m}))
+    for tokens, below in places:
+        if tokens[0] != "*" and not (isinstance(value, dict) and tokens[0] in value):
+            continue
+        for at, v in _at(value, tokens, path):
+            yield from _visit(doc, v, below, plans, at, up)
+
+
+def _lists(rows: list, values: Callable[[list], pa.Array]) -> tuple[pa.Array, pa.Array]:
+    """Where each of the rows starts among the values of all, and those."""
+    return pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values(list(chain.from_iterable(rows)))
+
+
+def _strings(values: list[str]) -> pa.Array:
+    return pa.array(values, pa.string())
+
+
+def _paths(rows: list) -> pa.Array:
+    return pa.ListArray.from_arrays(*_lists(rows, _strings))
+
+
+def _maps(rows: list[dict], values: Callable[[list], pa.Array] = _strings) -> pa.Array:
+    starts, keys = _lists(rows, _strings)
+    return pa.MapArray.from_arrays(starts, keys, values([v for m in rows for v in m.values()]))
 
 
-def _columns(rows: list[dict]) -> pa.RecordBatch:
-    columns = []
-    for field in _ARROW:
-        columns.append(pa.array([r[field.name] for r in rows], field.type))
-    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+def _columns(rows: list[tuple]) -> pa.RecordBatch:
+    """Columns are made of flat lists, as nested values one by one are dear."""
+    doc, rule, path, m, lists, up = (list(c) for c in zip(*rows, strict=True))
+    above = lambda values: pa.StructArray.from_arrays([_paths([p for p, _ in values]), _maps([k for _, k in values])], ["path", "m"])
+    columns = [_strings(doc), _strings(rule), _paths(path), _maps(m), _maps(lists, _paths), pa.ListArray.from_arrays(*_lists(up, above))]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
 def flat(it: Iterator[pa.RecordBatch], rules: dict[str, Rule], root: str, faults: bool) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
+    rows: list[tuple] = []
+    plans = _plans(rules)
     for batch in it:
         for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             try:
@@ -120,9 +169,9 @@ def flat(it: Iterator[pa.RecordBatch], rules: dict[str, Rule], root: str, faults
             except (ValueError, RecursionError) as e:
                 if not faults:
                     raise
-                rows.append({"doc": doc, "rule": FAULT, "path": (), "m": [("", _encode(str(e)))], "lists": [], "up": ()})
+                rows.append((doc, FAULT, (), {"": _text(str(e))}, {}, ()))
                 continue
-            for row in _visit(doc, value, root, rules, (), ()):
+            for row in _visit(doc, value, root, plans, (), ()):
                 rows.append(row)
                 if len(rows) == 2000:
                     yield _columns(rows)
