@@ -35,7 +35,7 @@ MAX_TOKENS, MAX_SEGMENTS = 2048, 512
 #: Pieces that wait in a task's pool.
 POOL = 1024
 #: Distinct chunks whose ids a task remembers, and bytes of text that are split in one go.
-CACHE, SPLIT_BYTES = 600_000, 2 << 20
+CACHE, SPLIT_BYTES = 300_000, 1 << 20
 #: The id after each document.
 END_ID = 1
 
