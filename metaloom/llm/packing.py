@@ -22,7 +22,6 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,7 +33,7 @@ from . import shared
 MAX_TOKENS, MAX_SEGMENTS = 2048, 512
 #: Pieces that wait in a task's pool.
 POOL = 1024
-#: Distinct chunks whose ids a task remembers, and bytes of text that are split in one go.
+#: Distinct parts of chunks whose ids a task remembers, and bytes of text that are split in one go.
 CACHE, SPLIT_BYTES = 300_000, 1 << 20
 #: The id after each document.
 END_ID = 1
@@ -54,12 +53,72 @@ def byte_characters() -> dict[int, str]:
     return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
 
 
+# Kinds of bytes: space or line break, letter, digit, other printable, and those that leave their chunk whole.
+_SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
+_KIND = np.full(256, _HARD, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[[10, 32]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _KIND[128:192] = _KIND[0xC3] = _LETTER
+_KIND[39] = _HARD  # an apostrophe may begin one of the endings that the rule names
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The parts of the chunks between spaces and line breaks of UTF-8 rows, and where each row's parts start.
+
+    Chunks of ASCII without apostrophes and of letters from U+00C0 to U+00FF are lower-cased and cut into letters, single
+    digits and runs of others, as the rule above cuts them. All other chunks are one part each, as they are.
+    """
+    n = len(data)
+    if not n:
+        return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
+    kind, low = _KIND[data], _LOWER[data]
+    second = np.flatnonzero(data == 0xC3) + 1
+    value = data[second]
+    low[second[(value <= 0x9E) & (value != 0x97)]] += 32
+    kind[second[(value == 0x97) | (value == 0xB7)]] = _HARD  # the signs of multiplication and division
+    less = np.flatnonzero(data[:-1] == 60)
+    kind[less[data[less + 1] == 124]] = _HARD  # special strings begin with <|
+    inside = kind != _SPACE
+    row = offsets[:-1][offsets[:-1] < n]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[row] = inside[row]
+    last[:-1] &= ~inside[1:] | first[1:]
+    cut = first.copy()
+    cut[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+    cut |= kind == _DIGIT
+    hard = np.flatnonzero(kind == _HARD)
+    if len(hard):
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        whole = np.unique(np.searchsorted(begin, hard, side="right") - 1)
+        run, place = shared.spread(end[whole] - begin[whole])
+        at = begin[whole][run] + place
+        low[at], cut[at] = data[at], False
+        cut[begin[whole]] = True
+    start = np.flatnonzero(cut)
+    kept = low[inside]
+    ends = np.append(start - np.searchsorted(np.flatnonzero(~inside), start), len(kept))
+    parts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(kept))
+    return parts, np.searchsorted(start, offsets)
+
+
+class Numbers(dict):
+    """Numbers of parts from 0 on, given when first asked for."""
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = len(self)
+        return n
+
+
 class ChunkTokenizer:
-    """Ids of texts, made from the ids of their chunks between spaces and line breaks, which are remembered.
+    """Ids of texts, made from the ids of the parts of their chunks between spaces and line breaks, which are remembered.
 
     It fits tokenizers whose file states the normalizer and pre-tokenizer above: they never look across white space and
-    drop it. Printable Latin-1 chunks are lower-cased and split here and go straight to the model; all others take the
-    whole tokenizer. With another file whole texts go to the tokenizer, and nothing is remembered.
+    drop it. pieces() cuts plain chunks as they do; parts of printable Latin-1 go straight to the model, all others take
+    the whole tokenizer. With another file whole texts go to the tokenizer, and nothing is remembered.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -74,16 +133,14 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def chunk_ids(self, chunk: str) -> list[int]:
-        if not chunk:
-            return []
-        if "<|" in chunk or not chunk.isprintable() or max(chunk) > "\xff":
+        if not chunk.isascii() and max(chunk) > "\xff" or "<|" in chunk or not chunk.isprintable():
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        pre = self.split.findall(chunk.lower())
+        pre = [chunk.lower()] if chunk.isalpha() else self.split.findall(chunk.lower())
         if not chunk.isascii():
             pre = [x.translate(self.shown) for x in pre]
         return [t.id for x in pre for t in self.model.tokenize(x)]
@@ -101,24 +158,23 @@ class ChunkTokenizer:
         self.used += len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text (null is empty). Each distinct chunk is looked up once."""
+        """All ids, and the number of ids of each text (null is empty). Each distinct part is looked up once."""
         if not self.by_chunk:
             each = [x.ids for x in self.tokenizer.encode_batch([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
         if len(self.number) > self.most:
             self.clear()
         number, known = self.number, len(self.number)
-        parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
-        words = parts.flatten().dictionary_encode()
-        own = np.fromiter((number.setdefault(w, len(number)) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        parts, offsets = pieces(*shared.utf8(texts))
+        words = parts.dictionary_encode()
+        own = np.fromiter(map(number.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(words.dictionary))
         flat = own[words.indices.to_numpy()]
         if len(number) > known:
             self._learn(list(islice(reversed(number), len(number) - known))[::-1], known)
         lengths = self.length[flat]
         run, place = shared.spread(lengths)
         ids = self.ids[self.start[flat][run] + place]
-        offsets = parts.offsets.to_numpy().astype(np.int64)
-        return ids, shared.segment_sums(lengths, offsets - offsets[0])
+        return ids, shared.segment_sums(lengths, offsets)
 
 
 class Packer:

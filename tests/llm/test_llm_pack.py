@@ -55,6 +55,18 @@ def test_chunks_have_the_ids_of_the_whole_text(tokenizer):
             assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_parts_of_chunks_are_learned_once():
+    rows = ["Word, word.  (WORD)\nÉté été!", None, "", "a1b22c", "don't 'Tis× <|ENDOFTEXT|> ß=Ø", "x", "y"]
+    data, offsets = packing.shared.utf8(pa.array(rows))
+    parts, starts = packing.pieces(data, offsets)
+    got = [parts.to_pylist()[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert got == [["word", ",", "word", ".", "(", "word", ")", "été", "été", "!"], [], [], ["a", "1", "b", "2", "2", "c"], ["don't", "'Tis×", "<|ENDOFTEXT|>", "ß", "=", "ø"], ["x"], ["y"]]
+    assert packing.pieces(*packing.shared.utf8(pa.array(["", " \n"])))[1].tolist() == [0, 0, 0]
+    made, marks = packing.ChunkTokenizer(PATH), [".", ",", "!", "?", ";"]
+    made.encode(pa.array([f"{x}{m} {x.title()}{m}" for x in ("one", "two", "three") for m in marks]))
+    assert len(made.number) == 3 + len(marks)  # before, each word was learned anew with each mark and case: 30
+
+
 def test_examples_respect_all_limits(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(1, 600), rng.randrange(0, 1)) for i in range(50)] + [(100 + i, n := rng.randrange(1, 900), rng.randrange(n)) for i in range(400)] + [(900, 1, None), (901, None, None), (902, 2048, 1024)]
