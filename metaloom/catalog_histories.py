@@ -20,8 +20,8 @@ def _stored(spark, d) -> str:
     The rule for scrolling is no longer there on odd days."""
     folder = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
     i = F.col("entry_index")
-    days, properties = P.timeline(spark, d)
-    entries = stored(days.select("entry_index", F.when(i % 5 == 4, "none").when(i % 5 == 3, "provenance").otherwise("full").alias("context")), "entries")
+    properties = stored(P.timeline(spark, d)[1], "timeline")  # read for the days, the check of entries and the rows
+    entries = stored(properties.select("entry_index").distinct().select("entry_index", F.when(i % 5 == 4, "none").when(i % 5 == 3, "provenance").otherwise("full").alias("context")), "entries")
     day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
     within = lambda df, *contexts: df.join(F.broadcast(entries.filter(F.col("context").isin(*contexts)).select("entry_index")), "entry_index", "left_semi")
     observations = within(P.observations(spark, d).withColumn("entry_index", day), "full", "provenance")

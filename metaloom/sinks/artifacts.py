@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, NumericType, StructType
 
 from ..functions import canonical
 
@@ -42,7 +42,12 @@ def row_text(df: DataFrame) -> Column:
             return F.to_json(F.array_sort(F.map_entries(c)))
         return F.to_json(c) if isinstance(kind, (ArrayType, StructType)) else c.cast("string")
 
-    parts = [F.coalesce(F.concat(F.lit("="), F.regexp_replace(shown(F.col(f"`{f.name}`"), f.dataType), "([\\\\\x1f])", "\\\\$1")), F.lit("-")) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    def escaped(c: Column, kind) -> Column:
+        if isinstance(kind, NumericType):
+            return c
+        return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\x1f"), F.lit("\\\x1f"))
+
+    parts = [F.coalesce(F.concat(F.lit("="), escaped(shown(F.col(f"`{f.name}`"), f.dataType), f.dataType)), F.lit("-")) for f in sorted(df.schema.fields, key=lambda f: f.name)]
     return F.concat_ws("\x1f", *parts) if parts else F.lit("")
 
 
@@ -56,9 +61,13 @@ def row_sums(df: DataFrame, kind: str, *by: str) -> DataFrame:
     rows that came, less those of the rows that went, so a change needs no look at the rows that stay.
     """
     digest = canonical.digest(kind, row_text(df.drop(*by)))
-    word = lambda i: F.conv(F.substring("__row", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
-    sums = [F.coalesce(F.sum(word(i)), F.lit(0)).cast("decimal(38,0)").alias(name) for i, name in enumerate(WORDS)]
-    return df.select(*by, digest.alias("__row")).groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+    rows = df.select(*by, digest.alias("__row"))
+    # Two words at a time become a number. Halves of words are summed, so that whole numbers suffice for 2**47 rows.
+    rows = rows.select(*by, *(F.conv(F.substring("__row", 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"__two{i}") for i in range(4)))
+    half = lambda i, k: F.shiftrightunsigned(f"__two{i // 2}", 48 - 32 * (i % 2) - 16 * k).bitwiseAND(F.lit(0xFFFF))
+    total = lambda i, k: F.coalesce(F.sum(half(i, k)), F.lit(0)).cast("decimal(38,0)")
+    sums = [F.coalesce((total(i, 0) * 65536 + total(i, 1)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(name) for i, name in enumerate(WORDS)]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
 
 
 def changed_sums(before: DataFrame, came: DataFrame, went: DataFrame, *by: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Stored histories: verified entries, links, forks; and identities that follow changes."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from metaloom import catalog_histories
+from metaloom.functions import canonical
 from metaloom.operators import history
 from metaloom.sinks import artifacts, histories
 
@@ -88,3 +91,27 @@ def test_identity_after_a_change(spark):
         columns = [c for c in df.columns if c not in by]
         moved = artifacts.changed_sums(sums(df), sums(came), sums(went), *by).select(*by, "n_rows", artifacts.sums_digest("snapshot", columns).alias("digest"))
         assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, artifacts.identity(after, "snapshot", *by).collect()))
+
+
+def test_word_sums_are_whole_numbers_until_they_are_told(spark):
+    rows = [(i, f"v{i}\\\x1f{i}\\" if i % 3 else None) for i in range(300)]
+    sums = artifacts.row_sums(spark.createDataFrame(rows, "k bigint, v string"), "snapshot")
+    escaped = lambda v: v.replace("\\", "\\\\").replace("\x1f", "\\\x1f")
+    texts = ["=" + str(k) + "\x1f" + ("-" if v is None else "=" + escaped(v)) for k, v in rows]
+    hashes = [hashlib.sha256((canonical.PREFIXES["snapshot"] + x).encode()).hexdigest() for x in texts]
+    assert tuple(sums.first()) == (300, *(sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes) for i in range(8)))
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("conv(") == 4 and "sum(cast" not in plan  # before: a decimal for each word of each row
+
+
+def test_a_stored_history_groups_its_events_once(spark, monkeypatch):
+    grouped, plain = [], catalog_histories.histories.append
+
+    def append(folder, entries, tables, **more):
+        grouped.append("Aggregate" in tables["snapshot"]._jdf.queryExecution().optimizedPlan().toString())
+        plain(folder, entries, tables, **more)
+
+    monkeypatch.setattr(catalog_histories.histories, "append", append)
+    folder = catalog_histories._stored(spark, "/root/testdata/sf0.001")
+    assert grouped == [False]  # before, the check of entries and the rows grouped them anew
+    assert histories.read(spark, folder).snapshot.count() > 0
